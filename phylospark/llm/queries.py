@@ -1,9 +1,11 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
+from phylospark.llm.media import op2_media
 from phylospark.llm.mixing import OP7_SQL, op7_mixing
 from phylospark.llm.sharding import op5_sharding
 
 QUERIES = {
+    "op2_media": op2_media,
     "op5_sharding": op5_sharding,
     "op7_mixing": op7_mixing,
 }
