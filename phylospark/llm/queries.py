@@ -2,12 +2,16 @@
 
 from phylospark.llm.media import op2_media
 from phylospark.llm.mixing import OP7_SQL, op7_mixing
+from phylospark.llm.pii import op8_pii
+from phylospark.llm.quality import op3_quality
 from phylospark.llm.sharding import op5_sharding
 
 QUERIES = {
     "op2_media": op2_media,
+    "op3_quality": op3_quality,
     "op5_sharding": op5_sharding,
     "op7_mixing": op7_mixing,
+    "op8_pii": op8_pii,
 }
 
 ORACLES = {"op7_mixing": OP7_SQL}
