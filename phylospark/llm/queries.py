@@ -1,17 +1,26 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
+from phylospark.llm.decontamination import OP6_SQL, op6_decontamination
+from phylospark.llm.extraction import op4_extraction
 from phylospark.llm.media import op2_media
 from phylospark.llm.mixing import OP7_SQL, op7_mixing
 from phylospark.llm.pii import op8_pii
 from phylospark.llm.quality import op3_quality
 from phylospark.llm.sharding import op5_sharding
+from phylospark.llm.tokens import op1_tokens
 
 QUERIES = {
+    "op1_tokens": op1_tokens,
     "op2_media": op2_media,
     "op3_quality": op3_quality,
+    "op4_extraction": op4_extraction,
     "op5_sharding": op5_sharding,
+    "op6_decontamination": op6_decontamination,
     "op7_mixing": op7_mixing,
     "op8_pii": op8_pii,
 }
 
-ORACLES = {"op7_mixing": OP7_SQL}
+ORACLES = {
+    "op6_decontamination": OP6_SQL,
+    "op7_mixing": OP7_SQL,
+}
