@@ -7,6 +7,7 @@ from phylospark.llm.mixing import OP7_SQL, op7_mixing
 from phylospark.llm.pii import op8_pii
 from phylospark.llm.quality import op3_quality
 from phylospark.llm.sharding import op5_sharding
+from phylospark.llm.simhash import op9_simhash
 from phylospark.llm.tokens import op1_tokens
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_mixing": op7_mixing,
     "op8_pii": op8_pii,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLES = {
