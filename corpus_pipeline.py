@@ -1,12 +1,63 @@
-"""The corpus pipeline: documents through the corpus operators, one written table per stage."""
+"""The corpus pipeline: documents through five corpus operators, one written table per stage.
+
+quality -> near_duplicates -> decontamination -> mixing -> sharding. Every stage takes all that its predecessor kept. All but the
+last return the columns of documents; mixing repeats a row as often as the mix takes it, sharding adds shard and slot.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from phylospark.llm import _shared, decontamination, mixing, quality, sharding, simhash
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier accepts."""
+    score = quality.scorer(quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return docs.where(score(F.col("text")) >= quality.THRESHOLD)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every component of linked fingerprints: the one with the smallest doc_id, once."""
+    return simhash.keep_one(docs, "doc_id", "text")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of any benchmark item."""
+    row = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text")))
+    index = decontamination.build_index(docs.select(row.alias("row"), "text"), "row", "text")
+    found = decontamination.find_items(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text")
+    hit = _shared.stage(found.where(decontamination.n_hit() > 0).select("key").distinct(), "hit")
+    return docs.join(hit, row == hit["key"], "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    _, budget = mixing.plan_mix(docs, "doc_id", "text", "source")
+    source, times = _shared.fresh(docs, "source"), _shared.fresh(docs, "times")
+    budget = budget.select(F.col("skey").alias(source), F.array("repeats", "threshold").alias(times))
+    rows = docs.withColumn(source, mixing.source_key(F.col("source"))).join(F.broadcast(budget), source)  # a row per source, at most max_sources
+    taken = F.col(times)[0] + F.when(mixing.key_hash(F.col("doc_id")) <= F.col(times)[1], 1).otherwise(0)
+    taken = F.when(mixing.word_count(F.col("text")) > 0, taken).otherwise(0)
+    return rows.withColumn(times, F.explode(F.array_repeat(F.lit(0), taken.cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str, shards: int = 16) -> DataFrame:
+    """Every row with its shard by jump hash of doc_id."""
+    name = _shared.fresh(docs, "shard") if "shard" in docs.columns else "shard"
+    return docs.withColumn(name, sharding.shard_of(F.col("doc_id"), shards))
+
 
-from phylospark.llm import _shared
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", deal_shards),
+]
 
-STAGES: list = []
+#: The first two stages have no SQL: a trained classifier, and hashes that DuckDB lacks.
 ORACLE_SQL = None
 
 

@@ -8,6 +8,7 @@ from phylospark.llm.pii import op8_pii
 from phylospark.llm.quality import op3_quality
 from phylospark.llm.sharding import op5_sharding
 from phylospark.llm.simhash import op9_simhash
+from phylospark.llm.suffixes import op10_suffixes
 from phylospark.llm.tokens import op1_tokens
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
+    "op10_suffixes": op10_suffixes,
 }
 
 ORACLES = {

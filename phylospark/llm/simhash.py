@@ -29,12 +29,13 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from phylospark.llm._shared import discard, slices, stage
+from phylospark.llm._shared import discard, fresh, slices, stage
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Members of a leaf, children of a node, buckets compared at once up to, fingerprints of one bucket at most, and on average.
@@ -273,15 +274,41 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def fingerprint_of(text, shingle: int = SHINGLE, seed: int = SEED):
+    """Column: the fingerprint of a text column, as a signed long."""
+
+    @F.pandas_udf("long")
+    def read(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(bytes(t) if t is not None else b"", shingle, seed) for t in texts], np.uint64).view(np.int64))
+
+    return read(text.cast("binary"))
+
+
 def near_duplicates(docs: DataFrame, key: str, text: str, limit: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """(key, fp, component): the smallest key of all documents that links reach."""
+    """(key, fp, root, component): root stands for the component, component is the smallest key of all documents that links reach."""
     own = stage(fingerprints(docs, key, text, shingle), "fingerprints")
     nodes = stage(own.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
     roots = components(all_links(nodes.select("fp"), limit))
     nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = nodes.groupBy("root").agg(F.min("least").alias("component"))
-    named = stage(nodes.join(least, "root").select("fp", "component"), "components")
-    return own.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
+    named = stage(nodes.join(least, "root").select("fp", "root", "component"), "components")
+    return own.join(named, "fp").select(F.col("key").alias(key), "fp", "root", "component")
+
+
+def keep_one(docs: DataFrame, key: str, text: str, limit: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+    """The documents with all their columns, one row of each component: one with the smallest key. Keys need not be unique; rows that
+    share a key are told apart by fingerprint."""
+    found = near_duplicates(docs, key, text, limit, shingle).where(F.col(f"`{key}`").eqNullSafe(F.col("component")))
+    chosen = stage(found.groupBy("root").agg(F.min("fp").alias("chosen_fp"), F.first(f"`{key}`").alias("chosen")), "chosen")
+    again = stage(docs.groupBy(F.col(f"`{key}`").alias("again")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "again")
+    own = docs[f"`{key}`"]
+    if again.isEmpty():
+        return docs.join(chosen, own.eqNullSafe(chosen["chosen"]), "left_semi")
+    single = docs.join(again, own.eqNullSafe(again["again"]), "left_anti").join(chosen, own.eqNullSafe(chosen["chosen"]), "left_semi")
+    fp = fresh(docs, "fp")
+    several = docs.join(again, own.eqNullSafe(again["again"]), "left_semi").withColumn(fp, fingerprint_of(docs[f"`{text}`"], shingle))
+    several = several.join(chosen, several[f"`{key}`"].eqNullSafe(chosen["chosen"]) & (several[fp] == chosen["chosen_fp"]), "left_semi").dropDuplicates([key, fp]).drop(fp)
+    return single.unionByName(several)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
