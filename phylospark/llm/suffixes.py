@@ -38,7 +38,7 @@ from phylospark.llm._shared import discard, slices, stage
 
 LENGTH, PIECE = 200, 32
 #: Strings built together, segments of one anchor that stay together, and bytes of text hashed together.
-STRINGS, MAX_GROUP, PART = 20_000, 200_000, 4 << 20
+STRINGS, MAX_GROUP, PART = 20_000, 200_000, 256 << 10
 #: A byte that UTF-8 never has; it ends a string and equals nothing.
 END = 255
 
