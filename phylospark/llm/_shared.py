@@ -10,8 +10,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (makes pa.compute available)
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that a Python worker handles at once.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that a Python worker handles at once, and that Arrow hands over at once (Spark's own limit is 64 MB and 10,000 rows).
+SLICE_BYTES, BATCH_BYTES = 2 << 20, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,6 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bound the Arrow batches of the session, so that what executors hold outside their heaps doesn't follow the length of texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and return a reader of it; this cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phylospark.llm._shared import slices, stage
+from phylospark.llm._shared import slices, small_batches, stage
 
 WINDOW = 10
 PASS_BYTES = 16 << 20
@@ -154,7 +154,7 @@ class Windows:
 
 def build_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The postings of all documents, staged: a row for each segment."""
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("text"))
+    rows = small_batches(docs).select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 
     def index(batches):

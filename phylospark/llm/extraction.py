@@ -6,7 +6,7 @@ with a Gaussian kernel, is split at a fraction of its standard deviation into co
 regions: the deepest element that holds nearly all of their characters, with an article or main element preferred. All lines of
 the selected region belong to the text, short ones too, but for those inside elements that are furniture by name, role, class or id
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments of readers), and for lines of links that the
-ratio puts outside the content. A header inside an article keeps its headings.
+ratio puts outside the content. A header inside an article belongs to it.
 
 White space inside a line becomes one space; lines are joined by one space in page order. Defined cases: null or empty html gives
 an empty text; broken markup never fails: end tags without a start are ignored, open elements end with an enclosing one or with the
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phylospark.llm._shared import slices
+from phylospark.llm._shared import slices, small_batches
 
 SIGMA, THRESHOLD, HELD = 1.5, 0.5, 0.9
 
@@ -230,7 +230,7 @@ def main_text(html: str | None) -> str:
 
 def extract(df: DataFrame, key: str, html: str, carry: list[str] = ()) -> DataFrame:
     """(key, *carry, text)."""
-    rows = df.select(F.col(f"`{key}`").alias("key"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
+    rows = small_batches(df).select(F.col(f"`{key}`").alias("key"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
     kept = rows.schema.fields[:-1]
 
     def read(batches):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phylospark.llm._shared import slices, stage
+from phylospark.llm._shared import slices, small_batches, stage
 
 WIDTH, HEIGHT = 24, 24
 FRAME = WIDTH * HEIGHT
@@ -200,7 +200,7 @@ def feature_text(tracks: list[Track]) -> str:
 
 def media_column(df: DataFrame, key: str, payload: str) -> DataFrame:
     """(key, n_bytes, media): every payload (text or binary) as a file."""
-    rows = df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b"")).alias("payload"))
+    rows = small_batches(df).select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b"")).alias("payload"))
 
     def write(batches):
         for batch in slices(batches, "payload"):
@@ -213,7 +213,7 @@ def media_column(df: DataFrame, key: str, payload: str) -> DataFrame:
 
 def media_features(df: DataFrame, key: str, media: str, carry: list[str] = ()) -> DataFrame:
     """(key, *carry, digests of the payload as read back and of the file, feature)."""
-    rows = df.select(F.col(f"`{key}`").alias("key"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)), F.coalesce(F.col(f"`{media}`"), F.lit(b"")).alias("media"))
+    rows = small_batches(df).select(F.col(f"`{key}`").alias("key"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)), F.coalesce(F.col(f"`{media}`"), F.lit(b"")).alias("media"))
     digests = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
     names = [f.name for f in rows.schema.fields[:-1]]

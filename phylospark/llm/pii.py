@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phylospark.llm._shared import slices
+from phylospark.llm._shared import slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 RANK = {k: i for i, k in enumerate(KINDS)}
@@ -265,7 +265,7 @@ def written(spans: list[Span]) -> str:
 
 def find_personal(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, base, spans): lists of (start, end, kind); spans holds base and what the trees add."""
-    rows = df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = small_batches(df).select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     trees, cut = model()
     one = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
     as_rows = lambda spans: [{"start": a, "end": b, "kind": k} for a, b, k in spans]

@@ -27,6 +27,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phylospark.llm._shared import small_batches
+
 CHUNK, LEVEL, DICTIONARY = 2048, 3, 64 << 10
 THRESHOLD = 0.3
 FOLDS = 5
@@ -132,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     order = F.crc32(F.concat(F.lit("sample"), F.col("k").cast("string")).cast("binary"))
     few = [marks.where(F.col("y") == y).orderBy(order, "k").limit(max_texts) for y in (0, 1)]
     chosen = F.broadcast(few[0].unionByName(few[1]))  # at most 2 * max_texts rows
-    wanted = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("binary").alias("t")).where(F.col("t").isNotNull()).join(chosen, "k")
+    wanted = small_batches(docs).select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("binary").alias("t")).where(F.col("t").isNotNull()).join(chosen, "k")
     size = F.sum(F.octet_length("t")).over(Window.partitionBy("y").orderBy(order, "k", "t").rowsBetween(Window.unboundedPreceding, 0))
     rows = wanted.withColumn("n", size).where(F.col("n") <= max_bytes).select("y", "t", "n").collect()
     rows.sort(key=lambda r: (r["y"], r["n"], bytes(r["t"])))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from phylospark.llm._shared import discard, fresh, slices, stage
+from phylospark.llm._shared import discard, fresh, slices, small_batches, stage
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Members of a leaf, children of a node, buckets compared at once up to, fingerprints of one bucket at most, and on average.
@@ -61,7 +61,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(key, fp) of every document; fp is the fingerprint as a signed long."""
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("text"))
+    rows = small_batches(docs).select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("text"))
 
     def read(batches):
         for batch in slices(batches, "text"):

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from phylospark.llm._shared import discard, slices, stage
+from phylospark.llm._shared import discard, slices, small_batches, stage
 
 LENGTH, PIECE = 200, 32
 #: Strings built together, segments of one anchor that stay together, and bytes of text hashed together.
@@ -210,7 +210,7 @@ def text_hash(column):
 
 
 def shared_anchors(rows: DataFrame, length: int) -> DataFrame:
-    """(h1, h2, hits): the anchors of each text that occur more than once in the collection; staged."""
+    """(h1, h2, hits): the anchors of each text that occur more than once in the collection."""
 
     def emit(batches):
         for batch in slices(batches, "text"):
@@ -225,7 +225,7 @@ def shared_anchors(rows: DataFrame, length: int) -> DataFrame:
 
     found = rows.where(F.octet_length("text") >= length).mapInArrow(emit, "anchor bigint, h1 bigint, h2 bigint, n int")
     often = found.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    return stage(found.select("anchor", "h1", "h2").join(often, "anchor").groupBy("h1", "h2").agg(F.collect_set("anchor").alias("hits")), "anchors")
+    return found.select("anchor", "h1", "h2").join(often, "anchor").groupBy("h1", "h2").agg(F.collect_set("anchor").alias("hits"))
 
 
 def segments(rows: DataFrame, hits: DataFrame, length: int) -> DataFrame:
@@ -270,7 +270,8 @@ def repeated_starts(found: DataFrame, length: int, max_group: int) -> DataFrame:
     """(s1, s2, marks) of every different segment in which a repeated string begins."""
     single = found.groupBy("s1", "s2").agg(F.sum("n").alias("n"), F.first("anchor").alias("anchor"), F.first("before").alias("before"), F.first("segment").alias("segment"))
     single = stage(single, "strings")
-    large = stage(single.groupBy("anchor").count().where(F.col("count") > max_group).select("anchor"), "large")
+    release(found.sparkSession)
+    large = single.groupBy("anchor").count().where(F.col("count") > max_group).select("anchor")
     hot = not large.isEmpty()
     usual = single.join(large, "anchor", "left_anti") if hot else single
 
@@ -347,20 +348,18 @@ def repeated_spans(docs: DataFrame, text: str, length: int = LENGTH, max_group:
     """(h1, h2, starts, marks) of every different text with repeated strings, staged; ``covered`` turns them into spans."""
     if not PIECE < length <= 255:
         raise ValueError(f"length must be above {PIECE} and at most 255")
-    spark = docs.sparkSession
     content = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))
-    rows = docs.select(content.alias("text")).select(*text_hash(F.col("text")), "text")
-    hits = shared_anchors(rows, length)
-    release(spark)
+    rows = small_batches(docs).select(content.alias("text")).select(*text_hash(F.col("text")), "text")
+    hits = stage(shared_anchors(rows, length), "anchors")
+    release(docs.sparkSession)
     found = segments(rows, hits, length)
     discard(hits)
-    release(spark)
-    marks = stage(repeated_starts(found, length, max_group), "marks")
-    release(spark)
+    release(docs.sparkSession)
+    marks = repeated_starts(found, length, max_group)
     spans = found.select("h1", "h2", "start", "s1", "s2").distinct().join(marks, ["s1", "s2"]).groupBy("h1", "h2").agg(F.collect_list("start").alias("starts"), F.collect_list("marks").alias("marks"))
     spans = stage(spans, "spans")
     discard(found)
-    release(spark)
+    release(docs.sparkSession)
     return spans
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phylospark.llm._shared import slices, stage
+from phylospark.llm._shared import slices, small_batches, stage
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK_TOKENS = 1 << 18
@@ -63,7 +63,7 @@ class Vocabulary:
 
 def write_tokens(docs: DataFrame, key: str, text: str, vocabulary: Vocabulary, end: int = END_OF_DOCUMENT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The flat files of all documents as blocks (file, block, payload, keys)."""
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 
     def pack(batches):
