@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phylospark.functions.profiles import regains
@@ -24,6 +24,17 @@ def indexed(biopsy: DataFrame, distances: DataFrame) -> DataFrame:
     return biopsy.select("run_id", "level", "ord", "cell_id", "genome").join(rows, ["run_id", "cell_id"])
 
 
+def registered(biopsy: DataFrame, distances: DataFrame) -> DataFrame:
+    """(run_id, level, ord, cell_id, node_id): a cell's node bears its identifier in the latest biopsy that holds it; its copies in earlier
+    ones get new numbers above the largest identifier, later biopsies first."""
+    top = distances.groupBy("run_id").agg(F.max("id_i").alias("top"))
+    seen = F.row_number().over(Window.partitionBy("run_id", "cell_id").orderBy(F.col("level").desc(), "ord"))
+    rows = biopsy.select("run_id", "level", "ord", "cell_id").withColumn("copy", seen > 1)
+    place = F.row_number().over(Window.partitionBy("run_id", "copy").orderBy(F.col("level").desc(), "ord"))
+    rows = rows.withColumn("place", place).join(top, "run_id")
+    return rows.select("run_id", "level", "ord", "cell_id", F.when(F.col("copy"), F.col("top") + F.col("place")).otherwise(F.col("cell_id")).alias("node_id"))
+
+
 def candidates(biopsy: DataFrame, distances: DataFrame, radius: float) -> DataFrame:
     """(run_id, level, y_ord, y_cell, x_ord, x_cell, dist, same, excluded): cells x of the biopsy before each y within the radius.
 

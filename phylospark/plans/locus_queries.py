@@ -65,6 +65,10 @@ GENOME = f"list_transform(range(0, {LENGTH}), lambda i: ((o_orderkey * (i + 3) +
 SCORE = f"list_sum(list_transform(range(1, {LENGTH + 1}), lambda i: {WEIGHTS}[i] * (g[i] - 1)))"
 
 
+def bed_like_rows(spark, sf_dir):
+    return loci_table(spark, sf_dir).select("p_partkey", F.concat(F.lit("CN="), F.col("cn")).alias("Parameters"))
+
+
 def order_genomes(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", genome(F.col("o_orderkey"), F.col("o_custkey")).alias("g"))
 
@@ -95,5 +99,6 @@ QUERIES = {
     "event_prob_eff": (event_prob_eff, f"WITH {LOCI} SELECT p_partkey, round(least(1.0::DOUBLE, p + telomere), 9) AS p_event FROM f"),
     "fitness_lambda": (fitness_lambda, f"WITH o AS (SELECT o_orderkey, {GENOME} AS g FROM orders) SELECT o_orderkey, round(4.0::DOUBLE / (1 + exp(-({SCORE}))), 9) AS mean_offspring, round(list_sum(list_transform(range(1, {LENGTH + 1}), lambda i: {WEIGHTS}[i] * g[i])) / {LENGTH}, 9) + 0.0 AS fitness FROM o"),
     "cnp_text_format": (cnp_text_format, f"SELECT o_orderkey AS ord, '>' || o_custkey || chr(10) || array_to_string({GENOME}, ',') AS value FROM orders"),
+    "bed_like_rows": (bed_like_rows, f"WITH {LOCI} SELECT p_partkey, 'CN=' || cn AS \"Parameters\" FROM l"),
     "boolean_flags": (boolean_flags, "SELECT o_orderkey, lower(['True', 'true', 'FALSE', 'yes'][o_orderkey % 4 + 1]) = 'true' AS flag FROM orders"),
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from phylospark.functions import profiles
 from phylospark.functions.staging import stage
+from phylospark.operators import biopsy as sampling
 from phylospark.operators import distance, joining, layout, linking
 from phylospark.plans.experiment import run_experiment
 from phylospark.plans.locus_queries import GENOME, genome
@@ -77,6 +78,36 @@ def nearest_ancestor(spark, sf_dir):
     return linking.nearest(found(spark, sf_dir)).select("run_id", "level", "y_ord", "y_cell", "x_ord", "x_cell", "dist")
 
 
+def layer_registration(spark, sf_dir):
+    return linking.registered(cells(spark, sf_dir), distances(spark, sf_dir)).select("run_id", "level", "ord", "node_id")
+
+
+def biopsy_cells(spark, sf_dir):
+    rows = sampling.cells_by_level(cells(spark, sf_dir))
+    return rows.select("run_id", "level", F.array_join(F.transform("cells", lambda c: c.cast("string")), ",").alias("cells"))
+
+
+def biopsy_pooled(spark, sf_dir):
+    return sampling.pooled(cells(spark, sf_dir)).select("run_id", "level", "ord", "cell_id")
+
+
+def biopsy_guard(spark, sf_dir):
+    few = cells(spark, sf_dir).where("level = 0 AND ord < run_id % 5")
+    return sampling.large_enough(few)
+
+
+def cell_lookup(spark, sf_dir):
+    """The first cell of each run that has a given identifier."""
+    rows = cells(spark, sf_dir).where("cell_id = 7 - run_id % 5")
+    return rows.groupBy("run_id").agg(F.min_by("at", F.struct("level", "ord")).alias("found"))
+
+
+def visible_nodes(spark, sf_dir):
+    nodes = cells(spark, sf_dir).select("run_id", F.col("at").cast("long").alias("node_id"), "cell_id")
+    sampled = cells(spark, sf_dir).where("level = 1").select("run_id", "cell_id")
+    return layout.visible(nodes, nodes.where("node_id IN (0, 1)"), sampled).select("run_id", "node_id")
+
+
 def nj_q_step(spark, sf_dir):
     rows = joining.step(distances(spark, sf_dir).select("run_id", "i", "j", "dist"))
     return rows.select("run_id", "i", "j", *(F.round(c, 9).alias(c) for c in ("q", "dist", "limb_i", "limb_j")))
@@ -147,6 +178,13 @@ QUERIES = {
     "same_id_link": (same_id_link, f"WITH {CANDIDATES} SELECT run_id, level::INT AS level, y_ord::INT AS y_ord, x_ord::INT AS x_ord, y_cell FROM ca WHERE same"),
     "nearest_ancestor": (nearest_ancestor, f"""WITH {CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id, level, y_ord ORDER BY same DESC, CASE WHEN same THEN 0 ELSE dist END, x_ord) AS rn FROM ca WHERE same OR NOT excluded)
 SELECT run_id, level::INT AS level, y_ord::INT AS y_ord, y_cell, x_ord::INT AS x_ord, x_cell, dist FROM r WHERE rn = 1"""),
+    "layer_registration": (layer_registration, f"""WITH {CELLS}, {DIST}, s AS (SELECT *, row_number() OVER (PARTITION BY run_id, cell_id ORDER BY level DESC, ord) > 1 AS again FROM c), t AS (SELECT run_id, max(id_i) AS top FROM d GROUP BY ALL)
+SELECT run_id, level::INT AS level, ord::INT AS ord, CASE WHEN again THEN top + row_number() OVER (PARTITION BY run_id, again ORDER BY level DESC, ord) ELSE cell_id END AS node_id FROM s JOIN t USING (run_id)"""),
+    "biopsy_cells": (biopsy_cells, f"WITH {CELLS} SELECT run_id, level::INT AS level, string_agg(cell_id::VARCHAR, ',' ORDER BY ord) AS cells FROM c GROUP BY run_id, level"),
+    "biopsy_pooled": (biopsy_pooled, f"WITH {CELLS} SELECT run_id, 0 AS level, (row_number() OVER (PARTITION BY run_id ORDER BY level, ord) - 1)::INT AS ord, cell_id FROM c"),
+    "biopsy_guard": (biopsy_guard, f"WITH {CELLS} SELECT run_id, count(*) AS n_cells FROM c WHERE level = 0 AND ord < run_id::INT % 5 GROUP BY run_id HAVING count(*) >= 3"),
+    "cell_lookup": (cell_lookup, f"WITH {CELLS} SELECT run_id, arg_min(idx, level * 10 + ord)::INT AS found FROM c WHERE cell_id = 7 - run_id::INT % 5 GROUP BY run_id"),
+    "visible_nodes": (visible_nodes, f"WITH {CELLS} SELECT run_id, idx AS node_id FROM c WHERE idx IN (0, 1) OR EXISTS (SELECT 1 FROM c s WHERE s.run_id = c.run_id AND s.level = 1 AND s.cell_id = c.cell_id)"),
     "nj_q_step": (nj_q_step, f"""WITH {CELLS}, {DIST}, t AS (SELECT run_id, i, sum(dist) AS t FROM d GROUP BY ALL), n AS (SELECT run_id, count(*) AS n FROM t GROUP BY ALL),
 q AS (SELECT d.run_id, d.i, d.j, dist, a.t AS ti, b.t AS tj, n, (n - 2) * dist - a.t - b.t AS q FROM d JOIN t a USING (run_id, i) JOIN t b ON b.run_id = d.run_id AND b.i = d.j JOIN n ON n.run_id = d.run_id WHERE d.i < d.j),
 r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY q, i, j) AS rn FROM q)

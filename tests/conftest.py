@@ -1,6 +1,12 @@
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
+# Python workers import the package too, wherever pytest was started
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(Path(__file__).parents[1]), os.environ.get("PYTHONPATH")]))
+
 
 @pytest.fixture(scope="session")
 def spark():
