@@ -26,9 +26,10 @@ def uniform_int(u: Column, low, high) -> Column:
 
 
 def poisson(u: Column, mean) -> Column:
-    """The Poisson quantile of u: how many terms of the distribution stay below it. Terms run to mean + 12 deviations + 20."""
+    """The Poisson quantile of u: how many terms of the distribution stay below it. Terms run to
+    mean + 6.5 deviations + 12, beyond which less than 2**-33 is left, the least step of a draw."""
     mean = col(mean).cast("double")
-    top = F.ceil(mean + 12 * F.sqrt(mean) + 20).cast("int")
+    top = F.ceil(mean + 6.5 * F.sqrt(mean) + 12).cast("int")
     start = F.struct(F.lit(0).alias("k"), F.exp(-mean).alias("p"), F.exp(-mean).alias("total"))
 
     def step(s: Column, i: Column) -> Column:

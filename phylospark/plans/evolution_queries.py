@@ -19,7 +19,7 @@ def u(*parts: str) -> str:
 
 
 #: Terms of Poisson distributions by mean: the quantile of a draw is the number of terms whose sum stays below it.
-POISSON = "terms AS (SELECT lam, 0 AS k, exp(-lam) AS p, exp(-lam) AS total FROM lams UNION ALL SELECT lam, k + 1, p * lam / (k + 1), total + p * lam / (k + 1) FROM terms WHERE k < ceil(lam + 12 * sqrt(lam) + 20) - 1)"
+POISSON = "terms AS (SELECT lam, 0 AS k, exp(-lam) AS p, exp(-lam) AS total FROM lams UNION ALL SELECT lam, k + 1, p * lam / (k + 1), total + p * lam / (k + 1) FROM terms WHERE k < ceil(lam + 6.5 * sqrt(lam) + 12) - 1)"
 
 
 def draw_of(model: str, parameter: str) -> Model:
