@@ -20,27 +20,45 @@ from phylospark.sources.config import Model
 PER_RUN = 12
 
 
+def placed(rows, run):
+    """Customers at place i of a run as sampled cells, four a level; two share their cell with one of the level before."""
+    shared = F.when(F.col("i").isin(7, 11), F.col("i") - 4).otherwise(F.col("i"))
+    return rows.select(run.alias("run_id"), (F.col("i") / 4).cast("int").alias("level"), (F.col("i") % 4).cast("int").alias("ord"), shared.cast("long").alias("cell_id"), F.col("i").cast("int").alias("at"), genome(F.col("c_custkey"), F.col("c_nationkey")).alias("genome"))
+
+
 def cells(spark, sf_dir):
-    """Twelve customers of each nation as sampled cells of three levels; two share their cell with one of the level before."""
+    """The first twelve customers of each nation as a run of three levels, as the SQL below has them."""
     place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
     rows = table(spark, sf_dir, "customer").withColumn("i", place).where(F.col("i") < PER_RUN)
-    shared = F.when(F.col("i").isin(7, 11), F.col("i") - 4).otherwise(F.col("i"))
-    return rows.select(F.col("c_nationkey").cast("string").alias("run_id"), (F.col("i") / 4).cast("int").alias("level"), (F.col("i") % 4).cast("int").alias("ord"), shared.cast("long").alias("cell_id"), F.col("i").cast("int").alias("at"), genome(F.col("c_custkey"), F.col("c_nationkey")).alias("genome"))
+    return placed(rows, F.col("c_nationkey").cast("string"))
+
+
+def all_cells(spark, sf_dir):
+    """Every customer as a cell: as many runs a nation as it has twelves, so that no matrix grows with the table; the last run takes the rest too."""
+    nation = Window.partitionBy("c_nationkey")
+    place, size = F.row_number().over(nation.orderBy("c_custkey")) - 1, F.count(F.lit(1)).over(nation)
+    rows = table(spark, sf_dir, "customer").withColumns({"place": place, "size": size})
+    rows = rows.withColumn("part", F.least(F.expr(f"place div {PER_RUN}"), F.greatest(F.expr(f"size div {PER_RUN} - 1"), F.lit(0))))
+    return placed(rows.withColumn("i", F.col("place") - F.col("part") * PER_RUN), F.concat_ws("-", "c_nationkey", "part"))
 
 
 CELLS = """c AS (SELECT c_nationkey::VARCHAR AS run_id, i // 4 AS level, i % 4 AS ord, CASE WHEN i IN (7, 11) THEN i - 4 ELSE i END AS cell_id, i AS idx,
   list_transform(range(0, 10), lambda k: ((c_custkey * (k + 3) + c_nationkey) % 5)::INT) AS genome FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer) WHERE i < 12)"""
 
 
-def distances(spark, sf_dir):
+def between(own):
     """A table of distances between the cells of a run, made of their places."""
-    own = cells(spark, sf_dir).select("run_id", "at", "cell_id")
+    own = own.select("run_id", "at", "cell_id")
     left = own.select("run_id", F.col("at").alias("i"), F.col("cell_id").alias("id_i"))
     right = own.select("run_id", F.col("at").alias("j"), F.col("cell_id").alias("id_j"))
     far = F.when(F.col("i") == F.col("j"), 0).otherwise((F.col("i") * F.col("j") * 7 + F.col("i") + F.col("j")) % 6 + 1)
     return left.join(right, "run_id").select("run_id", "i", "j", "id_i", "id_j", far.cast("double").alias("dist"))
 
 
+def distances(spark, sf_dir):
+    return between(cells(spark, sf_dir))
+
+
 DIST = "d AS (SELECT x.run_id, x.idx AS i, y.idx AS j, x.cell_id AS id_i, y.cell_id AS id_j, CASE WHEN x.idx = y.idx THEN 0 ELSE (x.idx * y.idx * 7 + x.idx + y.idx) % 6 + 1 END::DOUBLE AS dist FROM c x JOIN c y USING (run_id))"
 CANDIDATES = f"""{CELLS}, {DIST}, ix AS (SELECT c.run_id, c.level, c.ord, c.cell_id, c.genome, m.idx FROM c JOIN (SELECT run_id, cell_id, max(idx) AS idx FROM c GROUP BY ALL) m USING (run_id, cell_id)),
 ca AS (SELECT y.run_id, y.level, y.ord AS y_ord, y.cell_id AS y_cell, x.ord AS x_ord, x.cell_id AS x_cell, d.dist, x.cell_id = y.cell_id AS same,
@@ -137,11 +155,13 @@ def cnp_event_distance(spark, sf_dir):
 
 
 def nj_full(spark, sf_dir):
-    return linking.reconstruct(cells(spark, sf_dir), distances(spark, sf_dir), 4, pooled=True)
+    rows = all_cells(spark, sf_dir)
+    return linking.reconstruct(rows, between(rows), 4, pooled=True)
 
 
 def layered_full(spark, sf_dir):
-    return linking.reconstruct(cells(spark, sf_dir), distances(spark, sf_dir), 4)
+    rows = all_cells(spark, sf_dir)
+    return linking.reconstruct(rows, between(rows), 4)
 
 
 def layered_layout(spark, sf_dir):

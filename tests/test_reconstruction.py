@@ -112,6 +112,16 @@ def test_palette_repeats(spark):
     assert got[0] == got[19] == got[38] == layout.PALETTE[0] and got[20] == layout.PALETTE[1]
 
 
+def test_trees_hold_every_customer(spark, tmp_path):
+    rows = [(k, k % 2 if k < 60 else 0) for k in range(75)]  # 45 and 30 of two nations
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    pooled = registry.QUERIES["nj_full"](spark, str(tmp_path)).where("cell_id IS NOT NULL").groupBy("run_id").count().collect()
+    assert {r["run_id"]: r["count"] for r in pooled} == {"0-0": 11, "0-1": 11, "0-2": 20, "1-0": 11, "1-1": 17}  # one cell a run occurs twice
+    layered = registry.QUERIES["layered_full"](spark, str(tmp_path)).where("cell_id IS NOT NULL")
+    assert layered.groupBy("run_id").count().agg({"count": "sum"}).first()[0] >= 75
+    assert registry.QUERIES["layered_layout"](spark, str(tmp_path)).select("run_id").distinct().count() == 5
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are elsewhere")
 def test_queries_equal_their_sql(spark):
     import duckdb
