@@ -3,8 +3,8 @@
 The standard library's parser streams events. Text between block-level tags is one line; each line keeps its number of
 characters, of tags and of characters inside links, and the element that holds it. The text-to-tag ratio of the lines, smoothed
 with a Gaussian kernel, is split at a fraction of its standard deviation into content and other lines. The content lines select
-regions: the deepest element that holds nearly all of their characters, with an article or main element preferred. All lines of
-the selected region belong to the text, short ones too, but for those inside elements that are furniture by name, role, class or id
+regions: the article or main elements if these hold every content line, else the deepest element, no paragraph or inline one, that
+holds them all. All lines of the selected region belong to the text, short ones too, but for those inside elements that are furniture by name, role, class or id
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments of readers), and for lines of links that the
 ratio puts outside the content. A header inside an article belongs to it.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from phylospark.llm._shared import slices, small_batches
 
-SIGMA, THRESHOLD, HELD = 1.5, 0.5, 0.9
+SIGMA, THRESHOLD = 1.5, 0.5
 
 # Names of HTML elements.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -43,6 +43,8 @@ ALIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 SCOPES = {"ul", "ol", "dl", "table", "select", "article", "main", "section", "div", "body", "nav", "aside"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 REGIONS = {"article", "main"}
+#: Elements that can be a region; others are parts of a text.
+HOLDERS = {"", "html", "body", "article", "main", "section", "div", "center", "details", "fieldset", "table", "tbody", "td", "ul", "ol", "dl"}
 
 #: Words of a class or id that mark furniture; on an article or main element only the second set does, inside one not the third.
 WORDS = (
@@ -77,6 +79,7 @@ class Element:
     depth: int
     furniture: bool
     region: bool
+    top: int = -1  # the outermost article or main around it
 
 
 @dataclass
@@ -147,7 +150,8 @@ class Events(HTMLParser):
         furniture |= tag == "header" and not above.region
         if not furniture and tag not in ("html", "body"):
             furniture = any(is_marked(named[k], tag, above.region) for k in ("class", "id") if named.get(k))
-        self.page.elements.append(Element(tag, self.open[-1], above.depth + 1, furniture, region))
+        top = above.top if above.region else len(self.page.elements) if region else -1
+        self.page.elements.append(Element(tag, self.open[-1], above.depth + 1, furniture, region, top))
         self.open.append(len(self.page.elements) - 1)
         self.count[tag] += 1
         self.links += tag == "a"
@@ -193,17 +197,22 @@ def content_lines(lines: list[Line]) -> np.ndarray:
 
 
 def region_of(page: Page, lines: list[Line], content: np.ndarray) -> set[int]:
-    """The elements that hold the text: articles or mains with content lines, else the deepest element that holds nearly all."""
-    weight: dict[int, int] = {}
-    for x, good in zip(lines, content, strict=True):
-        i = x.element
-        while i >= 0:
-            weight[i] = weight.get(i, 0) + len(x.text) * bool(good)
-            i = page.elements[i].parent
-    marked = [i for i, w in weight.items() if w and page.elements[i].tag in REGIONS and not page.elements[page.elements[i].parent].region]
-    if marked and sum(weight[i] for i in marked) >= 0.3 * weight[0]:
-        return set(marked)
-    return {max((i for i, w in weight.items() if w >= HELD * weight[0]), key=lambda i: page.elements[i].depth, default=0)}
+    """The elements that hold the text: articles and mains if no content line is outside them, else the deepest holder of all content lines."""
+    marked = [x for x, good in zip(lines, content, strict=True) if good]
+    own = {x.element for x in marked if x.linked < 0.8 * len(x.text)} or {x.element for x in marked}  # a menu's entry beside the text passes by its neighbours
+    tops = {page.elements[i].top for i in own}
+    if -1 not in tops:
+        return tops
+    chosen = own.pop()
+    for i in own:
+        while chosen != i:
+            if page.elements[chosen].depth >= page.elements[i].depth:
+                chosen = page.elements[chosen].parent
+            else:
+                i = page.elements[i].parent
+    while page.elements[chosen].tag not in HOLDERS:
+        chosen = page.elements[chosen].parent
+    return {chosen}
 
 
 def main_text(html: str | None) -> str:
@@ -217,13 +226,12 @@ def main_text(html: str | None) -> str:
         return ""
     content = content_lines(lines)
     chosen = region_of(page, lines, content)
-    by_marks = any(page.elements[i].tag in REGIONS for i in chosen)
     out = []
     for x, good in zip(lines, content, strict=True):
         i = x.element
         while i >= 0 and i not in chosen:
             i = page.elements[i].parent
-        if i >= 0 and (good or by_marks or x.linked < 0.8 * len(x.text)):
+        if i >= 0 and (good or page.elements[x.element].region or x.linked < 0.8 * len(x.text)):
             out.append(x.text)
     return " ".join(out)
 

@@ -19,6 +19,21 @@ def test_without_article_the_ratio_selects():
     assert "Entry" not in text and text.endswith("End.") and text.count("Some running") == 36
 
 
+def test_one_long_paragraph_drops_nothing():
+    short, long = "Words of a paragraph. " * 5, "Words of a long paragraph, many of them. " * 125
+    for middle in (f"<p>{long}</p>", f"<p><b>{long}</p>", f"<p>{long[:2500]}<br>{long[2500:]}</p>"):
+        got = X.main_text(f"<body><h1>T</h1><p>{short}</p>{middle}<p>End: {short}</p></body>")
+        assert got.startswith("T Words of a paragraph.") and got.endswith(f"End: {short.strip()}") and got.count("long") == 125
+
+
+def test_sibling_sections_all_belong():
+    intro, body, close = "Some words of an intro. " * 12, "Running text of the body of it. " * 12, "Closing words of a page. " * 12
+    got = X.main_text(f"<body><nav><a href=/>Home</a></nav><div><p>{intro}</p></div><div>{f'<p>{body}</p>' * 20}</div><div><p>{close}</p></div></body>")
+    assert got.count("intro") == 12 and got.count("body") == 240 and got.count("Closing") == 12 and "Home" not in got
+    got = X.main_text(f"<body><article><p>{body}</p><ul><li><a href=/y>two</a></ul></article><div>{f'<p>{close}</p>' * 2}</div></body>")
+    assert got.count("body") == 12 and got.count("Closing") == 24 and "two" in got
+
+
 def test_broken_and_empty_pages():
     assert X.main_text(None) == X.main_text("") == X.main_text("<p>") == ""
     assert X.main_text("plain &lt;text&gt; only") == "plain <text> only"
