@@ -7,24 +7,29 @@ compresses to almost nothing with either, so the larger compressed size per byte
 have not seen, smoothed densities of both values among good and bad texts give log likelihood ratios, and a logistic regression
 weighted by the share of good labels turns these into the probability of label 1.
 
-What the fit reads is bounded: at most ``max_texts`` labelled texts a class, the first by a hash of their key, and of these at
-most ``max_bytes`` bytes a class on the driver; whole texts, half for the dictionaries and half for the calibration. Shares of
-labels are counted over all of them. Every text is scored whole.
+What the fit reads is bounded: at most ``max_texts`` labelled texts a class, one a key (of several the least by hash), the first by a
+hash of their key, and of these at most ``max_bytes`` bytes a class on the driver; whole texts, half for the dictionaries and half
+for the calibration. A text above an eighth of ``max_bytes`` trains nothing, so it neither ends the sample nor fills it; a key's other
+texts may still train. Texts that no longer fit are left out and smaller ones after them kept. Shares of labels are counted over all
+of them. Every text is scored whole.
 
 Defined cases: an empty or null text has difference 0 and density 1; a key whose label is null or that has several different labels trains
-nothing; without labels of both classes every score is the share of good labels (0.5 without any); repeated rows score alike; an
+nothing; where both classes have labelled texts but one has fewer than two to train on, because of their length, the fit fails; without
+labels of both classes, or with fewer than two labelled texts in one, every score is the share of good labels (0.5 without any); repeated rows score alike; an
 empty table gives an empty result; the score is a column expression of the text alone, so further columns don't matter.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phylospark.llm._shared import small_batches
@@ -32,6 +37,8 @@ from phylospark.llm._shared import small_batches
 CHUNK, LEVEL, DICTIONARY = 2048, 3, 64 << 10
 THRESHOLD = 0.3
 FOLDS = 5
+#: A text above this part of the bytes of a class trains nothing.
+SHARE = 8
 
 
 @dataclass(frozen=True)
@@ -133,12 +140,43 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     prior = (count.get(1, 0) + 1) / (total + 2)
     order = F.crc32(F.concat(F.lit("sample"), F.col("k").cast("string")).cast("binary"))
     few = [marks.where(F.col("y") == y).orderBy(order, "k").limit(max_texts) for y in (0, 1)]
-    chosen = F.broadcast(few[0].unionByName(few[1]))  # at most 2 * max_texts rows
-    wanted = small_batches(docs).select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("binary").alias("t")).where(F.col("t").isNotNull()).join(chosen, "k")
-    size = F.sum(F.octet_length("t")).over(Window.partitionBy("y").orderBy(order, "k", "t").rowsBetween(Window.unboundedPreceding, 0))
-    rows = wanted.withColumn("n", size).where(F.col("n") <= max_bytes).select("y", "t", "n").collect()
-    rows.sort(key=lambda r: (r["y"], r["n"], bytes(r["t"])))
-    return fit([bytes(r["t"]) for r in rows if r["y"] == 1], [bytes(r["t"]) for r in rows if r["y"] == 0], prior)
+    chosen = F.broadcast(few[0].unionByName(few[1]).withColumn("o", order))  # at most 2 * max_texts rows
+    texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("binary").alias("t")).where(F.col("t").isNotNull())
+    stamped = texts.join(chosen, "k").select("k", "y", "o", F.octet_length("t").alias("n"), F.xxhash64("t").alias("h"))
+    fitting = F.when(F.col("n") <= max_bytes // SHARE, F.col("h"))
+    found = stamped.groupBy("k", "y", "o").agg(F.min(fitting).alias("h"), F.min_by("n", fitting).alias("n")).collect()  # numbers of each key, no texts
+    picked, place, used, long = [], {}, {0: 0, 1: 0}, {0: 0, 1: 0}
+    for r in sorted(found, key=lambda r: (r["o"], str(r["k"]))):
+        if r["h"] is None:
+            long[r["y"]] += 1
+        elif used[r["y"]] + r["n"] <= max_bytes:
+            used[r["y"]] += r["n"]
+            place[r["k"]] = r["y"], len(picked)
+            picked.append((r["k"], r["h"]))
+    for y, other in ((0, 1), (1, 0)):
+        if sum(v == y for v, _ in place.values()) < 2 and count.get(y) and count.get(other):
+            if long[y]:
+                raise ValueError(f"label {y} has too few texts of at most {max_bytes // SHARE} bytes to train on")
+            warnings.warn(f"label {y} has fewer than two texts; every score is the share of good labels", stacklevel=2)
+    few = F.broadcast(docs.sparkSession.createDataFrame(picked, f"k {texts.schema['k'].dataType.simpleString()}, h bigint"))
+    rows = small_batches(texts).withColumn("h", F.xxhash64("t")).join(few, ["k", "h"]).select("k", "t")
+    rows = rows.mapInArrow(once, rows.schema).dropDuplicates(["k"]).collect()
+    rows.sort(key=lambda r: place[r["k"]])
+    sides = {y: [bytes(r["t"]) for r in rows if place[r["k"]][0] == y] for y in (0, 1)}
+    return fit(sides[1], sides[0], prior)
+
+
+def once(batches):
+    """The first row of every key that a task meets: copies of a frequent key don't leave it."""
+    seen = set()
+    for batch in batches:
+        new = []
+        for i, k in enumerate(batch.column("k").to_pylist()):
+            if k not in seen:
+                seen.add(k)
+                new.append(i)
+        if new:
+            yield batch.take(pa.array(new))
 
 
 _sizes: dict[int, Sizes] = {}

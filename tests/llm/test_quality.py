@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -44,6 +45,20 @@ def test_without_labels(spark):
     assert rows.select(Q.scorer(model)(F.col("text")).alias("s")).first()["s"] == pytest.approx(0.5)
 
 
+def test_long_texts_and_frequent_keys_leave_the_others(spark):
+    rows = corpus(120)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    train = lambda docs, n=64 << 10: Q.train(spark.createDataFrame(docs, "doc_id long, text string"), labels, max_bytes=n)
+    inside = [(i, t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % Q.FOLDS]
+    first = min((i for i, _, y in inside if y), key=lambda i: zlib.crc32(f"sample{i}".encode()))
+    plain = [(i, t) for i, t, _ in rows]
+    without = train([r for r in plain if r[0] != first])
+    assert without.curves and train([(i, t if i != first else t * 500) for i, t in plain]) == without  # a text above the bound, first in its class
+    assert train(plain + [r for r in plain if r[0] == first] * 300) == train(plain)  # a key with most of all rows
+    with pytest.raises(ValueError, match="label 1"):
+        train([(i, t * (500 if y else 1)) for i, t, y in rows])
+
+
 def test_logistic_finds_the_weights():
     r = np.random.default_rng(3)
     x = r.normal(size=(20_000, 2))
