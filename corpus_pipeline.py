@@ -1,7 +1,7 @@
 """The corpus pipeline: documents through five corpus operators, one written table per stage.
 
 quality -> near_duplicates -> decontamination -> mixing -> sharding. Every stage takes all that its predecessor kept. All but the
-last return the columns of documents; mixing repeats a row as often as the mix takes it, sharding adds shard and slot.
+last return the columns of documents; mixing repeats a row as often as the mix takes it, sharding adds shard (no slot; op5 numbers rows).
 """
 
 from __future__ import annotations
