@@ -1,16 +1,24 @@
 """Main text of web pages: parser events, text-to-tag ratios, Gaussian smoothing and threshold clusters.
 
-The standard library's parser streams events. Text between block-level tags is one line; each line keeps its number of
-characters, of tags and of characters inside links, and the element that holds it. The text-to-tag ratio of the lines, smoothed
-with a Gaussian kernel, is split at a fraction of its standard deviation into content and other lines. The content lines select
-regions: the article or main elements if these hold every content line, else the deepest element, no paragraph or inline one, that
-holds them all. All lines of the selected region belong to the text, short ones too, but for those inside elements that are furniture by name, role, class or id
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments of readers), and for lines of links that the
-ratio puts outside the content. A header inside an article belongs to it.
+The standard library's parser streams events. Text between block-level tags is one line, whatever element it stands in, menus and
+footers too; only what a browser doesn't show as text is no line (scripts, styles, hidden elements, fields). Each line keeps its
+number of characters, of tags and of characters inside links, and its element. The text-to-tag ratio of the lines (without
+characters in links) is smoothed with a Gaussian kernel, and a fraction of the smoothed ratio's standard deviation is the threshold: lines that
+reach it are clusters of content, those whose own ratio reaches it too are their cores. The region is the deepest element, no
+paragraph or inline one, that holds every core.
+
+All lines of the region belong to the text, short ones too, but for lines of links that the smoothed ratio puts outside the content
+(inside an article or main element they stay) and for marked lines that are no core. A heading (h1, h2) before the region that
+is in a cluster belongs to the text as well.
+
+Names are a prior, not a rule: elements that bear a name, role, class or id of furniture (menus, headers, footers, sidebars,
+notices, adverts, forms, comments of readers) are marked, and the ratio of a line below one counts a ``PRIOR``-th. So marked text needs ``PRIOR`` times
+the characters a tag to be a core, and marks around a region don't matter: an article in a "notice-board" is found as any other. A header
+inside an article is no mark.
 
 White space inside a line becomes one space; lines are joined by one space in page order. Defined cases: null or empty html gives
 an empty text; broken markup never fails: end tags without a start are ignored, open elements end with an enclosing one or with the
-page; a page without any content line gives the lines outside furniture; pages are independent, so ties and repeated rows don't
+page; a page whose lines all have ratio 0 (links only) gives those outside marked elements; pages are independent, so ties and repeated rows don't
 matter; an empty table gives an empty result; columns beyond those named are ignored, so their names can't clash.
 """
 
@@ -28,7 +36,7 @@ from pyspark.sql import functions as F
 
 from phylospark.llm._shared import slices, small_batches
 
-SIGMA, THRESHOLD = 1.5, 0.5
+SIGMA, THRESHOLD, PRIOR = 1.5, 1.0, 50
 
 # Names of HTML elements.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -36,12 +44,13 @@ BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup",
     "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul",
 }
-FURNITURE = {"head", "title", "nav", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "button", "select", "textarea", "menu", "dialog", "audio", "video", "map"}
+SILENT = {"head", "title", "script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "button", "select", "textarea", "audio", "video", "map"}
+FURNITURE = {"nav", "footer", "aside", "form", "menu", "dialog"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "toolbar", "alert", "alertdialog", "dialog", "form", "status"}
 CLOSES_P = BLOCKS - {"br", "option", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
 ALIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "select", "article", "main", "section", "div", "body", "nav", "aside"}
-HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+TITLES = {"h1", "h2"}
 REGIONS = {"article", "main"}
 #: Elements that can be a region; others are parts of a text.
 HOLDERS = {"", "html", "body", "article", "main", "section", "div", "center", "details", "fieldset", "table", "tbody", "td", "ul", "ol", "dl"}
@@ -77,9 +86,9 @@ class Element:
     tag: str
     parent: int
     depth: int
-    furniture: bool
-    region: bool
-    top: int = -1  # the outermost article or main around it
+    silent: bool  # what it holds isn't shown as text
+    marks: int  # elements named as furniture, from the root to itself
+    region: bool  # in an article or main
 
 
 @dataclass
@@ -93,7 +102,7 @@ class Line:
 
 @dataclass
 class Page:
-    elements: list[Element] = field(default_factory=lambda: [Element("", -1, 0, False, False)])
+    elements: list[Element] = field(default_factory=lambda: [Element("", -1, 0, False, 0, False)])
     lines: list[Line] = field(default_factory=list)
 
 
@@ -145,13 +154,11 @@ class Events(HTMLParser):
             return
         above = self.page.elements[self.open[-1]]
         named = {k: v or "" for k, v in attrs}
-        region = above.region or tag in REGIONS
-        furniture = above.furniture or tag in FURNITURE or named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden", "").lower() == "true"
-        furniture |= tag == "header" and not above.region
-        if not furniture and tag not in ("html", "body"):
-            furniture = any(is_marked(named[k], tag, above.region) for k in ("class", "id") if named.get(k))
-        top = above.top if above.region else len(self.page.elements) if region else -1
-        self.page.elements.append(Element(tag, self.open[-1], above.depth + 1, furniture, region, top))
+        silent = above.silent or tag in SILENT or "hidden" in named or named.get("aria-hidden", "").lower() == "true"
+        marked = tag in FURNITURE or named.get("role", "").lower() in ROLES or (tag == "header" and not above.region)
+        if not marked and tag not in ("html", "body"):
+            marked = any(is_marked(named[k], tag, above.region) for k in ("class", "id") if named.get(k))
+        self.page.elements.append(Element(tag, self.open[-1], above.depth + 1, silent, above.marks + marked, above.region or tag in REGIONS))
         self.open.append(len(self.page.elements) - 1)
         self.count[tag] += 1
         self.links += tag == "a"
@@ -171,7 +178,7 @@ class Events(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if not self.page.elements[self.open[-1]].furniture:
+        if not self.page.elements[self.open[-1]].silent:
             self.pieces.append(data)
             if self.links:
                 self.linked += len(data)
@@ -189,20 +196,19 @@ def smooth(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratio, kernel)[inside] / np.convolve(np.ones(len(ratio)), kernel)[inside]
 
 
-def content_lines(lines: list[Line]) -> np.ndarray:
-    """True for lines whose smoothed ratio reaches the threshold."""
-    ratio = np.array([(len(x.text) - x.linked) / max(1, x.tags) for x in lines], float)
+def clusters(page: Page) -> tuple[np.ndarray, np.ndarray]:
+    """(content, core) of every line: whether its smoothed ratio reaches the threshold, and whether its own does too."""
+    ratio = np.array([(len(x.text) - x.linked) / max(1, x.tags) / (PRIOR if page.elements[x.element].marks else 1) for x in page.lines], float)
     smoothed = smooth(ratio)
-    return smoothed >= min(THRESHOLD * smoothed.std(), smoothed.max())
+    threshold = min(THRESHOLD * smoothed.std(), smoothed.max())
+    content = smoothed >= threshold
+    core = content & (ratio >= threshold) & (ratio > 0)
+    return content, core if core.any() else content & (ratio == ratio[content].max())
 
 
-def region_of(page: Page, lines: list[Line], content: np.ndarray) -> set[int]:
-    """The elements that hold the text: articles and mains if no content line is outside them, else the deepest holder of all content lines."""
-    marked = [x for x, good in zip(lines, content, strict=True) if good]
-    own = {x.element for x in marked if x.linked < 0.8 * len(x.text)} or {x.element for x in marked}  # a menu's entry beside the text passes by its neighbours
-    tops = {page.elements[i].top for i in own}
-    if -1 not in tops:
-        return tops
+def region_of(page: Page, core: np.ndarray) -> int:
+    """The deepest element that can be a region and holds every core line."""
+    own = {x.element for x, good in zip(page.lines, core, strict=True) if good}
     chosen = own.pop()
     for i in own:
         while chosen != i:
@@ -212,28 +218,32 @@ def region_of(page: Page, lines: list[Line], content: np.ndarray) -> set[int]:
                 i = page.elements[i].parent
     while page.elements[chosen].tag not in HOLDERS:
         chosen = page.elements[chosen].parent
-    return {chosen}
+    return chosen
 
 
 def main_text(html: str | None) -> str:
-    """The text of the page's content regions."""
+    """The text of the page's content region."""
     events = Events()
     events.feed(html or "")
     events.close()
     page = events.page
-    lines = page.lines
-    if not lines:
+    if not page.lines:
         return ""
-    content = content_lines(lines)
-    chosen = region_of(page, lines, content)
-    out = []
-    for x, good in zip(lines, content, strict=True):
-        i = x.element
-        while i >= 0 and i not in chosen:
-            i = page.elements[i].parent
-        if i >= 0 and (good or page.elements[x.element].region or x.linked < 0.8 * len(x.text)):
-            out.append(x.text)
-    return " ".join(out)
+    content, core = clusters(page)
+    chosen, first = region_of(page, core), int(core.argmax())
+    inside = np.zeros(len(page.elements), bool)
+    for i, e in enumerate(page.elements):  # parents come first
+        inside[i] = i == chosen or (i and inside[e.parent])
+
+    def belongs(x: Line) -> bool:
+        e, good = page.elements[x.element], content[x.order]
+        if not inside[x.element]:
+            return good and x.order < first and e.tag in TITLES and not e.marks
+        if e.marks > page.elements[chosen].marks:
+            return core[x.order]
+        return good or e.region or x.linked < 0.8 * len(x.text)
+
+    return " ".join(x.text for x in page.lines if belongs(x))
 
 
 def extract(df: DataFrame, key: str, html: str, carry: list[str] = ()) -> DataFrame:

@@ -1,6 +1,9 @@
+from collections import Counter
+
 import numpy as np
 
 from phylospark.llm import extraction as X
+from tests.llm import labelled_pages
 
 
 def test_article_among_furniture():
@@ -51,3 +54,39 @@ def test_table(spark):
     got = sorted(map(str, (tuple(r) for r in X.extract(rows, "page_id", "html", ["url"]).collect())))
     assert got == sorted(map(str, [(1, "u", ""), (1, "u", "a b"), (None, None, "é")]))
     assert X.extract(rows.limit(0), "page_id", "html").count() == 0
+
+
+def quality():
+    """(name, precision, recall) by words of each labelled page."""
+    for name, html, wanted in labelled_pages.pages():
+        got, own = Counter(X.main_text(html).split()), Counter(wanted.split())
+        both = (got & own).total()
+        yield name, both / max(1, got.total()), both / own.total()
+
+
+def test_labelled_pages():
+    rows = list(quality())
+    assert len(rows) >= 40
+    assert np.mean([p for _, p, _ in rows]) >= 0.97 and np.mean([r for *_, r in rows]) >= 0.97, [r for r in rows if min(r[1:]) < 0.95]
+
+
+def test_names_around_a_region_do_not_matter():
+    text = "Some running text of the page that goes on. " * 6
+    for name in ("widget-content", "search-results-page", "notice-board", "header-and-text"):
+        for attr in ("class", "id"):
+            got = X.main_text(f"<body><nav><a href=/>Home</a></nav><div {attr}='{name}'><h1>Title</h1>{f'<p>{text}</p>' * 3}<p>End.</p></div><footer>&copy; us</footer></body>")
+            assert got.startswith("Title Some") and got.endswith("End.") and got.count("running") == 18
+
+
+def test_the_clusters_decide(monkeypatch):
+    """With every line content, the text of almost every labelled page is another."""
+    before = [X.main_text(html) for _, html, _ in labelled_pages.pages()]
+    monkeypatch.setattr(X, "clusters", lambda page: (np.ones(len(page.lines), bool),) * 2)
+    changed = [X.main_text(html) != b for (_, html, _), b in zip(labelled_pages.pages(), before, strict=True)]
+    assert np.mean(changed) > 0.8
+
+
+def test_very_long_page_keeps_all():
+    body = "".join(f"<p>Paragraph {i} of a very long page with some words.</p>" for i in range(20_000))
+    got = X.main_text(f"<body><ul><li><a href=/>Home</a></li></ul><div>{body}</div></body>")
+    assert got.count("Paragraph") == 20_000 and "Home" not in got
