@@ -3,21 +3,26 @@
 A text's fingerprint is the bitwise majority of the hashes of its word shingles. Fingerprints link at few differing bits, and
 documents are grouped by the links' components.
 
-Candidates: of n + 4 blocks of the 64 bits a link of four differing bits agrees in at least n, so every distinct fingerprint is
-dealt to all choices of n blocks, and those that share a choice's bits meet in one bucket. n follows the number of fingerprints:
-2 (15 choices) for millions of them, 3 (35 choices) for hundreds of millions. A bucket above ``MAX_BUCKET`` fingerprints is not
-searched as such: its members are dealt again, to choices of 2 n blocks, in which a link agrees just the same. Any n gives the same
-links; nothing is capped or dropped.
-
-Within a bucket the fingerprints are sorted by Gray rank, so that neighbours differ in few bits, and groups of neighbours become
-leaves of a hierarchy: each node keeps a mask of the bits that all fingerprints below share and their values. Two nodes are compared by the
-bits that both share; what differs there differs between all their members, and below a node the differences only accumulate, so a
-pair of nodes beyond the limit is pruned with all below it. Pairs of nodes whose members are already in one component are left out
-too: what counts is which fingerprints hang together, and a bucket returns a spanning forest (at most one link a fingerprint), not
-all pairs. Small buckets are compared at once over the whole batch.
-
-Components: the links of all buckets are joined by large-star and small-star steps, each written to the shared folder, until
-nothing changes. Documents of one text or fingerprint are one node from the start, so copies cost nothing.
+Tables: of n + 4 blocks of the 64 bits a link of four differing bits agrees in at least n, so there is a table for each choice of n
+blocks, with the bits of its blocks in front, and every distinct fingerprint is in each. n follows the number of fingerprints: 1 (5
+tables) for millions of them, 2 (15 tables) for hundreds of millions. Any n gives the same links.
+
+Index: a table is sorted by Gray rank, so that neighbours differ in few bits, and groups of neighbours become leaves of a hierarchy: each
+node keeps a mask of the bits that all fingerprints below share, and their values. Pairs of nodes are followed from the top, all pairs of a
+level at once. Two nodes are compared by the bits that both share; what differs there differs between all their members, and below a node the
+differences only accumulate, so a pair beyond the limit is pruned with all below it, and so is a pair that differs in the table's own
+blocks, whose links another table finds. Pairs of nodes whose members are already in one component are left out too: what counts is
+which fingerprints hang together, and a search returns a spanning forest (at most one link a fingerprint), not all pairs. Every link comes
+from this search; there is no other.
+
+Parts: a table is cut by the first bits of its Gray order into parts of about ``PART`` fingerprints, each an index of its own in
+one task. No link is lost, as a table's links agree in these bits. Parts above ``MAX_BUCKET`` (fingerprints that crowd together) are dealt
+again to tables of twice as many blocks, which are measured in turn; what is still too large after ``ROUNDS`` is cut by a hash
+into pieces of half of ``MAX_BUCKET``, and every pair of pieces is searched by a task. So no task holds more, and nothing is capped or dropped.
+
+Components: the links of all parts are joined by large-star and small-star steps, each written to the shared folder, until
+nothing changes. Documents of one text or fingerprint are one node from the start, so copies cost nothing. Joins by fingerprint or root
+take keys that hold over a ``HOT``-th of all rows (fewer than ``HOT`` such keys can be) from a broadcast, so no task gathers a hot one.
 
 Defined cases: null and empty texts have fingerprint zero, which links like any other; a text of fewer words than a shingle hashes
 as one; repeated rows keep a row each; a null key can't be the smallest of its component unless all are null; an empty table gives
@@ -26,7 +31,9 @@ an empty result; columns beyond those named are ignored, so their names can't cl
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
+from dataclasses import dataclass
+from itertools import combinations, pairwise
 
 import numpy as np
 import pandas as pd
@@ -38,8 +45,11 @@ from xxhash import xxh64_intdigest
 from phylospark.llm._shared import discard, fresh, slices, small_batches, stage
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
-#: Members of a leaf, children of a node, buckets compared at once up to, fingerprints of one bucket at most, and on average.
-LEAF, FANOUT, SMALL, MAX_BUCKET, PER_BUCKET = 32, 8, 24, 100_000, 2
+#: Members of a leaf, children of a node, pairs of nodes followed at once.
+LEAF, FANOUT, PAIRS = 8, 8, 4096
+#: Fingerprints of a part on average and at most, those that agree in a table's blocks on average, and times that large parts are dealt again.
+PART, MAX_BUCKET, PER_TABLE, ROUNDS = 8192, 50_000, 256, 2
+HOT = 1000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -79,15 +89,36 @@ def gray_rank(fps: np.ndarray) -> np.ndarray:
     return rank
 
 
-def spans(bits: int, parts: int) -> list[int]:
-    """Masks that cut the bits into nearly equal blocks."""
-    edges = [bits * i // parts for i in range(parts + 1)]
-    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]  # noqa: B905
+@dataclass(frozen=True)
+class Table:
+    """An order of the bits, from the first on: spans (lowest bit, width) of the fingerprint; the first ``own`` bits are the table's blocks."""
 
+    order: tuple[tuple[int, int], ...]
+    own: int
+
+    def moved(self, fps: np.ndarray) -> np.ndarray:
+        """The fingerprints with their bits in the table's order."""
+        out, left = np.zeros_like(fps), 64
+        for low, width in self.order:
+            left -= width
+            out |= ((fps >> np.uint64(low)) & np.uint64((1 << width) - 1)) << np.uint64(left)
+        return out
+
+    def first(self, bits: int) -> int:
+        """The mask, in the fingerprint, of the table's first bits."""
+        mask = 0
+        for low, width in self.order:
+            take = min(width, bits)
+            mask |= ((1 << take) - 1) << (low + width - take)
+            bits -= take
+        return mask
 
-def tables(parts: int, agree: int) -> list[int]:
-    """The masks of all choices of blocks in which a link may agree."""
-    return [sum(c) for c in combinations(spans(64, parts), agree)]
+
+def tables(parts: int, agree: int) -> list[Table]:
+    """The tables of all choices of blocks in which a link may agree."""
+    edges = [64 * i // parts for i in range(parts + 1)]
+    blocks = [(a, b - a) for a, b in pairwise(edges)]
+    return [Table((*chosen, *(x for x in blocks if x not in chosen)), sum(w for _, w in chosen)) for chosen in combinations(blocks, agree)]
 
 
 class Forest:
@@ -124,7 +155,8 @@ class GrayIndex:
     """The hierarchy over distinct fingerprints: level 0 are the leaves, every level above joins ``FANOUT`` nodes."""
 
     def __init__(self, fps: np.ndarray, leaf: int = LEAF, fanout: int = FANOUT):
-        self.fps = fps[np.argsort(gray_rank(fps), kind="stable")]
+        self.order = np.argsort(gray_rank(fps), kind="stable")
+        self.fps = fps[self.order]
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # first member of each node, shared mask, shared values
         starts = np.arange(0, len(fps), leaf)
         ones, zeros = np.bitwise_and.reduceat(self.fps, starts), np.bitwise_and.reduceat(~self.fps, starts)
@@ -134,87 +166,108 @@ class GrayIndex:
             ones, zeros = np.bitwise_and.reduceat(ones, group), np.bitwise_and.reduceat(zeros, group)
             starts = starts[group]
             self.levels.append((starts, ones | zeros, ones))
-        self.fanout = fanout
-
-    def children(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The nodes one level down, and for each the place of its parent in the list given."""
-        below = len(self.levels[level - 1][0])
-        kids = (nodes[:, None] * self.fanout + np.arange(self.fanout)).ravel()
-        parent = np.repeat(np.arange(len(nodes)), self.fanout)
-        return kids[kids < below], parent[kids < below]
+        self.leaf, self.fanout = leaf, fanout
+
+    def uniform(self, found: Forest) -> list[np.ndarray]:
+        """For every node of each level the component that all its members are in, or -1."""
+        found.flatten()
+        starts = self.levels[0][0]
+        low, high = np.minimum.reduceat(found.up, starts), np.maximum.reduceat(found.up, starts)
+        out = [np.where(low == high, low, -1)]
+        for _ in self.levels[1:]:
+            group = np.arange(0, len(low), self.fanout)
+            low, high = np.minimum.reduceat(low, group), np.maximum.reduceat(high, group)
+            out.append(np.where(low == high, low, -1))
+        return out
 
-    def forest(self, limit: int) -> Forest:
-        """Components of the members under links of at most limit differing bits."""
+    def children(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of nodes one level down, each once."""
+        below, kids = len(self.levels[level - 1][0]), np.arange(self.fanout)
+        left = np.repeat((a[:, None] * self.fanout + kids), self.fanout, axis=1).ravel()
+        right = np.tile(b[:, None] * self.fanout + kids, self.fanout).ravel()
+        real = (left <= right) & (right < below)
+        return left[real], right[real]
+
+    def members(self, a: np.ndarray, b: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Linked members of pairs of leaves."""
+        n, own = len(self.fps), np.arange(self.leaf)
+        i, j = a[:, None] * self.leaf + own, b[:, None] * self.leaf + own
+        x, y = self.fps[np.minimum(i, n - 1)], self.fps[np.minimum(j, n - 1)]
+        pair, p, q = np.nonzero(np.bitwise_count(x[:, :, None] ^ y[:, None, :]) <= limit)
+        i, j = i[pair, p], j[pair, q]
+        real = (i < j) & (j < n)
+        return i[real], j[real]
+
+    def forest(self, limit: int, own: int = 0) -> Forest:
+        """Components of the members under links of at most limit differing bits, but for pairs that differ in the first ``own`` bits."""
         out, n = Forest(len(self.fps)), len(self.fps)
+        must = np.uint64(((1 << own) - 1) << (64 - own))
         for shift in (1, 2, 3):  # neighbours in Gray order first: dense groups hang together before pairs of nodes are searched
             near = np.flatnonzero(np.bitwise_count(self.fps[shift:] ^ self.fps[:-shift]) <= limit)
             out.link(near, near + shift)
             out.flatten()
+        together, work = self.uniform(out), 0
+
+        def open_pairs(level, a, b):
+            _, mask, value = self.levels[level]
+            differ = (value[a] ^ value[b]) & mask[a] & mask[b]
+            one = together[level]
+            return (np.bitwise_count(differ) <= limit) & (differ & must == 0) & ((one[a] < 0) | (one[a] != one[b]))
+
         top = len(self.levels) - 1
-        stack = [(top, a, np.arange(a, len(self.levels[top][0]))) for a in range(len(self.levels[top][0]))]
+        a, b = np.triu_indices(len(self.levels[top][0]))
+        stack = [(top, a, b)]
         while stack:
-            level, a, others = stack.pop()
-            starts, mask, value = self.levels[level]
-            others = others[np.bitwise_count((value[others] ^ value[a]) & mask[others] & mask[a]) <= limit]
-            if not len(others):
-                continue
-            if level:
-                for kid in self.children(level, np.array([a]))[0].tolist():
-                    near, _ = self.children(level, others)
-                    stack.append((level - 1, kid, near[near >= kid]))
-                continue
-            out.flatten()
-            ends = np.append(starts[1:], n)
-            own = slice(starts[a], ends[a])
-            rows = np.concatenate([np.arange(starts[b], ends[b]) for b in others.tolist()])
-            roots = out.up[own]
-            if (roots == roots[0]).all():  # members of the same component need no comparison
-                rows = rows[out.up[rows] != roots[0]]
-            for at in range(0, len(rows), 1 << 16):
-                part = rows[at : at + (1 << 16)]
-                i, j = np.nonzero(np.bitwise_count(self.fps[own][:, None] ^ self.fps[part]) <= limit)
-                out.link(starts[a] + i, part[j])
+            level, a, b = stack.pop()
+            if len(a) > PAIRS:
+                stack.append((level, a[PAIRS:], b[PAIRS:]))
+                a, b = a[:PAIRS], b[:PAIRS]
+            if out.changed and work > 4 * n:
+                together, work = self.uniform(out), 0
+            good = open_pairs(level, a, b)
+            a, b = a[good], b[good]
+            if level and len(a):
+                a, b = self.children(level, a, b)
+                good = open_pairs(level - 1, a, b)
+                stack.append((level - 1, a[good], b[good]))
+            elif len(a):
+                out.link(*self.members(a, b, limit))
+                work += len(a) * self.leaf**2
         out.flatten()
         return out
 
 
-def bucket_links(bucket: np.ndarray, fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, another of its component) of all buckets; rows of a bucket lie together."""
-    edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-    size = np.diff(np.append(edge, len(bucket)))
-    left, right = [], []
-    length = np.repeat(size, size)
-    for shift in range(1, min(SMALL, int(size.max(initial=1)))):
-        at = np.arange(len(bucket) - shift)
-        at = at[(length[at] <= SMALL) & (bucket[at] == bucket[at + shift])]
-        at = at[np.bitwise_count(fps[at] ^ fps[at + shift]) <= limit]
-        left.append(fps[at])
-        right.append(fps[at + shift])
-    for a, n in zip(edge[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-        index = GrayIndex(fps[a : a + n])
-        up = index.forest(limit).up
-        moved = np.flatnonzero(up != np.arange(n))
-        left.append(index.fps[up[moved]])
-        right.append(index.fps[moved])
-    return np.concatenate([*left, fps[:0]]), np.concatenate([*right, fps[:0]])
-
-
-def dealt(fps: DataFrame, masks: list[int]) -> DataFrame:
-    """(bucket, fp) of every choice of blocks; the bucket is a hash of the choice and its bits."""
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)))
-    return fps.select("fp", F.explode(keys).alias("bucket"))
-
-
-def links_within(rows: DataFrame, limit: int) -> DataFrame:
-    """(a, b) linked fingerprints of rows (bucket, fp)."""
+def part_links(part: np.ndarray, table: np.ndarray, fps: np.ndarray, limit: int, masks: list[Table]) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fingerprint, another of its component) of all parts; rows of a part lie together."""
+    edge = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    left, right = [fps[:0]], [fps[:0]]
+    for a, n in zip(edge.tolist(), np.diff(np.append(edge, len(part))).tolist(), strict=True):
+        if n > 1:
+            own, rows = masks[table[a]], fps[a : a + n]
+            index = GrayIndex(own.moved(rows))
+            up = index.forest(limit, own.own).up
+            moved = np.flatnonzero(up != np.arange(n))
+            left.append(rows[index.order[up[moved]]])
+            right.append(rows[index.order[moved]])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def dealt(fps: DataFrame, masks: list[Table], bits: int) -> DataFrame:
+    """(fp, t, bucket) of every table; the bucket is a hash of the table and the first bits of its order."""
+    first = [(m - (1 << 64) if m >> 63 else m) for m in (t.first(min(bits, t.own)) for t in masks)]
+    keys = F.array(*(F.struct(F.lit(i).alias("t"), F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))).alias("bucket")) for i, m in enumerate(first)))
+    return fps.select("fp", F.inline(keys))
+
+
+def links_within(rows: DataFrame, limit: int, masks: list[Table]) -> DataFrame:
+    """(a, b) linked fingerprints of rows (bucket, t, fp); a bucket holds few enough to lie in one task's memory."""
 
     def search(batches):
         held: list[np.ndarray] = []
 
         def ready(batch):
             """Rows of whole buckets; the last bucket waits for more."""
-            rows = np.stack((batch.column("bucket").to_numpy(), batch.column("fp").to_numpy()))
+            rows = np.stack([batch.column(c).to_numpy() for c in ("bucket", "t", "fp")])
             last = rows[0, -1]
             if rows[0, 0] == last and held and held[-1][0, -1] == last:
                 held.append(rows)
@@ -226,7 +279,7 @@ def links_within(rows: DataFrame, limit: int) -> DataFrame:
             return whole
 
         def found(whole):
-            a, b = bucket_links(whole[0], np.ascontiguousarray(whole[1]).view(np.uint64), limit)
+            a, b = part_links(whole[0], whole[1], np.ascontiguousarray(whole[2]).view(np.uint64), limit, masks)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
@@ -235,22 +288,57 @@ def links_within(rows: DataFrame, limit: int) -> DataFrame:
         if held:
             yield found(np.concatenate(held, axis=1))
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(search, "a bigint, b bigint")
+    own = rows.select("bucket", F.col("t").cast("long").alias("t"), "fp")
+    return own.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(search, "a bigint, b bigint")
+
+
+def pieces(rows: DataFrame, large: DataFrame, max_bucket: int) -> DataFrame:
+    """Rows of buckets of any size (large: bucket, n) as buckets of at most about max_bucket rows: one for each pair of pieces of a bucket."""
+    large = large.withColumn("k", F.ceil(2 * F.col("n") / max_bucket).cast("int") + 1)
+    own = join_hot(rows, large, "bucket").withColumn("p", F.pmod(F.xxhash64(F.lit("piece"), "fp"), F.col("k")).cast("int"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda q: F.struct(F.least(q, F.col("p")).alias("i"), F.greatest(q, F.col("p")).alias("j"))))
+    own = own.withColumn("pair", pair).where("k = 1 OR pair.i <> pair.j")  # a piece meets itself in any of its pairs
+    return own.select(F.xxhash64("bucket", "pair.i", "pair.j").alias("bucket"), "t", "fp")
 
 
 def all_links(fps: DataFrame, limit: int = DISTANCE, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """Links between distinct fingerprints (fp) that give their components."""
     n, agree = fps.count(), 1
-    while n > PER_BUCKET * 2 ** (64 * agree / (limit + agree)):
+    while n > PER_TABLE * 2 ** (64 * agree / (limit + agree)):
         agree += 1
-    rows = dealt(fps, tables(limit + agree, agree))
-    large = rows.groupBy("bucket").count().where(F.col("count") > max_bucket).select("bucket")
-    large = stage(large, "large")
-    if large.isEmpty():
-        return links_within(rows, limit)
-    again = rows.join(large, "bucket", "left_semi").select("fp").distinct()
-    finer = dealt(again, tables(limit + 2 * agree, 2 * agree))
-    return links_within(rows.join(large, "bucket", "left_anti"), limit).unionByName(links_within(finer, limit))
+    bits, out = max(0, math.ceil(math.log2(max(1, n) / PART))), None
+    for turn in range(ROUNDS + 1):
+        masks = tables(limit + agree, agree)
+        rows = dealt(fps, masks, bits)
+        large = stage(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_bucket), "large")
+        some = not large.isEmpty()
+        own = links_within(without(rows, large, "bucket") if some else rows, limit, masks)
+        out = own if out is None else out.unionByName(own)
+        if not some:
+            return out
+        if turn == ROUNDS:
+            return out.unionByName(links_within(pieces(rows, large, max_bucket), limit, masks))
+        fps = stage(join_hot(rows, large, "bucket").select("fp").distinct(), "again")
+        agree, bits = 2 * agree, 64  # all bits of the tables' blocks
+
+
+def by_heat(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A staged table that has one row a key and, in n, how many rows hold it: the keys that hold over a ``HOT``-th of all those rows,
+    which are fewer than ``HOT``, to be broadcast; and the others."""
+    total = table.agg(F.sum("n")).first()[0] or 0
+    return F.broadcast(table.where(F.col("n") * HOT > total).drop("n")), table.where(F.col("n") * HOT <= total).drop("n")
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined with such a table; no task gathers the rows of a hot key."""
+    hot, rest = by_heat(table)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
+def without(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not in such a table."""
+    hot, rest = by_heat(table)
+    return rows.join(hot.select(key), key, "left_anti").join(rest.select(key), key, "left_anti")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -258,16 +346,17 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = stage(links.where("a <> b").distinct(), "links")
     for _ in range(max_rounds):
         # large star: every larger neighbour moves to the smallest of the neighbourhood
-        both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = stage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        large = stage(join_hot(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # small star: the smaller neighbours and the node itself move to the smallest of them
         down = large.where("b < a")
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
+        low = stage(down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "low")
+        small = join_hot(down, low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
         after = stage(small, "links")
         same = after.count() == edges.count() and after.join(edges, ["a", "b"], "left_anti").isEmpty()
-        discard(edges)
+        for used in (edges, least, large, low):
+            discard(used)
         edges = after
         if same:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -287,12 +376,12 @@ def fingerprint_of(text, shingle: int = SHINGLE, seed: int = SEED):
 def near_duplicates(docs: DataFrame, key: str, text: str, limit: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """(key, fp, root, component): root stands for the component, component is the smallest key of all documents that links reach."""
     own = stage(fingerprints(docs, key, text, shingle), "fingerprints")
-    nodes = stage(own.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
+    nodes = stage(own.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("rows")), "nodes")
     roots = components(all_links(nodes.select("fp"), limit))
-    nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = nodes.groupBy("root").agg(F.min("least").alias("component"))
-    named = stage(nodes.join(least, "root").select("fp", "root", "component"), "components")
-    return own.join(named, "fp").select(F.col("key").alias(key), "fp", "root", "component")
+    nodes = stage(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    least = stage(nodes.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("n")), "least")
+    named = stage(join_hot(nodes, least, "root").select("fp", "root", "component", F.col("rows").alias("n")), "components")
+    return join_hot(own, named, "fp").select(F.col("key").alias(key), "fp", "root", "component")
 
 
 def keep_one(docs: DataFrame, key: str, text: str, limit: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
@@ -307,7 +396,9 @@ def keep_one(docs: DataFrame, key: str, text: str, limit: int = DISTANCE, shingl
     single = docs.join(again, own.eqNullSafe(again["again"]), "left_anti").join(chosen, own.eqNullSafe(chosen["chosen"]), "left_semi")
     fp = fresh(docs, "fp")
     several = docs.join(again, own.eqNullSafe(again["again"]), "left_semi").withColumn(fp, fingerprint_of(docs[f"`{text}`"], shingle))
-    several = several.join(chosen, several[f"`{key}`"].eqNullSafe(chosen["chosen"]) & (several[fp] == chosen["chosen_fp"]), "left_semi").dropDuplicates([key, fp]).drop(fp)
+    several = several.join(chosen, several[f"`{key}`"].eqNullSafe(chosen["chosen"]) & (several[fp] == chosen["chosen_fp"]), "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    several = several.groupBy(F.col(f"`{key}`").alias("k"), F.col(f"`{fp}`").alias("f")).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row")).select("row.*")
     return single.unionByName(several)
 
 

@@ -77,3 +77,55 @@ def test_documents(spark):
     got = sorted(((r["doc_id"], r["component"]) for r in S.near_duplicates(docs, "doc_id", "text").collect()), key=str)
     assert got == sorted([(5, 3), (3, 3), (9, 8), (8, 8), (8, 8), (7, 7), (None, 3)], key=str)
     assert S.near_duplicates(docs.limit(0), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("own", [13, 26])
+def test_links_that_agree_in_a_tables_bits_are_found(own):
+    agree = own // 13
+    fps = np.array(mutated(60, 12, 5, seed=own), np.uint64)
+    found = set()
+    for table in S.tables(4 + agree, agree):
+        index = S.GrayIndex(table.moved(fps), leaf=4, fanout=3)
+        up = index.forest(4, table.own).up
+        found |= {(int(fps[index.order[i]]), int(fps[index.order[up[i]]])) for i in range(len(fps)) if up[i] != i}
+    places = {int(x): i for i, x in enumerate(fps)}
+    links = S.Forest(len(fps))
+    links.link(*(np.array([places[p[k]] for p in found]) for k in (0, 1)))
+    links.flatten()
+    assert links.up.tolist() == plain_components(fps.tolist())
+
+
+def test_tables_move_every_bit():
+    fps = np.array([1 << i for i in range(64)], np.uint64)
+    for table in S.tables(6, 2):
+        assert sorted(table.moved(fps).tolist()) == fps.tolist()
+        first = [x for x in fps.tolist() if table.first(table.own) & x]
+        assert len(first) == table.own and all(int(table.moved(np.array([x], np.uint64))[0]) >> (64 - table.own) for x in first)
+
+
+def test_large_parts_dealt_again_and_in_pieces(spark, monkeypatch):
+    """Far more fingerprints that crowd together than a part may hold, at every step of the way."""
+    fps = sorted({x ^ (i % 7) for i, x in enumerate(mutated(3, 250, 9))})
+    rows = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps], "fp long").cache()
+    own = plain_components(fps)
+    for rounds, limit in ((0, 40), (1, 40), (2, 200)):
+        monkeypatch.setattr(S, "ROUNDS", rounds)
+        links = S.Forest(len(fps))
+        at = {x: i for i, x in enumerate(fps)}
+        pairs = [(at[r["a"] % 2**64], at[r["b"] % 2**64]) for r in S.all_links(rows, max_bucket=limit).collect()]
+        links.link(*(np.array(x, int) for x in zip(*pairs, strict=True)))
+        links.flatten()
+        assert links.up.tolist() == own
+
+
+def test_hot_component_and_hot_fingerprint(spark):
+    texts = ["same text of many copies here"] * 300 + [f"text number {i} of the others alone here" for i in range(40)] + [None] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component"] for r in S.near_duplicates(docs, "doc_id", "text").collect()}
+    root = plain_components([plain_fingerprint(t or "") for t in texts])
+    assert got == dict(enumerate(root))
+
+
+def test_very_long_text():
+    text = "word " * 400_000 + "end"
+    assert S.fingerprint(text.encode()) == plain_fingerprint("word " * 5000)
