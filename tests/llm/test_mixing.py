@@ -43,3 +43,20 @@ def test_too_many_sources(spark):
     docs = spark.createDataFrame([(i, "w", str(i)) for i in range(5)], "doc_id long, text string, source string")
     with pytest.raises(ValueError):
         M.plan_mix(docs, "doc_id", "text", "source", max_sources=4)
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_a_key_with_most_rows_is_split(spark, tmp_path, alike):
+    """Rows of one key and source, with different texts or none but alike ones, still come near the target."""
+    rows = [(7, "w " * 10 if alike else f"t{i} " + "w " * 9, "x", 0) for i in range(200)] + [(i, "w " * 10, "y", 0) for i in range(300, 400)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    runs = [sorted(map(tuple, M.op7_mixing(spark, str(tmp_path)).collect())) for _ in range(2)]
+    assert runs[0] == runs[1] and len(runs[0]) == 300
+    for size in (2000, 1000):
+        own = [r for r in runs[0] if r[2] == size]
+        assert abs(sum(r[4] for r in own) - own[0][3]) <= 10 and all(r[4] in (0, 10, 20) for r in own)
+
+
+def test_very_long_text(spark, tmp_path):
+    got, wanted = tables(spark, tmp_path, [(1, "word " * 300_000, "x", 0), (2, "a b", "x", 0), (3, "a", "y", 0)])
+    assert got == wanted
