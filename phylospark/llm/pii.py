@@ -1,15 +1,19 @@
 """Personal data: exact base patterns, plus candidates that boosted trees accept.
 
 The base finds e-mail addresses, IPv4 addresses, payment cards and international phone numbers by fixed patterns and checks; its
-spans always stay. Generators of high recall then propose further, overlapping spans of the same kinds: phone numbers without a
-plus sign, addresses with a written "at", cards with other separators, IPv6 and defanged IPv4 addresses. Each candidate becomes a
-row of format features (digits, groups, separators, check digits, shapes of dates and versions) and context features (neighbouring
-characters, cue words before it). Gradient-boosted trees, trained here on generated examples with a fixed seed, give a score;
-the threshold of each kind is the lowest one that keeps a precision of 0.98 on generated examples held out from training. Of
+spans always stay. Generators of high recall then propose further, overlapping spans: phone numbers without a
+plus sign, addresses with a written "at", cards with other separators, IPv6 and defanged IPv4 addresses, and values of secrets (a kind of its own).
+Each candidate becomes a row of format features (digits, groups, separators, check digits, shapes of dates, IBANs and versions, valid
+addresses) and context features (neighbouring characters, cue words before it). Gradient-boosted trees, trained here on invented examples
+with a fixed seed, give a score. The examples are written by forms of their own (notations of several countries, and numbers that are nobody's), not by
+the generators' patterns; what a generator proposes in them is right where it is the planted span.
+
+On examples of another seed the scores are calibrated by kind: a monotone fit of how often a score is right (pooled adjacent
+violators). The threshold of a kind is the lowest score at which the accepted candidates' calibrated probabilities still average ``PRECISION``. Of
 accepted candidates that overlap each other the one with the higher score stays; those that touch a base span are left out.
 
-Offsets are code points, the end is exclusive. Defined cases: a null text is empty and has no spans; texts without digits, "@" or a
-written "at" are left at once; rows are independent, so ties and repeated rows don't matter; an empty table gives an empty result;
+Offsets are code points, the end is exclusive. Defined cases: a null text is empty and has no spans; texts without digits, "@", a
+written "at" or a word for secrets are left at once; rows are independent, so ties and repeated rows don't matter; an empty table gives an empty result;
 columns beyond the key and the text are ignored, so their names can't clash.
 """
 
@@ -17,10 +21,10 @@ from __future__ import annotations
 
 import random
 import re
-from bisect import bisect
+from bisect import bisect, bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
-from hashlib import sha256
+from ipaddress import ip_address
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +34,9 @@ from pyspark.sql import functions as F
 from phylospark.llm._shared import slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
-RANK = {k: i for i, k in enumerate(KINDS)}
-PRECISION, SEED = 0.98, 20240229
+ALL = (*KINDS, "secret")
+RANK = {k: i for i, k in enumerate(ALL)}
+PRECISION, SEED = 0.97, 20240229
 
 # The base patterns.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -40,25 +45,40 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 
-#: Generators of candidates by kind.
-GENERATORS = (
-    ("phone", re.compile(r"(?<![0-9A-Za-z])(?:00[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20./-])[0-9]{2,4}(?:[\x20./-][0-9]{2,4}){1,3}(?![0-9A-Za-z])")),
-    ("phone", re.compile(r"(?<![0-9A-Za-z.])0?[0-9]{9,11}(?![0-9A-Za-z])")),
-    ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[\x20._/-]{1,2}[0-9]{4}){2,3}(?:[\x20._/-]{1,2}[0-9]{1,4})?(?![0-9A-Za-z])")),
-    ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])")),
-    ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
-    ("ip", re.compile(r"(?<![0-9A-Za-z])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\x20?\[dot\]\x20?)[0-9]{1,3}){3}(?![0-9A-Za-z])")),
+DIGIT = re.compile("[0-9]")
+AT = re.compile(r"[\[({](?:at|AT|@)[\])}]|\x20(?:at|AT|@)\x20")
+COLONS = re.compile(r"::|[0-9A-Fa-f]:[0-9A-Fa-f]")
+DEFANGED = re.compile(r"[0-9]\x20?[\[(](?:\.|dot)[\])]")
+SECRET_WORD = re.compile(r"token|secret|passw|pwd|key|bearer", re.I)
+LONG = re.compile("[0-9A-Za-z]{20}")
+
+#: Generators of candidates: kind, pattern (a group named x is the span, else the whole match is), and what a text must hold for it to be
+#: tried. They propose far more than is right.
+WAYS = (
+    ("phone", re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[\x20./-]{1,3}\(?[0-9]{2,9}\)?){1,5}(?![0-9A-Za-z])"), DIGIT),
+    ("phone", re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20./-])[0-9]{2,4}(?:[\x20./-][0-9]{2,4}){1,3}(?![0-9A-Za-z])"), DIGIT),
+    ("phone", re.compile(r"(?<![0-9A-Za-z.+])[0-9]{9,14}(?![0-9A-Za-z])"), DIGIT),
+    ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[\x20._/-]{1,2}[0-9]{4}){2,3}(?:[\x20._/-]{1,2}[0-9]{1,4})?(?![0-9A-Za-z])"), DIGIT),
+    ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{4}[\x20._/-]{1,2}[0-9]{6}[\x20._/-]{1,2}[0-9]{5}(?![0-9A-Za-z])"), DIGIT),
+    ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])"), DIGIT),
+    ("ip", re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])"), COLONS),
+    ("ip", re.compile(r"(?<![0-9A-Za-z])[0-9]{1,3}(?:\x20?(?:\[\.\]|\(\.\)|[\[(]dot[\])])\x20?[0-9]{1,3}){3}(?![0-9A-Za-z])"), DEFANGED),
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+\x20?[\[({](?:at|AT|@)[\])}]\x20?[A-Za-z0-9-]+(?:(?:\.|\x20?[\[({](?:dot|DOT|\.)[\])}]\x20?)[A-Za-z0-9-]+)+"), AT),
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+\x20(?:at|AT|@)\x20[A-Za-z0-9-]+(?:(?:\.|\x20(?:dot|DOT)\x20)[A-Za-z0-9-]+)+"), AT),
+    ("secret", re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|key|bearer)[\w-]{0,16}[\x20\t]?[=:\x20][\x20\t]?[\"']?(?P<x>[^\s\"',;]{6,200})"), SECRET_WORD),
+    ("secret", re.compile(r"(?<![0-9A-Za-z])(?P<x>[0-9A-Fa-f]{32,64}|[A-Za-z]{2,5}[_-][0-9A-Za-z]{20,80})(?![0-9A-Za-z])"), LONG),
 )
-WRITTEN_AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+\x20?[\[({](?:at|AT|@)[\])}]\x20?[A-Za-z0-9-]+(?:(?:\.|\x20?[\[({](?:dot|DOT|\.)[\])}]\x20?)[A-Za-z0-9-]+)+")
 CUES = {
     "email": re.compile(r"mail|contact|correo|write to", re.I),
     "ip": re.compile(r"\bip\b|host|server|adresse? ip|login from", re.I),
     "card": re.compile(r"card|visa|karte|carte|tarjeta|iban|paid", re.I),
-    "phone": re.compile(r"\btel|phone|call|fax|mobil|anruf|appel|llam", re.I),
+    "phone": re.compile(r"\btel|phone|call|fax|mobil|anruf|appel|llam|dial|ring", re.I),
+    "secret": re.compile(r"(token|secret|passw(or)?d|pwd|key|bearer)[\w-]{0,16}\s*[=:]?\s*[\"']?$", re.I),
 }
-AGAINST = re.compile(r"version|\bv\b|isbn|order|page|date|room|chapter|\bid\b|figure|section|serial", re.I)
+AGAINST = re.compile(r"version|\bv\b|isbn|order|page|date|room|chapter|\bid\b|figure|section|serial|iban|account|years?|about|between|score|batch|reference|invoice|tracking", re.I)
+IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}\x20?(?:[0-9A-Z]{4}\x20?)*$")
+SEPARATED = re.compile(r"[^0-9]+")
 DATE = re.compile(r"(?:(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)?[0-9]{2})")
-DIGIT = re.compile("[0-9]")
 
 Span = tuple[int, int, str]
 
@@ -107,11 +127,29 @@ def base_spans(text: str) -> list[Span]:
 
 def candidates(text: str) -> list[Span]:
     """Proposed spans; they may overlap."""
-    found = [(m.start(), m.end(), "email") for m in WRITTEN_AT.finditer(text)] if re.search(r"[\[({](?:at|AT|@)[\])}]", text) else []
-    if DIGIT.search(text):
-        for kind, pattern in GENERATORS:
-            found += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
-    return sorted(set(found))
+    found = set()
+    for kind, pattern, needs in WAYS:
+        if not needs.search(text):
+            continue
+        part = "x" if "x" in pattern.groupindex else 0
+        for m in pattern.finditer(text):
+            a, b = m.span(part)
+            if kind != "phone" or 7 <= len(digits_of(text[a:b])) <= 15:
+                found.add((a, b, kind))
+    return sorted(found)
+
+
+def is_address(text: str) -> bool:
+    try:
+        return bool(ip_address(text))
+    except ValueError:
+        return False
+
+
+def entropy(text: str) -> float:
+    """Bits a character by the text's own counts."""
+    share = np.unique(list(text), return_counts=True)[1] / max(1, len(text))
+    return float(-(share * np.log2(share)).sum())
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -121,10 +159,14 @@ def features(text: str, span: Span) -> list[float]:
     before, after = text[max(0, a - 40) : a], text[b : b + 12]
     left, right = text[a - 1 : a] if a else "", text[b : b + 1]
     letters = sum(c.isalpha() for c in s)
+    marks = SEPARATED.findall(s)
+    last = re.split(r"[^A-Za-z0-9-]+", s)[-1] if kind == "email" else ""
     return [
-        *(float(kind == k) for k in KINDS), len(s), len(d), len(groups), max(groups), min(groups), letters, float(luhn(d) if d else 0), float(s[:1] == "("), float("@" in s or "at" in s.lower()),
-        s.count("-"), s.count("."), s.count(" "), s.count(":"), s.count("/"), float(bool(DATE.fullmatch(s))), float(bool(DATE.match(s))), len(set(d)), float(d[:2] in ("19", "20")), float(d[:1] == "0"), float(d[:1] in "3456" and bool(d)),
-        float(bool(CUES[kind].search(before))), float(bool(AGAINST.search(before))), float(left in ("", " ", "\n", "(", ":", '"')), float(right in ("", " ", "\n", ",", ".", ")", ";", '"')), float(left in tuple("$€#=.")), float(right in tuple("%€$=")), float(bool(re.match(r"[.,:][0-9]", after))),
+        *(float(kind == k) for k in ALL), len(s), len(d), len(groups), max(groups), min(groups), groups[0], groups[-1], letters, float(luhn(d) if d else 0), float(s[:1] == "("), float("@" in s or "[" in s or "{" in s or "(" in s),
+        s.count("-"), s.count("."), s.count(" "), s.count(":"), s.count("/"), len(set(marks)), max(map(len, marks), default=0), float(bool(DATE.fullmatch(s))), float(bool(DATE.match(s))), len(set(d)), float(d[:2] in ("19", "20")), float(d[:2] == "00"),
+        float(d[:1] == "0"), float(d[:1] in "3456" and bool(d)), float(is_address(s)) if kind == "ip" else 0.0, float("::" in s), float(" dot " in s.lower()), len(last), float(last.islower() and last.isalpha()), entropy(s) if kind == "secret" else 0.0,
+        float(bool(CUES[kind].search(before))), float(bool(AGAINST.search(before))), float(bool(IBAN.search(before))), float(left in ("", " ", "\n", "(", ":", '"')), float(right in ("", " ", "\n", ",", ".", ")", ";", '"', "!", "?")), float(left in tuple("$€#=.")), float(right in tuple("%€$=")),
+        float(bool(re.match(r"[.,:][0-9]", after))), float(bool(re.search(r"[0-9][\x20./-]{1,2}$", before))), float(bool(re.match(r"[\x20./-]{1,2}[0-9]", after))),
     ]
 
 
@@ -175,88 +217,125 @@ class Trees:
         return 1 / (1 + np.exp(-margin))
 
 
+#: Forms of examples: # is a digit, @ one of 1 to 9, w a word, h one to four hexadecimal digits, x one of them, k a letter or digit; others stand for
+#: themselves. A form may have a cue of its own after a bar; none means any of the kind's. What is beside a ^ isn't personal.
+PERSONAL = {
+    "phone": (
+        "(@##) @##-####", "(@##) @## ####", "(@##)@##-####", "@##-@##-####", "@##.@##.####", "@## @## ####", "0@# #######", "0@## #######", "0@## ########", "0@##/#######", "0@#/#######", "0@##-#######", "0@## ### ## ##", "0@ ## ## ## ##", "0@.##.##.##.##",
+        "0@# #### ####", "0@### ######", "(0@#) #######", "(0@##) ### ####", "0049 ## #######", "00## # ## ## ## ##", "00## ### ### ###", "9## ### ###|tel.", "9## ## ## ##|call", "6## ### ###|mobile", "0@########", "0@#########", "@#########|phone", "@###########|call", "0@## ## ## ## #", "@##-####|call",
+    ),
+    "email": ("w.## [at] w.com", "w(at)w(dot)org", "w_w (at) w.net", "w{at}w.de", "w at w dot com", "w.w at w dot co dot uk", "w## AT w DOT org", "w @ w.com", "w at w.com|mail", "w at w.net|contact", "w [at] w [dot] edu"),
+    "ip": ("h:h:h:h:h:h:h:h", "2001:db8::h", "fe80::h:h:h:h", "2001:h:h::h", "h:h:h:h::h", "::1|host", "fd##:h::h:h", "@#[.]@##[.]@[.]@#", "@##[.]@#[.]@##[.]@", "@#(.)@##(.)#(.)@#", "@# [dot] @## [dot] @ [dot] @#"),
+    "card": ("C.C.C.C", "C_C_C_C", "C/C/C/C", "C  C  C  C", "CCCC CCCC", "C--C--C--C", "M ^CCCC CCCC", "CCCC CCCC^ M"),
+    "secret": ('"' + "x" * 40 + '"|token =', "x" * 32 + "|api_key:", "kkkkkkkkkk##kk|password =", "kkkk##kkkkkk|password:", "kk_" + "k" * 32 + "|", "k" * 24 + "|secret=", "k" * 40 + "|bearer", '"' + "x" * 64 + '"|token ='),
+}
+NOBODYS = (
+    "20##-0@-1#", "1#.0@.20##", "20##/0@/1#", "@/1#/20##", "978-#-###-#####-#|isbn", "97########### |isbn", "##-##-####", "##########|order", "#########|id", "############# |serial", "###############", "1#:2#:3#", "1#:2#:3#:##", "0@:1#:2#", "@# ### ###", "@ ### ###",
+    "@## ### ###|about", "@ ### ### ###|about", "##.###.###", "#### #### ####|reference", "###/###/###|batch", "## ## ## ##|score", "@@ - @@", "19## - 20##|between", "1998 1999 2000", "@####-####|code", "xx:xx:xx:xx:xx:xx", "xx-xx-xx-xx-xx-xx", "B#### #### #### #### ##|IBAN", "B## #### #### #### ####|iban",
+    "N.N.N.N", "N-N-N-N", "N N N N", "M", "M M", "@.##.#|version", "@#.@.##.####|version", "###-###|pages", "look at w.com", "live at w.de", "talk at w dot w", "meet at w", "16:9:4", "w::w", "###.## ###.##", "# ## ### ####", "## ## ##", "@### @###|years", "w-w-w-w-w|key", "wwww|token", "wwwwww|password", "key to the w", "a key wwwww", "@## ##-##|room",
+    "#-####-####-#|isbn", "@#### @####|about", "@#.### @#.###|between", "@###-@##-@#|invoice", "###########|tracking",
+)
+CUED = {"email": ("mail", "contact", "write to", ""), "ip": ("host", "IP", "from", ""), "card": ("card", "visa", "paid with", ""), "phone": ("tel.", "call", "phone:", "fax", "", ""), "secret": ("",)}
+UNCUED = ("version", "order", "page", "id", "serial", "date", "", "", "", "")
+
+
 def generated(seed: int, n: int) -> list[tuple[str, Span, int]]:
-    """Examples (text, candidate span, 1 if personal): spans of many written forms among invented words."""
+    """Examples (text, candidate span, 1 if personal) from the forms above, among invented words."""
     r = random.Random(seed)
-    word = lambda: "".join(r.choice(["ba", "ter", "on", "li", "ver", "ing", "mo", "que", "sch", "do"]) for _ in range(r.randint(1, 4)))
-    num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    word = lambda: "".join(r.choice(("ba", "ter", "on", "li", "ver", "ing", "mo", "que", "sch", "do", "an", "el")) for _ in range(r.randint(1, 4)))
 
-    def card(valid: bool) -> str:
-        body = r.choice("3456") + num(14)
+    def number(size: int, valid: bool) -> str:
+        body = r.choice("3456") + "".join(r.choice("0123456789") for _ in range(size - 2))
         check = next(c for c in "0123456789" if luhn(body + c))
         return body + (check if valid else str((int(check) + r.randint(1, 9)) % 10))
 
-    def phone() -> str:
-        s = r.choice(" -.")
-        return r.choice([f"({num(3)}) {num(3)}{r.choice('-. ')}{num(4)}", f"{num(3)}{s}{num(3)}{s}{num(4)}", f"0{num(3)} {num(3)} {num(4)}", f"00{num(2)} {num(3)} {num(3)} {num(3)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"0{num(9)}"])
-
-    def hexes(k: int) -> str:
-        return ":".join("".join(r.choice("0123456789abcdef") for _ in range(r.randint(1, 4))) for _ in range(k))
-
-    def ours(kind: str) -> tuple[str, str]:
-        cue = r.choice({"email": ["mail", "contact", ""], "ip": ["host", "IP", ""], "card": ["card", "visa", ""], "phone": ["tel.", "call", "phone:", "fax", ""]}[kind])
-        s = r.choice([" ", ".", "-", "_"])
-        made = {
-            "email": lambda: f"{word()}.{num(2)} [at] {word()}.com" if r.random() < 0.5 else f"{word()}(at){word()}(dot)org",
-            "ip": lambda: hexes(r.choice([8, 8, 6])) if r.random() < 0.6 else "[.]".join(str(r.randint(1, 255)) for _ in range(4)),
-            "card": lambda: s.join((c := card(True))[i : i + 4] for i in (0, 4, 8, 12)) if r.random() < 0.7 else card(True),
-            "phone": phone,
-        }[kind]()
-        return cue, made
-
-    def other() -> tuple[str, str]:
-        cue = r.choice(["version", "order", "page", "id", "isbn", "date", "serial", "", "", ""])
-        return cue, r.choice([
-            f"20{num(2)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.20{num(2)}", f"20{num(2)}/{r.randint(1, 12):02}/{r.randint(1, 28):02}", card(False), "-".join((c := card(False))[i : i + 4] for i in (0, 4, 8, 12)),
-            f"978-{num(1)}-{num(3)}-{num(5)}-{num(1)}", f"{num(2)}-{num(2)}-{num(4)}", num(10), num(9), num(13), num(15), f"{r.randint(0, 23):02}:{r.randint(0, 59):02}:{r.randint(0, 59):02}:{num(2)}", f"{num(3)} {num(3)} {num(3)}", f"{num(2)}.{num(3)}.{num(3)}", f"{num(4)} {num(4)} {num(4)}", f"{num(3)}/{num(3)}/{num(3)}", f"{num(2)} {num(2)} {num(2)} {num(2)}",
-        ])
+    def fill(form: str) -> str:
+        cards = iter((c := number(16, True)) and [c[i : i + 4] for i in (0, 4, 8, 12)] * 2)
+        other = iter((o := number(16, False)) and [o[i : i + 4] for i in (0, 4, 8, 12)])
+        one = {
+            "#": lambda: r.choice("0123456789"), "@": lambda: r.choice("123456789"), "w": word, "h": lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.randint(1, 4))), "x": lambda: r.choice("0123456789abcdef"),
+            "k": lambda: r.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"), "C": lambda: next(cards), "N": lambda: next(other), "M": lambda: number(r.choice((13, 14, 15, 16, 16, 16, 18)), False), "B": lambda: r.choice(("DE", "FR", "ES", "GB", "NL")),
+        }
+        plain = re.compile(r"(CCCC CCCC|2001|db8|fe80|fd|com|org|net|de|uk|co|edu|at|dot|AT|DOT|look|live|talk|meet|key to the|a key)")
+        parts = plain.split(form)
+        return "".join(number(16, True) if p == "CCCC CCCC" else p if i % 2 else "".join(one[c]() if c in one else c for c in p) for i, p in enumerate(parts))
 
     out = []
     while len(out) < n:
         personal = r.random() < 0.5
-        kind = r.choice(KINDS)
-        cue, made = ours(kind) if personal else other()
+        kind = r.choice(ALL) if personal else ""
+        form, _, cue = r.choice(PERSONAL[kind] if personal else NOBODYS).partition("|")
+        cue = cue or r.choice(CUED[kind] if personal else UNCUED)
+        head, _, tail = form.rpartition("^") if form.startswith("M") else ("", "", form)
+        whole, _, behind = tail.partition("^")
+        whole, head, behind = fill(whole), fill(head), fill(behind)
+        made = head + whole + behind
         lead = " ".join(word() for _ in range(r.randint(0, 6)))
-        start = f"{lead} {cue} ".replace("  ", " ")
-        text = start + made + r.choice(["", ".", ",", " "]) + " " + word()
-        out += [(text, c, int(personal and c[2] == kind and c[:2] == (len(start), len(start) + len(made)))) for c in candidates(text)]
+        start = " ".join(x for x in (lead, cue) if x)
+        start += " " if start else ""
+        whole = whole.strip('"')
+        at = len(start) + made.index(whole, len(head))
+        text = start + made + r.choice(["", ".", ",", " ", "!"]) + " " + " ".join(word() for _ in range(r.randint(0, 3)))
+        out += [(text, c, int(personal and c == (at, at + len(whole), kind))) for c in candidates(text)]
     return out[:n]
 
 
+def calibrated(scores: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores in falling order, and for each how often candidates like it are right: the monotone fit by pooled adjacent violators."""
+    order = np.argsort(-scores, kind="stable")
+    pools: list[list[float]] = []  # sum, number
+    for y in right[order]:
+        pools.append([float(y), 1.0])
+        while len(pools) > 1 and pools[-1][0] * pools[-2][1] > pools[-2][0] * pools[-1][1]:
+            total, count = pools.pop()
+            pools[-1][0] += total
+            pools[-1][1] += count
+    return scores[order], np.concatenate([np.full(int(n), t / n) for t, n in pools]) if pools else np.empty(0)
+
+
 @lru_cache(maxsize=2)
-def model(seed: int = SEED, n: int = 4000) -> tuple[Trees, dict[str, float]]:
+def model(seed: int = SEED, n: int = 8000) -> tuple[Trees, dict[str, float]]:
     """Trees fitted on generated examples, and the threshold of each kind from examples of another seed."""
     train, held = generated(seed, n), generated(seed + 1, n)
     trees = Trees(np.array([features(t, c) for t, c, _ in train], float), np.array([y for *_, y in train], float))
     p, y = trees.score(np.array([features(t, c) for t, c, _ in held], float)), np.array([y for *_, y in held])
     kinds = np.array([c[2] for _, c, _ in held])
     cut = {}
-    for kind in KINDS:
-        order = np.argsort(-p[kinds == kind], kind="stable")
-        right, scores = np.cumsum(y[kinds == kind][order]), p[kinds == kind][order]
-        good = np.flatnonzero(right >= PRECISION * np.arange(1, len(right) + 1))
-        cut[kind] = max(0.5, float(scores[good[-1]])) if len(good) else 2.0
+    for kind in ALL:
+        scores, chance = calibrated(p[kinds == kind], y[kinds == kind])
+        good = np.flatnonzero(np.cumsum(chance) >= PRECISION * np.arange(1, len(chance) + 1))
+        good = good[chance[good] >= 0.5]
+        cut[kind] = float(scores[good[-1]]) if len(good) else 2.0
     return trees, cut
 
 
 def added_spans(text: str, base: list[Span], trees: Trees, cut: dict[str, float]) -> list[Span]:
     """Accepted candidates that touch neither a base span nor a better one."""
-    starts = np.array([a for a, *_ in base])
-    reach = np.maximum.accumulate([b for _, b, _ in base]) if base else None
+    return all_added([text], [base], trees, cut)[0]
+
+
+def all_added(texts: list[str], bases: list[list[Span]], trees: Trees, cut: dict[str, float]) -> list[list[Span]]:
+    """The same for many texts; the candidates of all are scored at once."""
+    found = [free_of(base, candidates(text)) for text, base in zip(texts, bases, strict=True)]
+    rows = [features(text, c) for text, own in zip(texts, found, strict=True) for c in own]
+    scores = iter(trees.score(np.array(rows, float)).tolist() if rows else ())
+    out = []
+    for own in found:
+        taken: list[Span] = []
+        for _, c in sorted(((-p, c) for c in own if (p := next(scores)) >= cut[c[2]]), key=lambda x: (x[0], x[1])):
+            i = bisect(taken, c)
+            if (i == 0 or taken[i - 1][1] <= c[0]) and (i == len(taken) or c[1] <= taken[i][0]):
+                taken.insert(i, c)
+        out.append(taken)
+    return out
 
-    def free(c: Span) -> bool:
-        return reach is None or (i := int(np.searchsorted(starts, c[1]))) == 0 or reach[i - 1] <= c[0]
 
-    found = [c for c in candidates(text) if free(c)]
-    if not found:
-        return []
-    scores = trees.score(np.array([features(text, c) for c in found], float))
-    taken: list[Span] = []
-    for _, c in sorted(((-p, c) for p, c in zip(scores.tolist(), found, strict=True) if p >= cut[c[2]]), key=lambda x: (x[0], x[1])):
-        i = bisect(taken, c)
-        if (i == 0 or taken[i - 1][1] <= c[0]) and (i == len(taken) or c[1] <= taken[i][0]):
-            taken.insert(i, c)
-    return taken
+def free_of(base: list[Span], found: list[Span]) -> list[Span]:
+    """Candidates that touch no base span."""
+    if not base:
+        return found
+    starts, reach = [a for a, *_ in base], np.maximum.accumulate([b for _, b, _ in base])
+    return [c for c in found if (i := bisect_left(starts, c[1])) == 0 or reach[i - 1] <= c[0]]
 
 
 def written(spans: list[Span]) -> str:
@@ -272,12 +351,10 @@ def find_personal(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def find(batches):
         for batch in slices(batches, "text"):
-            base, spans = [], []
-            for t in batch.column("text").to_pylist():
-                own = base_spans(t)
-                more = added_spans(t, own, trees, cut)
-                base.append(as_rows(own))
-                spans.append(as_rows(sorted([*own, *more], key=lambda x: (x[0], RANK[x[2]], x[1]))))
+            texts = batch.column("text").to_pylist()
+            own = [base_spans(t) for t in texts]
+            base = [as_rows(x) for x in own]
+            spans = [as_rows(sorted([*x, *more], key=lambda x: (x[0], RANK[x[2]], x[1]))) for x, more in zip(own, all_added(texts, own, trees, cut), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(base, pa.list_(one)), pa.array(spans, pa.list_(one))], ["key", "base", "spans"])
 
     kind, spans = rows.schema["key"].dataType.simpleString(), "array<struct<start: bigint, end: bigint, kind: string>>"
@@ -295,9 +372,11 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
-    """Spans of personal data in every document."""
+    """Spans of personal data in every document; beyond them those of secrets, and the number of all."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = find_personal(docs, "doc_id", "text")
-    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    named = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda secret: F.filter("spans", lambda s: (s["kind"] == "secret") == F.lit(secret))
     counted = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(counted, KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    base = named(F.col("base"))
+    return found.select("doc_id", *map(counted, KINDS), F.sha2(base, 256).alias("base_sha256"), named(of(False)).alias("spans"), named(of(True)).alias("secrets"), F.size("spans").cast("long").alias("n_spans"))
