@@ -46,28 +46,44 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 
 DIGIT = re.compile("[0-9]")
-AT = re.compile(r"[\[({](?:at|AT|@)[\])}]|\x20(?:at|AT|@)\x20")
-COLONS = re.compile(r"::|[0-9A-Fa-f]:[0-9A-Fa-f]")
-DEFANGED = re.compile(r"[0-9]\x20?[\[(](?:\.|dot)[\])]")
-SECRET_WORD = re.compile(r"token|secret|passw|pwd|key|bearer", re.I)
-LONG = re.compile("[0-9A-Za-z]{20}")
+BRACKETED_AT = re.compile(r"[\[({](?:at|AT|@)[\])}]")
+SPACED_AT = re.compile(r"\x20(?:at|AT|@)\x20[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]|\x20(?:dot|DOT)\x20)")
+SECRET_WORDS = ("token", "secret", "passw", "pwd", "key", "bearer")
+
+#: What a text must hold for a generator to be tried.
+has_digit, bracketed, spaced = DIGIT.search, BRACKETED_AT.search, SPACED_AT.search
+
+
+def colons(text: str) -> bool:
+    return text.count(":") > 1
+
+
+def defanged(text: str) -> bool:
+    return "[.]" in text or "(.)" in text or "dot]" in text or "dot)" in text
+
+
+def names_secret(text: str) -> bool:
+    low = text.lower()
+    return any(w in low for w in SECRET_WORDS)
+
 
 #: Generators of candidates: kind, pattern (a group named x is the span, else the whole match is), and what a text must hold for it to be
 #: tried. They propose far more than is right.
 WAYS = (
-    ("phone", re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[\x20./-]{1,3}\(?[0-9]{2,9}\)?){1,5}(?![0-9A-Za-z])"), DIGIT),
-    ("phone", re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20./-])[0-9]{2,4}(?:[\x20./-][0-9]{2,4}){1,3}(?![0-9A-Za-z])"), DIGIT),
-    ("phone", re.compile(r"(?<![0-9A-Za-z.+])[0-9]{9,14}(?![0-9A-Za-z])"), DIGIT),
-    ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[\x20._/-]{1,2}[0-9]{4}){2,3}(?:[\x20._/-]{1,2}[0-9]{1,4})?(?![0-9A-Za-z])"), DIGIT),
-    ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{4}[\x20._/-]{1,2}[0-9]{6}[\x20._/-]{1,2}[0-9]{5}(?![0-9A-Za-z])"), DIGIT),
-    ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])"), DIGIT),
-    ("ip", re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])"), COLONS),
-    ("ip", re.compile(r"(?<![0-9A-Za-z])[0-9]{1,3}(?:\x20?(?:\[\.\]|\(\.\)|[\[(]dot[\])])\x20?[0-9]{1,3}){3}(?![0-9A-Za-z])"), DEFANGED),
-    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+\x20?[\[({](?:at|AT|@)[\])}]\x20?[A-Za-z0-9-]+(?:(?:\.|\x20?[\[({](?:dot|DOT|\.)[\])}]\x20?)[A-Za-z0-9-]+)+"), AT),
-    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+\x20(?:at|AT|@)\x20[A-Za-z0-9-]+(?:(?:\.|\x20(?:dot|DOT)\x20)[A-Za-z0-9-]+)+"), AT),
-    ("secret", re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|key|bearer)[\w-]{0,16}[\x20\t]?[=:\x20][\x20\t]?[\"']?(?P<x>[^\s\"',;]{6,200})"), SECRET_WORD),
-    ("secret", re.compile(r"(?<![0-9A-Za-z])(?P<x>[0-9A-Fa-f]{32,64}|[A-Za-z]{2,5}[_-][0-9A-Za-z]{20,80})(?![0-9A-Za-z])"), LONG),
+    ("phone", re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[\x20./-]{1,3}\(?[0-9]{2,9}\)?){1,5}(?![0-9A-Za-z])"), has_digit),
+    ("phone", re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20./-])[0-9]{2,4}(?:[\x20./-][0-9]{2,4}){1,3}(?![0-9A-Za-z])"), has_digit),
+    ("phone", re.compile(r"(?<![0-9A-Za-z.+])[0-9]{9,14}(?![0-9A-Za-z])"), has_digit),
+    ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[\x20._/-]{1,2}[0-9]{4}){2,3}(?:[\x20._/-]{1,2}[0-9]{1,4})?(?![0-9A-Za-z])"), has_digit),
+    ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{4}[\x20._/-]{1,2}[0-9]{6}[\x20._/-]{1,2}[0-9]{5}(?![0-9A-Za-z])"), has_digit),
+    ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])"), has_digit),
+    ("ip", re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])"), colons),
+    ("ip", re.compile(r"(?<![0-9A-Za-z])[0-9]{1,3}(?:\x20?(?:\[\.\]|\(\.\)|[\[(]dot[\])])\x20?[0-9]{1,3}){3}(?![0-9A-Za-z])"), defanged),
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+\x20?[\[({](?:at|AT|@)[\])}]\x20?[A-Za-z0-9-]+(?:(?:\.|\x20?[\[({](?:dot|DOT|\.)[\])}]\x20?)[A-Za-z0-9-]+)+"), bracketed),
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+\x20(?:at|AT|@)\x20[A-Za-z0-9-]+(?:(?:\.|\x20(?:dot|DOT)\x20)[A-Za-z0-9-]+)+"), spaced),
+    ("secret", re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|key|bearer)[\w-]{0,16}[\x20\t]?[=:\x20][\x20\t]?[\"']?(?P<x>[^\s\"',;]{6,200})"), names_secret),
+    ("secret", re.compile(r"(?<![0-9A-Za-z])(?P<x>[0-9A-Fa-f]{32,64}|[A-Za-z]{2,5}[_-][0-9A-Za-z]{20,80})(?![0-9A-Za-z])"), has_digit),
 )
+NEEDS = {needs for *_, needs in WAYS}
 CUES = {
     "email": re.compile(r"mail|contact|correo|write to", re.I),
     "ip": re.compile(r"\bip\b|host|server|adresse? ip|login from", re.I),
@@ -127,9 +143,9 @@ def base_spans(text: str) -> list[Span]:
 
 def candidates(text: str) -> list[Span]:
     """Proposed spans; they may overlap."""
-    found = set()
+    found, held = set(), {needs: needs(text) for needs in NEEDS}
     for kind, pattern, needs in WAYS:
-        if not needs.search(text):
+        if not held[needs]:
             continue
         part = "x" if "x" in pattern.groupindex else 0
         for m in pattern.finditer(text):
