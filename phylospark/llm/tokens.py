@@ -3,7 +3,8 @@
 ``write_tokens`` packs documents into flat files of 16-bit token identifiers: each document's tokens, then the end-of-document
 identifier, nothing else. A file is the output of one task and is kept as a table of blocks in the shared folder (Parquet with a
 binary column, so that any store that Spark reaches can hold it); beside each block stand the keys of the documents that end in
-it, in order, but no positions. ``token_files`` reads plain binary files as such blocks.
+it, in order, but no positions. ``token_files`` reads plain binary files of any size as such blocks: a task gets byte ranges
+(path, offset, length) and reads these alone.
 
 ``count_tokens`` finds the separators of a block with one vectorised comparison. Gaps between separators are counts at once; what
 lies before the first and after the last separator is stitched across blocks by a prefix scan over one short row per block: the
@@ -19,9 +20,11 @@ from __future__ import annotations
 
 import base64
 import zlib
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,17 +98,38 @@ def write_tokens(docs: DataFrame, key: str, text: str, vocabulary: Vocabulary, e
     return stage(rows.mapInArrow(pack, BLOCKS.format(key=kind)), "tokens")
 
 
+def opened(path: str):
+    """A file by the name that Spark has for it, which isn't escaped."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
+    system, place = fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+    return system.open_input_file(place)
+
+
 def token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of plain files of 16-bit identifiers; keys are not known. A file is read whole by one task, so keep files below 2 GB."""
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "content")
+    """Blocks of plain files of 16-bit identifiers; keys are not known. Files are listed with their lengths and dealt by ranges of one block, so
+    neither their number nor their size is bounded; a last odd byte is no token. Workers open the files themselves: local ones, and the
+    stores that pyarrow knows (HDFS, S3, GCS, Azure); others raise an error."""
+    size = 2 * block_tokens
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # the content isn't read
+    whole = F.floor(F.col("length") / 2) * 2
+    ranges = files.where(whole > 0).select("path", F.xxhash64("path").alias("file"), whole.alias("end"), F.posexplode(F.sequence(F.lit(0).cast("long"), whole - 1, F.lit(size).cast("long"))).alias("block", "offset"))
+    ranges = ranges.select("path", "file", F.col("block").cast("long").alias("block"), "offset", F.least(F.lit(size), F.col("end") - F.col("offset")).cast("long").alias("length"))
 
     def cut(batches):
+        last = None
         for batch in batches:
-            for file, content in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                for b, at in enumerate(range(0, len(content), 2 * block_tokens)):
-                    yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([b], pa.int64()), pa.array([content[at : at + 2 * block_tokens]], pa.binary()), pa.array([None], pa.list_(pa.int64()))], ["file", "block", "payload", "keys"])
-
-    return files.mapInArrow(cut, "file bigint, block bigint, payload binary, keys array<bigint>")
+            for path, file, block, offset, length in zip(*(batch.column(c).to_pylist() for c in ("path", "file", "block", "offset", "length")), strict=True):
+                if last is None or last[0] != path:
+                    last = path, opened(path)
+                payload = last[1].read_at(length, offset)
+                if len(payload) < length:
+                    raise OSError(f"{path} ends before byte {offset + length}")
+                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([payload], pa.binary()), pa.array([None], pa.list_(pa.int64()))], ["file", "block", "payload", "keys"])
+
+    dealt = ranges.repartition("file", (F.col("block") / 64).cast("long")).sortWithinPartitions("file", "block")  # 64 blocks of a file together
+    return dealt.mapInArrow(cut, "file bigint, block bigint, payload binary, keys array<bigint>")
 
 
 def scan(blocks: DataFrame, end: int) -> DataFrame:

@@ -59,3 +59,27 @@ def test_plain_files(spark, tmp_path):
     rows = K.token_files(spark, str(tmp_path), block_tokens=2)
     assert sorted(r["n_tokens"] for r in K.count_tokens(rows, 9).collect()) == [0, 1, 2]
     assert [r["n_tokens"] for r in K.open_tail(rows, 9).collect()] == [3]
+
+
+def test_plain_files_by_ranges(spark, tmp_path):
+    """Ranges of files give what a plain loop over the whole files gives; an odd byte and an empty file add nothing."""
+    r = random.Random(4)
+    wanted = []
+    for name, n, odd in (("a", 5000, b""), ("b c", 1, b"x"), ("d", 777, b"y"), ("e", 0, b"")):
+        own = [r.choice([9, 1, 2, 3, 4, 5, 6, 7]) for _ in range(n)] + ([9] if n else [])
+        (tmp_path / name).write_bytes(np.array(own, "<u2").tobytes() + odd)
+        run = 0
+        for t in own:
+            wanted, run = (wanted + [run], 0) if t == 9 else (wanted, run + 1)
+    for size in (3, 64, 100_000):
+        rows = K.token_files(spark, str(tmp_path), block_tokens=size)
+        assert max(len(x["payload"]) for x in rows.collect()) <= 2 * size
+        assert sorted(x["n_tokens"] for x in K.count_tokens(rows, 9).collect()) == sorted(wanted)
+
+
+def test_query_equals_the_tokenizer(spark, tmp_path):
+    texts = ["one two", None, "", "long " * 50_000, "é ñ", "one two"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    encoding = K.Vocabulary(spark, K.VOCABULARY).encoding()
+    got = sorted(map(tuple, K.op1_tokens(spark, str(tmp_path)).collect()))
+    assert got == [(i, len(encoding.encode_ordinary(t or ""))) for i, t in enumerate(texts)]
