@@ -9,7 +9,8 @@ of any such file and decodes its sample tables with array arithmetic; it reads b
 
 Defined cases: a null or empty payload is stored as one frame of padding; values are padded with byte 255 to whole frames; a file
 that is cut short or is no ISO media file gets an empty list of tracks; a track without an stss box has only keyframes; an empty
-table gives an empty table; columns beyond those named are kept out, so their names can't clash; equal payloads give equal files.
+table gives an empty table; counts that a file states are bounded by what its boxes and its length can hold, and samples beyond the file's
+length in sum are left out, so a damaged file never takes more memory than a few times its size; columns beyond those named are kept out, so their names can't clash; equal payloads give equal files.
 """
 
 from __future__ import annotations
@@ -121,15 +122,26 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
 
 
 def leaves(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
-    """All boxes below a range in order, containers before what they hold."""
-    for kind, a, b in boxes(data, start, end):
-        yield kind, a, b
-        if kind in CONTAINERS:
-            yield from leaves(data, a, b)
+    """All boxes below a range in order, containers before what they hold, however deep."""
+    open_ranges = [boxes(data, start, end)]
+    while open_ranges:
+        found = next(open_ranges[-1], None)
+        if found is None:
+            open_ranges.pop()
+            continue
+        yield found
+        if found[0] in CONTAINERS:
+            open_ranges.append(boxes(data, *found[1:]))
 
 
-def decode(data: memoryview, found: dict[bytes, tuple[int, int]]) -> Track:
-    """A track from the places of its boxes."""
+def spread(values: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """The values, each repeated, but no more than n in all."""
+    ends = np.minimum(np.cumsum(np.minimum(counts, n)), n)
+    return np.repeat(values, np.diff(ends, prepend=0))
+
+
+def decode(data: memoryview, found: dict[bytes, tuple[int, int]], most: int) -> Track:
+    """A track from the places of its boxes; of its samples those whose sizes, at least one byte each, are at most ``most`` in sum."""
 
     def rows(kind: bytes, form: str, width: int, skip: int = 4) -> np.ndarray:
         if kind not in found:
@@ -149,22 +161,23 @@ def decode(data: memoryview, found: dict[bytes, tuple[int, int]]) -> Track:
     if b"stsz" in found:
         a, b = found[b"stsz"]
         same, n = struct.unpack_from(">II", data, a + 4)
-        track.sizes = np.full(n, same, np.int64) if same else rows(b"stsz", ">u4", 1, 8)[:, 0]
+        track.sizes = np.full(min(n, most // same), same, np.int64) if same else rows(b"stsz", ">u4", 1, 8)[:, 0]
+        track.sizes = track.sizes[np.cumsum(np.maximum(track.sizes, 1)) <= most]
     n = len(track.sizes)
     chunk_at = rows(b"co64", ">u8", 1)[:, 0] if b"co64" in found else rows(b"stco", ">u4", 1)[:, 0]
     runs = rows(b"stsc", ">u4", 3)
     if n and len(chunk_at) and len(runs):
-        each = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunk_at) + 1)))[: len(chunk_at)]
-        chunk = np.repeat(np.arange(len(each)), each)[:n]
+        each = spread(runs[:, 1], np.diff(np.append(np.clip(runs[:, 0], 1, len(chunk_at) + 1), len(chunk_at) + 1)), len(chunk_at))
+        chunk = spread(np.arange(len(each)), each, n)
         ahead = np.concatenate(([0], np.cumsum(track.sizes)))[: len(chunk)]
-        first = np.concatenate(([0], np.cumsum(each)))[chunk]
+        first = np.concatenate(([0], np.cumsum(np.minimum(each, n))))[chunk]
         track.sizes = track.sizes[: len(chunk)]
-        track.offsets = chunk_at[chunk] + ahead - ahead[first]
+        track.offsets = np.clip(chunk_at, 0, len(data))[chunk] + ahead - ahead[first]
     else:
-        track.sizes = track.sizes[:0]
+        track.sizes = np.empty(0, np.int64)
     n = len(track.sizes)
     steps = rows(b"stts", ">u4", 2)
-    track.times = np.concatenate(([0], np.cumsum(np.repeat(steps[:, 1], steps[:, 0]))))[:n]
+    track.times = np.concatenate(([0], np.cumsum(spread(steps[:, 1], steps[:, 0], n))))[:n]
     track.keys = np.arange(n) if b"stss" not in found else (k := rows(b"stss", ">u4", 1)[:, 0] - 1)[(k >= 0) & (k < n)]
     return track
 
@@ -172,14 +185,17 @@ def decode(data: memoryview, found: dict[bytes, tuple[int, int]]) -> Track:
 def probe(data: bytes | None) -> list[Track]:
     """The tracks of a file, without reading its payload."""
     view, tracks = memoryview(data or b""), []
+    left = len(view)
     for kind, a, b in boxes(view, 0, len(view)):
         if kind == b"moov":
             for inner, c, d in boxes(view, a, b):
                 if inner == b"trak":
                     try:
-                        tracks.append(decode(view, {k: (x, y) for k, x, y in leaves(view, c, d)}))
+                        track = decode(view, {k: (x, y) for k, x, y in leaves(view, c, d)}, left)
                     except (struct.error, ValueError, IndexError):
                         continue
+                    tracks.append(track)
+                    left -= int(np.maximum(track.sizes, 1).sum())
     return tracks
 
 

@@ -71,3 +71,38 @@ def test_columns(spark):
         r = got[i, len((t or "").encode())]
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
     assert M.media_column(docs.limit(0), "doc_id", "text").count() == 0
+
+
+def test_stated_counts_are_bounded():
+    """Counts of 2**32 - 1 in any table, and thousands of nested boxes, neither fail nor take memory."""
+    import resource
+
+    data = M.write_movie(b"payload " * 400)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for kind, skip in ((b"stsz", 12), (b"stts", 8), (b"stts", 12), (b"stsc", 8), (b"stsc", 12), (b"stsc", 16), (b"stss", 8), (b"stco", 8), (b"stco", 12), (b"stsz", 8)):
+        at = data.index(kind) + 4
+        for value in (b"\xff\xff\xff\xff", b"\x7f\xff\xff\xff", b"\0\0\0\0", b"\0\0\0\1"):
+            broken = data[: at + skip - 4] + value + data[at + skip :]
+            for track in M.probe(broken):
+                assert len(track.sizes) <= len(broken) and len(M.read_payload(broken, track)) <= len(broken)
+    deep = b""
+    for _ in range(5000):
+        deep = M.box(b"udta", deep)
+    assert [t.codec for t in M.probe(M.box(b"moov", M.box(b"trak", deep)))] == [""]
+    many = M.box(b"moov", *([M.box(b"trak", M.box(b"stbl", M.full_box(b"stsz", 0, 0, b"\0\0\0\1\xff\xff\xff\xff")))] * 3000))
+    assert sum(len(t.sizes) for t in M.probe(many)) <= len(many)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    texts = ["text é", None, "", "x" * 575, "x" * 576, "long " * 100_000, "text é"]
+    spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, media int").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r for r in M.op2_media(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        stored = M.write_movie(raw)
+        assert tuple(rows[i])[1:7] == (len(raw), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), sha256(stored).hexdigest())
+        frames = len(payload) // 576
+        keys = ",".join(f"{len(stored) - len(payload) + 576 * k}+576" for k in range(0, frames, 16))
+        assert rows[i]["feature"] == f"codec=raw;timescale=25;duration={frames};samples={frames};keyframes={keys}"
