@@ -6,11 +6,12 @@ means that no word, however frequent, gathers in one place, and that building it
 
 A query window of words is searched in a segment from its rarest term: that term's positions, less its offset in the window, are
 the candidates, and they are intersected with the offset-adjusted lists of the other terms, rarest first, until none is left. A
-window with a term that the segment lacks costs nothing. ``Segment.phrase`` gives exact phrases, ``Segment.near`` the shortest
-stretches that hold all terms within a width.
+window with a term that the segment lacks costs nothing. ``Segment.phrase`` gives exact phrases (``find_items``), ``Segment.near`` the shortest
+stretches that hold all terms within a width (``find_near``).
 
-Benchmark items go to the workers in passes of about ``PASS_BYTES`` of text; each pass reads the stored index once and the hits of
-all passes are merged by document. Defined cases: null and empty texts have no words and no hits; an item without words has no
+Benchmark items go to the workers in passes of about ``PASS_BYTES`` of text and ``PASS_WINDOWS`` windows (some 100 bytes each); an item with more
+windows is cut into pieces that share all but one word of a window, which leaves its windows as they are. Each pass reads the stored index
+once and the hits of all passes are merged by document. Defined cases: null and empty texts have no words and no hits; an item without words has no
 window; rows that repeat count each; item_ids that repeat count once, a null one is the text "null"; empty tables give no hits or
 no rows; columns beyond those named are ignored, so their names can't clash.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from phylospark.llm._shared import slices, small_batches, stage
 
 WINDOW = 10
-PASS_BYTES = 16 << 20
+PASS_BYTES, PASS_WINDOWS = 16 << 20, 200_000
 
 #: Lower case for A-Z, and a space for every byte that isn't part of a word: those outside 0-9, a-z and bytes from 128.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -126,16 +127,20 @@ class Windows:
     """The distinct windows of some items: rows of term numbers for each length, and the items that have each window."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
-        seen: dict[tuple[bytes, ...], set[str]] = {}
+        self.terms: dict[bytes, int] = {}
+        self.names = sorted({item for item, _ in items})
+        number = {item: i for i, item in enumerate(self.names)}
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item, text in items:
-            own = words(text or b"")
-            for i in range(max(1, len(own) - window + 1)) if own else ():
-                seen.setdefault(tuple(own[i : i + window]), set()).add(item)
-        self.terms = {t: i for i, t in enumerate(sorted({t for w in seen for t in w}))}
-        self.by_length: list[tuple[np.ndarray, list[set[str]]]] = []
-        for n in sorted({len(w) for w in seen}):
-            own = sorted(w for w in seen if len(w) == n)
-            self.by_length.append((np.array([[self.terms[t] for t in w] for w in own], np.int32), [seen[w] for w in own]))
+            codes = np.array([self.terms.setdefault(w, len(self.terms)) for w in words(text or b"")], np.int32)
+            n = min(window, len(codes))
+            if n:
+                found.setdefault(n, []).append((np.lib.stride_tricks.sliding_window_view(codes, n), number[item]))
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # windows, the first of each one's owners, owners
+        for _, own in sorted(found.items()):
+            rows, place = np.unique(np.concatenate([r for r, _ in own]), axis=0, return_inverse=True)
+            owner = np.repeat([i for _, i in own], [len(r) for r, _ in own]).astype(np.int32)
+            self.by_length.append((rows, np.append(0, np.cumsum(np.bincount(place.ravel(), minlength=len(rows)))), owner[np.argsort(place.ravel(), kind="stable")]))
 
     def search(self, segment: Segment) -> list[tuple[int, int, set[str]]]:
         """(position, length, items) of every window that occurs in the segment."""
@@ -145,10 +150,14 @@ class Windows:
             if own is not None:
                 place[own] = at
         found = []
-        for rows, items in self.by_length:
-            places = place[rows]
-            for i in np.flatnonzero((places >= 0).all(1)).tolist():
-                found += [(p, rows.shape[1], items[i]) for p in segment.phrase(places[i]).tolist()]
+        for rows, first, owner in self.by_length:
+            for at in range(0, len(rows), 1 << 15):
+                places = place[rows[at : at + (1 << 15)]]
+                for i in np.flatnonzero((places >= 0).all(1)).tolist():
+                    here = segment.phrase(places[i]).tolist()
+                    if here:
+                        items = {self.names[k] for k in owner[first[at + i] : first[at + i + 1]].tolist()}
+                        found += [(p, rows.shape[1], items) for p in here]
         return found
 
 
@@ -227,18 +236,61 @@ def merged(passes: list[DataFrame]) -> DataFrame:
     return rows.withColumn("spans", united("spans"))
 
 
-def find_items(index: DataFrame, benchmark: DataFrame, item: str, text: str, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
+def pieces(items: DataFrame, window: int, most: int) -> DataFrame:
+    """(item, text, windows) of items (item, text): those of more than ``most`` windows in pieces of so many."""
+
+    def cut(batches):
+        for batch in slices(batches, "text"):
+            out = []
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own = words(text)
+                for at in range(0, max(1, len(own) - window + 1), most):
+                    part = own[at : at + most + window - 1]
+                    out.append((item, b" ".join(part), max(1, len(part) - window + 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.binary(), pa.int64()), strict=True)], ["item", "text", "windows"])
+
+    return items.mapInArrow(cut, "item string, text binary, windows bigint")
+
+
+def find_items(index: DataFrame, benchmark: DataFrame, item: str, text: str, window: int = WINDOW, pass_bytes: int = PASS_BYTES, pass_windows: int = PASS_WINDOWS) -> DataFrame:
     """The documents of an index with their hit words and items; see ``search_pass``."""
     items = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
-    n = max(1, -(-total // pass_bytes))
+    items = stage(pieces(items, window, pass_windows), "items")
+    size, windows = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum("windows"), F.lit(0))).collect()[0]
+    n = max(1, -(-size // pass_bytes), -(-windows // pass_windows))
     passes = []
     for i in range(n):
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).collect()  # pass_bytes, about
+        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).collect()  # pass_bytes and pass_windows, about
         passes.append(search_pass(index, Windows([(r["item"], bytes(r["text"])) for r in own], window)))
     return merged(passes)
 
 
+def find_near(index: DataFrame, queries: DataFrame, query: str, terms: str, width: int, max_bytes: int = PASS_BYTES) -> DataFrame:
+    """(query, segment, place, key, n_near): documents of an index that hold all terms (an array of words) of a query within ``width`` words,
+    and how many shortest such stretches. A query without terms finds nothing; queries of more than ``max_bytes`` raise an error."""
+    own = queries.select(F.col(f"`{query}`").cast("string").alias("query"), F.col(f"`{terms}`").alias("terms"))
+    if (own.agg(F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "terms"))), F.lit(0))).collect()[0][0] or 0) > max_bytes:
+        raise ValueError(f"queries of more than {max_bytes} bytes")
+    shared = index.sparkSession.sparkContext.broadcast([(r["query"], sorted({w.encode() for w in r["terms"] or () if w})) for r in own.collect()])
+    key = index.schema["keys"].dataType.elementType
+
+    def search(batches):
+        for batch in slices(batches, "postings"):
+            for name, keys, *stored in zip(*(batch.column(c) for c in ("segment", "keys", "starts", "terms", "counts", "postings")), strict=True):
+                segment = Segment.read(*(x.as_py() for x in stored))
+                out = []
+                for label, words in shared.value:
+                    found = segment.near(words, width)
+                    if found:
+                        docs, n = np.unique(np.searchsorted(segment.starts, [a for a, _ in found], "right") - 1, return_counts=True)
+                        out += [(label, name.as_py(), d, int(k)) for d, k in zip(docs.tolist(), n.tolist(), strict=True)]
+                if out:
+                    labels, names, places, n = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(names, pa.string()), pa.array(places, pa.int32()), keys.values.take(pa.array(places)), pa.array(n, pa.int64())], ["query", "segment", "place", "key", "n_near"])
+
+    return index.mapInArrow(search, f"query string, segment string, place int, key {key.simpleString()}, n_near bigint")
+
+
 def n_hit(spans="spans"):
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
 
@@ -251,6 +303,41 @@ def op6_decontamination(spark, sf_dir: str) -> DataFrame:
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
+NEAR_TERMS, NEAR_WIDTH = 3, 8
+
+
+def near_terms(spark, sf_dir: str) -> DataFrame:
+    """Documents that hold the first three different words of a benchmark item within eight words, and how often."""
+    docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    own = F.array_distinct(F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), 0))
+    queries = benchmark.select("item_id", F.slice(own, 1, NEAR_TERMS).alias("terms"))
+    found = find_near(build_index(docs, "doc_id", "text"), queries, "item_id", "terms", NEAR_WIDTH)
+    return found.select(F.col("query").alias("item_id"), F.col("key").alias("doc_id"), "n_near")
+
+
+#: A stretch from each term's place to the farthest of the terms' next places; it is a shortest one if the next place's ends later.
+NEAR_SQL = rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), t AS (
+  SELECT item_id, word, row_number() OVER (PARTITION BY item_id ORDER BY i) AS k FROM (SELECT item_id, word, min(i) AS i FROM (SELECT item_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM b) GROUP BY item_id, word)
+), q AS (
+  SELECT item_id, word, k, max(k) OVER (PARTITION BY item_id) AS n FROM t WHERE k <= {NEAR_TERMS}
+), p AS (
+  SELECT r, doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM w
+), h AS (
+  SELECT q.item_id, q.n, p.r, p.doc_id, p.pos, {", ".join(f"min(CASE WHEN q.k = {k} THEN p.pos END) OVER ahead AS p{k}" for k in range(1, NEAR_TERMS + 1))} FROM p JOIN q USING (word)
+  WINDOW ahead AS (PARTITION BY q.item_id, p.r ORDER BY p.pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), s AS (
+  SELECT *, CASE WHEN {" AND ".join(f"(n < {k} OR p{k} IS NOT NULL)" for k in range(1, NEAR_TERMS + 1))} THEN greatest({", ".join(f"coalesce(p{k}, 0)" for k in range(1, NEAR_TERMS + 1))}) END AS last FROM h
+), e AS (
+  SELECT *, lead(last) OVER (PARTITION BY item_id, r ORDER BY pos) AS next FROM s
+)
+SELECT item_id::VARCHAR AS item_id, doc_id, count(*) AS n_near FROM e WHERE last - pos < {NEAR_WIDTH} AND (next IS NULL OR next > last) GROUP BY item_id, r, doc_id
+"""
+
 OP6_SQL = r"""
 WITH w AS (
   SELECT row_number() OVER () AS r, doc_id,

@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from phylospark.llm.decontamination import OP6_SQL, op6_decontamination
+from phylospark.llm.decontamination import NEAR_SQL, OP6_SQL, near_terms, op6_decontamination
 from phylospark.llm.extraction import op4_extraction
 from phylospark.llm.media import op2_media
 from phylospark.llm.mixing import OP7_SQL, op7_mixing
@@ -18,6 +18,7 @@ QUERIES = {
     "op4_extraction": op4_extraction,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
+    "near_terms": near_terms,
     "op7_mixing": op7_mixing,
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
@@ -26,5 +27,6 @@ QUERIES = {
 
 ORACLES = {
     "op6_decontamination": OP6_SQL,
+    "near_terms": NEAR_SQL,
     "op7_mixing": OP7_SQL,
 }

@@ -64,6 +64,50 @@ def test_query_equals_sql(spark, tmp_path):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, con.execute(f"SELECT {', '.join(got.columns)} FROM ({D.OP6_SQL})").fetchall()))
 
 
+@pytest.mark.parametrize("most", [1, 3, 50])
+def test_items_in_pieces(spark, most):
+    """Bounds of windows below those of an item change nothing."""
+    docs, items = case(3)
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(2)
+    found = D.find_items(D.build_index(table, "doc_id", "text"), spark.createDataFrame(items, "item_id string, text string").repartition(2), "item_id", "text", pass_windows=most * 40)
+    cut = D.pieces(spark.createDataFrame([(i, bytearray((t or "").encode())) for i, t in items], "item string, text binary"), 10, most).collect()
+    assert max(r["windows"] for r in cut) <= most
+    both = [sorted({tuple(w[i : i + 10]) for t in own for w in [D.words(t)] for i in range(max(1, len(w) - 9))}) for own in ([bytes(r["text"]) for r in cut], [(t or "").encode() for _, t in items])]
+    assert both[0] == both[1]
+    got = {r["key"]: (r["n_words"], sum(s["b"] - s["a"] for s in r["spans"]), r["items"]) for r in found.collect()}
+    assert [got[i] for i in range(len(docs))] == plain(docs, items)
+
+
+def test_windows_take_little_memory():
+    import tracemalloc
+
+    r = random.Random(1)
+    items = [(str(i), " ".join(f"w{r.randint(0, 50_000)}" for _ in range(1000)).encode()) for i in range(100)]
+    tracemalloc.start()
+    D.Windows(items)
+    assert tracemalloc.get_traced_memory()[1] < 100_000 * 400
+    tracemalloc.stop()
+
+
+def test_near_equals_sql(spark, tmp_path):
+    docs, items = case(5)
+    con = duckdb.connect()
+    for name, rows, kind in (("documents", [*enumerate(docs), (3, docs[3]), (None, "the of and"), (90, "the of " * 30_000)], "doc_id long, text string"), ("benchmark", [(int(i), t) for i, t in items if i != "7"], "item_id long, text string")):
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = D.near_terms(spark, str(tmp_path))
+    wanted = con.execute(f"SELECT {', '.join(got.columns)} FROM ({D.NEAR_SQL})").fetchall()
+    assert len(wanted) > 20 and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, wanted))
+
+
+def test_very_long_text(spark):
+    text = "some word " * 200_000 + "one two three four five six seven eight nine ten eleven"
+    index = D.build_index(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text")
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    (row,) = D.find_items(index, items, "item_id", "text").collect()
+    assert (row["n_words"], [tuple(s) for s in row["spans"]], row["items"]) == (400_011, [(400_000, 400_010)], ["1"])
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     some = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
