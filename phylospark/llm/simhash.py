@@ -22,7 +22,7 @@ into pieces of half of ``MAX_BUCKET``, and every pair of pieces is searched by a
 
 Components: the links of all parts are joined by large-star and small-star steps, each written to the shared folder, until
 nothing changes. Documents of one text or fingerprint are one node from the start, so copies cost nothing. Joins by fingerprint or root
-take keys that hold over a ``HOT``-th of all rows (fewer than ``HOT`` such keys can be) from a broadcast, so no task gathers a hot one.
+take keys that hold over a thousandth of all rows (fewer than a thousand such keys can be) from a broadcast, so no task gathers a hot one.
 
 Defined cases: null and empty texts have fingerprint zero, which links like any other; a text of fewer words than a shingle hashes
 as one; repeated rows keep a row each; a null key can't be the smallest of its component unless all are null; an empty table gives
@@ -42,14 +42,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from phylospark.llm._shared import discard, fresh, slices, small_batches, stage
+from phylospark.llm._shared import discard, fresh, join_hot, slices, small_batches, stage, without
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Members of a leaf, children of a node, pairs of nodes followed at once.
 LEAF, FANOUT, PAIRS = 8, 8, 4096
 #: Fingerprints of a part on average and at most, those that agree in a table's blocks on average, and times that large parts are dealt again.
 PART, MAX_BUCKET, PER_TABLE, ROUNDS = 8192, 50_000, 256, 2
-HOT = 1000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -295,7 +294,7 @@ def links_within(rows: DataFrame, limit: int, masks: list[Table]) -> DataFrame:
 def pieces(rows: DataFrame, large: DataFrame, max_bucket: int) -> DataFrame:
     """Rows of buckets of any size (large: bucket, n) as buckets of at most about max_bucket rows: one for each pair of pieces of a bucket."""
     large = large.withColumn("k", F.ceil(2 * F.col("n") / max_bucket).cast("int") + 1)
-    own = join_hot(rows, large, "bucket").withColumn("p", F.pmod(F.xxhash64(F.lit("piece"), "fp"), F.col("k")).cast("int"))
+    own = join_hot(rows, large, ["bucket"]).withColumn("p", F.pmod(F.xxhash64(F.lit("piece"), "fp"), F.col("k")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda q: F.struct(F.least(q, F.col("p")).alias("i"), F.greatest(q, F.col("p")).alias("j"))))
     own = own.withColumn("pair", pair).where("k = 1 OR pair.i <> pair.j")  # a piece meets itself in any of its pairs
     return own.select(F.xxhash64("bucket", "pair.i", "pair.j").alias("bucket"), "t", "fp")
@@ -312,35 +311,16 @@ def all_links(fps: DataFrame, limit: int = DISTANCE, max_bucket: int = MAX_BUCKE
         rows = dealt(fps, masks, bits)
         large = stage(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_bucket), "large")
         some = not large.isEmpty()
-        own = links_within(without(rows, large, "bucket") if some else rows, limit, masks)
+        own = links_within(without(rows, large, ["bucket"]) if some else rows, limit, masks)
         out = own if out is None else out.unionByName(own)
         if not some:
             return out
         if turn == ROUNDS:
             return out.unionByName(links_within(pieces(rows, large, max_bucket), limit, masks))
-        fps = stage(join_hot(rows, large, "bucket").select("fp").distinct(), "again")
+        fps = stage(join_hot(rows, large, ["bucket"]).select("fp").distinct(), "again")
         agree, bits = 2 * agree, 64  # all bits of the tables' blocks
 
 
-def by_heat(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A staged table that has one row a key and, in n, how many rows hold it: the keys that hold over a ``HOT``-th of all those rows,
-    which are fewer than ``HOT``, to be broadcast; and the others."""
-    total = table.agg(F.sum("n")).first()[0] or 0
-    return F.broadcast(table.where(F.col("n") * HOT > total).drop("n")), table.where(F.col("n") * HOT <= total).drop("n")
-
-
-def join_hot(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """rows joined with such a table; no task gathers the rows of a hot key."""
-    hot, rest = by_heat(table)
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
-
-
-def without(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is not in such a table."""
-    hot, rest = by_heat(table)
-    return rows.join(hot.select(key), key, "left_anti").join(rest.select(key), key, "left_anti")
-
-
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node with a link; root is the smallest signed value of its component. links: (a, b)."""
     edges = stage(links.where("a <> b").distinct(), "links")
@@ -348,11 +328,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large star: every larger neighbour moves to the smallest of the neighbourhood
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
-        large = stage(join_hot(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        large = stage(join_hot(both.where("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # small star: the smaller neighbours and the node itself move to the smallest of them
         down = large.where("b < a")
         low = stage(down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "low")
-        small = join_hot(down, low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
+        small = join_hot(down, low, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
         after = stage(small, "links")
         same = after.count() == edges.count() and after.join(edges, ["a", "b"], "left_anti").isEmpty()
         for used in (edges, least, large, low):
@@ -380,8 +360,8 @@ def near_duplicates(docs: DataFrame, key: str, text: str, limit: int = DISTANCE,
     roots = components(all_links(nodes.select("fp"), limit))
     nodes = stage(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     least = stage(nodes.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("n")), "least")
-    named = stage(join_hot(nodes, least, "root").select("fp", "root", "component", F.col("rows").alias("n")), "components")
-    return join_hot(own, named, "fp").select(F.col("key").alias(key), "fp", "root", "component")
+    named = stage(join_hot(nodes, least, ["root"]).select("fp", "root", "component", F.col("rows").alias("n")), "components")
+    return join_hot(own, named, ["fp"]).select(F.col("key").alias(key), "fp", "root", "component")
 
 
 def keep_one(docs: DataFrame, key: str, text: str, limit: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:

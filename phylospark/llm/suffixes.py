@@ -4,7 +4,7 @@ The order of suffixes is built column by column, as in external multi-document c
 front of the current suffix of every string, orders the suffixes by that symbol and their former rank (the symbols read in former
 order are that column of the Burrows-Wheeler transform), and updates the common prefixes of neighbours: one more than the least
 common prefix between their former places, or none where the symbols differ. Symbols come column after column from a sequential
-file, and each round needs only the last one's order and prefixes, so memory is a few arrays of one value a string. A suffix whose
+store, and each round needs only the last one's order and prefixes, so memory is a few arrays of one value a string. A suffix whose
 common prefix with a neighbour reaches 200 begins a repeated string.
 
 One such construction over all of a corpus would need a round for each byte of its longest text, one after the other. So the
@@ -12,11 +12,17 @@ collection is first cut where equal strings fall together. Every string of 200 b
 hash; equal strings have equal anchors at the same offset. A document's strings with one anchor are a stretch around it, a segment
 of at most 368 bytes. Anchors that occur once in the corpus are dropped; segments around the others are dealt by the anchor, equal
 segments once with a count, and aligned at it. Equal strings then begin in the same column, so comparing suffixes within each
-column finds every repeat, in at most 368 rounds however long the texts are. No hash decides that two strings are equal: the bytes
-do, by their common prefixes. (Equal texts and equal segments are found by 128-bit hashes.)
+column finds every repeat, in at most 368 rounds however long the texts are. Only one column's order and transform exist at a time: columns are not merged
+into one order of the whole collection, as suffixes of different columns are never equal for 200 bytes. No hash decides that two strings are
+equal: the bytes do, by their common prefixes. (Equal texts and equal segments are found by 128-bit hashes.)
 
-An anchor with more than ``MAX_GROUP`` different segments is dealt on by its single strings, which gives the same answer; nothing
-is capped.
+An anchor with more than ``MAX_GROUP`` different segments is dealt on by halves of its columns: all strings that begin in a range of w
+columns hold the 200 - w bytes between its last start and its first end, so segments that differ there have no equal string in the range and
+may part. Each half is the same construction over its columns, and what is still too large is halved again, ``HALVINGS`` times; single strings of
+groups that no halving parts are counted by their bytes. Every way gives the same answer and nothing is capped.
+
+Copies of a text are one text before it is cut, and joins take what belongs to hot texts, anchors and segments from a broadcast, so
+no task gathers their rows.
 
 Defined cases: null and empty texts have 0 bytes; texts under 200 bytes keep all; a text that occurs twice and has 200 bytes or more
 goes whole; repeats inside one text count, overlapping or not; a null key is kept; an empty table gives an empty result; columns beyond the
@@ -26,19 +32,22 @@ key and the text are ignored, so their names can't clash.
 from __future__ import annotations
 
 import gc
-import tempfile
+import struct
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from phylospark.llm._shared import discard, slices, small_batches, stage
+from phylospark.llm._shared import discard, join_hot, slices, small_batches, stage, without
 
 LENGTH, PIECE = 200, 32
 #: Strings built together, segments of one anchor that stay together, and bytes of text hashed together.
-STRINGS, MAX_GROUP, PART = 20_000, 200_000, 256 << 10
+STRINGS, MAX_GROUP, PART = 20_000, 50_000, 256 << 10
+#: Times that the columns of too large groups are halved; runs of one text that a broadcast takes at most.
+HALVINGS, MAX_RUNS = 4, 4096
 #: A byte that UTF-8 never has; it ends a string and equals nothing.
 END = 255
 
@@ -117,37 +126,33 @@ def anchors_of(parts: list[tuple[int, int, bytes]], length: int, piece: int) ->
 
 
 class Columns:
-    """Strings of symbols, aligned at a column, read column by column from the right; kept in a sequential file when large."""
+    """Strings of symbols, aligned at a column, read column by column from the right; packed in sequence when large."""
 
     def __init__(self, strings: list[bytes], before: list[int], memory: int = 32 << 20):
         """before: symbols of each string ahead of the column of alignment."""
         self.n, lead = len(strings), max(before)
         self.width = lead + max(len(s) - b for s, b in zip(strings, before, strict=True))
         self.first = -lead
-        self.file = tempfile.TemporaryFile() if self.n * self.width > memory else None  # noqa: SIM115  (closed by its end)
         starts = [lead - b for b in before]
-        if not self.file:
-            rows = np.full((self.n, self.width), END, np.uint8)
-            for row, s, a in zip(rows, strings, starts, strict=True):
-                row[a : a + len(s)] = np.frombuffer(s, np.uint8)
-            self.table = np.ascontiguousarray(rows.T)
-            return
-        wide = max(1, memory // self.n)  # so many columns are laid out and written at a time
-        for c in range(0, self.width, wide):
-            rows = np.full((self.n, min(wide, self.width - c)), END, np.uint8)
+        self.wide = max(1, memory // max(1, self.n))  # so many columns are laid out at a time
+        self.blocks: list[np.ndarray | bytes] = []
+        pack = zstandard.ZstdCompressor(level=1).compress if self.wide < self.width else None
+        for c in range(0, self.width, self.wide):
+            rows = np.full((self.n, min(self.wide, self.width - c)), END, np.uint8)
             for row, s, a in zip(rows, strings, starts, strict=True):
                 own = np.frombuffer(s, np.uint8)[max(0, c - a) : max(0, c + rows.shape[1] - a)]
                 row[max(0, a - c) : max(0, a - c) + len(own)] = own
-            self.file.write(np.ascontiguousarray(rows.T).tobytes())
+            columns = np.ascontiguousarray(rows.T)
+            self.blocks.append(pack(columns) if pack else columns)
 
     def __iter__(self):
         """(column, symbols), from the last column to the first."""
-        for c in range(self.width - 1, -1, -1):
-            if self.file:
-                self.file.seek(c * self.n)
-                yield c + self.first, np.frombuffer(self.file.read(self.n), np.uint8)
-            else:
-                yield c + self.first, self.table[c]
+        for k in range(len(self.blocks) - 1, -1, -1):
+            block = self.blocks[k]
+            if isinstance(block, bytes):
+                block = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8).reshape(-1, self.n)
+            for c in range(len(block) - 1, -1, -1):
+                yield self.first + k * self.wide + c, block[c]
 
 
 def least_between(prefixes: np.ndarray, after: np.ndarray, upto: np.ndarray) -> np.ndarray:
@@ -224,29 +229,21 @@ def shared_anchors(rows: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(own[edge].view(np.int64)), batch.column("h1").take(take), batch.column("h2").take(take), pa.array(n.astype(np.int32))], ["anchor", "h1", "h2", "n"])
 
     found = rows.where(F.octet_length("text") >= length).mapInArrow(emit, "anchor bigint, h1 bigint, h2 bigint, n int")
-    often = found.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    return found.select("anchor", "h1", "h2").join(often, "anchor").groupBy("h1", "h2").agg(F.collect_set("anchor").alias("hits"))
+    often = stage(found.groupBy("anchor").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("n")).where("all > 1").drop("all"), "often")
+    return join_hot(found.select("anchor", "h1", "h2"), often, ["anchor"]).groupBy("h1", "h2").agg(F.collect_set("anchor").alias("hits"))
 
 
 def segments(rows: DataFrame, hits: DataFrame, length: int) -> DataFrame:
-    """(h1, h2, start, s1, s2, anchor, before, segment, n): the stretch of text around every shared anchor; staged."""
-    copies = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"))
-    wanted = rows.join(hits.join(copies, ["h1", "h2"]), ["h1", "h2"])
+    """(h1, h2, start, s1, s2, anchor, before, segment, n): the stretch of text around every shared anchor, n copies of it; staged."""
+    texts = rows.groupBy("h1", "h2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))  # copies are one before they leave a task
     names = ["h1", "h2", "start", "s1", "s2", "anchor", "before", "segment", "n"]
 
     def cut(batches):
-        seen: set[tuple[int, int]] = set()
         for whole in batches:
             for batch in slices(iter([whole]), "text"):
                 texts = batch.column("text").to_pylist()
                 keys = list(zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), strict=True))
                 copies = batch.column("copies").to_pylist()
-                for i, k in enumerate(keys):  # a copy that this task has met adds nothing: its count is known
-                    if copies[i] > 1:
-                        texts[i] = b"" if k in seen else texts[i]
-                        seen.add(k)
-                if len(seen) > 1_000_000:
-                    seen.clear()
                 text, own, at, first, last = anchors(texts, length)
                 hit = batch.column("hits")
                 wanted = np.zeros(len(own), bool)
@@ -263,25 +260,49 @@ def segments(rows: DataFrame, hits: DataFrame, length: int) -> DataFrame:
                     types = [pa.int64()] * 6 + [pa.int32(), pa.binary(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return stage(wanted.select("h1", "h2", "text", "hits", "copies").mapInArrow(cut, "h1 bigint, h2 bigint, start bigint, s1 bigint, s2 bigint, anchor bigint, before int, segment binary, n bigint"), "segments")
+    wanted = texts.join(hits, ["h1", "h2"]).select("h1", "h2", "text", "hits", "copies")
+    return stage(wanted.mapInArrow(cut, "h1 bigint, h2 bigint, start bigint, s1 bigint, s2 bigint, anchor bigint, before int, segment binary, n bigint"), "segments")
+
+
+GROUPED = "group bigint, s1 bigint, s2 bigint, before int, segment binary, n bigint, rows bigint, low int, high int"
+
+
+def halves(rows: DataFrame, length: int) -> DataFrame:
+    """Rows of groups (columns low to high) in a group for each half of the columns and each content that all its strings hold."""
+    kind = [pa.int64()] * 3 + [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    names = [x.split()[0] for x in GROUPED.split(", ")]
+
+    def part(batches):
+        for batch in slices(batches, "segment"):
+            out = []
+            for group, s1, s2, before, s, n, k, low, high in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    first, last = max(a, -before), min(b, len(s) - length - before)  # columns in which a string of this segment begins
+                    if first <= last:
+                        content = s[before + b : before + a + length]
+                        out.append((xxh3_64_intdigest(content + struct.pack("<qii", group, a, b)) - (1 << 63), s1, s2, before, s, n, k, a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kind, strict=True)], names)
+
+    return rows.mapInArrow(part, GROUPED)
 
 
 def repeated_starts(found: DataFrame, length: int, max_group: int) -> DataFrame:
-    """(s1, s2, marks) of every different segment in which a repeated string begins."""
-    single = found.groupBy("s1", "s2").agg(F.sum("n").alias("n"), F.first("anchor").alias("anchor"), F.first("before").alias("before"), F.first("segment").alias("segment"))
+    """(s1, s2, marks, n) of every different segment in which a repeated string begins; a segment may have several rows, n is how many it stands for."""
+    single = found.groupBy("s1", "s2").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.first("anchor").alias("group"), F.first("before").alias("before"), F.first("segment").alias("segment"))
     single = stage(single, "strings")
     release(found.sparkSession)
-    large = single.groupBy("anchor").count().where(F.col("count") > max_group).select("anchor")
-    hot = not large.isEmpty()
-    usual = single.join(large, "anchor", "left_anti") if hot else single
 
     def build(batches):
         held: list[pa.RecordBatch] = []
         size = 0
 
         def done(rows):
+            pairs = zip(rows.column("s1").to_pylist(), rows.column("s2").to_pylist(), strict=True)
+            rows = rows.take(pa.array(list({p: i for i, p in enumerate(pairs)}.values())))  # a segment of several groups is one string here
             marks = repeats(*(rows.column(c).to_pylist() for c in ("segment", "before", "n")), length)
-            return pa.RecordBatch.from_arrays([rows.column("s1"), rows.column("s2"), pa.array(marks, pa.binary())], ["s1", "s2", "marks"])
+            return pa.RecordBatch.from_arrays([rows.column("s1"), rows.column("s2"), pa.array(marks, pa.binary()), rows.column("rows")], ["s1", "s2", "marks", "n"])
 
         for batch in batches:
             held.append(batch)
@@ -289,7 +310,7 @@ def repeated_starts(found: DataFrame, length: int, max_group: int) -> DataFrame:
             if size < STRINGS:
                 continue
             rows = pa.concat_batches(held)
-            group = rows.column("anchor").to_numpy()
+            group = rows.column("group").to_numpy()
             other = np.flatnonzero(group != group[-1])
             whole = int(other[-1]) + 1 if len(other) else 0
             held, size = [rows.slice(whole)], len(group) - whole
@@ -298,24 +319,37 @@ def repeated_starts(found: DataFrame, length: int, max_group: int) -> DataFrame:
         if size:
             yield done(pa.concat_batches(held))
 
-    dealt = usual.select("anchor", "s1", "s2", "before", "segment", "n").repartition("anchor").sortWithinPartitions("anchor", "s1", "s2")
-    marks = dealt.mapInArrow(build, "s1 bigint, s2 bigint, marks binary")
-    if hot:
-        marks = marks.unionByName(by_single_strings(single.join(large, "anchor"), length))
-    return marks
+    def built(rows):
+        dealt = rows.select("group", "s1", "s2", "before", "segment", "n", "rows").repartition("group").sortWithinPartitions("group", "s1", "s2")
+        return dealt.mapInArrow(build, "s1 bigint, s2 bigint, marks binary, n bigint")
+
+    reach = length - PIECE
+    rest, marks = single.select("group", "s1", "s2", "before", "segment", "n", "rows", F.lit(-reach).alias("low"), F.lit(0).alias("high")), None
+    for turn in range(HALVINGS + 1):
+        large = stage(rest.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_group), "large")
+        some = not large.isEmpty()
+        own = built(without(rest, large, ["group"]) if some else rest)
+        marks = own if marks is None else marks.unionByName(own)
+        if not some:
+            return marks
+        rest = join_hot(rest, large, ["group"])
+        if turn < HALVINGS:
+            rest = stage(halves(rest, length), "halves")
+    return marks.unionByName(by_single_strings(rest, length))
 
 
 def by_single_strings(rows: DataFrame, length: int) -> DataFrame:
-    """The same for the segments of anchors that are too frequent to be kept together: their strings are counted one by one."""
+    """The same for groups that are still too large to be kept together: their strings are counted one by one, by their bytes."""
+    names = ["string", "s1", "s2", "i", "m", "n", "rows"]
 
     def strings(batches):
-        for batch in slices(batches, "segment"):
+        for batch in slices(batches, "segment", 64 << 10):
             out = []
-            for s1, s2, n, s in zip(*(batch.column(c).to_pylist() for c in ("s1", "s2", "n", "segment")), strict=True):
-                for i in range(len(s) - length + 1):
-                    digest = xxh3_128_digest(s[i : i + length])
-                    out.append((int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), s1, s2, i, len(s) - length + 1, n))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.int32(), pa.int32(), pa.int64()], strict=True)], ["w1", "w2", "s1", "s2", "i", "m", "n"])
+            for s1, s2, before, s, n, k, low, high in zip(*(batch.column(c).to_pylist() for c in ("s1", "s2", "before", "segment", "n", "rows", "low", "high")), strict=True):
+                for i in range(max(0, before + low), min(len(s) - length, before + high) + 1):
+                    out.append((s[i : i + length], s1, s2, i, len(s) - length + 1, n, k))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()], strict=True)], names)
 
     @F.pandas_udf("binary")
     def packed(starts, sizes):
@@ -328,10 +362,10 @@ def by_single_strings(rows: DataFrame, length: int) -> DataFrame:
 
         return pd.Series([bits(own, m) for own, m in zip(starts, sizes, strict=True)])
 
-    own = rows.select("s1", "s2", "n", "segment").mapInArrow(strings, "w1 bigint, w2 bigint, s1 bigint, s2 bigint, i int, m int, n bigint")
-    often = own.groupBy("w1", "w2").agg(F.sum("n").alias("k")).where("k > 1").select("w1", "w2")
-    marked = own.join(often, ["w1", "w2"]).groupBy("s1", "s2", "m").agg(F.collect_set("i").alias("i"))
-    return marked.select("s1", "s2", packed("i", "m").alias("marks"))
+    own = rows.mapInArrow(strings, "string binary, s1 bigint, s2 bigint, i int, m int, n bigint, rows bigint")
+    often = stage(own.groupBy("string").agg(F.sum("n").alias("k"), F.count(F.lit(1)).alias("n")).where("k > 1").drop("k"), "often_strings")
+    marked = join_hot(own.drop("n"), often, ["string"]).groupBy("s1", "s2", "m").agg(F.collect_set("i").alias("i"), F.first("rows").alias("n"))
+    return marked.select("s1", "s2", packed("i", "m").alias("marks"), "n")
 
 
 def covered(starts: list[int], marks: list[bytes], length: int) -> list[tuple[int, int]]:
@@ -345,7 +379,7 @@ def covered(starts: list[int], marks: list[bytes], length: int) -> list[tuple[in
 
 
 def repeated_spans(docs: DataFrame, text: str, length: int = LENGTH, max_group: int = MAX_GROUP) -> DataFrame:
-    """(h1, h2, starts, marks) of every different text with repeated strings, staged; ``covered`` turns them into spans."""
+    """(h1, h2, runs, n) of every different text with repeated strings, staged: the maximal runs of bytes they cover, and the text's copies."""
     if not PIECE < length <= 255:
         raise ValueError(f"length must be above {PIECE} and at most 255")
     content = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))
@@ -355,10 +389,20 @@ def repeated_spans(docs: DataFrame, text: str, length: int = LENGTH, max_group:
     found = segments(rows, hits, length)
     discard(hits)
     release(docs.sparkSession)
-    marks = repeated_starts(found, length, max_group)
-    spans = found.select("h1", "h2", "start", "s1", "s2").distinct().join(marks, ["s1", "s2"]).groupBy("h1", "h2").agg(F.collect_list("start").alias("starts"), F.collect_list("marks").alias("marks"))
-    spans = stage(spans, "spans")
+    marks = stage(repeated_starts(found, length, max_group), "marks")
+    release(docs.sparkSession)
+    places = join_hot(found.select("h1", "h2", "start", "s1", "s2", F.col("n").alias("copies")), marks, ["s1", "s2"])
+    places = places.groupBy("h1", "h2").agg(F.collect_list("start").alias("starts"), F.collect_list("marks").alias("marks"), F.first("copies").alias("n"))
+    span = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+
+    def united(batches):
+        for batch in batches:
+            runs = [[{"a": a, "b": b} for a, b in covered(s, m, length)] for s, m in zip(batch.column("starts").to_pylist(), batch.column("marks").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), pa.array(runs, pa.list_(span)), batch.column("n")], ["h1", "h2", "runs", "n"])
+
+    spans = stage(places.mapInArrow(united, "h1 bigint, h2 bigint, runs array<struct<a: bigint, b: bigint>>, n bigint"), "spans")
     discard(found)
+    discard(marks)
     release(docs.sparkSession)
     return spans
 
@@ -368,19 +412,18 @@ def remove_repeats(docs: DataFrame, key: str, text: str, length: int = LENGTH, m
     spans = repeated_spans(docs, text, length, max_group)
     content = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))
     rows = docs.select(F.col(f"`{key}`").alias("key"), content.alias("text")).select("key", *text_hash(F.col("text")), "text")
-    joined = rows.join(spans, ["h1", "h2"], "left").select("key", "text", "starts", "marks")
+    joined = join_hot(rows, spans, ["h1", "h2"], "left", F.size("runs") <= MAX_RUNS).select("key", "text", "runs")
     span = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 
     def cut(batches):
         for batch in slices(batches, "text"):
-            kept, spans, sizes = [], [], []
-            for t, starts, marks in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "marks")), strict=True):
-                own = covered(starts or [], marks or [], length)
-                edges = [0, *(x for s in own for x in s), len(t)]
+            kept, sizes = [], []
+            runs = [r or [] for r in batch.column("runs").to_pylist()]
+            for t, own in zip(batch.column("text").to_pylist(), runs, strict=True):
+                edges = [0, *(x for s in own for x in (s["a"], s["b"])), len(t)]
                 kept.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-                spans.append([{"a": a, "b": b} for a, b in own])
                 sizes.append(len(t))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(span))], ["key", "n_bytes", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(runs, pa.list_(span))], ["key", "n_bytes", "kept", "spans"])
 
     kind = rows.schema["key"].dataType.simpleString()
     return joined.mapInArrow(cut, f"key {kind}, n_bytes bigint, kept binary, spans array<struct<a: bigint, b: bigint>>").withColumnRenamed("key", key)

@@ -93,3 +93,41 @@ def test_long_text_in_parts(monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.remove_repeats(docs, "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize(("halvings", "max_group"), [(0, 1), (1, 3), (3, 5), (8, 2)])
+def test_large_groups_on_both_sides_of_every_limit(spark, halvings, max_group, monkeypatch):
+    """One passage inside many different texts: halved, halved again, or counted by its strings, the answer is the same."""
+    monkeypatch.setattr(S, "HALVINGS", halvings)
+    r = random.Random(halvings)
+    noise = lambda k: "".join(r.choice("abcdefgh ") for _ in range(k))
+    passage = noise(260)
+    texts = [noise(r.randint(0, 250)) + passage[r.randint(0, 40) : 260 - r.randint(0, 40)] + noise(r.randint(0, 250)) for _ in range(25)] + corpus(9, 6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: [(s["a"], s["b"]) for s in x["spans"]] for x in S.remove_repeats(docs, "doc_id", "text", max_group=max_group).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_spans([t.encode() for t in texts], S.LENGTH)
+
+
+def test_hot_text_and_long_text(spark, monkeypatch):
+    """A text with most of the rows, and one with more runs than a broadcast takes."""
+    monkeypatch.setattr(S, "MAX_RUNS", 2)
+    r = random.Random(6)
+    parts = ["".join(r.choice("abcdefghij ") for _ in range(230)) for _ in range(8)]
+    long = "".join(p + "".join(r.choice("xyz") for _ in range(90)) for p in parts)
+    texts = [long] * 30 + [parts[0] + "end"] * 20 + parts + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: [(s["a"], s["b"]) for s in x["spans"]] for x in S.remove_repeats(docs, "doc_id", "text").collect()}
+    assert [got[i] for i in range(len(texts))] == plain_spans([(t or "").encode() for t in texts], S.LENGTH)
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    from hashlib import sha256
+
+    texts = corpus(7, 20) + [None]
+    spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_bytes int").write.parquet(str(tmp_path / "documents.parquet"))
+    own = [(t or "").encode() for t in texts]
+    for r, spans in zip(sorted(S.op10_suffixes(spark, str(tmp_path)).collect()), plain_spans(own, S.LENGTH), strict=True):
+        t = own[r["doc_id"]]
+        edges = [0, *(x for s in spans for x in s), len(t)]
+        kept = b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+        assert tuple(r) == (r["doc_id"], len(t), len(t) - len(kept), len(spans), sha256(kept).hexdigest())
