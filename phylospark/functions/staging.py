@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where that is unset (tests)."""
+    """spark.checkpoint.dir, or a local folder where that is unset and all runs on one machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = getattr(spark, "_phylospark_core", None) or f"file://{tempfile.mkdtemp(prefix='phylospark-')}"
         spark._phylospark_core = folder
     return folder.rstrip("/")
