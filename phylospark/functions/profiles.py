@@ -30,18 +30,23 @@ def mean_weighted_copies(genome: Column, weights: Column) -> Column:
     return F.aggregate(F.zip_with(genome, weights, lambda c, w: w * c), F.lit(0.0), lambda a, x: a + x) / F.size(genome)
 
 
-def apply_events(genome: Column, events: Column, crucial: Column | None = None) -> Column:
+def apply_events(genome: Column, events: Column, crucial: Column | None = None, everywhere: bool = False, absorbing: bool = False) -> Column:
     """Struct (genome, dead) after the events in order: copies of the loci of an event change, never below 0. With crucial (an
-    array of flags), an event whose first locus is crucial kills where a locus it touches reaches 0, even if a later one restores it."""
+    array of flags), an event whose first locus is crucial kills where a locus it touches reaches 0, even if a later one restores it;
+    everywhere judges each such locus by its own flag. With absorbing, a locus at 0 stays there."""
     start = F.struct(genome.alias("genome"), F.lit(False).alias("dead"))
 
     def step(s: Column, e: Column) -> Column:
         touched = lambda pos: (pos >= e["pos_start"]) & (pos <= e["pos_end"])
-        after = F.transform(s["genome"], lambda c, pos: F.when(touched(pos), F.greatest(F.lit(0), c + e["copies"])).otherwise(c))
+        changes = (lambda c, pos: touched(pos) & (c > 0)) if absorbing else (lambda c, pos: touched(pos))
+        after = F.transform(s["genome"], lambda c, pos: F.when(changes(c, pos), F.greatest(F.lit(0), c + e["copies"])).otherwise(c))
         dead = s["dead"]
         if crucial is not None:
-            lost = F.exists(F.slice(after, e["pos_start"] + 1, e["pos_end"] - e["pos_start"] + 1), lambda c: c == 0)
-            dead = dead | (F.get(crucial, e["pos_start"]) & lost)
+            part = lambda values: F.slice(values, e["pos_start"] + 1, e["pos_end"] - e["pos_start"] + 1)
+            if everywhere:
+                dead = dead | F.exists(F.zip_with(part(after), part(crucial), lambda c, flag: (c == 0) & flag), lambda x: x)
+            else:
+                dead = dead | (F.get(crucial, e["pos_start"]) & F.exists(part(after), lambda c: c == 0))
         return F.struct(after.alias("genome"), dead.alias("dead"))
 
     return F.aggregate(events, start, step)

@@ -34,6 +34,7 @@ class Genome:
     multiplicity: list[float]
     weight: list[float]
     crucial: list[bool]
+    last: list[int] | None = None  # the last locus of each one's chromosome
 
     @classmethod
     def of(cls, loci: DataFrame) -> Genome:
@@ -42,7 +43,11 @@ class Genome:
         if len(rows) > MAX_LOCI:
             raise ValueError(f"a genome has more than {MAX_LOCI} loci")
         get = lambda name, kind: [kind(r[name]) for r in rows]
-        return cls(get("cn", int), get("p_event", float), get("multiple_prob", float), get("duplication_prob", float), get("duplication_multiplicity", float), get("fitness_weight", float), get("crucial", bool))
+        last, following = [], len(rows) - 1
+        for i in range(len(rows) - 1, -1, -1):  # a chromosome is a run of loci
+            following = i if i == len(rows) - 1 or rows[i]["chromosome"] != rows[i + 1]["chromosome"] else following
+            last.append(following)
+        return cls(get("cn", int), get("p_event", float), get("multiple_prob", float), get("duplication_prob", float), get("duplication_multiplicity", float), get("fitness_weight", float), get("crucial", bool), last[::-1])
 
 
 def offspring(model: Model, u: Column, genome: Column, weights: Column) -> Column:
@@ -68,7 +73,7 @@ def draw_events(model: Model, loci: Genome, *coordinates) -> Column:
     mean = (lambda i: at(loci.multiplicity, i)) if model.locus_overrides else (lambda i: F.lit(model.duplication_multiplicity))
 
     def event(i: Column) -> Column:
-        end = F.when(u(i, "multiple") < multiple(i), uniform_int(u(i, "end"), i, n - 1)).otherwise(i)
+        end = F.when(u(i, "multiple") < multiple(i), uniform_int(u(i, "end"), i, at(loci.last, i) if model.clip_chromosomes else n - 1)).otherwise(i)
         gain = u(i, "type") < duplicated(i)
         copies = F.when(gain, poisson(u(i, "copies"), mean(i)) + 1).otherwise(-1)
         return F.struct(i.alias("pos_start"), end.cast("int").alias("pos_end"), F.when(gain, "duplication").otherwise("loss").alias("type"), copies.cast("int").alias("copies"))
@@ -90,7 +95,7 @@ def children(parents: DataFrame, model: Model, loci: Genome, generation: int) ->
     k = offspring(model, uniform(*named, F.lit("offspring")), F.col("genome"), F.lit(loci.weight))
     born = parents.select("run_id", "seed", "node_id", F.col("cell_id").alias("parent_cell"), F.col("genome").alias("parent_genome"), F.explode(F.sequence(F.lit(0), k)).alias("child"))
     born = born.withColumn("events", draw_events(model, loci, *named, F.col("child")))
-    done = profiles.apply_events(F.col("parent_genome"), F.col("events"), F.lit(loci.crucial) if model.crucial else None)
+    done = profiles.apply_events(F.col("parent_genome"), F.col("events"), F.lit(loci.crucial) if model.crucial else None, model.crucial_everywhere, model.absorbing_zero)
     born = born.withColumn("done", done).where("NOT done.dead")
     return born.select("run_id", "seed", F.col("node_id").alias("parent_id"), "parent_cell", "child", F.col("done.genome").alias("genome"), "events")
 

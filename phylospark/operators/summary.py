@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The bins of tree sizes and the order of labels.
 SIZE_BINS = ((0, 1000, "<1000"), (1000, 1500, "1000–1500"), (1500, 2000, "1500–2000"), (2000, 1_000_000, ">2000"))
 TREE_LABELS = ("6L-2B", "8L-2B", "8L-3B", "10L-2B", "10L-3B", "14L-2B")
 
@@ -38,6 +39,7 @@ def sample_rank(label: Column) -> Column:
 
 
 def facet_title(label: Column) -> Column:
+    # The pattern of a label and the wording of a title.
     return F.regexp_replace(F.concat(F.lit("Tree "), label), r"Tree ([0-9]*)L-([0-9]*)B", "Trees: $1 levels | $2 biopsies")
 
 

@@ -1,32 +1,31 @@
-"""A timer that collects durations by label, for the driver's own steps."""
+"""Wall-clock times of the driver's own steps, a row for each step that ended."""
 
 from __future__ import annotations
 
-import time
-from collections import defaultdict
+from collections.abc import Iterator
+from contextlib import contextmanager
+from time import perf_counter_ns
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 class Timings:
     def __init__(self):
-        self.durations: dict[str, list[int]] = defaultdict(list)
+        self.rows: list[tuple[str, int]] = []
 
-    def __call__(self, label: str) -> _Span:
-        return _Span(self, label)
+    @contextmanager
+    def __call__(self, label: str) -> Iterator[None]:
+        began = perf_counter_ns()
+        try:
+            yield
+        finally:
+            self.rows.append((label, perf_counter_ns() - began))
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        """(label, nanoseconds), a row for each measured step."""
-        return spark.createDataFrame([(k, n) for k, own in self.durations.items() for n in own], "label string, nanoseconds long")
-
-
-class _Span:
-    def __init__(self, owner: Timings, label: str):
-        self.owner, self.label = owner, label
+    @property
+    def durations(self) -> dict[str, int]:
+        """Nanoseconds of each label in sum."""
+        return {label: sum(n for own, n in self.rows if own == label) for label, _ in self.rows}
 
-    def __enter__(self):
-        self.start = time.perf_counter_ns()
-        return self
-
-    def __exit__(self, *_):
-        self.owner.durations[self.label].append(time.perf_counter_ns() - self.start)
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(label, nanoseconds)."""
+        return spark.createDataFrame(self.rows, "label string, nanoseconds long")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+# The names of configuration entries and of offspring models.
 REQUIRED = (
     "NUMBER_OF_GENERATIONS", "OFFSPRING_MODEL", "OFFSPRING_PARAMETER", "GENERAL_EVENT_PROB", "GENERAL_DUPLICATION_PROB", "GENERAL_DUPLICATION_MULTIPLICITY", "GENERAL_LOSS_PROB", "GENERAL_SINGLE_OR_MULTIPLE_EVENT_PROB",
 )
@@ -38,7 +39,10 @@ class Model:
     telomere_instability: float = 0.0
     crucial: bool = False
     #: Options beyond the defaults of the model: each changes how an event is drawn or applied.
-    locus_overrides: bool = False
+    locus_overrides: bool = False  # a locus' own probabilities of duplication, extent and copies draw
+    crucial_everywhere: bool = False  # each locus that an event brings to 0 is judged by its own flag, not by that of the event's first
+    absorbing_zero: bool = False  # a lost locus stays lost
+    clip_chromosomes: bool = False  # an event ends with the chromosome that it starts on
 
     def __post_init__(self):
         if self.offspring not in OFFSPRING_MODELS:

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phylospark.sources.config import Model
+from phylospark.sources.profiles import one_file
 
 MAX_LOCI = 100_000
 
-#: Keys of a parameter text and the columns they fill.
+# Keys of a parameter text, and the columns they fill.
 KEYS = {
     "EVENT_PROB": "event_prob", "DUPLICATION_PROB": "duplication_prob", "DUPLICATION_MULTIPLICITY": "duplication_multiplicity", "LOSS_PROB": "loss_prob", "SINGLE_OR_MULTIPLE_EVENT_PROB": "multiple_prob", "TELOMERIC_INSTABILITY": "telomeric_instability",
 }
@@ -37,7 +38,7 @@ def with_defaults(rows: DataFrame, text: str = "Parameters") -> DataFrame:
 
 def read_loci(spark: SparkSession, path: str) -> DataFrame:
     """A CSV of ChromosomeNumber, Start, End, Parameters; the position is the row's place in the file. Start and End are not used."""
-    rows = spark.read.csv(path, header=True, schema="ChromosomeNumber int, Start long, End long, Parameters string")
+    rows = one_file(spark.read.csv(path, header=True, schema="ChromosomeNumber int, Start long, End long, Parameters string"))
     order = Window.orderBy(F.col("_line"))  # as many rows as a genome has loci
     rows = rows.withColumn("_line", F.monotonically_increasing_id()).withColumn("pos", F.row_number().over(order) - 1)
     return with_defaults(rows).withColumn("chromosome", F.coalesce("ChromosomeNumber", F.lit(1))).drop("_line", "Start", "End", "Parameters", "ChromosomeNumber")

@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def one_file(rows: DataFrame) -> DataFrame:
+    """Rows whose order in their file counts: of several files there is none."""
+    files = rows.inputFiles()
+    if len(files) > 1:
+        raise ValueError(f"the order of rows is that of one file, not of {len(files)}")
+    return rows
+
+
 def profile_lines(profiles: DataFrame) -> DataFrame:
     """(ord, value): both lines of each profile (ord, cell_id, genome)."""
     return profiles.select("ord", F.concat(F.lit(">"), F.col("cell_id").cast("string"), F.lit("\n"), F.array_join(F.transform("genome", lambda c: c.cast("string")), ",")).alias("value"))
@@ -18,14 +26,14 @@ def write_profiles(profiles: DataFrame, path: str) -> None:
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     """(ord, cell_id, genome) in the order of the file; identifiers may repeat."""
-    rows = spark.read.text(path, lineSep=">").where(F.trim("value") != "").withColumn("_line", F.monotonically_increasing_id())
+    rows = one_file(spark.read.text(path, lineSep=">")).where(F.trim("value") != "").withColumn("_line", F.monotonically_increasing_id())
     parts = F.split(F.trim("value"), "\\r?\\n")
     return rows.select((F.row_number().over(Window.orderBy("_line")) - 1).alias("ord"), parts[0].cast("int").alias("cell_id"), F.transform(F.split(parts[1], ","), lambda c: F.trim(c).cast("int")).alias("genome"))
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(i, j, id_i, id_j, dist) of a file whose first line counts the rows; each row has an identifier and its distances."""
-    rows = spark.read.text(path).where(F.trim("value") != "").withColumn("_line", F.monotonically_increasing_id())
+    rows = one_file(spark.read.text(path)).where(F.trim("value") != "").withColumn("_line", F.monotonically_increasing_id())
     rows = rows.withColumn("i", F.row_number().over(Window.orderBy("_line")) - 2).where("i >= 0")
     parts = F.split(F.trim("value"), "\\s+")
     rows = rows.select("i", parts[0].cast("int").alias("id_i"), F.posexplode(F.transform(F.slice(parts, 2, F.size(parts)), lambda v: v.cast("double"))).alias("j", "dist"))
@@ -33,7 +41,14 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(ids, "j").select("i", "j", "id_i", "id_j", "dist")
 
 
-def matrix_lines(distances: DataFrame) -> DataFrame:
-    """(i, value): the rows of the text form, without the count."""
+def matrix_lines(distances: DataFrame, *by: str) -> DataFrame:
+    """(by, i, value): the rows of the text form, without the count; by are columns that name matrices."""
     cells = F.transform(F.array_sort(F.collect_list(F.struct("j", "dist"))), lambda c: c["dist"].cast("string"))
-    return distances.groupBy("i", "id_i").agg(cells.alias("cells")).select("i", F.concat_ws(" ", F.col("id_i").cast("string"), "cells").alias("value"))
+    return distances.groupBy(*by, "i", "id_i").agg(cells.alias("cells")).select(*by, "i", F.concat_ws(" ", F.col("id_i").cast("string"), "cells").alias("value"))
+
+
+def write_matrix(distances: DataFrame, path: str) -> None:
+    """One matrix as one text file: the number of rows, then the rows in order."""
+    rows = matrix_lines(distances)
+    count = rows.agg(F.lit(-1).alias("i"), F.count(F.lit(1)).cast("string").alias("value"))
+    rows.select(F.col("i").cast("int").alias("i"), "value").unionByName(count).coalesce(1).sortWithinPartitions("i").select("value").write.mode("overwrite").text(path)
