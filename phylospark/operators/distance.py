@@ -2,8 +2,13 @@
 
 Loci that the first profile lost are left out. The changes of the rest step at breakpoints that sum to zero; an interval addition
 joins breakpoints, and k of them need k-1 additions if they sum to zero. So the distance is the number of breakpoints less the
-largest number of disjoint groups that sum to zero. Opposite breakpoints pair off first, which loses nothing; the rest is
-searched over subsets up to ``EXACT`` breakpoints, and beyond that triples are taken greedily (an upper bound)."""
+largest number of disjoint groups that sum to zero. Opposite breakpoints pair off first, which loses nothing. For the rest the
+question whether g groups are possible is asked from the most that could be (three breakpoints a group) downwards: the breakpoint
+of greatest size is in some group, so each group that it could be in is tried, the smallest first, and what remains is asked for one group less;
+what failed once is remembered.
+
+Finding the groups is hard in general. The search takes at most ``STEPS`` steps; where it ends there, the distance is known between two
+bounds only: ``bounds`` gives both, ``distance`` the upper one (so many additions do suffice), and ``matrix`` marks the pair as not exact."""
 
 from __future__ import annotations
 
@@ -14,62 +19,150 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+#: Steps of one search, and profiles of a block: a pair of blocks is one task's share.
+STEPS, BLOCK = 200_000, 256
+
+
+class OutOfSteps(Exception):
+    pass
+
+
+class Search:
+    """Disjoint groups that sum to zero, in a multiset without opposite values that sums to zero itself."""
+
+    def __init__(self, steps: int):
+        self.steps, self.failed = steps, set()
+
+    def groups(self, rest: Counter, size: int):
+        """Groups of so many values with the one of greatest size in them; all but the last two values are chosen, these two by their sum."""
+        first = max(rest, key=lambda v: (abs(v), v))
+        values = sorted(rest, key=lambda v: (-abs(v), v))
+        left = rest.copy()
+        left[first] -= 1
+
+        def extend(chosen, at, total, more):
+            for k in range(at, len(values)):
+                v = values[k]
+                self.steps -= 1
+                if self.steps < 0:
+                    raise OutOfSteps
+                if not left[v]:
+                    continue
+                if more == 2:
+                    w = -total - v
+                    if left.get(w, 0) > (w == v) and (abs(w), -w) <= (abs(v), -v):
+                        yield (*chosen, v, w)
+                    continue
+                left[v] -= 1
+                yield from extend((*chosen, v), k, total + v, more - 1)
+                left[v] += 1
+
+        yield from extend((first,), 0, first, size - 1)
+
+    def possible(self, rest: Counter, n: int, wanted: int) -> bool:
+        """Whether n values that sum to zero hold so many disjoint groups; what is left over joins the last one."""
+        if wanted <= 1:
+            return n > 0
+        if 3 * wanted > n:
+            return False
+        name = (wanted, tuple(sorted(rest.items())))
+        if name in self.failed:
+            return False
+        for size in range(3, n - 3 * (wanted - 1) + 1):
+            for group in self.groups(rest, size):
+                after = rest - Counter(group)
+                if self.possible(after, n - size, wanted - 1):
+                    return True
+        self.failed.add(name)
+        return False
 
-EXACT = 16
+
+def some_groups(values: Counter) -> int:
+    """Groups found by taking the smallest at hand, each a group; a lower bound."""
+    found = 0
+    for size in (3, 4):
+        while sum(values.values()) >= size + 3:
+            try:
+                group = next((g for g in Search(2000).groups(values, size)), None)
+            except OutOfSteps:
+                group = None
+            if group is None:
+                break
+            values, found = values - Counter(group), found + 1
+    return found + (sum(values.values()) > 0)
 
 
 @lru_cache(maxsize=100_000)
-def zero_groups(values: tuple[int, ...]) -> int:
-    """The largest number of disjoint groups that sum to zero."""
+def zero_groups(values: tuple[int, ...], steps: int = STEPS) -> tuple[int, int]:
+    """Bounds of the largest number of disjoint groups that sum to zero; they are equal if the search came to its end."""
     count = Counter(values)
     pairs = sum(min(n, count[-v]) for v, n in count.items() if v > 0)
-    left = sorted(x for v, n in count.items() for x in [v] * max(0, n - count[-v]))
-    if not left:
-        return pairs
-    if len(left) > EXACT:
-        found, rest = 0, Counter(left)
-        for a in sorted(rest):
-            for b in sorted(rest):
-                while rest[a] and rest[b] and (a != b or rest[a] > 1) and rest[-(a + b)] and (-(a + b) not in (a, b) or rest[-(a + b)] > 1 + (a == b)):
-                    rest.subtract((a, b, -(a + b)))
-                    found += 1
-        return pairs + found + (sum(rest.values()) > 0)
-    n = len(left)
-    sums, best = np.zeros(1 << n, np.int64), np.zeros(1 << n, np.int8)
-    for i, v in enumerate(left):
-        sums[1 << i : 2 << i] = sums[: 1 << i] + v
-    masks = np.arange(1 << n)
-    for size in range(1, n + 1):
-        own = masks[np.bitwise_count(masks) == size]
-        got = np.zeros(len(own), np.int8)
-        for i in range(n):
-            has = (own >> i & 1).astype(bool)
-            got[has] = np.maximum(got[has], best[own[has] ^ (1 << i)])
-        best[own] = got + (sums[own] == 0)
-    return pairs + int(best[-1])
+    rest = Counter({v: n - count[-v] for v, n in count.items() if n > count[-v]})
+    n = sum(rest.values())
+    if not n:
+        return pairs, pairs
+    least, search, wanted = some_groups(rest), Search(steps), n // 3
+    try:
+        while wanted > least and not search.possible(rest, n, wanted):
+            wanted -= 1
+    except OutOfSteps:
+        return pairs + least, pairs + wanted
+    return pairs + max(wanted, least), pairs + max(wanted, least)
 
 
-def distance(u, v) -> int:
-    """From u to v."""
+def breakpoints(u, v) -> tuple[int, ...]:
     u, v = np.asarray(u), np.asarray(v)
-    change = (v - u)[u != 0]
-    steps = np.diff(change, prepend=0, append=0)
-    steps = steps[steps != 0]
-    return len(steps) - zero_groups(tuple(sorted(steps.tolist())))
+    steps = np.diff((v - u)[u != 0], prepend=0, append=0)
+    return tuple(sorted(steps[steps != 0].tolist()))
+
+
+def bounds(u, v, steps: int = STEPS) -> tuple[int, int]:
+    """The least and the most that the distance from u to v can be."""
+    own = breakpoints(u, v)
+    low, high = zero_groups(own, steps)
+    return len(own) - high, len(own) - low
+
+
+def distance(u, v) -> int:
+    """From u to v; where the search didn't end, the upper bound."""
+    return bounds(u, v)[1]
+
+
+def batch_bounds(u: pd.Series, v: pd.Series) -> list[tuple[int, int]]:
+    """Bounds of many pairs; equal pairs are looked at once."""
+    known: dict[tuple[bytes, bytes], tuple[int, int]] = {}
+    out = []
+    for a, b in zip(u, v, strict=True):
+        name = a.tobytes(), b.tobytes()
+        if name not in known:
+            known[name] = bounds(a, b)
+        out.append(known[name])
+    return out
 
 
 @F.pandas_udf(IntegerType())
 def event_distance(u: pd.Series, v: pd.Series) -> pd.Series:
-    return pd.Series([distance(a, b) for a, b in zip(u, v, strict=True)], dtype="int32")
+    return pd.Series([most for _, most in batch_bounds(u, v)], dtype="int32")
+
+
+@F.pandas_udf(StructType([StructField("least", IntegerType()), StructField("most", IntegerType())]))
+def event_bounds(u: pd.Series, v: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(batch_bounds(u, v), columns=["least", "most"], dtype="int32")
 
 
-def matrix(profiles: DataFrame) -> DataFrame:
-    """(run_id, i, j, id_i, id_j, dist) over profiles (run_id, ord, cell_id, genome): computed from the earlier to the later one and
-    mirrored, with a zero diagonal. A matrix has a row for each pair by nature; profiles are a biopsy's."""
-    left = profiles.select("run_id", F.col("ord").alias("i"), F.col("cell_id").alias("id_i"), F.col("genome").alias("u"))
-    right = profiles.select("run_id", F.col("ord").alias("j"), F.col("cell_id").alias("id_j"), F.col("genome").alias("v"))
-    upper = left.join(right, "run_id").where("i < j").select("run_id", "i", "j", "id_i", "id_j", event_distance("u", "v").cast("double").alias("dist"))
-    lower = upper.select("run_id", F.col("j").alias("i"), F.col("i").alias("j"), F.col("id_j").alias("id_i"), F.col("id_i").alias("id_j"), "dist")
-    same = left.select("run_id", "i", F.col("i").alias("j"), "id_i", F.col("id_i").alias("id_j"), F.lit(0.0).alias("dist"))
+def matrix(profiles: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(run_id, i, j, id_i, id_j, dist, exact) over profiles (run_id, ord, cell_id, genome): computed from the earlier to the later one and
+    mirrored, with a zero diagonal. A matrix has a row for each pair by nature, and profiles are a biopsy's; a run's pairs are dealt by pairs
+    of blocks of its profiles, so no task has more than ``block`` squared of them at a time."""
+    at, of = F.floor(F.col("ord") / block), lambda c: c.cast("long")
+    blocks = profiles.groupBy("run_id").agg(of(F.max(at)).alias("last"))
+    own = profiles.select("run_id", "ord", "cell_id", "genome", of(at).alias("block")).join(blocks, "run_id")
+    left = own.select("run_id", F.col("ord").alias("i"), F.col("cell_id").alias("id_i"), F.col("genome").alias("u"), F.col("block").alias("p"), F.explode(F.sequence("block", "last")).alias("q"))
+    right = own.select("run_id", F.col("ord").alias("j"), F.col("cell_id").alias("id_j"), F.col("genome").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("p"), F.col("block").alias("q"))
+    upper = left.join(right, ["run_id", "p", "q"]).where("i < j").withColumn("d", event_bounds("u", "v"))
+    upper = upper.select("run_id", "i", "j", "id_i", "id_j", F.col("d.most").cast("double").alias("dist"), (F.col("d.least") == F.col("d.most")).alias("exact"))
+    lower = upper.select("run_id", F.col("j").alias("i"), F.col("i").alias("j"), F.col("id_j").alias("id_i"), F.col("id_i").alias("id_j"), "dist", "exact")
+    same = profiles.select("run_id", F.col("ord").alias("i"), F.col("ord").alias("j"), F.col("cell_id").alias("id_i"), F.col("cell_id").alias("id_j"), F.lit(0.0).alias("dist"), F.lit(True).alias("exact"))
     return upper.unionByName(lower).unionByName(same)
