@@ -93,6 +93,8 @@ def reconstruct_run(cells: pd.DataFrame, distances: pd.DataFrame, radius: float,
             else:
                 parent[node] = chosen[2], float(d[row[cell], row[chosen[0]]])
     first = layers[0]
+    if len(first) < 2:
+        return pd.DataFrame(columns=["node_id", "parent_id", "cell_id", "level", "weight"])
     at = [row[cell] for cell, *_ in first]
     joined = neighbour_joining(d[np.ix_(at, at)], [node for *_, node in first], fresh + 1)
     parent |= {child: (up, weight) for up, child, weight in joined.edges}
@@ -105,7 +107,8 @@ def reconstruct_run(cells: pd.DataFrame, distances: pd.DataFrame, radius: float,
 
 def reconstruct(biopsy: DataFrame, distances: DataFrame, radius: float, pooled: bool = False) -> DataFrame:
     """The tree of every run: (run_id, node_id, parent_id, cell_id, level, weight). Level 0 is the latest biopsy; joined nodes have no
-    cell and a level each; the root is node -1. pooled joins all cells of a run, each once, without layers."""
+    cell and a level each; the root is node -1. pooled joins all cells of a run, each once, without layers. A run that comes to one cell in
+    its earliest biopsy has no tree and no rows."""
 
     def build(key, cells: pd.DataFrame, dist: pd.DataFrame) -> pd.DataFrame:
         if cells.empty or dist.empty:

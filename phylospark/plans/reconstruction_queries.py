@@ -20,30 +20,27 @@ from phylospark.sources.config import Model
 PER_RUN = 12
 
 
-def placed(rows, run):
-    """Customers at place i of a run as sampled cells, four a level; two share their cell with one of the level before."""
-    shared = F.when(F.col("i").isin(7, 11), F.col("i") - 4).otherwise(F.col("i"))
-    return rows.select(run.alias("run_id"), (F.col("i") / 4).cast("int").alias("level"), (F.col("i") % 4).cast("int").alias("ord"), shared.cast("long").alias("cell_id"), F.col("i").cast("int").alias("at"), genome(F.col("c_custkey"), F.col("c_nationkey")).alias("genome"))
-
-
 def cells(spark, sf_dir):
-    """The first twelve customers of each nation as a run of three levels, as the SQL below has them."""
-    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
-    rows = table(spark, sf_dir, "customer").withColumn("i", place).where(F.col("i") < PER_RUN)
-    return placed(rows, F.col("c_nationkey").cast("string"))
-
-
-def all_cells(spark, sf_dir):
-    """Every customer as a cell: as many runs a nation as it has twelves, so that no matrix grows with the table; the last run takes the rest too."""
+    """Every customer as a sampled cell: as many runs a nation as it has twelves, so that no matrix grows with the table; the last run takes the
+    rest too. Four cells are a level; two share their cell with one of the level before."""
     nation = Window.partitionBy("c_nationkey")
     place, size = F.row_number().over(nation.orderBy("c_custkey")) - 1, F.count(F.lit(1)).over(nation)
     rows = table(spark, sf_dir, "customer").withColumns({"place": place, "size": size})
     rows = rows.withColumn("part", F.least(F.expr(f"place div {PER_RUN}"), F.greatest(F.expr(f"size div {PER_RUN} - 1"), F.lit(0))))
-    return placed(rows.withColumn("i", F.col("place") - F.col("part") * PER_RUN), F.concat_ws("-", "c_nationkey", "part"))
+    rows = rows.withColumn("i", F.col("place") - F.col("part") * PER_RUN)
+    shared = F.when(F.col("i").isin(7, 11), F.col("i") - 4).otherwise(F.col("i"))
+    return rows.select(F.concat_ws("-", "c_nationkey", "part").alias("run_id"), (F.col("i") / 4).cast("int").alias("level"), (F.col("i") % 4).cast("int").alias("ord"), shared.cast("long").alias("cell_id"), F.col("i").cast("int").alias("at"), genome(F.col("c_custkey"), F.col("c_nationkey")).alias("genome"))
+
 
+CELLS = f"""c AS (SELECT run_id, run_no, i // 4 AS level, i % 4 AS ord, CASE WHEN i IN (7, 11) THEN i - 4 ELSE i END AS cell_id, i AS idx, genome FROM (
+  SELECT c_nationkey || '-' || part AS run_id, c_nationkey + part AS run_no, place - part * {PER_RUN} AS i, list_transform(range(0, 10), lambda k: ((c_custkey * (k + 3) + c_nationkey) % 5)::INT) AS genome FROM (
+    SELECT *, least(place // {PER_RUN}, greatest(size // {PER_RUN} - 1, 0)) AS part FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place, count(*) OVER (PARTITION BY c_nationkey) AS size FROM customer))))"""
 
-CELLS = """c AS (SELECT c_nationkey::VARCHAR AS run_id, i // 4 AS level, i % 4 AS ord, CASE WHEN i IN (7, 11) THEN i - 4 ELSE i END AS cell_id, i AS idx,
-  list_transform(range(0, 10), lambda k: ((c_custkey * (k + 3) + c_nationkey) % 5)::INT) AS genome FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer) WHERE i < 12)"""
+
+def run_number(run):
+    """The sum of a run's nation and part."""
+    parts = F.split(run, "-")
+    return parts[0].cast("int") + parts[1].cast("int")
 
 
 def between(own):
@@ -77,7 +74,7 @@ def matrix_long(spark, sf_dir):
 def matrix_text(spark, sf_dir):
     from phylospark.sources.profiles import matrix_lines
 
-    return matrix_lines(distances(spark, sf_dir).where("run_id = '3'"))
+    return matrix_lines(distances(spark, sf_dir), "run_id")
 
 
 def radius_candidates(spark, sf_dir):
@@ -110,13 +107,13 @@ def biopsy_pooled(spark, sf_dir):
 
 
 def biopsy_guard(spark, sf_dir):
-    few = cells(spark, sf_dir).where("level = 0 AND ord < run_id % 5")
+    few = cells(spark, sf_dir).where((F.col("level") == 0) & (F.col("ord") < run_number(F.col("run_id")) % 5))
     return sampling.large_enough(few)
 
 
 def cell_lookup(spark, sf_dir):
     """The first cell of each run that has a given identifier."""
-    rows = cells(spark, sf_dir).where("cell_id = 7 - run_id % 5")
+    rows = cells(spark, sf_dir).where(F.col("cell_id") == 7 - run_number(F.col("run_id")) % 5)
     return rows.groupBy("run_id").agg(F.min_by("at", F.struct("level", "ord")).alias("found"))
 
 
@@ -154,18 +151,26 @@ def cnp_event_distance(spark, sf_dir):
     return pairs(spark, sf_dir).select("o_orderkey", distance.event_distance("u", "v").alias("dist"))
 
 
+def trees(spark, sf_dir, pooled=False):
+    rows = cells(spark, sf_dir)
+    return linking.reconstruct(rows, between(rows), 4, pooled)
+
+
+def written(rows):
+    """Identifiers that may be missing as texts."""
+    return rows.select("run_id", "node_id", F.col("parent_id").cast("string").alias("parent_id"), F.col("cell_id").cast("string").alias("cell_id"), "level", F.round("weight", 9).alias("weight"))
+
+
 def nj_full(spark, sf_dir):
-    rows = all_cells(spark, sf_dir)
-    return linking.reconstruct(rows, between(rows), 4, pooled=True)
+    return written(trees(spark, sf_dir, pooled=True))
 
 
 def layered_full(spark, sf_dir):
-    rows = all_cells(spark, sf_dir)
-    return linking.reconstruct(rows, between(rows), 4)
+    return written(trees(spark, sf_dir))
 
 
 def layered_layout(spark, sf_dir):
-    return layout.layered_layout(stage(layered_full(spark, sf_dir), "layered"))
+    return layout.layered_layout(stage(trees(spark, sf_dir), "layered"))
 
 
 
@@ -190,9 +195,71 @@ def experiment(spark, sf_dir):
     return run_experiment(runs, loci.resolve(loci.constant_loci(spark, LIVELY), LIVELY), LIVELY, [2, 4, 5], fraction=0.5)
 
 
+#: Neighbour joining of items (run_id, pos, node, idx): m holds the matrix of every step; the item that a step makes comes after all others.
+JOINING = """m AS (
+  SELECT x.run_id, 0 AS step, x.n0, x.pos AS a, y.pos AS b, (CASE WHEN x.idx = y.idx THEN 0 ELSE (x.idx * y.idx * 7 + x.idx + y.idx) % 6 + 1 END)::DOUBLE AS d
+  FROM (SELECT *, count(*) OVER (PARTITION BY run_id) AS n0 FROM items) x JOIN items y USING (run_id) WHERE x.n0 > 1
+  UNION ALL (
+    WITH t AS (SELECT *, sum(d) OVER (PARTITION BY run_id, a) AS ta, sum(d) OVER (PARTITION BY run_id, b) AS tb, count(*) OVER (PARTITION BY run_id, a) AS n FROM m),
+    f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY (n - 2) * d - ta - tb, a, b) AS rn FROM t WHERE n > 2 AND a < b) WHERE rn = 1),
+    k AS (SELECT t.run_id, t.step, t.n0, t.b AS k, sum(t.d) AS dsum, any_value(f.d) AS dij FROM t JOIN f ON f.run_id = t.run_id AND t.a IN (f.a, f.b) AND t.b NOT IN (f.a, f.b) GROUP BY ALL)
+    SELECT t.run_id, t.step + 1, t.n0, t.a, t.b, t.d FROM t JOIN f ON f.run_id = t.run_id AND t.a NOT IN (f.a, f.b) AND t.b NOT IN (f.a, f.b)
+    UNION ALL SELECT run_id, step + 1, n0, k, n0 + step, (dsum - dij) / 2 FROM k
+    UNION ALL SELECT run_id, step + 1, n0, n0 + step, k, (dsum - dij) / 2 FROM k
+    UNION ALL SELECT run_id, step + 1, n0, n0 + step, n0 + step, 0 FROM f)
+), mt AS (SELECT *, sum(d) OVER (PARTITION BY run_id, step, a) AS ta, sum(d) OVER (PARTITION BY run_id, step, b) AS tb, count(*) OVER (PARTITION BY run_id, step, a) AS n FROM m
+), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, step ORDER BY (n - 2) * d - ta - tb, a, b) AS rn FROM mt WHERE a < b) WHERE rn = 1
+), link AS (
+  SELECT run_id, a AS pos, CASE WHEN n > 2 THEN n0 + step END AS up, CASE WHEN n > 2 THEN (d + (ta - tb) / (n - 2)) / 2 ELSE d / 2 END AS weight FROM best
+  UNION ALL SELECT run_id, b, CASE WHEN n > 2 THEN n0 + step END, CASE WHEN n > 2 THEN (d - (ta - tb) / (n - 2)) / 2 ELSE d / 2 END FROM best
+), joined AS (
+  SELECT l.run_id, coalesce(i.node, s.base + l.pos - s.n0) AS node_id, CASE WHEN l.up IS NULL THEN -1 ELSE s.base + l.up - s.n0 END AS parent_id, CASE WHEN i.node IS NULL THEN s.top + 1 + l.pos - s.n0 END AS level, l.weight
+  FROM link l JOIN spec s USING (run_id) LEFT JOIN items i ON i.run_id = l.run_id AND i.pos = l.pos
+  UNION ALL SELECT DISTINCT run_id, -1, NULL, s.top + s.n0 - 1, NULL FROM link JOIN spec s USING (run_id)
+)"""
+
+AT = "mrow AS (SELECT run_id, cell_id, max(idx) AS idx FROM c GROUP BY ALL)"
+NJ_FULL = f"""WITH RECURSIVE {CELLS}, {AT}, items AS (
+  SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY level, ord) - 1 AS pos, cell_id AS node, idx FROM (SELECT run_id, cell_id, min(level) AS level, arg_min(ord, level) AS ord FROM c GROUP BY ALL) JOIN mrow USING (run_id, cell_id)
+), spec AS (SELECT run_id, count(*) AS n0, max(node) + 2 AS base, 0 AS top FROM items GROUP BY run_id
+), {JOINING}
+SELECT j.run_id, node_id::BIGINT AS node_id, parent_id::BIGINT::VARCHAR AS parent_id, i.node::BIGINT::VARCHAR AS cell_id, coalesce(j.level, 0)::INT AS level, round(weight, 9) AS weight FROM joined j LEFT JOIN items i ON i.run_id = j.run_id AND i.node = j.node_id AND j.level IS NULL"""
+
+#: Linking from the latest level on, a cell a step: w holds the layers as they are, with the copies that steps add.
+LAYERED = f"""WITH RECURSIVE {CELLS}, {AT}, {DIST}, s AS (SELECT *, row_number() OVER (PARTITION BY run_id, cell_id ORDER BY level DESC, ord) > 1 AS again FROM c), t AS (SELECT run_id, max(id_i) AS top FROM d GROUP BY ALL),
+reg AS (SELECT run_id, level, ord, cell_id, genome, mrow.idx, CASE WHEN again THEN top + row_number() OVER (PARTITION BY run_id, again ORDER BY level DESC, ord) ELSE cell_id END AS node, max(level) OVER (PARTITION BY run_id) AS latest FROM s JOIN t USING (run_id) JOIN mrow USING (run_id, cell_id)
+), start AS (
+  SELECT run_id, latest, greatest(max(node), any_value(top)) + 1 AS fresh, list(layer ORDER BY level) AS layers
+  FROM (SELECT run_id, level, latest, max(node) AS node, list(struct_pack(cell := cell_id, genome := genome, node := node, idx := idx) ORDER BY ord) AS layer FROM reg GROUP BY ALL) JOIN t USING (run_id) GROUP BY run_id, latest
+), w AS (
+  SELECT run_id, latest, latest AS lvl, 1::BIGINT AS k, fresh::BIGINT AS fresh, layers, NULL::BIGINT AS child, NULL::BIGINT AS parent, NULL::DOUBLE AS weight, NULL::BIGINT AS made_cell, NULL::BIGINT AS made_level FROM start
+  UNION ALL (
+    WITH y AS (SELECT *, layers[lvl + 1][k] AS y, layers[lvl] AS up FROM w WHERE lvl > 0),
+    n AS (SELECT *, list_filter(up, lambda x: CASE WHEN x.idx = y.idx THEN 0 ELSE (x.idx * y.idx * 7 + x.idx + y.idx) % 6 + 1 END <= 4) AS near FROM y),
+    p AS (SELECT *, list_filter(near, lambda x: x.cell = y.cell) AS same, list_filter(near, lambda x: len(list_filter(range(1, 11), lambda q: x.genome[q] = 0 AND y.genome[q] > 0)) = 0) AS possible FROM n),
+    l AS (SELECT *, list_min(list_transform(possible, lambda x: CASE WHEN x.idx = y.idx THEN 0 ELSE (x.idx * y.idx * 7 + x.idx + y.idx) % 6 + 1 END)) AS low FROM p),
+    o AS (SELECT *, CASE WHEN len(same) > 0 THEN same[1] ELSE list_filter(possible, lambda x: CASE WHEN x.idx = y.idx THEN 0 ELSE (x.idx * y.idx * 7 + x.idx + y.idx) % 6 + 1 END = low)[1] END AS chosen FROM l)
+    SELECT run_id, latest, CASE WHEN y IS NULL THEN lvl - 1 ELSE lvl END, CASE WHEN y IS NULL THEN 1 ELSE k + 1 END, CASE WHEN y IS NOT NULL AND chosen IS NULL THEN fresh + 1 ELSE fresh END,
+      CASE WHEN y IS NOT NULL AND chosen IS NULL THEN layers[1 : lvl - 1] || [up || [struct_pack(cell := y.cell, genome := y.genome, node := fresh, idx := y.idx)]] || layers[lvl + 1 :] ELSE layers END,
+      y.node, CASE WHEN y IS NULL THEN NULL ELSE coalesce(chosen.node, fresh) END, CASE WHEN y IS NULL THEN NULL WHEN chosen IS NULL THEN 0 WHEN chosen.idx = y.idx THEN 0 ELSE (chosen.idx * y.idx * 7 + chosen.idx + y.idx) % 6 + 1 END,
+      CASE WHEN y IS NOT NULL AND chosen IS NULL THEN y.cell END, CASE WHEN y IS NOT NULL AND chosen IS NULL THEN latest + 1 - lvl END FROM o)
+), items AS (SELECT run_id, unnest(range(0, len(layers[1]))) AS pos, unnest(layers[1]).node AS node, unnest(layers[1]).idx AS idx FROM w WHERE lvl = 0
+), spec AS (SELECT run_id, len(layers[1]) AS n0, fresh + 1 AS base, latest AS top FROM w WHERE lvl = 0
+), {JOINING}, nodes AS (
+  SELECT run_id, node, cell_id, latest - level AS level FROM reg UNION ALL SELECT run_id, parent, made_cell, made_level FROM w WHERE made_cell IS NOT NULL
+), up AS (SELECT run_id, child AS node_id, parent AS parent_id, weight FROM w WHERE child IS NOT NULL UNION ALL SELECT run_id, node_id, parent_id, weight FROM joined WHERE level IS NULL
+), layered AS (
+  SELECT n.run_id, n.node::BIGINT AS node_id, parent_id::BIGINT AS parent_id, n.cell_id::BIGINT AS cell_id, n.level::INT AS level, round(weight, 9) AS weight FROM nodes n JOIN up ON up.run_id = n.run_id AND up.node_id = n.node
+  UNION ALL SELECT run_id, node_id, parent_id, NULL, level, round(weight, 9) FROM joined WHERE level IS NOT NULL)"""
+
+LAYOUT = f"""{LAYERED}, turned AS (
+  SELECT *, row_number() OVER (PARTITION BY run_id, level ORDER BY cell_id, node_id) - 1 AS rank, row_number() OVER (PARTITION BY run_id, cell_id IS NULL ORDER BY level) AS turn FROM layered
+), many AS (SELECT run_id, count(DISTINCT level) AS levels FROM layered GROUP BY run_id)
+SELECT run_id, node_id, CASE WHEN cell_id IS NOT NULL THEN rank::DOUBLE WHEN turn % 2 = 1 THEN 0.25::DOUBLE + 0.5::DOUBLE * (turn - 1) ELSE levels - (0.25::DOUBLE + 0.5::DOUBLE * (turn - 1)) END AS x, level AS y FROM turned JOIN many USING (run_id)"""
+
 QUERIES = {
     "matrix_long": (matrix_long, f"WITH {CELLS}, {DIST} SELECT run_id, i::INT AS i, j::INT AS j, id_i, id_j, dist FROM d"),
-    "matrix_text": (matrix_text, f"WITH {CELLS}, {DIST} SELECT i::INT AS i, id_i || ' ' || string_agg(dist::VARCHAR, ' ' ORDER BY j) AS value FROM d WHERE run_id = '3' GROUP BY i, id_i"),
+    "matrix_text": (matrix_text, f"WITH {CELLS}, {DIST} SELECT run_id, i::INT AS i, id_i || ' ' || string_agg(dist::VARCHAR, ' ' ORDER BY j) AS value FROM d GROUP BY run_id, i, id_i"),
     "radius_candidates": (radius_candidates, f"WITH {CANDIDATES} SELECT run_id, level::INT AS level, y_ord::INT AS y_ord, x_ord::INT AS x_ord, dist FROM ca"),
     "zero_constraint": (zero_constraint, f"WITH {CANDIDATES} SELECT run_id, level::INT AS level, y_ord::INT AS y_ord, x_ord::INT AS x_ord FROM ca WHERE excluded AND NOT same"),
     "same_id_link": (same_id_link, f"WITH {CANDIDATES} SELECT run_id, level::INT AS level, y_ord::INT AS y_ord, x_ord::INT AS x_ord, y_cell FROM ca WHERE same"),
@@ -202,8 +269,8 @@ SELECT run_id, level::INT AS level, y_ord::INT AS y_ord, y_cell, x_ord::INT AS x
 SELECT run_id, level::INT AS level, ord::INT AS ord, CASE WHEN again THEN top + row_number() OVER (PARTITION BY run_id, again ORDER BY level DESC, ord) ELSE cell_id END AS node_id FROM s JOIN t USING (run_id)"""),
     "biopsy_cells": (biopsy_cells, f"WITH {CELLS} SELECT run_id, level::INT AS level, string_agg(cell_id::VARCHAR, ',' ORDER BY ord) AS cells FROM c GROUP BY run_id, level"),
     "biopsy_pooled": (biopsy_pooled, f"WITH {CELLS} SELECT run_id, 0 AS level, (row_number() OVER (PARTITION BY run_id ORDER BY level, ord) - 1)::INT AS ord, cell_id FROM c"),
-    "biopsy_guard": (biopsy_guard, f"WITH {CELLS} SELECT run_id, count(*) AS n_cells FROM c WHERE level = 0 AND ord < run_id::INT % 5 GROUP BY run_id HAVING count(*) >= 3"),
-    "cell_lookup": (cell_lookup, f"WITH {CELLS} SELECT run_id, arg_min(idx, level * 10 + ord)::INT AS found FROM c WHERE cell_id = 7 - run_id::INT % 5 GROUP BY run_id"),
+    "biopsy_guard": (biopsy_guard, f"WITH {CELLS} SELECT run_id, count(*) AS n_cells FROM c WHERE level = 0 AND ord < run_no % 5 GROUP BY run_id HAVING count(*) >= 3"),
+    "cell_lookup": (cell_lookup, f"WITH {CELLS} SELECT run_id, arg_min(idx, level * 10 + ord)::INT AS found FROM c WHERE cell_id = 7 - run_no % 5 GROUP BY run_id"),
     "visible_nodes": (visible_nodes, f"WITH {CELLS} SELECT run_id, idx AS node_id FROM c WHERE idx IN (0, 1) OR EXISTS (SELECT 1 FROM c s WHERE s.run_id = c.run_id AND s.level = 1 AND s.cell_id = c.cell_id)"),
     "nj_q_step": (nj_q_step, f"""WITH {CELLS}, {DIST}, t AS (SELECT run_id, i, sum(dist) AS t FROM d GROUP BY ALL), n AS (SELECT run_id, count(*) AS n FROM t GROUP BY ALL),
 q AS (SELECT d.run_id, d.i, d.j, dist, a.t AS ti, b.t AS tj, n, (n - 2) * dist - a.t - b.t AS q FROM d JOIN t a USING (run_id, i) JOIN t b ON b.run_id = d.run_id AND b.i = d.j JOIN n ON n.run_id = d.run_id WHERE d.i < d.j),
@@ -212,9 +279,9 @@ SELECT run_id, i::INT AS i, j::INT AS j, round(q, 9) AS q, dist, round((dist + (
     "cnp_run_distance": (cnp_run_distance, f"WITH {PAIRS} SELECT p.o_orderkey, coalesce(sum((d <> 0 AND d <> before)::INT), 0)::INT AS runs FROM p LEFT JOIN s USING (o_orderkey) GROUP BY p.o_orderkey"),
     "cnp_breakpoint_bound": (cnp_breakpoint_bound, f"WITH {PAIRS} SELECT p.o_orderkey, ceil(coalesce(sum((d <> before)::INT + (last AND d <> 0)::INT), 0) / 2.0::DOUBLE)::INT AS bound FROM p LEFT JOIN s USING (o_orderkey) GROUP BY p.o_orderkey"),
     "cnp_event_distance": (cnp_event_distance, None),
-    "nj_full": (nj_full, None),
-    "layered_full": (layered_full, None),
-    "layered_layout": (layered_layout, None),
+    "nj_full": (nj_full, NJ_FULL),
+    "layered_full": (layered_full, f"{LAYERED} SELECT run_id, node_id, parent_id::VARCHAR AS parent_id, cell_id::VARCHAR AS cell_id, level, weight FROM layered"),
+    "layered_layout": (layered_layout, LAYOUT),
     "biopsy_highlights": (biopsy_highlights, f"WITH {CELLS} SELECT n.run_id, n.idx AS node_id, b.level::INT AS level, {layout.PALETTE}[b.level % 19 + 1] AS colour FROM c n JOIN (SELECT DISTINCT run_id, cell_id, level FROM c) b USING (run_id, cell_id)"),
     "distance_labels": (distance_labels, f"WITH {CELLS}, {DIST} SELECT run_id, i::INT AS i, j::INT AS j, printf('Distance: %.2f', dist / 3) AS label FROM d WHERE i < j"),
     "experiment": (experiment, None),
