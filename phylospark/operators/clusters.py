@@ -1,7 +1,8 @@
 """Clusters of trees: for every node the multiset of labels below it, itself included.
 
-Trees are rows (tree_id, node_id, parent_id, label). Pairs of node and ancestor come from doubling jumps, so a tree of depth d takes
-log2(d) joins; they are as many as the clusters have elements. A cluster's identity is its size and two commutative sums of hashes
+Trees are rows (tree_id, node_id, parent_id, label). Clusters grow by doubling jumps: what lies less than 2k levels below a node is what lies
+less than k below it, and the same of its descendants k levels down. So a tree of depth d takes log2(d) joins, and equal labels are one row with
+a count from the first step on. (``closure`` keeps pairs of node and ancestor, for layouts.) A cluster's identity is its size and two commutative sums of hashes
 of its (label, count) elements: no list is gathered for it, however large a root's cluster is.
 """
 
@@ -26,18 +27,32 @@ def closure(nodes: DataFrame, max_doublings: int = 40) -> DataFrame:
     raise ValueError("the trees have a cycle, or are deeper than any tree is")
 
 
-def below(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose nodes lie below the roots (tree_id, root)."""
-    inside = pairs.join(roots.withColumnRenamed("root", "anc"), ["tree_id", "anc"]).select("tree_id", "node_id")
-    inside = inside.distinct()
-    return pairs.join(inside, ["tree_id", "node_id"]).join(inside.withColumnRenamed("node_id", "anc"), ["tree_id", "anc"]).select("tree_id", "node_id", "anc")
+def within(nodes: DataFrame, roots: DataFrame, max_doublings: int = 40) -> DataFrame:
+    """The nodes at and below the roots (tree_id, root); a root has no parent then. Pointers jump to the top of what is above them."""
+    cut = nodes.join(roots, "tree_id").withColumn("parent_id", F.when(F.col("node_id") != F.col("root"), F.col("parent_id")))
+    cut = stage(cut, "cut")
+    tops = stage(cut.select("tree_id", "node_id", F.coalesce("parent_id", "node_id").alias("top")), "tops")
+    for _ in range(max_doublings):
+        above = tops.select("tree_id", F.col("node_id").alias("top"), F.col("top").alias("next"))
+        moved = stage(tops.join(above, ["tree_id", "top"], "left").select("tree_id", "node_id", "top", F.coalesce("next", "top").alias("next")), "tops")
+        tops = moved.select("tree_id", "node_id", F.col("next").alias("top"))
+        if moved.where("next <> top").isEmpty():
+            return cut.join(tops, ["tree_id", "node_id"]).where("top = root").drop("top", "root")
+    raise ValueError("the trees have a cycle, or are deeper than any tree is")
 
 
-def elements(nodes: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def elements(nodes: DataFrame, max_doublings: int = 40) -> DataFrame:
     """(tree_id, anc, label, cnt): the clusters' elements; nodes without a label add nothing."""
-    pairs = closure(nodes) if pairs is None else pairs
-    labels = nodes.where("label IS NOT NULL").select("tree_id", "node_id", "label")
-    return pairs.join(labels, ["tree_id", "node_id"]).groupBy("tree_id", "anc", "label").agg(F.count(F.lit(1)).alias("cnt"))
+    rows = nodes.where("label IS NOT NULL").groupBy("tree_id", F.col("node_id").alias("anc"), "label").agg(F.count(F.lit(1)).alias("cnt"))
+    jump = stage(nodes.where("parent_id IS NOT NULL").select("tree_id", F.col("node_id").alias("anc"), F.col("parent_id").alias("up")), "jump")
+    for _ in range(max_doublings):
+        if jump.isEmpty():
+            return rows
+        moved = rows.join(jump, ["tree_id", "anc"]).select("tree_id", F.col("up").alias("anc"), "label", "cnt")
+        rows = stage(rows.unionByName(moved).groupBy("tree_id", "anc", "label").agg(F.sum("cnt").alias("cnt")), "elements")
+        further = jump.withColumnRenamed("anc", "low").withColumnRenamed("up", "anc").join(jump, ["tree_id", "anc"])
+        jump = stage(further.select("tree_id", F.col("low").alias("anc"), "up"), "jump")
+    raise ValueError("the trees have a cycle, or are deeper than any tree is")
 
 
 def identity():

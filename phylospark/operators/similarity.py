@@ -3,7 +3,8 @@
 With lists A and B of clusters (one a node), U different clusters in both, and the Jaccard distance J of multisets:
     1 - [ sum over a in A, b in B not in A, of J(a, b) / (|A| U) + sum over b in B, a in A not in B, of J(b, a) / (|B| U) ].
 J is 1 for clusters that share no label, so both sums are counted at once and then lowered by the pairs that do share one. Those
-come from an equi-join on the label, between representatives of different clusters; there is no cross join.
+come from an equi-join on the label, between representatives of different clusters. A label that is in many clusters of both trees makes as many
+pairs as the clusters it is in; those of a label above ``PAIRS`` are dealt to several tasks, and combined before they are shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from phylospark.functions.staging import stage
 from phylospark.operators import clusters
 
 KEY = ["h1", "h2", "size"]
+#: Pairs of clusters that one task makes of a label, about.
+PAIRS = 2_000_000
 
 
 def sides(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -42,7 +45,7 @@ def score(members: DataFrame, elements: DataFrame, as_sets: bool = False) -> Dat
         rep = kinds.where(f"{own} IS NOT NULL").select("pair_id", F.col(own).alias("anc"), "kind", "ma", "mb", "size")
         return elements.where(F.col("side") == s).join(rep, ["pair_id", "anc"]).select("pair_id", "label", *(F.col(c).alias(f"{c}_{s}") for c in ("cnt", "kind", "ma", "mb", "size")))
 
-    both = side(0, "rep_a").join(side(1, "rep_b"), ["pair_id", "label"]).where("kind_0 <> kind_1 AND (ma_1 = 0 OR mb_0 = 0)")
+    both = by_label(side(0, "rep_a"), side(1, "rep_b"), kinds).where("kind_0 <> kind_1 AND (ma_1 = 0 OR mb_0 = 0)")
     shared = both.groupBy("pair_id", "kind_0", "kind_1", "ma_0", "mb_0", "ma_1", "mb_1", "size_0", "size_1").agg(F.sum(F.least("cnt_0", "cnt_1")).alias("i"))
     overlap = F.col("ma_0") * F.col("mb_1") * F.col("i") / (F.col("size_0") + F.col("size_1") - F.col("i"))
     less = shared.groupBy("pair_id").agg(F.sum(F.when(F.col("ma_1") == 0, overlap).otherwise(0.0)).alias("less_1"), F.sum(F.when(F.col("mb_0") == 0, overlap).otherwise(0.0)).alias("less_2"))
@@ -53,23 +56,38 @@ def score(members: DataFrame, elements: DataFrame, as_sets: bool = False) -> Dat
     return rows.select("pair_id", value.alias("similarity"), F.col("na").alias("n_left"), F.col("nb").alias("n_right"), F.col("u").alias("n_union"))
 
 
-def prepared(nodes: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """The clusters (tree_id, anc) and elements of trees, below the roots if given."""
-    pairs = clusters.closure(nodes)
-    if roots is not None:
-        pairs = clusters.below(pairs, roots)
-    return pairs.select("tree_id", "anc").distinct(), stage(clusters.elements(nodes, pairs), "elements")
+def by_label(left: DataFrame, right: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The clusters of both sides that share a label: left rows of a frequent label are dealt, right ones go to each part."""
+    on = ["pair_id", "label"]
+    most = kinds.groupBy("pair_id").agg((F.count("rep_a") * F.count("rep_b")).alias("n")).agg(F.max("n")).first()[0]
+    if (most or 0) <= PAIRS:  # then no label makes more
+        return left.join(right, on)
+    count = lambda rows, name: rows.groupBy(*on).agg(F.count(F.lit(1)).alias(name))
+    often = count(left, "a").join(count(right, "b"), on).withColumn("parts", F.ceil(F.col("a") * F.col("b") / PAIRS).cast("int")).where("parts > 1").select(*on, "parts")
+    often = stage(often, "often")
+    if often.isEmpty():
+        return left.join(right, on)
+    parts = F.coalesce("parts", F.lit(1))
+    left = left.join(often, on, "left").withColumn("part", F.pmod(F.xxhash64("kind_0"), parts).cast("int")).drop("parts")
+    right = right.join(often, on, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right, [*on, "part"])
+
+
+def prepared(nodes: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The nodes of trees, below the roots if given, their clusters (tree_id, anc) and elements."""
+    nodes = stage(nodes if roots is None else clusters.within(nodes, roots), "nodes")
+    return nodes, nodes.select("tree_id", F.col("node_id").alias("anc")).distinct(), clusters.elements(nodes)
 
 
 def similarity(nodes: DataFrame, pairs: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Over all labels. nodes: (tree_id, node_id, parent_id, label); pairs: (pair_id, left_tree, right_tree); roots: (tree_id, root)."""
-    members, elements = prepared(nodes, roots)
+    _, members, elements = prepared(nodes, roots)
     return score(sides(members, pairs), sides(elements, pairs))
 
 
 def shared_label_similarity(nodes: DataFrame, pairs: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Restricted to labels of leaves of either tree and of inner nodes of both."""
-    members, elements = prepared(nodes, roots)
+    nodes, members, elements = prepared(nodes, roots)
     labels = sides(clusters.leaf_and_inner_labels(nodes), pairs)
     allowed = labels.where("is_leaf").select("pair_id", "label").union(labels.where("NOT is_leaf").groupBy("pair_id", "label").agg(F.countDistinct("side").alias("n")).where("n = 2").select("pair_id", "label")).distinct()
     return score(sides(members, pairs), sides(elements, pairs).join(allowed, ["pair_id", "label"], "left_semi"))
@@ -77,5 +95,5 @@ def shared_label_similarity(nodes: DataFrame, pairs: DataFrame, roots: DataFrame
 
 def given_label_similarity(nodes: DataFrame, pairs: DataFrame, allowed: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Restricted to the labels of allowed (label), over sets of clusters that aren't empty."""
-    members, elements = prepared(nodes, roots)
+    _, members, elements = prepared(nodes, roots)
     return score(sides(members, pairs), sides(elements.join(allowed.select("label").distinct(), "label", "left_semi"), pairs), as_sets=True)
