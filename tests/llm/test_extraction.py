@@ -90,3 +90,10 @@ def test_very_long_page_keeps_all():
     body = "".join(f"<p>Paragraph {i} of a very long page with some words.</p>" for i in range(20_000))
     got = X.main_text(f"<body><ul><li><a href=/>Home</a></li></ul><div>{body}</div></body>")
     assert got.count("Paragraph") == 20_000 and "Home" not in got
+
+
+def test_query_equals_the_kernel(spark, tmp_path):
+    rows = [(i, f"u{i}", html, "t") for i, (_, html, _) in enumerate(labelled_pages.pages())] + [(900, None, None, "t"), (901, "u", "", "t")]
+    spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(map(tuple, X.op4_extraction(spark, str(tmp_path)).collect()))
+    assert got == [(i, u, X.main_text(h), len(X.main_text(h))) for i, u, h, _ in rows]

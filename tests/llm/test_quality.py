@@ -64,3 +64,18 @@ def test_logistic_finds_the_weights():
     x = r.normal(size=(20_000, 2))
     y = (r.random(20_000) < 1 / (1 + np.exp(-(x @ [1.5, -0.5] + 0.3)))).astype(float)
     assert Q.logistic(x, y, np.ones(len(y))) == pytest.approx([1.5, -0.5, 0.3], abs=0.1)
+
+
+def test_query(spark, tmp_path):
+    rows = corpus(300)
+    texts = [(i, t, 0) for i, t, _ in rows] + [(900, None, 0), (901, "", 0), (None, "the and", 0), (5, rows[5][1], 0)]
+    spark.createDataFrame(texts, "doc_id long, text string, predicted int").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, y, 1 - y) for i, _, y in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    model = Q.train(*(spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("documents", "labels")))
+    sizes = Q.Sizes(model.good, model.bad)
+    wanted = []
+    for i, t, _ in texts:
+        (s,) = Q.apply(model, np.array([sizes.measure((t or "").encode())]))
+        wanted.append((str(i), i is not None and zlib.crc32(str(i).encode()) % 5 == 0, round(float(s), 9), int(s >= 0.3)))
+    got = [(str(a), b, round(s, 9), p) for a, b, s, p in map(tuple, Q.op3_quality(spark, str(tmp_path)).collect())]
+    assert sorted(got) == sorted(wanted)

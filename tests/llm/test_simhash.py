@@ -129,3 +129,15 @@ def test_hot_component_and_hot_fingerprint(spark):
 def test_very_long_text():
     text = "word " * 400_000 + "end"
     assert S.fingerprint(text.encode()) == plain_fingerprint("word " * 5000)
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    r = random.Random(3)
+    base = [" ".join(r.choice(["alpha", "Beta", "gamma", "delta", "Ä", "x"]) for _ in range(r.randint(0, 60))) for _ in range(40)]
+    texts = base + [t + " end" for t in base[:25]] + base[:5] + [None, "", " \n"]
+    spark.createDataFrame([(500 - i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, fingerprint string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    prints = [plain_fingerprint(t or "") for t in reversed(texts)]  # by rising doc_id
+    root = plain_components(prints)
+    first = 501 - len(texts)
+    wanted = sorted((first + i, f"{p:016x}", first + root[i]) for i, p in enumerate(prints))
+    assert sorted(map(tuple, S.op9_simhash(spark, str(tmp_path)).collect())) == wanted
