@@ -42,11 +42,19 @@ def el(where: str = "") -> str:
     return f"el AS (SELECT c.tree_id, c.anc, n.label, count(*)::BIGINT AS cnt FROM clo c JOIN nodes n ON n.tree_id = c.tree_id AND n.node_id = c.node_id WHERE n.label IS NOT NULL {where} GROUP BY ALL)"
 
 
-def similarity_sql(where: str = "", as_sets: bool = False) -> str:
+#: The same trees down to nations, under a named root; the second has nations with an even key and regions that have one.
+UPPER = TREES.replace(TREES[TREES.index("  SELECT t.t"):TREES.index("), clo AS")], """  SELECT t.t AS tree_id, n.* EXCLUDE (even) FROM (VALUES ('all'), ('even')) t(t), (
+    SELECT 0::BIGINT AS node_id, NULL::BIGINT AS parent_id, 'world'::VARCHAR AS label, true AS even
+    UNION ALL SELECT 1000 + r_regionkey, 0, r_name, EXISTS (SELECT 1 FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey % 2 = 0) FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)
+    UNION ALL SELECT 10000 + n_nationkey, 1000 + n_regionkey, n_name, n_nationkey % 2 = 0 FROM nation) n WHERE t.t = 'all' OR n.even
+""")
+
+
+def similarity_sql(where: str = "", as_sets: bool = False, trees: str = TREES) -> str:
     """The formula with all pairs of different clusters."""
     m = ("least(sum((tree_id = 'all')::INT), 1)", "least(sum((tree_id = 'even')::INT), 1)") if as_sets else ("sum((tree_id = 'all')::INT)", "sum((tree_id = 'even')::INT)")
     counted = "WHERE sig <> ''" if as_sets else ""
-    return f"""WITH RECURSIVE {TREES}, {el(where)}, cl AS (
+    return f"""WITH RECURSIVE {trees}, {el(where)}, cl AS (
   SELECT n.tree_id, n.node_id AS anc, coalesce(string_agg(e.label || '=' || e.cnt, '|' ORDER BY e.label), '') AS sig, coalesce(sum(e.cnt), 0) AS size
   FROM nodes n LEFT JOIN el e ON e.tree_id = n.tree_id AND e.anc = n.node_id GROUP BY ALL
 ), k AS (SELECT sig, any_value(size) AS size, {m[0]} AS ma, {m[1]} AS mb, min(struct_pack(t := tree_id, a := anc)) AS rep FROM cl GROUP BY sig
@@ -119,6 +127,21 @@ def newick_nodes(spark, sf_dir):
     return found.join(up, ["tree_id", "parent_id"], "left").select("tree_id", "label", "parent_label", "is_root")
 
 
+def newick_similarity(spark, sf_dir):
+    """Two trees given as Newick texts: nations under regions, and those with an even key."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    rows = nation.join(region, nation["n_regionkey"] == region["r_regionkey"])
+    text = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")
+
+    def tree(name, rows):
+        inner = rows.groupBy("r_name").agg(text("n_name").alias("below")).select(F.concat(F.lit("("), "below", F.lit(")"), "r_name").alias("part"))
+        return inner.agg(F.concat(F.lit("("), text("part"), F.lit(")world;")).alias("newick")).select(F.lit(name).alias("tree_id"), "newick")
+
+    nodes = stage(newick.nodes(tree("all", rows).unionByName(tree("even", rows.where("n_nationkey % 2 = 0")))), "newick")
+    roots = nodes.where("is_root").select("tree_id", F.col("node_id").alias("root"))
+    return rounded(similarity.similarity(nodes.drop("is_root"), pairs(spark), roots))
+
+
 def jaccard_multiset(spark, sf_dir):
     """The multiset distance of market segments between nations of a region."""
     counts = table(spark, sf_dir, "customer").groupBy("c_nationkey", F.col("c_mktsegment").alias("label")).agg(F.count(F.lit(1)).alias("cnt"))
@@ -170,6 +193,7 @@ QUERIES = {
 SELECT kind, n FROM (SELECT 'union' AS kind, (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)) AS n UNION ALL SELECT 'both', (SELECT count(*) FROM a JOIN b USING (label)) UNION ALL SELECT 'left only', (SELECT count(*) FROM a WHERE label NOT IN (SELECT label FROM b))) WHERE n > 0"""),
     "newick_nodes": (newick_nodes, """SELECT r_name AS tree_id, n_name AS label, r_name AS parent_label, false AS is_root FROM nation JOIN region ON n_regionkey = r_regionkey
 UNION ALL SELECT DISTINCT r_name, r_name, NULL, true FROM nation JOIN region ON n_regionkey = r_regionkey"""),
+    "newick_similarity": (newick_similarity, similarity_sql(trees=UPPER)),
     "jaccard_multiset": (jaccard_multiset, """WITH c AS (SELECT c_nationkey AS k, c_mktsegment AS label, count(*) AS cnt FROM customer GROUP BY ALL), s AS (SELECT n_nationkey AS k, coalesce(sum(cnt), 0) AS size FROM nation LEFT JOIN c ON k = n_nationkey GROUP BY ALL),
 p AS (SELECT x.n_nationkey AS a, y.n_nationkey AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey),
 i AS (SELECT a, b, coalesce(sum(least(x.cnt, y.cnt)) FILTER (WHERE x.cnt IS NOT NULL AND y.cnt IS NOT NULL), 0) AS i FROM p LEFT JOIN c x ON x.k = a LEFT JOIN c y ON y.k = b AND y.label = x.label GROUP BY ALL)
