@@ -22,9 +22,9 @@ class Timings:
             self.rows.append((label, perf_counter_ns() - began))
 
     @property
-    def durations(self) -> dict[str, int]:
-        """Nanoseconds of each label in sum."""
-        return {label: sum(n for own, n in self.rows if own == label) for label, _ in self.rows}
+    def durations(self) -> dict[str, list[int]]:
+        """Nanoseconds of each label's steps."""
+        return {label: [n for own, n in self.rows if own == label] for label, _ in self.rows}
 
     def table(self, spark: SparkSession) -> DataFrame:
         """(label, nanoseconds)."""
