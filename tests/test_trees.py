@@ -36,6 +36,7 @@ def plain_similarity(left, right, allowed=None):
     return float(1 - Fraction(first) / (len(a) * u) - Fraction(second) / (len(b) * u))
 
 
+# Known pairs of trees and their similarity.
 GOLDEN = [
     ("((a,b)f,(c,d)e)g;", "((a,b)f,c);", 6917 / 11760),
     ("(a,b)c;", "(a,d)c;", 14 / 45),
