@@ -4,7 +4,9 @@ The first pass takes whole texts in blocks of a few megabytes and gives, for eac
 how many of its documents hold each word; summed, these are the exact document frequencies, and words in too few documents go. The
 second pass builds for each block an Aho-Corasick automaton of the kept words that the block holds, each padded with the space on both sides so that only
 whole words match, and recounts all occurrences by source. A block's automaton can't grow beyond the block's own words, so no
-vocabulary is sent to every task, however large the corpus' is.
+vocabulary is sent to every task, however large the corpus' is: what is sent is a table of ``SIEVE`` bits (2 MB), one for each hash of a kept word.
+Words that get through it by chance (a twentieth where a million words are kept) are counted too and dropped when the counts are joined to the kept
+words, so the result is exact whatever the table lets through.
 
 Counts stay sparse: a posting is a (lang, source, word) with occurrences. Shares are smoothed, p = 1 + floor(scale * (count + 1) / (N + V)), so
 words that a source lacks all have one share p0, and the divergence sum f(p, q), f = floor((p - q)^2 / q), over all V words is taken apart into
@@ -28,23 +30,23 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phylospark.llm._shared import join_hot, slices, small_batches, stage
 
 SCALE, MIN_DOCS, TOP = 1_000_000_000, 3, 200
-BLOCK_BYTES, PIECE, TERMS = 4 << 20, 1 << 20, 2_000_000
+BLOCK_BYTES, PIECE, TERMS, SIEVE = 8 << 20, 1 << 20, 2_000_000, 1 << 24
 #: Words above so many characters are counted by comparing words: the automaton has a node a character and frees them by recursion.
 LONGEST = 1_000
 #: Letters and all bytes of characters beyond ASCII are kept, A-Z lower-cased; anything else becomes a space.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-BLOCKS = "block long, lang string, sources array<string>, texts array<string>, words array<string>, docs array<long>"
+BLOCKS = "lang string, sources array<string>, texts array<string>, words array<string>, docs array<long>"
 
 
 def pieces(text: bytes) -> Iterator[bytes]:
@@ -58,11 +60,11 @@ def pieces(text: bytes) -> Iterator[bytes]:
 
 
 def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each language of a slice of documents: its words by source, and how many documents hold each word."""
-    number = TaskContext.get().partitionId() << 32
-    for batch in slices(batches, "text", BLOCK_BYTES):
-        texts: dict[str, dict[str, list[bytes]]] = {}
-        docs: dict[str, Counter] = {}
+    """One row for each language of a block of documents: its words by source, and how many documents hold each word."""
+    texts: dict[str, dict[str, list[bytes]]] = {}
+    docs: dict[str, Counter] = {}
+    size = 0
+    for batch in slices(batches, "text"):
         for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
             own, holds = texts.setdefault(lang, {}).setdefault(source, []), set()
             for piece in pieces(text.translate(TABLE)):
@@ -70,34 +72,55 @@ def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     own.append(b" ".join(words))
                     holds.update(words)
             docs.setdefault(lang, Counter()).update(holds)
-        for lang, by_source in texts.items():
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number], pa.int64()),
-                    pa.array([lang], pa.string()),
-                    pa.array([list(by_source)], pa.list_(pa.string())),
-                    pa.array([[b" ".join(x).decode() for x in by_source.values()]], pa.list_(pa.string())),
-                    pa.array([[w.decode() for w in docs[lang]]], pa.list_(pa.string())),
-                    pa.array([list(docs[lang].values())], pa.list_(pa.int64())),
-                ],
-                names=["block", "lang", "sources", "texts", "words", "docs"],
-            )
-            number += 1
-
-
-def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, source, term, count of the kept words of each block, by an automaton over its texts; very long words by comparison."""
+            size += len(text)
+        if size >= BLOCK_BYTES:
+            yield from block_rows(texts, docs)
+            texts, docs, size = {}, {}, 0
+    yield from block_rows(texts, docs)
+
+
+def block_rows(texts: dict, docs: dict) -> Iterator[pa.RecordBatch]:
+    for lang, by_source in texts.items():
+        columns = [
+            pa.array([lang], pa.string()),
+            pa.array([list(by_source)], pa.list_(pa.string())),
+            pa.array([[b" ".join(x).decode() for x in by_source.values()]], pa.list_(pa.string())),
+            pa.array([[w.decode() for w in docs[lang]]], pa.list_(pa.string())),
+            pa.array([list(docs[lang].values())], pa.list_(pa.int64())),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "sources", "texts", "words", "docs"])
+
+
+def word_hash(lang: Column, term: Column) -> Column:
+    return F.crc32(F.concat(lang, F.lit("\0"), term).cast("binary")) % SIEVE
+
+
+def sieve_of(kept: DataFrame) -> bytes:
+    """SIEVE bits, set where a kept word has its hash; whatever their number, no more than that comes to the driver."""
+    at = word_hash(F.col("lang"), F.col("term"))
+    rows = kept.select((at / 32).cast("int").alias("place"), F.shiftleft(F.lit(1).cast("long"), (at % 32).cast("int")).alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(SIEVE // 32, "<u4")
+    bits[rows["place"].to_numpy()] = rows["bits"].to_numpy()
+    return bits.tobytes()
+
+
+def recount(batches: Iterator[pa.RecordBatch], sieve: bytes) -> Iterator[pa.RecordBatch]:
+    """lang, source, term, count of the words of each block that the sieve lets through, by an automaton over its texts; very long words by
+    comparison."""
     import ahocorasick
 
     for batch in batches:
         for i in range(batch.num_rows):
-            lang, sources, texts, kept = (batch.column(c)[i].as_py() for c in ("lang", "sources", "texts", "kept"))
+            lang, sources, texts, words = (batch.column(c)[i].as_py() for c in ("lang", "sources", "texts", "words"))
+            start = crc32(f"{lang}\0".encode())
+            kept = [w for w in words if sieve[(h := crc32(w.encode(), start) % SIEVE) >> 3] >> (h & 7) & 1]
             automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
             for k, word in enumerate(kept):
                 if len(word) <= LONGEST:
                     automaton.add_word(f" {word} ", k)
             automaton.make_automaton()
             long = {word: k for k, word in enumerate(kept) if len(word) > LONGEST}
+            terms = pa.array(kept, pa.string())
             for source, text in zip(sources, texts, strict=True):
                 found = automaton.iter(f" {text} ") if len(automaton) else ()
                 n = np.bincount(np.fromiter((k for _, k in found), np.int64), minlength=len(kept))
@@ -105,7 +128,7 @@ def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if word in long:
                         n[long[word]] += 1
                 at = np.flatnonzero(n)
-                columns = [pa.array([lang] * len(at), pa.string()), pa.array([source] * len(at), pa.string()), pa.array([kept[k] for k in at], pa.string()), pa.array(n[at], pa.int64())]
+                columns = [pa.array([lang] * len(at), pa.string()), pa.array([source] * len(at), pa.string()), terms.take(pa.array(at)), pa.array(n[at], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "count"])
 
 
@@ -157,12 +180,13 @@ def postings(docs: DataFrame, text: str, lang: str, source: str, min_docs: int =
     in the group, v: the kept words of the language."""
     rows = docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(to) for c, to in ((lang, "lang"), (source, "source"))), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
     blocks = stage(small_batches(rows).mapInArrow(to_blocks, BLOCKS), "blocks")
-    held = blocks.select("block", "lang", F.explode(F.arrays_zip("words", "docs")).alias("w")).select("block", "lang", F.col("w.words").alias("term"), F.col("w.docs").alias("docs"))
-    kept = stage(held.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs), "kept")
-    words = held.select("block", "lang", "term").join(kept.select("lang", "term"), ["lang", "term"], "left_semi").groupBy("block").agg(F.collect_list("term").alias("kept"))  # at most the block's own words
-    texts = blocks.select("block", "lang", "sources", "texts").join(words, "block")
-    counts = small_batches(texts).mapInArrow(recount, "lang string, source string, term string, count long")
-    counts = stage(counts.groupBy("lang", "source", "term").agg(F.sum("count").alias("count")), "postings")
+    held = blocks.select("lang", F.explode(F.arrays_zip("words", "docs")).alias("w"))
+    kept = stage(held.groupBy("lang", F.col("w.words").alias("term")).agg(F.sum("w.docs").alias("docs")).where(F.col("docs") >= min_docs), "kept")
+    sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(kept))
+    texts = small_batches(blocks.select("lang", "sources", "texts", "words"))
+    counts = texts.mapInArrow(lambda batches: recount(batches, sieve.value), "lang string, source string, term string, count long")
+    counts = counts.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
+    counts = stage(counts.join(kept.select("lang", "term").hint("shuffle_hash"), ["lang", "term"], "left_semi"), "postings")
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
     groups = blocks.select("lang", F.explode("sources").alias("source")).distinct().join(counts.groupBy("lang", "source").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("terms")), ["lang", "source"], "left").join(sizes, "lang", "left")
     groups = groups.na.fill(0, ["n", "v", "terms"]).withColumn("p0", F.when(F.col("v") > 0, smoothed("0L", "n", "v")))
