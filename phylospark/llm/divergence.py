@@ -97,8 +97,7 @@ def word_hash(lang: Column, term: Column) -> Column:
 
 def sieve_of(kept: DataFrame) -> bytes:
     """SIEVE bits, set where a kept word has its hash; whatever their number, no more than that comes to the driver."""
-    at = word_hash(F.col("lang"), F.col("term"))
-    rows = kept.select((at / 32).cast("int").alias("place"), F.shiftleft(F.lit(1).cast("long"), (at % 32).cast("int")).alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bits")).toArrow()
+    rows = kept.select(word_hash(F.col("lang"), F.col("term")).alias("h")).groupBy(F.expr("h div 32").alias("place")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 32 as int)))").alias("bits")).toArrow()
     bits = np.zeros(SIEVE // 32, "<u4")
     bits[rows["place"].to_numpy()] = rows["bits"].to_numpy()
     return bits.tobytes()
