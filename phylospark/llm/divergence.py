@@ -167,7 +167,15 @@ def common_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def smoothed(count: str, n: str, v: str) -> Column:
-    return F.expr(f"1 + (cast({count} + 1 as decimal(20, 0)) * {SCALE}) div ({n} + {v})")
+    """1 + floor(SCALE * (count + 1) / (n + v)), by long division with three digits at a time, so that no product passes 64 bits."""
+    size = F.expr(f"{n} + {v}")
+    div = lambda a: F.call_function("div", a, size)
+    left = F.expr(f"{count} + 1L")
+    share = div(left)
+    for _ in range(3):  # SCALE is 1000 to the third
+        left = left % size * 1000
+        share = share * 1000 + div(left)
+    return 1 + share
 
 
 def f(p: str, q: str) -> str:
