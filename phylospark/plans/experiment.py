@@ -37,7 +37,8 @@ def as_trees(nodes: DataFrame, kind: str) -> DataFrame:
 
 def run_tables(runs: DataFrame, resolved: DataFrame, model: Model, generations: list[int], size: int | None = None, fraction: float | None = None, radius: float = 4, seed: int = 0, timings: Timings | None = None) -> Tables:
     """Runs (run_id, seed) from the founder to the scores. Every run has a result (run_id, n_nodes, n_cells, similarity_layered,
-    similarity_pooled, reason); one that can't be scored has no similarities but a reason.
+    similarity_pooled, n_inexact, reason); one that can't be scored has no similarities but a reason. n_inexact counts the pairs of sampled cells
+whose distance is an upper bound only, so that links may hang on one.
 
     The simulated tree is compared whole, from its founder; reconstructed ones from their root. Genomes are needed up to the
     distances only; later steps don't read them."""
@@ -66,9 +67,10 @@ def run_tables(runs: DataFrame, resolved: DataFrame, model: Model, generations:
         sizes = nodes.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_nodes"))
         counted = cells.withColumnRenamed("n_first", "first")
         every = runs.select("run_id").distinct().join(sizes, "run_id", "left").join(counted, "run_id", "left").join(pivot, "run_id", "left")
+        every = every.join(distances.where("NOT exact AND i < j").groupBy("run_id").agg(F.count(F.lit(1)).alias("n_inexact")), "run_id", "left")
         few = F.coalesce("n_cells", F.lit(0)) < 3
         reason = F.when(few, FEW_CELLS).when(F.col("first") < 2, ONE_CELL)
-        results = every.select("run_id", "n_nodes", F.coalesce("n_cells", F.lit(0)).alias("n_cells"), *(f"similarity_{k}" for k in KINDS), reason.alias("reason"))
+        results = every.select("run_id", "n_nodes", F.coalesce("n_cells", F.lit(0)).alias("n_cells"), *(f"similarity_{k}" for k in KINDS), F.coalesce("n_inexact", F.lit(0)).alias("n_inexact"), reason.alias("reason"))
         return Tables(nodes, biopsy, distances, trees, stage(results, "results"))
 
 

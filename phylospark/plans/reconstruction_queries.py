@@ -134,7 +134,8 @@ def pairs(spark, sf_dir):
     return rows
 
 
-PAIRS = f"""p AS (SELECT o_orderkey, {GENOME} AS u, list_transform(range(0, 10), lambda i: ((o_custkey * (i + 3) + o_orderkey) % 5)::INT) AS v FROM orders),
+ORDER_PAIRS = f"p AS (SELECT o_orderkey, {GENOME} AS u, list_transform(range(0, 10), lambda i: ((o_custkey * (i + 3) + o_orderkey) % 5)::INT) AS v FROM orders)"
+PAIRS = f"""{ORDER_PAIRS},
 k AS (SELECT o_orderkey, pos, v[pos] - u[pos] AS d FROM p, range(1, 11) r(pos) WHERE u[pos] <> 0), s AS (SELECT *, coalesce(lag(d) OVER (PARTITION BY o_orderkey ORDER BY pos), 0) AS before, lead(d) OVER (PARTITION BY o_orderkey ORDER BY pos) IS NULL AS last FROM k)"""
 
 
@@ -147,8 +148,39 @@ def cnp_breakpoint_bound(spark, sf_dir):
 
 
 def cnp_event_distance(spark, sf_dir):
-    """The exact distance; it lies between the two bounds (tests hold that)."""
-    return pairs(spark, sf_dir).select("o_orderkey", distance.event_distance("u", "v").alias("dist"))
+    """The distance and whether it is exact; it lies between the two bounds (tests hold that)."""
+    return pairs(spark, sf_dir).withColumn("d", distance.event_distance("u", "v")).select("o_orderkey", "d.dist", "d.exact")
+
+
+def distance_matrix(spark, sf_dir):
+    """The measured distances between the cells of each run."""
+    rows = cells(spark, sf_dir).select("run_id", F.col("at").alias("ord"), "cell_id", "genome")
+    return distance.matrix(rows)
+
+
+def near_pairs(spark, sf_dir, keep_lost=False):
+    own = stage(cells(spark, sf_dir).select("run_id", F.col("at").alias("key"), "genome"), "own")
+    return distance.near(own, own, 3, keep_lost).select("run_id", "x", "y", "dist")
+
+
+def near_ancestors(spark, sf_dir):
+    """Pairs within the radius in which the second cell can descend from the first."""
+    return near_pairs(spark, sf_dir, True)
+
+
+def layered_within(spark, sf_dir):
+    """Trees from near pairs only, on measured distances; every cell has an identifier of its own."""
+    return written(linking.reconstruct_within(cells(spark, sf_dir).withColumn("cell_id", F.col("at").cast("long")), 4))
+
+
+#: The distance of each pair of profiles in g (u, v): masks of breakpoints that sum to zero, and the longest chain of masks that hold one another.
+MEASURED = """gn AS (SELECT u, v, row_number() OVER () AS k, list_filter(list_transform(range(1, len(u) + 1), lambda i: CASE WHEN u[i] <> 0 THEN v[i] - u[i] END), lambda x: x IS NOT NULL) AS d FROM (SELECT DISTINCT u, v FROM g)),
+bp AS (SELECT u, v, k, list_filter(list_transform(range(1, len(d) + 2), lambda i: coalesce(d[i], 0) - CASE WHEN i > 1 THEN d[i - 1] ELSE 0 END), lambda x: x <> 0) AS s FROM gn),
+z AS MATERIALIZED (SELECT k, mask FROM bp, range(1, 2048) r(mask) WHERE mask < (1 << len(s)) AND list_sum(list_transform(range(1, len(s) + 1), lambda i: ((mask >> (i - 1)) & 1) * s[i])) = 0),
+ch AS (SELECT k, mask, 1 AS n FROM z UNION SELECT z.k, z.mask, ch.n + 1 FROM ch JOIN z ON z.k = ch.k AND z.mask <> ch.mask AND z.mask & ch.mask = ch.mask),
+far AS (SELECT u, v, (len(s) - coalesce(n, 0))::INT AS dist FROM bp LEFT JOIN (SELECT k, max(n) AS n FROM ch GROUP BY k) USING (k))"""
+RUN_PAIRS = f"WITH RECURSIVE {CELLS}, g AS (SELECT x.run_id, x.idx AS i, y.idx AS j, x.cell_id AS id_i, y.cell_id AS id_j, x.genome AS u, y.genome AS v FROM c x JOIN c y USING (run_id)), {MEASURED}"
+NEAR_SQL = f"{RUN_PAIRS} SELECT run_id, i::INT AS x, j::INT AS y, dist::DOUBLE AS dist FROM g JOIN far USING (u, v) WHERE dist <= 3"
 
 
 def trees(spark, sf_dir, pooled=False):
@@ -278,7 +310,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY q, i, j) AS rn F
 SELECT run_id, i::INT AS i, j::INT AS j, round(q, 9) AS q, dist, round((dist + (ti - tj) / (n - 2)) / 2, 9) AS limb_i, round((dist - (ti - tj) / (n - 2)) / 2, 9) AS limb_j FROM r WHERE rn = 1"""),
     "cnp_run_distance": (cnp_run_distance, f"WITH {PAIRS} SELECT p.o_orderkey, coalesce(sum((d <> 0 AND d <> before)::INT), 0)::INT AS runs FROM p LEFT JOIN s USING (o_orderkey) GROUP BY p.o_orderkey"),
     "cnp_breakpoint_bound": (cnp_breakpoint_bound, f"WITH {PAIRS} SELECT p.o_orderkey, ceil(coalesce(sum((d <> before)::INT + (last AND d <> 0)::INT), 0) / 2.0::DOUBLE)::INT AS bound FROM p LEFT JOIN s USING (o_orderkey) GROUP BY p.o_orderkey"),
-    "cnp_event_distance": (cnp_event_distance, None),
+    "cnp_event_distance": (cnp_event_distance, f"WITH RECURSIVE {ORDER_PAIRS}, g AS (SELECT u, v FROM p), {MEASURED} SELECT o_orderkey, dist, true AS exact FROM p JOIN far USING (u, v)"),
+    "distance_matrix": (distance_matrix, f"{RUN_PAIRS} SELECT run_id, i::INT AS i, j::INT AS j, id_i, id_j, dist::DOUBLE AS dist, true AS exact FROM g JOIN far USING (u, v) WHERE i <= j UNION ALL SELECT run_id, j::INT, i::INT, id_j, id_i, dist::DOUBLE, true FROM g JOIN far USING (u, v) WHERE i < j"),
+    "near_pairs": (near_pairs, NEAR_SQL),
+    "near_ancestors": (near_ancestors, f"{NEAR_SQL} AND len(list_filter(range(1, 11), lambda k: u[k] = 0 AND v[k] > 0)) = 0"),
+    "layered_within": (layered_within, None),
     "nj_full": (nj_full, NJ_FULL),
     "layered_full": (layered_full, f"{LAYERED} SELECT run_id, node_id, parent_id::VARCHAR AS parent_id, cell_id::VARCHAR AS cell_id, level, weight FROM layered"),
     "layered_layout": (layered_layout, LAYOUT),

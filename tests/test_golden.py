@@ -4,7 +4,6 @@ import math
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,29 +15,90 @@ from phylospark.sources import loci
 from phylospark.sources.profiles import profile_lines, read_matrix, read_profiles, write_matrix, write_profiles
 from tests.test_evolution import events, one
 
-# Twenty sampled cells and their profiles, biopsy by biopsy; their known distances, from each cell to those after it; the known tree.
-CELLS = """
-8 2322242222|6 2223222222
-30 4223222222|25 2222222221|21 6322222247|22 6342222226|16 2222222220|20 6321222221
-50 2321222222|48 4223232222|56 8341222221|38 5342222226|65 6222222220|21 6322222247|71 1223225222|32 1321222221|57 6321122220|43 2222222121|54 6341222220|34 6341222221
-"""
-DISTANCES = "3434434245444444455 125524225435245344 35434314435244454 4413344424434154 343465430643544 43453133643522 3234313333144 252433512421 43444323433 5546354555 345624521 34644533 2332233 643544 46566 3432 422 65 0"
-TREE = """
--1 8 1.5|-1 6 1.5|6 30 1|6 25 2|6 16 2|8 72 4|8 22 4|8 20 4|30 48 1|30 71 2|25 43 1|72 21 0|22 38 1|22 54 2|16 65 1|20 50 2|20 56 2|20 32 1|20 57 2|20 34 1
-"""
+# Twenty sampled cells with their profiles, biopsy by biopsy.
+CELLS = [
+    [
+        (8, [2, 3, 2, 2, 2, 4, 2, 2, 2, 2]),
+        (6, [2, 2, 2, 3, 2, 2, 2, 2, 2, 2]),
+    ],
+    [
+        (30, [4, 2, 2, 3, 2, 2, 2, 2, 2, 2]),
+        (25, [2, 2, 2, 2, 2, 2, 2, 2, 2, 1]),
+        (21, [6, 3, 2, 2, 2, 2, 2, 2, 4, 7]),
+        (22, [6, 3, 4, 2, 2, 2, 2, 2, 2, 6]),
+        (16, [2, 2, 2, 2, 2, 2, 2, 2, 2, 0]),
+        (20, [6, 3, 2, 1, 2, 2, 2, 2, 2, 1]),
+    ],
+    [
+        (50, [2, 3, 2, 1, 2, 2, 2, 2, 2, 2]),
+        (48, [4, 2, 2, 3, 2, 3, 2, 2, 2, 2]),
+        (56, [8, 3, 4, 1, 2, 2, 2, 2, 2, 1]),
+        (38, [5, 3, 4, 2, 2, 2, 2, 2, 2, 6]),
+        (65, [6, 2, 2, 2, 2, 2, 2, 2, 2, 0]),
+        (21, [6, 3, 2, 2, 2, 2, 2, 2, 4, 7]),
+        (71, [1, 2, 2, 3, 2, 2, 5, 2, 2, 2]),
+        (32, [1, 3, 2, 1, 2, 2, 2, 2, 2, 1]),
+        (57, [6, 3, 2, 1, 1, 2, 2, 2, 2, 0]),
+        (43, [2, 2, 2, 2, 2, 2, 2, 1, 2, 1]),
+        (54, [6, 3, 4, 1, 2, 2, 2, 2, 2, 0]),
+        (34, [6, 3, 4, 1, 2, 2, 2, 2, 2, 1]),
+    ],
+]
+# Their known distances, a row for each cell.
+DISTANCES = [
+    [0, 3, 4, 3, 4, 4, 3, 4, 2, 4, 5, 4, 4, 4, 4, 4, 4, 4, 5, 5],
+    [3, 0, 1, 2, 5, 5, 2, 4, 2, 2, 5, 4, 3, 5, 2, 4, 5, 3, 4, 4],
+    [4, 1, 0, 3, 5, 4, 3, 4, 3, 1, 4, 4, 3, 5, 2, 4, 4, 4, 5, 4],
+    [3, 2, 3, 0, 4, 4, 1, 3, 3, 4, 4, 4, 2, 4, 4, 3, 4, 1, 5, 4],
+    [4, 5, 5, 4, 0, 3, 4, 3, 4, 6, 5, 4, 3, 0, 6, 4, 3, 5, 4, 4],
+    [4, 5, 4, 4, 3, 0, 4, 3, 4, 5, 3, 1, 3, 3, 6, 4, 3, 5, 2, 2],
+    [3, 2, 3, 1, 4, 4, 0, 3, 2, 3, 4, 3, 1, 3, 3, 3, 3, 1, 4, 4],
+    [4, 4, 4, 3, 3, 3, 3, 0, 2, 5, 2, 4, 3, 3, 5, 1, 2, 4, 2, 1],
+    [2, 2, 3, 3, 4, 4, 2, 2, 0, 4, 3, 4, 4, 4, 3, 2, 3, 4, 3, 3],
+    [4, 2, 1, 4, 6, 5, 3, 5, 4, 0, 5, 5, 4, 6, 3, 5, 4, 5, 5, 5],
+    [5, 5, 4, 4, 5, 3, 4, 2, 3, 5, 0, 3, 4, 5, 6, 2, 4, 5, 2, 1],
+    [4, 4, 4, 4, 4, 1, 3, 4, 4, 5, 3, 0, 3, 4, 6, 4, 4, 5, 3, 3],
+    [4, 3, 3, 2, 3, 3, 1, 3, 4, 4, 4, 3, 0, 2, 3, 3, 2, 2, 3, 3],
+    [4, 5, 5, 4, 0, 3, 3, 3, 4, 6, 5, 4, 2, 0, 6, 4, 3, 5, 4, 4],
+    [4, 2, 2, 4, 6, 6, 3, 5, 3, 3, 6, 6, 3, 6, 0, 4, 6, 5, 6, 6],
+    [4, 4, 4, 3, 4, 4, 3, 1, 2, 5, 2, 4, 3, 4, 4, 0, 3, 4, 3, 2],
+    [4, 5, 4, 4, 3, 3, 3, 2, 3, 4, 4, 4, 2, 3, 6, 3, 0, 4, 2, 2],
+    [4, 3, 4, 1, 5, 5, 1, 4, 4, 5, 5, 5, 2, 5, 5, 4, 4, 0, 6, 5],
+    [5, 4, 5, 5, 4, 2, 4, 2, 3, 5, 2, 3, 3, 4, 6, 3, 2, 6, 0, 0],
+    [5, 4, 4, 4, 4, 2, 4, 1, 3, 5, 1, 3, 3, 4, 6, 2, 2, 5, 0, 0],
+]
+# The known tree; parent, child, weight.
+TREE = [
+    (-1, 8, 1.5),
+    (-1, 6, 1.5),
+    (6, 30, 1),
+    (6, 25, 2),
+    (6, 16, 2),
+    (8, 72, 4),
+    (8, 22, 4),
+    (8, 20, 4),
+    (30, 48, 1),
+    (30, 71, 2),
+    (25, 43, 1),
+    (72, 21, 0),
+    (22, 38, 1),
+    (22, 54, 2),
+    (16, 65, 1),
+    (20, 50, 2),
+    (20, 56, 2),
+    (20, 32, 1),
+    (20, 57, 2),
+    (20, 34, 1),
+]
 
 
 def known_cells():
     """(level, ord, cell, profile)."""
-    return [(level, k, int(c.split()[0]), [int(x) for x in c.split()[1]]) for level, line in enumerate(CELLS.strip().splitlines()) for k, c in enumerate(line.split("|"))]
+    return [(level, k, cell, profile) for level, own in enumerate(CELLS) for k, (cell, profile) in enumerate(own)]
 
 
 def known_distances():
-    own = DISTANCES.split()
-    d = np.zeros((20, 20))
-    for i, row in enumerate(own):
-        d[i, i + 1 :] = [int(x) for x in row]
-    return d + d.T
+    return np.array(DISTANCES, float)
 
 
 def test_known_distances():
@@ -53,7 +113,7 @@ def test_known_tree(spark):
     cells = spark.createDataFrame([("r", *c) for c in own], "run_id string, level int, ord int, cell_id long, genome array<int>").repartition(3)
     far = spark.createDataFrame([("r", i, j, own[i][2], float(known[i, j])) for i in range(20) for j in range(20)], "run_id string, i int, j int, id_i long, dist double").repartition(3)
     rows = linking.reconstruct(cells, far, 4).collect()
-    wanted = {(int(b), int(a), float(w)) for a, b, w in (x.split() for x in TREE.strip().split("|"))}
+    wanted = {(child, parent, float(weight)) for parent, child, weight in TREE}
     assert len(rows) == 21 and {(r["node_id"], r["parent_id"], r["weight"]) for r in rows if r["parent_id"] is not None} == wanted
     level = {r["node_id"]: r["level"] for r in rows}
     assert [sorted(level.values()).count(k) for k in range(4)] == [12, 6, 2, 1] and level[-1] == 3 and {r["cell_id"] for r in rows if r["node_id"] == 72} == {21}
@@ -176,7 +236,7 @@ def test_written_files_are_read_back(spark, tmp_path):
         read_matrix(spark, str(tmp_path / "several"))
 
 
-def test_trees_of_one_cell_have_no_rows():
-    cells = pd.DataFrame([(0, 0, 1, np.array([2]))], columns=["level", "ord", "cell_id", "genome"])
-    far = pd.DataFrame([(0, 0, 1, 0.0)], columns=["i", "j", "id_i", "dist"])
-    assert linking.reconstruct_run(cells, far, 4, False).empty
+def test_trees_of_one_cell_have_no_rows(spark):
+    cells = spark.createDataFrame([("r", 0, 0, 1, [2])], "run_id string, level int, ord int, cell_id long, genome array<int>")
+    far = spark.createDataFrame([("r", 0, 0, 1, 0.0)], "run_id string, i int, j int, id_i long, dist double")
+    assert linking.reconstruct(cells, far, 4).collect() == [] == linking.reconstruct_within(cells, 4).collect()

@@ -3,7 +3,6 @@ import os
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from phylospark.operators import distance, joining, layout, linking
@@ -83,25 +82,25 @@ def test_joining_always_ends():
         joining.neighbour_joining(np.zeros((1, 1)), [1], 9)
 
 
-def run(cells, d, radius=4):
-    pdf = pd.DataFrame([(level, k, c, np.array(g)) for level, own in enumerate(cells) for k, (c, g) in enumerate(own)], columns=["level", "ord", "cell_id", "genome"])
+def run(spark, cells, d, radius=4):
+    rows = [("r", level, k, c, g) for level, own in enumerate(cells) for k, (c, g) in enumerate(own)]
     ids = [c for own in cells for c, _ in own]
-    far = pd.DataFrame([(i, j, ids[i], float(d(ids[i], ids[j]))) for i in range(len(ids)) for j in range(len(ids))], columns=["i", "j", "id_i", "dist"])
-    out = linking.reconstruct_run(pdf, far, radius, False)
-    return {r.node_id: (None if pd.isna(r.parent_id) else int(r.parent_id), None if pd.isna(r.weight) else float(r.weight)) for r in out.itertuples()}
+    far = [("r", i, j, ids[i], float(d(ids[i], ids[j]))) for i in range(len(ids)) for j in range(len(ids))]
+    out = linking.reconstruct(spark.createDataFrame(rows, "run_id string, level int, ord int, cell_id long, genome array<int>"), spark.createDataFrame(far, "run_id string, i int, j int, id_i long, dist double"), radius)
+    return {r["node_id"]: (r["parent_id"], r["weight"]) for r in out.collect()}
 
 
-def test_a_cell_without_ancestor_is_copied_and_adopted():
+def test_a_cell_without_ancestor_is_copied_and_adopted(spark):
     cells = [[(1, [2, 2]), (2, [2, 2])], [(3, [2, 2]), (4, [2, 2]), (5, [2, 2])]]
     near = lambda a, b: 0 if a == b else 1 if {a, b} in ({3, 4}, {1, 5}) else 9
-    got = run(cells, near)
+    got = run(spark, cells, near)
     assert got[3] == (6, 0.0) and got[4] == (6, 1.0) and got[5] == (1, 1.0)
     assert {k for k, (up, _) in got.items() if up is None} == {-1}
 
 
-def test_lost_loci_and_the_same_cell():
+def test_lost_loci_and_the_same_cell(spark):
     cells = [[(1, [0, 2]), (2, [2, 2]), (7, [0, 0])], [(3, [1, 2]), (7, [1, 1])]]
-    got = run(cells, lambda a, b: abs(a - b))
+    got = run(spark, cells, lambda a, b: abs(a - b))
     assert got[3] == (2, 1.0)  # 1 lost a locus that 3 has
     assert got[7] == (8, 0.0)  # the earlier copy of 7 got a new node; the loss doesn't matter for the same cell
 
