@@ -1,6 +1,6 @@
 """How sources of one language differ in their words: divergences between sources, and the words in which each stands out.
 
-The first pass takes whole texts in blocks of a few megabytes and gives, for each block and language, the texts as words parted by one space and
+The first pass takes whole texts in blocks of a few megabytes and gives, for each block and language, the texts as words parted by spaces and
 how many of its documents hold each word; summed, these are the exact document frequencies, and words in too few documents go. The
 second pass builds for each block an Aho-Corasick automaton of the kept words that the block holds, each padded with the space on both sides so that only
 whole words match, and recounts all occurrences by source. A block's automaton can't grow beyond the block's own words, so no
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 from zlib import crc32
 
 import numpy as np
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phylospark.llm._shared import join_hot, slices, small_batches, stage
+from phylospark.llm._shared import slices, small_batches, stage
 
 SCALE, MIN_DOCS, TOP = 1_000_000_000, 3, 200
 BLOCK_BYTES, PIECE, TERMS, SIEVE = 8 << 20, 1 << 20, 2_000_000, 1 << 24
@@ -46,6 +47,10 @@ LONGEST = 1_000
 #: Letters and all bytes of characters beyond ASCII are kept, A-Z lower-cased; anything else becomes a space.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
+SECOND = itemgetter(1)
+#: Groups of language and source at most; the result has a row for each pair of them in a language.
+MAX_GROUPS = 1_000_000
+
 BLOCKS = "lang string, sources array<string>, texts array<string>, words array<string>, docs array<long>"
 
 
@@ -68,9 +73,8 @@ def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
             own, holds = texts.setdefault(lang, {}).setdefault(source, []), set()
             for piece in pieces(text.translate(TABLE)):
-                if words := piece.split():
-                    own.append(b" ".join(words))
-                    holds.update(words)
+                holds.update(piece.split())
+                own.append(piece)
             docs.setdefault(lang, Counter()).update(holds)
             size += len(text)
         if size >= BLOCK_BYTES:
@@ -122,7 +126,7 @@ def recount(batches: Iterator[pa.RecordBatch], sieve: bytes) -> Iterator[pa.Reco
             terms = pa.array(kept, pa.string())
             for source, text in zip(sources, texts, strict=True):
                 found = automaton.iter(f" {text} ") if len(automaton) else ()
-                n = np.bincount(np.fromiter((k for _, k in found), np.int64), minlength=len(kept))
+                n = np.bincount(np.fromiter(map(SECOND, found), np.int64), minlength=len(kept))
                 for word in text.split(" ") if long else ():
                     if word in long:
                         n[long[word]] += 1
@@ -136,15 +140,27 @@ def divergence(p, q):
     return (p - q) * (p - q) // q
 
 
-def common_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums over common words by (lang, source, item). A row: lang and the lists sources, p, p0 of one word's postings."""
+def shares(count: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """1 + floor(SCALE * (count + 1) / size), by long division with three digits at a time, so that no product passes 64 bits."""
+    share, left = np.divmod(count + 1, size)
+    for _ in range(3):  # SCALE is 1000 to the third
+        more, left = np.divmod(left * 1000, size)
+        share = share * 1000 + more
+    return 1 + share
+
+
+def common_sums(batches: Iterator[pa.RecordBatch], sizes: dict[tuple[str, str], int]) -> Iterator[pa.RecordBatch]:
+    """Sums over common words by (lang, source, item). A row: lang and the lists sources, counts of one word's postings; sizes: N + V of each
+    group."""
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
         for lang in dict.fromkeys(langs):
             rows = batch.filter(pa.array(langs == lang))
-            names, source = np.unique(np.array(rows.column("sources").flatten().to_pylist(), dtype=object), return_inverse=True)
-            p, p0 = (rows.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("p", "p0"))
-            size = np.diff(rows.column("sources").offsets.to_numpy())
+            coded = rows.column("sources").flatten().dictionary_encode()
+            names, source = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+            of = np.array([sizes[lang, s] for s in names], np.int64)
+            p, p0 = shares(rows.column("counts").flatten().to_numpy(zero_copy_only=False), of[source]), shares(np.zeros(len(of), np.int64), of)[source]
+            size = np.diff(rows.column("sources").offsets.to_numpy()).astype(np.int64)
             first, size = np.repeat(np.cumsum(size) - size, size), np.repeat(size, size)  # of the list that each posting is in
             ends = np.cumsum(size)
             start = 0
@@ -162,7 +178,8 @@ def common_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 order = np.argsort(pair, kind="stable")
                 pairs, at = np.unique(pair[order], return_index=True)
                 total = np.add.reduceat(value[order], at)
-                columns = [pa.array([lang] * len(pairs), pa.string()), *(pa.array(list(names[x]), pa.string()) for x in (pairs // len(names), pairs % len(names))), pa.array(total, pa.int64())]
+                label = coded.dictionary
+                columns = [pa.array([lang] * len(pairs), pa.string()), *(label.take(pa.array(x)) for x in (pairs // len(names), pairs % len(names))), pa.array(total, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "item", "value"])
 
 
@@ -183,8 +200,8 @@ def f(p: str, q: str) -> str:
 
 
 def postings(docs: DataFrame, text: str, lang: str, source: str, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """Both passes: the postings (lang, source, term, count) and the groups (lang, source, n, v, p0), staged. n: all occurrences of kept words
-    in the group, v: the kept words of the language."""
+    """Both passes: the postings of each kept word (lang, term, posts: source and count), and the groups (lang, source, n, v), staged. n: all occurrences
+    of kept words in the group, v: the kept words of the language. A word's postings are as many as the sources of its language at most."""
     rows = docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(to) for c, to in ((lang, "lang"), (source, "source"))), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
     blocks = stage(small_batches(rows).mapInArrow(to_blocks, BLOCKS), "blocks")
     held = blocks.select("lang", F.explode(F.arrays_zip("words", "docs")).alias("w"))
@@ -192,34 +209,37 @@ def postings(docs: DataFrame, text: str, lang: str, source: str, min_docs: int =
     sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(kept))
     texts = small_batches(blocks.select("lang", "sources", "texts", "words"))
     counts = texts.mapInArrow(lambda batches: recount(batches, sieve.value), "lang string, source string, term string, count long")
-    counts = counts.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
-    counts = stage(counts.join(kept.select("lang", "term").hint("shuffle_hash"), ["lang", "term"], "left_semi"), "postings")
+    counts = counts.groupBy("lang", "source", "term").agg(F.sum("count").alias("count")).join(kept.select("lang", "term").hint("shuffle_hash"), ["lang", "term"], "left_semi")
+    lists = stage(counts.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "count")).alias("posts")), "postings")
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    groups = blocks.select("lang", F.explode("sources").alias("source")).distinct().join(counts.groupBy("lang", "source").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("terms")), ["lang", "source"], "left").join(sizes, "lang", "left")
-    groups = groups.na.fill(0, ["n", "v", "terms"]).withColumn("p0", F.when(F.col("v") > 0, smoothed("0L", "n", "v")))
-    return counts, stage(groups, "groups")
+    totals = lists.select("lang", F.explode("posts").alias("x")).groupBy("lang", F.col("x.source").alias("source")).agg(F.sum("x.count").alias("n"))
+    groups = blocks.select("lang", F.explode("sources").alias("source")).distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
+    return lists, stage(groups.na.fill(0, ["n", "v"]), "groups")
 
 
-def audit(counts: DataFrame, groups: DataFrame, top: int = TOP) -> DataFrame:
+def audit(lists: DataFrame, groups: DataFrame, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value, rank: each source's divergence from the others of its language, and the words in which it stands out."""
-    shares = groups.select("lang", "source", F.col("terms").alias("n"), F.col("n").alias("size"), "v", "p0")
-    posted = stage(join_hot(counts, shares, ["lang", "source"]).withColumn("p", smoothed("count", "size", "v")), "shares")
-
-    sizes = groups.groupBy("lang").agg(F.sum("n").alias("size"), F.first("v").alias("v"))  # v is the same in all groups of a language
-    whole = counts.groupBy("lang", "term").agg(F.sum("count").alias("count"), F.count(F.lit(1)).alias("k")).join(sizes, "lang")
-    whole = whole.select("lang", "term", "k", smoothed("count", "size", "v").alias("q"))
-    terms = posted.select("lang", "source", "term", "p").join(whole, ["lang", "term"]).where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(f("p", "q")).alias("value"))
+    known = groups.limit(MAX_GROUPS + 1).collect()
+    if len(known) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
+    sizes = groups.sparkSession.sparkContext.broadcast({(r["lang"], r["source"]): r["n"] + r["v"] for r in known})
+    groups = F.broadcast(groups.withColumn("p0", F.when(F.col("v") > 0, smoothed("0L", "n", "v"))))  # MAX_GROUPS rows at most
+
+    whole = F.broadcast(groups.groupBy("lang").agg(F.sum("n").alias("whole"), F.first("v").alias("words")))  # v is the same in all groups of a language
+    rows = lists.select("lang", "term", F.aggregate("posts", F.lit(0).cast("long"), lambda n, x: n + x["count"]).alias("all"), F.explode("posts").alias("x"))
+    rows = rows.select("lang", "term", "all", "x.source", "x.count").join(groups, ["lang", "source"]).join(whole, "lang")
+    rows = rows.select("lang", "source", "term", smoothed("count", "n", "v").alias("p"), smoothed("all", "whole", "words").alias("q"), "p0")
+    terms = rows.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(f("p", "q")).alias("value"))
 
     pair = groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"))
     pairs = groups.select("lang", "source", "p0", "v").join(pair, "lang").where("source != item")
     base = pairs.select("lang", "source", "item", F.expr(f"coalesce(v * {f('p0', 'q0')}, 0L)").alias("value"))
-    seen = posted.groupBy("lang", "source", "p", "p0").agg(F.count(F.lit(1)).alias("m"))
+    seen = rows.groupBy("lang", "source", "p", "p0").agg(F.count(F.lit(1)).alias("m"))
     others = pair.join(seen, "lang").where("source != item")
     mine = others.select("lang", "source", "item", F.expr(f"m * ({f('p', 'q0')} - {f('p0', 'q0')})").alias("value"))
     theirs = others.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), F.expr(f"m * ({f('q0', 'p')} - {f('q0', 'p0')})").alias("value"))
-    lists = posted.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "p", "p0")).alias("l")).where("size(l) > 1")  # an entry a source
-    lists = lists.select("lang", F.col("l.source").alias("sources"), F.col("l.p").alias("p"), F.col("l.p0").alias("p0"))
-    common = small_batches(lists).mapInArrow(common_sums, "lang string, source string, item string, value long")
+    several = lists.where("size(posts) > 1").select("lang", F.col("posts.source").alias("sources"), F.col("posts.count").alias("counts"))
+    common = small_batches(several).mapInArrow(lambda batches: common_sums(batches, sizes.value), "lang string, source string, item string, value long")
     pairs = base.union(mine).union(theirs).union(common).groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
 
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")

@@ -76,22 +76,23 @@ def test_a_very_long_text(spark, tmp_path):
 def test_common_sums_in_pieces(monkeypatch):
     """Sums of pairs don't depend on where the lists are cut."""
     rng = np.random.default_rng(1)
-    lists = []
-    for _ in range(300):
-        names = rng.choice(12, size=rng.integers(2, 13), replace=False)
-        lists.append([(f"s{x}", int(rng.integers(1, 10**9)), int(rng.integers(1, 10**4))) for x in names])
-    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 300), *(pa.array([[x[i] for x in one] for one in lists]) for i in range(3))], names=["lang", "sources", "p", "p0"])
+    sizes = {("en", f"s{x}"): int(rng.integers(10**3, 10**11)) for x in range(12)}
+    lists = [[(f"s{x}", int(rng.integers(1, 10**12 if x % 3 else 10))) for x in rng.choice(12, size=rng.integers(2, 13), replace=False)] for _ in range(300)]
+    sizes = {k: v + sum(n for one in lists for s, n in one if s == k[1]) for k, v in sizes.items()}
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 300), *(pa.array([[x[i] for x in one] for one in lists]) for i in range(2))], names=["lang", "sources", "counts"])
     wanted = Counter()
     f = D.divergence
+    share = lambda n, s: 1 + 10**9 * (n + 1) // sizes["en", s]
     for one in lists:
-        for g, p, p0 in one:
-            for h, q, q0 in one:
+        for g, n in one:
+            for h, m in one:
                 if g != h:
+                    p, q, p0, q0 = share(n, g), share(m, h), share(0, g), share(0, h)
                     wanted[g, h] += f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0)
     for limit in (1, 100, 10**9):
         monkeypatch.setattr(D, "TERMS", limit)
         got = Counter()
-        for out in D.common_sums(iter([batch])):
+        for out in D.common_sums(iter([batch]), sizes):
             for r in out.to_pylist():
                 got[r["source"], r["item"]] += r["value"]
         assert got == wanted
