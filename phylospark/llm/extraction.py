@@ -2,24 +2,24 @@
 
 The standard library's parser streams events. Text between block-level tags is one line, whatever element it stands in, menus and
 footers too; only what a browser doesn't show as text is no line (scripts, styles, hidden elements, fields). Each line keeps its
-number of characters, of tags and of characters inside links, and its element. The text-to-tag ratio of the lines (without
-characters in links) is smoothed with a Gaussian kernel, and a fraction of the smoothed ratio's standard deviation is the threshold: lines that
-reach it are clusters of content, those whose own ratio reaches it too are their cores. The region is the deepest element, no
-paragraph or inline one, that holds every core.
+number of characters, of tags and of characters inside links, and its element.
 
-All lines of the region belong to the text, short ones too, but for lines of links that the smoothed ratio puts outside the content
-(inside an article or main element they stay) and for marked lines that are no core. A heading (h1, h2) before the region that
-is in a cluster belongs to the text as well.
+Elements that bear a name, role, class or id of furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments of readers) are
+marked; a header inside an article is no mark. Lines below a mark don't take part, unless the marked element holds the page: if what is
+outside it has less than a ``PRIOR``-th of its characters outside links, it is taken for the page, and the same is asked of the marks inside it.
+So an article in a "notice-board" is found as any other. Comments of readers, asides, menus and footers (``NEVER``) hold the page only where there are no other characters.
 
-Names are a prior, not a rule: elements that bear a name, role, class or id of furniture (menus, headers, footers, sidebars,
-notices, adverts, forms, comments of readers) are marked, and the ratio of a line below one counts a ``PRIOR``-th. So marked text needs ``PRIOR`` times
-the characters a tag to be a core, and marks around a region don't matter: an article in a "notice-board" is found as any other. A header
-inside an article is no mark.
+The text-to-tag ratio of the remaining lines (without characters in links) is smoothed with a Gaussian kernel, and a fraction of the smoothed
+ratio's standard deviation is the threshold: runs of lines that reach it are clusters of content, those whose own ratio reaches it too are
+their cores. The region is the deepest element, no paragraph or inline one, that holds every core. In an article or main element all lines of the
+region belong to the text. Elsewhere the clusters decide: a line of the region belongs to the text if it is in a cluster, or
+between two clusters and not mostly links. A heading (h1, h2) before the region that is in a cluster belongs to the text as well.
 
 White space inside a line becomes one space; lines are joined by one space in page order. Defined cases: null or empty html gives
 an empty text; broken markup never fails: end tags without a start are ignored, open elements end with an enclosing one or with the
 page; a page whose lines all have ratio 0 (links only) gives those outside marked elements; pages are independent, so ties and repeated rows don't
-matter; an empty table gives an empty result; columns beyond those named are ignored, so their names can't clash.
+matter; an empty table gives an empty result; columns beyond those named are ignored, so their names can't clash. Time and memory are in proportion
+to the page's length, however deep its elements are.
 """
 
 from __future__ import annotations
@@ -61,6 +61,9 @@ WORDS = (
     "cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended comment comments replies respond disqus discussion pagination pager toolbar widget widgets "
     "disclaimer copyright skip-link toc tags alert"
 )
+#: Names and elements that hold no main text but where there is no other.
+NEVER_WORDS = set("comment comments replies respond disqus discussion".split())
+NEVER = {"aside", "nav", "footer"}
 ON_REGIONS = "ad ads advert advertisement sponsored promo related recommended comment comments replies teaser"
 NOT_INSIDE = {"header", "masthead"}
 
@@ -74,11 +77,11 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 LAYOUT = re.compile(r"\b(?:has|with|no|without|show|hide|is|not)[-_][\w-]+")
 
 
-def is_marked(value: str, tag: str, inside: bool) -> bool:
-    """Whether a class or id names furniture."""
+def found_marks(value: str, tag: str, inside: bool) -> set[str]:
+    """The words of a class or id that name furniture."""
     value = LAYOUT.sub(" ", CAMEL.sub("-", value))
     found = {m[1].lower() for m in (REGION_MARKS if tag in REGIONS else MARKS).finditer(value)}
-    return bool(found - NOT_INSIDE if inside else found)
+    return found - NOT_INSIDE if inside else found
 
 
 @dataclass
@@ -87,14 +90,14 @@ class Element:
     parent: int
     depth: int
     silent: bool  # what it holds isn't shown as text
-    marks: int  # elements named as furniture, from the root to itself
+    mark: int  # the nearest element named as furniture, itself or above; 0: none
+    never: bool  # named as what holds no main text
     region: bool  # in an article or main
 
 
 @dataclass
 class Line:
     element: int
-    order: int
     text: str = ""
     tags: int = 0
     linked: int = 0
@@ -102,7 +105,7 @@ class Line:
 
 @dataclass
 class Page:
-    elements: list[Element] = field(default_factory=lambda: [Element("", -1, 0, False, 0, False)])
+    elements: list[Element] = field(default_factory=lambda: [Element("", -1, 0, False, 0, False, False)])
     lines: list[Line] = field(default_factory=list)
 
 
@@ -120,7 +123,7 @@ class Events(HTMLParser):
     def flush(self):
         text = " ".join("".join(self.pieces).split())
         if text:
-            self.page.lines.append(Line(self.open[-1], len(self.page.lines), text, self.tags, min(self.linked, len(text))))
+            self.page.lines.append(Line(self.open[-1], text, self.tags, min(self.linked, len(text))))
             self.tags = 0
         self.pieces, self.linked = [], 0
 
@@ -155,10 +158,13 @@ class Events(HTMLParser):
         above = self.page.elements[self.open[-1]]
         named = {k: v or "" for k, v in attrs}
         silent = above.silent or tag in SILENT or "hidden" in named or named.get("aria-hidden", "").lower() == "true"
+        never = tag in NEVER
         marked = tag in FURNITURE or named.get("role", "").lower() in ROLES or (tag == "header" and not above.region)
         if not marked and tag not in ("html", "body"):
-            marked = any(is_marked(named[k], tag, above.region) for k in ("class", "id") if named.get(k))
-        self.page.elements.append(Element(tag, self.open[-1], above.depth + 1, silent, above.marks + marked, above.region or tag in REGIONS))
+            words = set().union(*(found_marks(named[k], tag, above.region) for k in ("class", "id") if named.get(k)))
+            marked, never = bool(words), bool(words & NEVER_WORDS)
+        mark = len(self.page.elements) if marked else above.mark
+        self.page.elements.append(Element(tag, self.open[-1], above.depth + 1, silent, mark, never, above.region or tag in REGIONS))
         self.open.append(len(self.page.elements) - 1)
         self.count[tag] += 1
         self.links += tag == "a"
@@ -196,9 +202,30 @@ def smooth(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratio, kernel)[inside] / np.convolve(np.ones(len(ratio)), kernel)[inside]
 
 
-def clusters(page: Page) -> tuple[np.ndarray, np.ndarray]:
+def holder(page: Page) -> int:
+    """The marked element that holds the page, by characters outside links; 0: none."""
+    mass = Counter()
+    for x in page.lines:
+        mass[page.elements[x.element].mark] += len(x.text) - x.linked
+    total, below = mass.copy(), {}
+    for i in range(len(page.elements) - 1, 0, -1):
+        e = page.elements[i]
+        if e.mark == i:
+            above = page.elements[e.parent].mark
+            total[above] += total[i]
+            below.setdefault(above, []).append(i)
+    chosen = 0
+    while True:
+        outside = mass[chosen]
+        able = [i for i in below.get(chosen, ()) if total[i] > (0 if page.elements[i].never else PRIOR - 1) * outside and (not page.elements[i].never or not outside)]
+        if not able:
+            return chosen
+        chosen = max(able, key=lambda i: (not page.elements[i].never, total[i], -i))
+
+
+def clusters(lines: list[Line]) -> tuple[np.ndarray, np.ndarray]:
     """(content, core) of every line: whether its smoothed ratio reaches the threshold, and whether its own does too."""
-    ratio = np.array([(len(x.text) - x.linked) / max(1, x.tags) / (PRIOR if page.elements[x.element].marks else 1) for x in page.lines], float)
+    ratio = np.array([(len(x.text) - x.linked) / max(1, x.tags) for x in lines], float)
     smoothed = smooth(ratio)
     threshold = min(THRESHOLD * smoothed.std(), smoothed.max())
     content = smoothed >= threshold
@@ -206,19 +233,16 @@ def clusters(page: Page) -> tuple[np.ndarray, np.ndarray]:
     return content, core if core.any() else content & (ratio == ratio[content].max())
 
 
-def region_of(page: Page, core: np.ndarray) -> int:
-    """The deepest element that can be a region and holds every core line."""
-    own = {x.element for x, good in zip(page.lines, core, strict=True) if good}
-    chosen = own.pop()
-    for i in own:
-        while chosen != i:
-            if page.elements[chosen].depth >= page.elements[i].depth:
-                chosen = page.elements[chosen].parent
-            else:
-                i = page.elements[i].parent
-    while page.elements[chosen].tag not in HOLDERS:
-        chosen = page.elements[chosen].parent
-    return chosen
+def region_of(page: Page, chosen: list[int]) -> int:
+    """The deepest element that can be a region and holds all of these; elements are numbered as they open, so the least and the greatest decide."""
+    end = list(range(len(page.elements)))
+    for i in range(len(end) - 1, 0, -1):
+        above = page.elements[i].parent
+        end[above] = max(end[above], end[i])
+    at, last = min(chosen), max(chosen)
+    while end[at] < last or page.elements[at].tag not in HOLDERS:
+        at = page.elements[at].parent
+    return at
 
 
 def main_text(html: str | None) -> str:
@@ -227,23 +251,25 @@ def main_text(html: str | None) -> str:
     events.feed(html or "")
     events.close()
     page = events.page
-    if not page.lines:
+    top = holder(page)
+    lines = [x for x in page.lines if page.elements[x.element].mark == top]
+    if not lines:
         return ""
-    content, core = clusters(page)
-    chosen, first = region_of(page, core), int(core.argmax())
+    content, core = clusters(lines)
+    chosen = region_of(page, [x.element for x, good in zip(lines, core, strict=True) if good])
     inside = np.zeros(len(page.elements), bool)
     for i, e in enumerate(page.elements):  # parents come first
         inside[i] = i == chosen or (i and inside[e.parent])
+    first = int(core.argmax())
+    held = [k for k, x in enumerate(lines) if content[k] and inside[x.element]]
 
-    def belongs(x: Line) -> bool:
-        e, good = page.elements[x.element], content[x.order]
+    def belongs(k: int, x: Line) -> bool:
+        e = page.elements[x.element]
         if not inside[x.element]:
-            return good and x.order < first and e.tag in TITLES and not e.marks
-        if e.marks > page.elements[chosen].marks:
-            return core[x.order]
-        return good or e.region or x.linked < 0.8 * len(x.text)
+            return content[k] and k < first and e.tag in TITLES
+        return content[k] or e.region or (held[0] < k < held[-1] and x.linked < 0.8 * len(x.text))
 
-    return " ".join(x.text for x in page.lines if belongs(x))
+    return " ".join(x.text for k, x in enumerate(lines) if belongs(k, x))
 
 
 def extract(df: DataFrame, key: str, html: str, carry: list[str] = ()) -> DataFrame:

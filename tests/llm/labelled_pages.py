@@ -1,4 +1,4 @@
-"""Pages with their main text marked by hand: {{...}} encloses what belongs to it. Eighteen layouts, each with short, middle and long paragraphs."""
+"""Pages with their main text marked by hand: {{...}} encloses what belongs to it. Twenty-eight layouts, each with short, middle and long paragraphs."""
 
 import re
 
@@ -11,6 +11,8 @@ SENTENCES = [
 NAV = "".join(f'<li><a href="/{x}">{x}</a></li>' for x in ("Home", "News", "Sport", "Weather", "Contact"))
 LINKS = "".join(f'<li><a href="/s/{i}">Another story of the day, number {i}</a></li>' for i in range(6))
 READERS = "I was there and it was worse than the paper says. "
+ASIDE = "Opening hours of our office are nine to five, on Saturdays until noon, and by agreement. " * 6
+SHORT = "<p>{{Then it rained.}}</p><p>{{Nobody slept.}}</p><p>{{The dam held.}}</p>"
 
 LAYOUTS = {
     "article": f'<header><h1>The Daily</h1></header><nav><ul>{NAV}</ul></nav><div class="ad">Buy boats now, cheap.</div><article><h1>{{{{T}}}}</h1>P1P2P3P4</article><footer>&copy; The Daily, all rights reserved.</footer>',
@@ -30,6 +32,16 @@ LAYOUTS = {
     "breaks": f'<div class="sidebar"><ul>{LINKS}</ul></div><div class="body"><b>{{{{T}}}}</b><br><br>B1<br><br>B2<br><br>B3</div>',
     "cookies": f'<div class="cookie-banner"><p>We and our partners use cookies to keep this site running and to learn how it is used.</p><button>Accept</button></div><div class="story"><h1>{{{{T}}}}</h1>P1P2P3</div><div class="newsletter"><form><p>Have our best stories sent to you every morning.</p><input></form></div><div class="related"><ul>{LINKS}</ul></div>',
     "broken": f'<div class=nav><ul><li><a href=/>Home<li><a href=/n>News</ul></div><article><h1>{{{{T}}}}</h1><p><b>{{{{T}}}}<br>P1P2P3</article></div><footer>&copy; 2024',
+    "long comments inside": f'<article><h1>{{{{T}}}}</h1>P1P2<section class="comments"><p>{READERS * 60}</p><p>{READERS * 60}</p></section></article>',
+    "long comments beside": f'<div class="story"><h1>{{{{T}}}}</h1>P1{SHORT}P2P3</div><div id="comments"><p>{READERS * 40}</p><p>{READERS * 50}</p></div>',
+    "long aside": f'<article><h1>{{{{T}}}}</h1>P1</article><aside><p>{ASIDE}</p></aside>',
+    "long sidebar": f'<div class="sidebar"><p>{ASIDE}</p></div><div class="text"><h1>{{{{T}}}}</h1>P1P2{SHORT}P3</div>',
+    "long notice": f'<div class="notice"><p>{ASIDE}</p></div><div class="text"><h2>{{{{T}}}}</h2>P1{SHORT}P2</div>',
+    "short ends": f'<div><a href="/">Home</a><a href="/n">News</a></div><div><p>{{{{By our own reporter}}}}</p>P1P2P3<p>{{{{To be continued.}}}}</p></div><ul>{LINKS}</ul>',
+    "short middle": f'<ul>{NAV}</ul><div><h1>{{{{T}}}}</h1>P1{SHORT}P2<p>{{{{Ends.}}}}</p></div><ul>{LINKS}</ul>',
+    "flat, short ends": f'<ul>{NAV}</ul><h1>{{{{T}}}}</h1><p>{{{{Monday}}}}</p>P1P2P3<p>{{{{Ends.}}}}</p><ul>{LINKS}{NAV}</ul>',
+    "teasers": f'<ul>{NAV}</ul><div>P1P2P3P4<p>{{{{Ends.}}}}</p></div><div><ul>{LINKS}</ul><p>More</p><ul>{LINKS}</ul><p>All topics</p><p>A to Z</p></div>',
+    "replies": f'<div class="post"><p>{{{{By our own reporter}}}}</p>P1P2</div><ol class="replies"><li>{READERS * 30}</li><li>{READERS * 30}</li></ol>',
     "roles": f'<div role="navigation">{NAV}</div><div role="main"><h1>{{{{T}}}}</h1>P1P2P3</div><div role="complementary"><p>Opening hours of our office: nine to five, on Saturdays until noon.</p></div><div role="contentinfo">Imprint</div>',
 }
 

@@ -78,12 +78,44 @@ def test_names_around_a_region_do_not_matter():
             assert got.startswith("Title Some") and got.endswith("End.") and got.count("running") == 18
 
 
-def test_the_clusters_decide(monkeypatch):
-    """With every line content, the text of almost every labelled page is another."""
-    before = [X.main_text(html) for _, html, _ in labelled_pages.pages()]
-    monkeypatch.setattr(X, "clusters", lambda page: (np.ones(len(page.lines), bool),) * 2)
-    changed = [X.main_text(html) != b for (_, html, _), b in zip(labelled_pages.pages(), before, strict=True)]
-    assert np.mean(changed) > 0.8
+def changed(monkeypatch, name, value):
+    """Shares of labelled pages, all and those without article or main, whose text is another with this part of the method replaced."""
+    pages = list(labelled_pages.pages())
+    before = [X.main_text(html) for _, html, _ in pages]
+    with monkeypatch.context() as patch:
+        patch.setattr(X, name, value)
+        other = [X.main_text(html) != b for (_, html, _), b in zip(pages, before, strict=True)]
+    plain = [o for o, (_, html, _) in zip(other, pages, strict=True) if "<article" not in html and "<main" not in html]
+    return np.mean(other), np.mean(plain)
+
+
+def test_smoothing_clusters_and_names_decide(monkeypatch):
+    clusters = X.clusters
+    assert changed(monkeypatch, "smooth", lambda ratio, sigma=0: ratio)[1] > 0.1
+    assert changed(monkeypatch, "clusters", lambda lines: (np.ones(len(lines), bool), clusters(lines)[1]))[1] > 0.05
+    assert changed(monkeypatch, "clusters", lambda lines: (np.ones(len(lines), bool),) * 2)[0] > 0.2
+    assert 0.1 < changed(monkeypatch, "found_marks", lambda value, tag, inside: set())[0] < 0.3
+
+
+def test_comments_and_sidebars_however_long():
+    short, reader = "Short words of the article here, some.", "I was there too and it was far worse than the paper says, believe me. " * 38
+    two = f"<p>{reader}</p><p>{reader}</p>"
+    assert X.main_text(f"<body><article><h1>T</h1><p>{short}</p><p>{short}</p><section class='comments'>{two}</section></article>") == f"T {short} {short}"
+    assert X.main_text(f"<body><div>{f'<p>{short}</p>' * 30}</div><div class='comments'>{two}</div>") == " ".join([short] * 30)
+    assert X.main_text(f"<body><article><p>{short}</p></article><aside><p>{reader}</p></aside>") == short
+    assert X.main_text(f"<body><div class='comments'><p>{short}</p></div><a href=/>Home</a>") == short  # there is no other text
+
+
+def test_deep_and_unclosed_pages_take_their_time_once():
+    import time
+
+    took = []
+    for n in (5_000, 40_000):
+        began = time.perf_counter()
+        assert X.main_text("<div><p>text" * n).count("text") == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 24 * took[0] + 1
+    assert X.main_text("<div class=ad>" * 20_000 + "deep") == "deep"
 
 
 def test_very_long_page_keeps_all():
