@@ -9,8 +9,9 @@ of any such file and decodes its sample tables with array arithmetic; it reads b
 
 Defined cases: a null or empty payload is stored as one frame of padding; values are padded with byte 255 to whole frames; a file
 that is cut short or is no ISO media file gets an empty list of tracks; a track without an stss box has only keyframes; an empty
-table gives an empty table; counts that a file states are bounded by what its boxes and its length can hold, and samples beyond the file's
-length in sum are left out, so a damaged file never takes more memory than a few times its size; columns beyond those named are kept out, so their names can't clash; equal payloads give equal files.
+table gives an empty table; samples of one stated size are kept as runs, one a chunk, so what a file takes in memory, and the length of its feature, is a few times the size
+of its tables, whatever counts it states; samples beyond the file's length in sum are left out, and arrays of all samples (``sizes``, ``offsets``, ``times``) are
+made only where they are asked for; columns beyond those named are kept out, so their names can't clash; equal payloads give equal files.
 """
 
 from __future__ import annotations
@@ -95,14 +96,43 @@ class Track:
     codec: str = ""
     timescale: int = 0
     duration: int = 0
-    offsets: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    sizes: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    times: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    runs: np.ndarray = field(default_factory=lambda: np.empty((0, 3), np.int64))  # first byte, size of a sample, samples
+    steps: np.ndarray = field(default_factory=lambda: np.empty((0, 2), np.int64))  # samples, time to the next
+    sync: np.ndarray | None = None  # keyframes; None: all samples
+
+    @property
+    def samples(self) -> int:
+        return int(self.runs[:, 2].sum())
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.repeat(self.runs[:, 1], self.runs[:, 2])
+
+    @property
+    def offsets(self) -> np.ndarray:
+        place = np.arange(self.samples) - np.repeat(np.cumsum(self.runs[:, 2]) - self.runs[:, 2], self.runs[:, 2])
+        return np.repeat(self.runs[:, 0], self.runs[:, 2]) + place * self.sizes
+
+    @property
+    def times(self) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum(spread(self.steps[:, 1], self.steps[:, 0], self.samples))))[: self.samples]
+
+    @property
+    def keys(self) -> np.ndarray:
+        return np.arange(self.samples) if self.sync is None else self.sync
+
+    def key_runs(self) -> np.ndarray:
+        """(first byte, length, keyframes one after the other) of all keyframes."""
+        if self.sync is None:
+            return self.runs
+        ends = np.cumsum(self.runs[:, 2])
+        at = np.searchsorted(ends, self.sync, "right")
+        own = self.runs[at]
+        return np.column_stack([own[:, 0] + (self.sync - ends[at] + own[:, 2]) * own[:, 1], own[:, 1], np.ones(len(at), np.int64)])
 
     def key_ranges(self) -> list[tuple[int, int]]:
         """(first byte, length) of every keyframe."""
-        return list(zip(self.offsets[self.keys].tolist(), self.sizes[self.keys].tolist(), strict=True))
+        return [(a + k * n, n) for a, n, count in self.key_runs().tolist() for k in range(count)]
 
 
 def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
@@ -134,10 +164,14 @@ def leaves(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
             open_ranges.append(boxes(data, *found[1:]))
 
 
+def spread_counts(counts: np.ndarray, n: int) -> np.ndarray:
+    """The counts, cut where their sum reaches n."""
+    return np.diff(np.minimum(np.cumsum(np.minimum(counts, n)), n), prepend=0)
+
+
 def spread(values: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
     """The values, each repeated, but no more than n in all."""
-    ends = np.minimum(np.cumsum(np.minimum(counts, n)), n)
-    return np.repeat(values, np.diff(ends, prepend=0))
+    return np.repeat(values, spread_counts(counts, n))
 
 
 def decode(data: memoryview, found: dict[bytes, tuple[int, int]], most: int) -> Track:
@@ -158,27 +192,32 @@ def decode(data: memoryview, found: dict[bytes, tuple[int, int]], most: int) ->
     if b"mdhd" in found:
         a, _ = found[b"mdhd"]
         track.timescale, track.duration = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
+    same, n, sizes = 0, 0, np.empty(0, np.int64)
     if b"stsz" in found:
-        a, b = found[b"stsz"]
+        a, _ = found[b"stsz"]
         same, n = struct.unpack_from(">II", data, a + 4)
-        track.sizes = np.full(min(n, most // same), same, np.int64) if same else rows(b"stsz", ">u4", 1, 8)[:, 0]
-        track.sizes = track.sizes[np.cumsum(np.maximum(track.sizes, 1)) <= most]
-    n = len(track.sizes)
-    chunk_at = rows(b"co64", ">u8", 1)[:, 0] if b"co64" in found else rows(b"stco", ">u4", 1)[:, 0]
-    runs = rows(b"stsc", ">u4", 3)
-    if n and len(chunk_at) and len(runs):
-        each = spread(runs[:, 1], np.diff(np.append(np.clip(runs[:, 0], 1, len(chunk_at) + 1), len(chunk_at) + 1)), len(chunk_at))
-        chunk = spread(np.arange(len(each)), each, n)
-        ahead = np.concatenate(([0], np.cumsum(track.sizes)))[: len(chunk)]
-        first = np.concatenate(([0], np.cumsum(np.minimum(each, n))))[chunk]
-        track.sizes = track.sizes[: len(chunk)]
-        track.offsets = np.clip(chunk_at, 0, len(data))[chunk] + ahead - ahead[first]
-    else:
-        track.sizes = np.empty(0, np.int64)
-    n = len(track.sizes)
-    steps = rows(b"stts", ">u4", 2)
-    track.times = np.concatenate(([0], np.cumsum(spread(steps[:, 1], steps[:, 0], n))))[:n]
-    track.keys = np.arange(n) if b"stss" not in found else (k := rows(b"stss", ">u4", 1)[:, 0] - 1)[(k >= 0) & (k < n)]
+        if same:
+            n = min(n, most // same)
+        else:
+            sizes = rows(b"stsz", ">u4", 1, 8)[:, 0]
+            sizes = sizes[np.cumsum(np.maximum(sizes, 1)) <= most]
+            n = len(sizes)
+    chunk_at = np.clip(rows(b"co64", ">u8", 1)[:, 0] if b"co64" in found else rows(b"stco", ">u4", 1)[:, 0], 0, len(data))
+    chunks = rows(b"stsc", ">u4", 3)
+    if n and len(chunk_at) and len(chunks):
+        each = spread(chunks[:, 1], np.diff(np.append(np.clip(chunks[:, 0], 1, len(chunk_at) + 1), len(chunk_at) + 1)), len(chunk_at))
+        if same:
+            held = spread_counts(each, n)
+            track.runs = np.column_stack([chunk_at[: len(held)], np.full(len(held), same, np.int64), held])[held > 0]
+        else:
+            chunk = spread(np.arange(len(each)), each, n)
+            ahead = np.concatenate(([0], np.cumsum(sizes)))[: len(chunk)]
+            first = np.concatenate(([0], np.cumsum(np.minimum(each, n))))[chunk]
+            track.runs = np.column_stack([chunk_at[chunk] + ahead - ahead[first], sizes[: len(chunk)], np.ones(len(chunk), np.int64)])
+    track.steps = rows(b"stts", ">u4", 2)
+    if b"stss" in found:
+        k = rows(b"stss", ">u4", 1)[:, 0] - 1
+        track.sync = k[(k >= 0) & (k < track.samples)]
     return track
 
 
@@ -195,23 +234,26 @@ def probe(data: bytes | None) -> list[Track]:
                     except (struct.error, ValueError, IndexError):
                         continue
                     tracks.append(track)
-                    left -= int(np.maximum(track.sizes, 1).sum())
+                    left -= int((np.maximum(track.runs[:, 1], 1) * track.runs[:, 2]).sum())
     return tracks
 
 
 def read_payload(data: bytes, track: Track) -> bytes:
     """The bytes of a track's samples in order; runs of samples that lie together are read at once."""
-    if not len(track.sizes):
+    if not len(track.runs):
         return b""
-    breaks = np.flatnonzero(track.offsets[1:] != track.offsets[:-1] + track.sizes[:-1]) + 1
-    first, last = np.concatenate(([0], breaks)), np.concatenate((breaks, [len(track.sizes)])) - 1
+    start, end = track.runs[:, 0], track.runs[:, 0] + track.runs[:, 1] * track.runs[:, 2]
+    breaks = np.flatnonzero(start[1:] != end[:-1]) + 1
+    first, last = np.concatenate(([0], breaks)), np.concatenate((breaks, [len(start)])) - 1
     view = memoryview(data)
-    return b"".join(view[a:b] for a, b in zip(track.offsets[first].tolist(), (track.offsets[last] + track.sizes[last]).tolist(), strict=True))
+    return b"".join(view[a:b] for a, b in zip(start[first].tolist(), end[last].tolist(), strict=True))
 
 
 def feature_text(tracks: list[Track]) -> str:
-    """One line per track: codec, timescale, duration, samples and the keyframes' first bytes and lengths."""
-    return "\n".join(f"codec={t.codec};timescale={t.timescale};duration={t.duration};samples={len(t.sizes)};keyframes=" + ",".join(f"{a}+{n}" for a, n in t.key_ranges()) for t in tracks)
+    """One line per track: codec, timescale, duration, samples and the keyframes' first bytes and lengths; of a run of keyframes one after the other
+    the first, and how many."""
+    keys = lambda t: ",".join(f"{a}+{n}" if c == 1 else f"{a}+{n}x{c}" for a, n, c in t.key_runs().tolist())
+    return "\n".join(f"codec={t.codec};timescale={t.timescale};duration={t.duration};samples={t.samples};keyframes={keys(t)}" for t in tracks)
 
 
 def media_column(df: DataFrame, key: str, payload: str) -> DataFrame:

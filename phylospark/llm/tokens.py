@@ -7,8 +7,10 @@ it, in order, but no positions. ``token_files`` reads plain binary files of any
 (path, offset, length) and reads these alone.
 
 ``count_tokens`` finds the separators of a block with one vectorised comparison. Gaps between separators are counts at once; what
-lies before the first and after the last separator is stitched across blocks by a prefix scan over one short row per block: the
-carry into a block is the running sum of tokens less the running sum at the last block that held a separator.
+lies before the first and after the last separator is stitched across blocks by a prefix scan over one row of fixed width per block: the
+carry into a block is the running sum of tokens less the running sum at the last block that held a separator. The scan has two levels, ranges of
+``RANGE`` blocks and the blocks of a range, so one file of any length is many tasks' work; counts and keys don't take part in it and get their
+block's carry by a join.
 
 Defined cases: a null or empty text has 0 tokens; a document longer than a block spans many; tokens after a file's last separator
 belong to no document and are reported by ``open_tail``; repeated rows and keys count separately; an empty table gives an empty
@@ -32,6 +34,7 @@ from phylospark.llm._shared import slices, small_batches, stage
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK_TOKENS = 1 << 18
+RANGE = 1 << 12
 MAX_VOCABULARY = 16 << 20
 
 # Fixed values of the public byte-level vocabulary: how it splits text, and the free identifier that ends a document.
@@ -132,38 +135,52 @@ def token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS
     return dealt.mapInArrow(cut, "file bigint, block bigint, payload binary, keys array<bigint>")
 
 
-def scan(blocks: DataFrame, end: int) -> DataFrame:
-    """For each block: tokens, whether it holds a separator, tokens before the first and after the last, counts of all that end in it."""
+def search(blocks: DataFrame, end: int) -> DataFrame:
+    """For each block: tokens, whether it holds a separator, tokens after the last, counts of all that end in it; staged."""
     kinds = [f"{n} {blocks.schema[n].dataType.simpleString()}" for n in ("file", "block", "keys")]
 
-    def search(batches):
+    def look(batches):
         for batch in slices(batches, "payload", 16 << 20):
             found = []
             for payload in batch.column("payload").to_pylist():
                 tokens = np.frombuffer(payload, "<u2")
                 ends = np.flatnonzero(tokens == end)
-                found.append((len(tokens), len(ends) > 0, len(tokens) - 1 - int(ends[-1]) if len(ends) else len(tokens), (np.diff(ends, prepend=-1) - 1).tolist()))
+                found.append((len(tokens), len(ends) > 0, len(tokens) - 1 - int(ends[-1]) if len(ends) else len(tokens), np.diff(ends, prepend=-1) - 1))
             n, has, tail, counts = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), batch.column("keys"), pa.array(n, pa.int64()), pa.array(has), pa.array(tail, pa.int64()), pa.array(counts, pa.list_(pa.int64()))], ["file", "block", "keys", "n", "has_end", "tail", "counts"])
 
-    found = blocks.select("file", "block", "keys", "payload").mapInArrow(search, ", ".join([*kinds, "n bigint, has_end boolean, tail bigint, counts array<bigint>"]))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    # ahead: tokens of all blocks before; at the last block with a separator among them, what lay before its tail
-    ahead = F.coalesce(F.sum("n").over(before), F.lit(0))
-    found = found.withColumn("ahead", ahead)
-    settled = F.last(F.when(F.col("has_end"), F.col("ahead") + F.col("n") - F.col("tail")), ignorenulls=True).over(before)
-    return found.withColumn("carry", F.col("ahead") - F.coalesce(settled, F.lit(0)))
+    return stage(blocks.select("file", "block", "keys", "payload").mapInArrow(look, ", ".join([*kinds, "n bigint, has_end boolean, tail bigint, counts array<bigint>"])), "found")
+
+
+def scan(found: DataFrame) -> DataFrame:
+    """(file, block, n, has_end, tail, carry): carry is the tokens before a block that belong to the document that is open at its start."""
+    # ahead: tokens of all blocks before, in the range or the file; settled: what of them lies before the last separator among them
+    rows = found.select("file", "block", "n", "has_end", "tail", F.expr(f"block div {RANGE}").alias("range"))
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = before(["file", "range"], "block")
+    rows = rows.withColumn("ahead", F.coalesce(F.sum("n").over(own), F.lit(0)))
+    ended = F.when(F.col("has_end"), F.col("ahead") + F.col("n") - F.col("tail"))
+    rows = rows.withColumn("settled", F.last(ended, ignorenulls=True).over(own))
+    ranges = rows.groupBy("file", "range").agg(F.sum("n").alias("all"), F.max(ended).alias("end"))  # a later end is greater
+    whole = before(["file"], "range")
+    ranges = ranges.withColumn("first", F.coalesce(F.sum("all").over(whole), F.lit(0)))
+    ranges = ranges.withColumn("done", F.last(F.col("first") + F.col("end"), ignorenulls=True).over(whole)).select("file", "range", "first", "done")
+    rows = rows.join(ranges, ["file", "range"])
+    carry = F.col("first") + F.col("ahead") - F.coalesce(F.col("first") + F.col("settled"), F.col("done"), F.lit(0))
+    return rows.select("file", "block", "n", "has_end", "tail", carry.alias("carry"))
 
 
 def count_tokens(blocks: DataFrame, end: int = END_OF_DOCUMENT) -> DataFrame:
     """(file, block, place, key, n_tokens): a row for every document in the files; place counts separators within the block."""
-    rows = scan(blocks, end).where("has_end").select("file", "block", "keys", "carry", F.posexplode("counts").alias("place", "own"))
+    found = search(blocks, end)
+    rows = found.where("has_end").select("file", "block", "keys", "counts").join(scan(found).select("file", "block", "carry"), ["file", "block"])
+    rows = rows.select("file", "block", "keys", "carry", F.posexplode("counts").alias("place", "own"))
     return rows.select("file", "block", "place", F.get("keys", F.col("place")).alias("key"), (F.col("own") + F.when(F.col("place") == 0, F.col("carry")).otherwise(0)).alias("n_tokens"))
 
 
 def open_tail(blocks: DataFrame, end: int = END_OF_DOCUMENT) -> DataFrame:
     """(file, n_tokens): tokens after the last separator of each file."""
-    last = scan(blocks, end).groupBy("file").agg(F.max_by(F.when(F.col("has_end"), F.col("tail")).otherwise(F.col("carry") + F.col("n")), "block").alias("n_tokens"))
+    last = scan(search(blocks, end)).groupBy("file").agg(F.max_by(F.when(F.col("has_end"), F.col("tail")).otherwise(F.col("carry") + F.col("n")), "block").alias("n_tokens"))
     return last.where("n_tokens > 0")
 
 

@@ -94,6 +94,20 @@ def test_stated_counts_are_bounded():
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
 
 
+def test_a_large_file_that_states_billions_of_samples():
+    """20 MB, one chunk, samples of one byte, as many as a count can state, no table of keyframes."""
+    import tracemalloc
+
+    tables = M.box(b"stbl", M.full_box(b"stsz", 0, 0, struct.pack(">II", 1, 2**32 - 1)), M.table(b"stsc", np.array([(1, 2**32 - 1, 1)]), ">u4"), M.table(b"stco", np.array([0]), ">u4"), M.table(b"stts", np.array([(2**32 - 1, 1)]), ">u4"))
+    data = M.box(b"moov", M.box(b"trak", M.box(b"mdia", M.box(b"minf", tables)))) + M.box(b"mdat", bytes(20_000_000))
+    tracemalloc.start()
+    (track,) = M.probe(data)
+    text, payload = M.feature_text([track]), M.read_payload(data, track)
+    assert tracemalloc.get_traced_memory()[1] < 50_000_000
+    tracemalloc.stop()
+    assert track.samples == len(data) == len(payload) and text.endswith(f"keyframes=0+1x{len(data)}")
+
+
 def test_query_equals_brute_force(spark, tmp_path):
     texts = ["text é", None, "", "x" * 575, "x" * 576, "long " * 100_000, "text é"]
     spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, media int").write.parquet(str(tmp_path / "documents.parquet"))

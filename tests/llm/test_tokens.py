@@ -15,8 +15,9 @@ def blocks(spark, files, size):
     return spark.createDataFrame(rows, "file int, block long, payload binary, keys array<long>").repartition(5)
 
 
-@pytest.mark.parametrize("size", [1, 3, 7, 1000])
-def test_scan_equals_a_plain_loop(spark, size):
+@pytest.mark.parametrize(("size", "wide"), [(1, 4), (3, 1), (7, 2), (1000, 4096)])
+def test_scan_equals_a_plain_loop(spark, monkeypatch, size, wide):
+    monkeypatch.setattr(K, "RANGE", wide)
     r = random.Random(size)
     files = [[r.choice([0, 0, 1, 2, 3]) for _ in range(n)] for n in (0, 1, 50, 333)] + [[0, 0, 0], [1] * 40, [1, 1, 0, 2]]
     wanted, tails = {}, {}
@@ -77,6 +78,18 @@ def test_plain_files_by_ranges(spark, tmp_path):
         assert sorted(x["n_tokens"] for x in K.count_tokens(rows, 9).collect()) == sorted(wanted)
 
 
+def test_one_file_of_a_million_separators(spark):
+    """The rows that are ordered have a fixed width, whatever a block holds."""
+    own = np.random.default_rng(3).integers(0, 3, 3_000_000).astype("<u2")
+    size = 1 << 14
+    rows = blocks(spark, [own], size)
+    ends = np.flatnonzero(own == 0)
+    assert len(ends) > 900_000
+    got = K.count_tokens(rows, 0).agg({"n_tokens": "sum", "*": "count"}).first()
+    assert tuple(got) in ((len(ends), int(ends[-1]) + 1 - len(ends)), (int(ends[-1]) + 1 - len(ends), len(ends)))
+    assert [f.dataType.simpleString() for f in K.scan(K.search(rows, 0)).schema] == ["int", "bigint", "bigint", "boolean", "bigint", "bigint"]
+
+
 def test_query_equals_the_tokenizer(spark, tmp_path):
     texts = ["one two", None, "", "long " * 50_000, "é ñ", "one two"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
