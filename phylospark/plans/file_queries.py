@@ -31,7 +31,7 @@ def locus_file(spark, sf_dir):
     """Every part as a locus of a file, in the order of their keys; the brand's number is the chromosome."""
     path = folder(spark, "loci")
     rows = texts(spark, sf_dir).select(F.regexp_replace("p_brand", "[^0-9]", "").cast("int").alias("ChromosomeNumber"), F.lit(0).alias("Start"), F.lit(9).alias("End"), "Parameters", "p_partkey")
-    rows.coalesce(1).sortWithinPartitions("p_partkey").drop("p_partkey").write.csv(path, header=True)
+    rows.orderBy("p_partkey").drop("p_partkey").write.csv(path, header=True)
     return loci.read_loci(spark, path).select("pos", "chromosome", "cn", *(F.round(c, 9).alias(c) for c in ("event_prob", "telomeric_instability", "fitness_weight", "duplication_prob", "crucial")))
 
 

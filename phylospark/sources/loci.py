@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phylospark.sources.config import Model
-from phylospark.sources.profiles import one_file
+from phylospark.sources.profiles import in_order
 
 MAX_LOCI = 100_000
 
@@ -37,11 +37,11 @@ def with_defaults(rows: DataFrame, text: str = "Parameters") -> DataFrame:
 
 
 def read_loci(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV of ChromosomeNumber, Start, End, Parameters; the position is the row's place in the file. Start and End are not used."""
-    rows = one_file(spark.read.csv(path, header=True, schema="ChromosomeNumber int, Start long, End long, Parameters string"))
-    order = Window.orderBy(F.col("_line"))  # as many rows as a genome has loci
-    rows = rows.withColumn("_line", F.monotonically_increasing_id()).withColumn("pos", F.row_number().over(order) - 1)
-    return with_defaults(rows).withColumn("chromosome", F.coalesce("ChromosomeNumber", F.lit(1))).drop("_line", "Start", "End", "Parameters", "ChromosomeNumber")
+    """CSV files of ChromosomeNumber, Start, End, Parameters; the position is the row's place in them, in the order of their names. Start and End
+    are not used."""
+    rows = in_order(spark.read.csv(path, header=True, schema="ChromosomeNumber int, Start long, End long, Parameters string"), "pos")
+    rows = rows.withColumn("pos", F.col("pos").cast("int"))
+    return with_defaults(rows).withColumn("chromosome", F.coalesce("ChromosomeNumber", F.lit(1))).drop("Start", "End", "Parameters", "ChromosomeNumber")
 
 
 def constant_loci(spark: SparkSession, model: Model) -> DataFrame:

@@ -81,3 +81,29 @@ def test_no_locus_is_suppressed_or_all(spark):
     """Loci whose weights and flags are all zero act as if they had none."""
     rows = loci.constant_loci(spark, MODEL)
     assert rows.select(F.sum(F.abs("fitness_weight")), F.sum("crucial")).first()[:] == (0.0, 0.0)
+
+
+def test_readers_keep_the_order_over_splits_and_files(spark, tmp_path):
+    """Files are read in splits of a hundred bytes; places count over all files in the order of their names."""
+    from phylospark.sources.profiles import in_order
+
+    lines = [f"line {k} of the file" + "x" * (k % 37) for k in range(300)]
+    for name, part in (("b", lines[100:130]), ("a", lines[:100]), ("c", lines[130:])):
+        (tmp_path / f"{name}.txt").write_text("\n".join(part) + "\n")
+    profiles = [(k, 1000 - k % 7, [k % 5, 2, k]) for k in range(200)]
+    (tmp_path / "profiles").mkdir()
+    for name, part in (("p1", profiles[:150]), ("p2", profiles[150:])):
+        (tmp_path / "profiles" / name).write_text("".join(f">{c}\n{','.join(map(str, g))}\n" for _, c, g in part))
+    (tmp_path / "loci").mkdir()
+    for name, part in (("l1", range(120)), ("l2", range(120, 150))):
+        (tmp_path / "loci" / name).write_text("ChromosomeNumber,Start,End,Parameters\n" + "".join(f"{k % 3},0,9,CN={k}\n" for k in part))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        text = spark.read.text([str(tmp_path / f"{n}.txt") for n in "cab"])
+        assert text.rdd.getNumPartitions() > 3
+        assert [r["value"] for r in in_order(text, "n").orderBy("n").collect()] == lines
+        assert sorted(map(tuple, read_profiles(spark, str(tmp_path / "profiles")).collect())) == profiles
+        assert [(r["pos"], r["cn"], r["chromosome"]) for r in loci.read_loci(spark, str(tmp_path / "loci")).orderBy("pos").collect()] == [(k, k, k % 3) for k in range(150)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
