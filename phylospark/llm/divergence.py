@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from phylospark.llm._shared import slices, small_batches, stage
 
 SCALE, MIN_DOCS, TOP = 1_000_000_000, 3, 200
-BLOCK_BYTES, PIECE, TERMS, SIEVE = 8 << 20, 1 << 20, 2_000_000, 1 << 24
+BLOCK_BYTES, PIECE, TERMS, SIEVE = 12 << 20, 1 << 20, 2_000_000, 1 << 24
 #: Words above so many characters are counted by comparing words: the automaton has a node a character and frees them by recursion.
 LONGEST = 1_000
 #: Letters and all bytes of characters beyond ASCII are kept, A-Z lower-cased; anything else becomes a space.
@@ -131,7 +131,7 @@ def recount(batches: Iterator[pa.RecordBatch], sieve: bytes) -> Iterator[pa.Reco
                     if word in long:
                         n[long[word]] += 1
                 at = np.flatnonzero(n)
-                columns = [pa.array([lang] * len(at), pa.string()), pa.array([source] * len(at), pa.string()), terms.take(pa.array(at)), pa.array(n[at], pa.int64())]
+                columns = [pa.repeat(lang, len(at)), pa.repeat(source, len(at)), terms.take(pa.array(at)), pa.array(n[at], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "count"])
 
 
@@ -174,12 +174,12 @@ def common_sums(batches: Iterator[pa.RecordBatch], sizes: dict[tuple[str, str],
                 if not len(left):
                     continue
                 value = divergence(p[left], p[right]) - divergence(p[left], p0[right]) - divergence(p0[left], p[right]) + divergence(p0[left], p0[right])
-                pair = source[left] * len(names) + source[right]
+                pair = (source[left] * len(names) + source[right]).astype(np.min_scalar_type(len(names) ** 2))  # short numbers are sorted by digits
                 order = np.argsort(pair, kind="stable")
-                pairs, at = np.unique(pair[order], return_index=True)
-                total = np.add.reduceat(value[order], at)
-                label = coded.dictionary
-                columns = [pa.array([lang] * len(pairs), pa.string()), *(label.take(pa.array(x)) for x in (pairs // len(names), pairs % len(names))), pa.array(total, pa.int64())]
+                pair = pair[order]
+                at = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+                pairs, total, label = pair[at].astype(np.int64), np.add.reduceat(value[order], at), coded.dictionary
+                columns = [pa.repeat(lang, len(pairs)), *(label.take(pa.array(x)) for x in (pairs // len(names), pairs % len(names))), pa.array(total, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "item", "value"])
 
 
@@ -204,8 +204,8 @@ def postings(docs: DataFrame, text: str, lang: str, source: str, min_docs: int =
     of kept words in the group, v: the kept words of the language. A word's postings are as many as the sources of its language at most."""
     rows = docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(to) for c, to in ((lang, "lang"), (source, "source"))), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
     blocks = stage(small_batches(rows).mapInArrow(to_blocks, BLOCKS), "blocks")
-    held = blocks.select("lang", F.explode(F.arrays_zip("words", "docs")).alias("w"))
-    kept = stage(held.groupBy("lang", F.col("w.words").alias("term")).agg(F.sum("w.docs").alias("docs")).where(F.col("docs") >= min_docs), "kept")
+    held = blocks.select("lang", F.inline(F.arrays_zip("words", "docs")))
+    kept = stage(held.groupBy("lang", F.col("words").alias("term")).agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs), "kept")
     sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(kept))
     texts = small_batches(blocks.select("lang", "sources", "texts", "words"))
     counts = texts.mapInArrow(lambda batches: recount(batches, sieve.value), "lang string, source string, term string, count long")
