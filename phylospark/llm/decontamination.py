@@ -265,13 +265,22 @@ def find_items(index: DataFrame, benchmark: DataFrame, item: str, text: str, win
     return merged(passes)
 
 
-def find_near(index: DataFrame, queries: DataFrame, query: str, terms: str, width: int, max_bytes: int = PASS_BYTES) -> DataFrame:
+def find_near(index: DataFrame, queries: DataFrame, query: str, terms: str, width: int, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(query, segment, place, key, n_near): documents of an index that hold all terms (an array of words) of a query within ``width`` words,
-    and how many shortest such stretches. A query without terms finds nothing; queries of more than ``max_bytes`` raise an error."""
-    own = queries.select(F.col(f"`{query}`").cast("string").alias("query"), F.col(f"`{terms}`").alias("terms"))
-    if (own.agg(F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "terms"))), F.lit(0))).collect()[0][0] or 0) > max_bytes:
-        raise ValueError(f"queries of more than {max_bytes} bytes")
-    shared = index.sparkSession.sparkContext.broadcast([(r["query"], sorted({w.encode() for w in r["terms"] or () if w})) for r in own.collect()])
+    and how many shortest such stretches. A query without terms finds nothing; queries are searched in passes of about ``pass_bytes``."""
+    own = stage(queries.select(F.col(f"`{query}`").cast("string").alias("query"), F.col(f"`{terms}`").alias("terms")), "queries")
+    size = own.agg(F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "terms"))), F.lit(0))).collect()[0][0]
+    n = max(1, -(-size // pass_bytes))
+    found = None
+    for i in range(n):
+        part = own.where(F.pmod(F.xxhash64("query", F.concat_ws(" ", "terms")), F.lit(n)) == i).collect()  # pass_bytes, about
+        more = near_pass(index, [(r["query"], sorted({w.encode() for w in r["terms"] or () if w})) for r in part], width)
+        found = more if found is None else found.unionByName(more)
+    return found
+
+
+def near_pass(index: DataFrame, queries: list[tuple[str, list[bytes]]], width: int) -> DataFrame:
+    shared = index.sparkSession.sparkContext.broadcast(queries)
     key = index.schema["keys"].dataType.elementType
 
     def search(batches):

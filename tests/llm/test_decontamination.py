@@ -100,6 +100,16 @@ def test_near_equals_sql(spark, tmp_path):
     assert len(wanted) > 20 and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, wanted))
 
 
+def test_near_queries_in_passes(spark):
+    """Queries beyond a pass are searched in several, with the same result."""
+    r = random.Random(7)
+    docs = spark.createDataFrame([(i, " ".join(r.choice("abcdefgh") for _ in range(30))) for i in range(20)], "doc_id long, text string")
+    queries = spark.createDataFrame([(str(k), r.sample("abcdefghi", 3)) for k in range(40)] + [("none", []), ("null", None)], "q string, terms array<string>")
+    index = D.build_index(docs, "doc_id", "text")
+    whole, parts = (sorted(map(tuple, D.find_near(index, queries, "q", "terms", 6, n).collect()), key=str) for n in (1 << 20, 50))
+    assert whole == parts and len(whole) > 100
+
+
 def test_very_long_text(spark):
     text = "some word " * 200_000 + "one two three four five six seven eight nine ten eleven"
     index = D.build_index(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text")
