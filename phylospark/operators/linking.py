@@ -133,7 +133,7 @@ def link(biopsy: DataFrame, close: DataFrame, top: DataFrame) -> tuple[DataFrame
         nodes = nodes.unionByName(bottom.join(best, ["run_id", "ord"]).select("run_id", "node_id", "cell_id", F.lit(back).alias("level"), "parent_id", "weight"))
         bottom = upper.unionByName(copied.select("run_id", F.col("new_ord").alias("ord"), "cell_id", "genome", F.col("new_id").alias("node_id")))
         fresh = fresh.join(copied.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")), "run_id", "left").select("run_id", (F.col("fresh") + F.coalesce("n", F.lit(0))).alias("fresh"))
-    return nodes, stage(first, "earliest"), fresh
+    return stage(nodes, "linked"), stage(first, "earliest"), stage(fresh, "fresh")
 
 
 def join_earliest(first: DataFrame, distances: DataFrame, fresh: DataFrame) -> DataFrame:

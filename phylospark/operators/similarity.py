@@ -18,6 +18,8 @@ from phylospark.operators import clusters
 KEY = ["h1", "h2", "size"]
 #: Pairs of clusters that one task makes of a label, about.
 PAIRS = 2_000_000
+#: Frequent labels that are sent to every task at most.
+MAX_OFTEN = 100_000
 
 
 def sides(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -67,6 +69,8 @@ def by_label(left: DataFrame, right: DataFrame, kinds: DataFrame) -> DataFrame:
     often = stage(often, "often")
     if often.isEmpty():
         return left.join(right, on)
+    if often.count() <= MAX_OFTEN:  # else a shuffle, which adaptive execution splits
+        often = F.broadcast(often)
     parts = F.coalesce("parts", F.lit(1))
     left = left.join(often, on, "left").withColumn("part", F.pmod(F.xxhash64("kind_0"), parts).cast("int")).drop("parts")
     right = right.join(often, on, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")

@@ -79,9 +79,18 @@ def run_experiment(runs: DataFrame, resolved: DataFrame, model: Model, generatio
     return run_tables(runs, resolved, model, generations, size, fraction, radius, seed, timings).results
 
 
+def summary(tables: Tables) -> DataFrame:
+    """(run_id, item, value): sampled cells of each biopsy and in all, and the nodes of each tree of every run that has them."""
+    levels = tables.biopsy.groupBy("run_id", F.concat(F.lit("biopsy_"), "level").alias("item")).agg(F.count(F.lit(1)).alias("value"))
+    every = tables.biopsy.groupBy("run_id", F.lit("biopsies").alias("item")).agg(F.count(F.lit(1)).alias("value"))
+    kind = F.substring_index("tree_id", "/", -1)
+    sizes = tables.trees.groupBy(F.expr("left(tree_id, length(tree_id) - length(substring_index(tree_id, '/', -1)) - 1)").alias("run_id"), F.concat(F.lit("tree_"), kind).alias("item")).agg(F.count(F.lit(1)).alias("value"))
+    return levels.unionByName(every).unionByName(sizes)
+
+
 def run_files(spark: SparkSession, model_file: str, out: str, generations: list[int], locus_file: str | None = None, size: int | None = None, fraction: float | None = None, radius: float = 4, seed: int = 0) -> DataFrame:
     """One run from a configuration (and a table of loci) to files below out: the parameters as they are in effect, the sampled profiles of each
-    biopsy, the matrix of distances, the edges of every tree and a line of results, which is returned too."""
+    biopsy, the matrix of distances, the edges of every tree, the counts of ``summary`` and a line of results, which is returned too."""
     model = config.read_model(spark, model_file)
     table = loci.read_loci(spark, locus_file) if locus_file else loci.constant_loci(spark, model)
     resolved = stage(loci.resolve(table, model), "loci")
@@ -93,6 +102,7 @@ def run_files(spark: SparkSession, model_file: str, out: str, generations: list[
         profiles.write_profiles(tables.biopsy.where(F.col("level") == level), f"{out}/biopsy_{level}")
     profiles.write_matrix(tables.distances, f"{out}/distances")
     tables.trees.where("parent_id IS NOT NULL").select(F.substring_index("tree_id", "/", -1).alias("tree"), "parent_id", "node_id", "label").coalesce(1).write.mode("overwrite").csv(f"{out}/edges", header=True)
+    summary(tables).drop("run_id").coalesce(1).orderBy("item").write.mode("overwrite").csv(f"{out}/summary", header=True)  # a row a biopsy and tree
     share = size if size is not None else fraction
     line = F.format_string("{'GenTreeSize': %d, 'TreeSize': %d, 'NumBiopsies': %d, 'biopsy_size': %s, 'RPercentile': %s, 'Result': %s}", F.col("n_nodes"), F.lit(model.generations), F.lit(len(generations)), F.lit(str(float(share))), F.lit(str(radius)), F.coalesce(F.col("similarity_layered").cast("string"), F.lit("null")))
     tables.results.select(line.alias("value")).coalesce(1).write.mode("overwrite").text(f"{out}/results")

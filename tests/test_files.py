@@ -30,6 +30,9 @@ def test_a_run_from_files_to_files(spark, tmp_path):
     assert loci.read_loci(spark, f"{out}/loci").count() == 8 and "TELOMERIC_INSTABILITY" in spark.read.csv(f"{out}/parameters", header=True).columns
     kinds = {r["tree"]: r["count"] for r in spark.read.csv(f"{out}/edges", header=True).groupBy("tree").count().collect()}
     assert kinds["true"] == row["n_nodes"] - 1 and {"layered", "pooled"} < set(kinds)
+    counts = {r["item"]: int(r["value"]) for r in spark.read.csv(f"{out}/summary", header=True).collect()}
+    edges = spark.read.csv(f"{out}/edges", header=True).groupBy("tree").count().collect()
+    assert counts == {"biopsy_0": 6, "biopsy_1": 6, "biopsies": 12} | {f"tree_{r['tree']}": r["count"] + 1 for r in edges}
     (line,) = read_results(spark, f"{out}/results").collect()
     assert (line["GenTreeSize"], line["TreeSize"], line["NumBiopsies"], line["biopsy_size"], line["Result"]) == (row["n_nodes"], 5, 2, 6.0, pytest.approx(row["similarity_layered"]))
 
