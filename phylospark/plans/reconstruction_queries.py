@@ -184,8 +184,8 @@ NEAR_SQL = f"{RUN_PAIRS} SELECT run_id, i::INT AS x, j::INT AS y, dist::DOUBLE A
 
 
 def trees(spark, sf_dir, pooled=False):
-    rows = cells(spark, sf_dir)
-    return linking.reconstruct(rows, between(rows), 4, pooled)
+    rows = stage(cells(spark, sf_dir), "cells")
+    return linking.reconstruct(rows, stage(between(rows), "distances"), 4, pooled)
 
 
 def written(rows):
