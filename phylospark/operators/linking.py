@@ -154,7 +154,8 @@ def join_earliest(first: DataFrame, distances: DataFrame, fresh: DataFrame) -> D
         joined = neighbour_joining(np.stack(own["r"].to_numpy()), own["node_id"].tolist(), int(own["fresh"].iloc[0]) + 1)
         turn = {node: k for k, node in enumerate(joined.created)}
         run = own["run_id"].iloc[0]
-        found = [(run, child, parent, weight, turn.get(child)) for parent, child, weight in joined.edges] + [(run, joined.created[-1], None, None, len(turn) - 1)]
+        edges = {(parent, child): weight for parent, child, weight in joined.edges}  # rows of one node may be joined with each other
+        found = [(run, child, parent, weight, turn.get(child)) for (parent, child), weight in edges.items()] + [(run, joined.created[-1], None, None, len(turn) - 1)]
         return pd.DataFrame(found, columns=names).astype({"parent_id": "Int64", "weight": "Float64", "turn": "Int64"})
 
     return rows.groupBy("run_id").applyInPandas(build, "run_id string, node_id long, parent_id long, weight double, turn long")
@@ -172,13 +173,19 @@ def assemble(nodes: DataFrame, first: DataFrame, distances: DataFrame, fresh: Da
     return old.unionByName(new).select(*(F.col(c).cast(t).alias(c) for c, t in (x.split() for x in TREE.split(", "))))
 
 
-def reconstruct(biopsy: DataFrame, distances: DataFrame, radius: float, pooled: bool = False) -> DataFrame:
+def reconstruct(biopsy: DataFrame, distances: DataFrame, radius: float, pooled: bool = False, shared: bool = False) -> DataFrame:
     """The tree of every run: (run_id, node_id, parent_id, cell_id, level, weight). Level 0 is the latest biopsy; joined nodes have no
     cell and a level each; the root is node -1. pooled joins all cells of a run, each once, without layers. A run that comes to one cell in
-    its earliest biopsy has no tree and no rows. distances: a matrix of each run."""
+    its earliest biopsy has no tree and no rows. distances: a matrix of each run. pooled and shared: a cell that was sampled several times is joined as
+often but stays one node, so it has a row for each of its parents (``clusters.elements`` counts its labels by paths)."""
     own = biopsy.select(F.col("run_id").cast("string").alias("run_id"), "level", "ord", F.col("cell_id").cast("long").alias("cell_id"), "genome")
     far = distances.select(F.col("run_id").cast("string").alias("run_id"), "i", "j", F.col("id_i").cast("long").alias("id_i"), "dist")
     top = far.groupBy("run_id").agg(F.max("id_i").alias("top"))
+    if pooled and shared:
+        own = own.withColumn("ord", F.row_number().over(Window.partitionBy("run_id").orderBy("level", "ord")) - 1).withColumn("node_id", F.col("cell_id"))
+        every, own = closest(far, float("inf")), stage(own, "pooled")
+        none = [F.lit(0).alias("level"), F.lit(None).cast("long").alias("parent_id"), F.lit(None).cast("double").alias("weight")]
+        return assemble(own.select("run_id", "node_id", "cell_id", *none).distinct(), own, every, top.select("run_id", (F.col("top") + 1).alias("fresh")))
     if pooled:
         own = own.withColumn("nth", F.row_number().over(Window.partitionBy("run_id", "cell_id").orderBy("level", "ord"))).where("nth = 1").drop("nth")
         own = own.withColumn("ord", F.row_number().over(Window.partitionBy("run_id").orderBy("level", "ord")) - 1).withColumn("level", F.lit(0))

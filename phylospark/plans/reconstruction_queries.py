@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from phylospark.functions import profiles
 from phylospark.functions.staging import stage
 from phylospark.operators import biopsy as sampling
-from phylospark.operators import distance, joining, layout, linking
+from phylospark.operators import clusters, distance, joining, layout, linking
 from phylospark.plans.experiment import run_experiment
 from phylospark.plans.locus_queries import GENOME, genome
 from phylospark.plans.tree_queries import table
@@ -183,9 +183,9 @@ RUN_PAIRS = f"WITH RECURSIVE {CELLS}, g AS (SELECT x.run_id, x.idx AS i, y.idx A
 NEAR_SQL = f"{RUN_PAIRS} SELECT run_id, i::INT AS x, j::INT AS y, dist::DOUBLE AS dist FROM g JOIN far USING (u, v) WHERE dist <= 3"
 
 
-def trees(spark, sf_dir, pooled=False):
+def trees(spark, sf_dir, pooled=False, shared=False):
     rows = stage(cells(spark, sf_dir), "cells")
-    return linking.reconstruct(rows, stage(between(rows), "distances"), 4, pooled)
+    return linking.reconstruct(rows, stage(between(rows), "distances"), 4, pooled, shared)
 
 
 def written(rows):
@@ -197,6 +197,18 @@ def nj_full(spark, sf_dir):
     return written(trees(spark, sf_dir, pooled=True))
 
 
+def nj_shared(spark, sf_dir):
+    """Pooled trees in which a cell that was sampled twice is one node under two parents."""
+    return written(trees(spark, sf_dir, pooled=True, shared=True))
+
+
+def shared_counts(spark, sf_dir):
+    """Cells below the joined nodes of these, by the number of paths."""
+    rows = stage(trees(spark, sf_dir, pooled=True, shared=True), "shared")
+    found = clusters.elements(rows.select(F.col("run_id").alias("tree_id"), "node_id", "parent_id", F.col("cell_id").alias("label")))
+    return found.select(F.col("tree_id").alias("run_id"), F.col("anc").alias("node_id"), F.col("label").alias("cell_id"), F.col("cnt").alias("paths"))
+
+
 def layered_full(spark, sf_dir):
     return written(trees(spark, sf_dir))
 
@@ -257,6 +269,14 @@ NJ_FULL = f"""WITH RECURSIVE {CELLS}, {AT}, items AS (
 ), {JOINING}
 SELECT j.run_id, node_id::BIGINT AS node_id, parent_id::BIGINT::VARCHAR AS parent_id, i.node::BIGINT::VARCHAR AS cell_id, coalesce(j.level, 0)::INT AS level, round(weight, 9) AS weight FROM joined j LEFT JOIN items i ON i.run_id = j.run_id AND i.node = j.node_id AND j.level IS NULL"""
 
+#: The same with every sampled cell as an item of its own, though copies are one node.
+NJ_SHARED = f"""{NJ_FULL[: NJ_FULL.index("items AS (")]}items AS (
+  SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY level, ord) - 1 AS pos, cell_id AS node, mrow.idx FROM c JOIN mrow USING (run_id, cell_id)
+), spec AS (SELECT run_id, count(*) AS n0, max(node) + 2 AS base, 0 AS top FROM items GROUP BY run_id
+), {JOINING}, graph AS (
+  SELECT DISTINCT j.run_id, j.node_id::BIGINT AS node_id, j.parent_id::BIGINT AS parent_id, CASE WHEN j.level IS NULL THEN j.node_id::BIGINT END AS cell_id, coalesce(j.level, 0)::INT AS level, round(weight, 9) AS weight FROM joined j
+)"""
+
 #: Linking from the latest level on, a cell a step: w holds the layers as they are, with the copies that steps add.
 LAYERED = f"""WITH RECURSIVE {CELLS}, {AT}, {DIST}, s AS (SELECT *, row_number() OVER (PARTITION BY run_id, cell_id ORDER BY level DESC, ord) > 1 AS again FROM c), t AS (SELECT run_id, max(id_i) AS top FROM d GROUP BY ALL),
 reg AS (SELECT run_id, level, ord, cell_id, genome, mrow.idx, CASE WHEN again THEN top + row_number() OVER (PARTITION BY run_id, again ORDER BY level DESC, ord) ELSE cell_id END AS node, max(level) OVER (PARTITION BY run_id) AS latest FROM s JOIN t USING (run_id) JOIN mrow USING (run_id, cell_id)
@@ -316,6 +336,11 @@ SELECT run_id, i::INT AS i, j::INT AS j, round(q, 9) AS q, dist, round((dist + (
     "near_ancestors": (near_ancestors, f"{NEAR_SQL} AND len(list_filter(range(1, 11), lambda k: u[k] = 0 AND v[k] > 0)) = 0"),
     "layered_within": (layered_within, None),
     "nj_full": (nj_full, NJ_FULL),
+    "nj_shared": (nj_shared, f"{NJ_SHARED} SELECT run_id, node_id, parent_id::VARCHAR AS parent_id, cell_id::VARCHAR AS cell_id, level, weight FROM graph"),
+    "shared_counts": (shared_counts, f"""{NJ_SHARED}, edges AS (SELECT DISTINCT run_id, node_id, parent_id FROM graph WHERE parent_id IS NOT NULL
+), paths AS (SELECT DISTINCT run_id, cell_id, node_id, 1::BIGINT AS n FROM graph WHERE cell_id IS NOT NULL
+  UNION ALL SELECT p.run_id, p.cell_id, e.parent_id, sum(p.n)::BIGINT FROM paths p JOIN edges e USING (run_id, node_id) GROUP BY ALL
+) SELECT run_id, node_id, cell_id, sum(n)::BIGINT AS paths FROM paths GROUP BY ALL"""),
     "layered_full": (layered_full, f"{LAYERED} SELECT run_id, node_id, parent_id::VARCHAR AS parent_id, cell_id::VARCHAR AS cell_id, level, weight FROM layered"),
     "layered_layout": (layered_layout, LAYOUT),
     "biopsy_highlights": (biopsy_highlights, f"WITH {CELLS} SELECT n.run_id, n.idx AS node_id, b.level::INT AS level, {layout.PALETTE}[b.level % 19 + 1] AS colour FROM c n JOIN (SELECT DISTINCT run_id, cell_id, level FROM c) b USING (run_id, cell_id)"),

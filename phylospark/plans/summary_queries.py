@@ -39,6 +39,19 @@ def box_stats(spark, sf_dir):
     return rows.select("o_orderpriority", "o_orderstatus", "n", "n_outliers", *(F.round(c, 6).alias(c) for c in ("low", "q1", "median", "q3", "high")))
 
 
+def box_stats_hot(spark, sf_dir):
+    """All prices of line items as one group, beside a group for each flag: quartiles by ranges, as for groups of any size."""
+    rows = table(spark, sf_dir, "lineitem").select(F.explode(F.array(F.lit("all"), F.col("l_returnflag"))).alias("part"), F.col("l_extendedprice").alias("price"))
+    rows = summary.box_statistics(rows, "price", "part", held=1000)
+    return rows.select("part", "n", "n_outliers", *(F.round(c, 6).alias(c) for c in ("low", "q1", "median", "q3", "high")))
+
+
+def box_outliers(spark, sf_dir):
+    """Orders beyond whiskers of half the quartile distance."""
+    rows = summary.outliers(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderpriority", "o_orderstatus", reach=0.5, held=100)
+    return rows.select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice", "high")
+
+
 def timer_means(spark, sf_dir):
     rows = summary.mean_by_label(table(spark, sf_dir, "events"), "event_type", "value")
     return rows.select("event_type", "n", F.round("mean_value", 6).alias("mean_value"))
@@ -64,6 +77,11 @@ SELECT o_orderkey, CASE WHEN "GenTreeSize" > 0 AND "GenTreeSize" <= 1000 THEN '<
     "box_stats": (box_stats, """WITH q AS (SELECT o_orderpriority, o_orderstatus, quantile_cont(o_totalprice, [0.25, 0.5, 0.75]) AS q FROM orders GROUP BY ALL),
 b AS (SELECT o.*, q[1] AS q1, q[2] AS median, q[3] AS q3, o_totalprice >= q[1] - 1.5 * (q[3] - q[1]) AND o_totalprice <= q[3] + 1.5 * (q[3] - q[1]) AS inside FROM orders o JOIN q USING (o_orderpriority, o_orderstatus))
 SELECT o_orderpriority, o_orderstatus, count(*) AS n, sum((NOT inside)::INT)::BIGINT AS n_outliers, round(min(o_totalprice) FILTER (WHERE inside), 6) AS low, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(max(o_totalprice) FILTER (WHERE inside), 6) AS high FROM b GROUP BY o_orderpriority, o_orderstatus, q1, median, q3"""),
+    "box_stats_hot": (box_stats_hot, """WITH r AS (SELECT 'all' AS part, l_extendedprice AS price FROM lineitem UNION ALL SELECT l_returnflag, l_extendedprice FROM lineitem), q AS (SELECT part, quantile_cont(price, [0.25, 0.5, 0.75]) AS q FROM r GROUP BY ALL),
+b AS (SELECT r.*, q[1] AS q1, q[2] AS median, q[3] AS q3, price >= q[1] - 1.5 * (q[3] - q[1]) AND price <= q[3] + 1.5 * (q[3] - q[1]) AS inside FROM r JOIN q USING (part))
+SELECT part, count(*) AS n, sum((NOT inside)::INT)::BIGINT AS n_outliers, round(min(price) FILTER (WHERE inside), 6) AS low, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(max(price) FILTER (WHERE inside), 6) AS high FROM b GROUP BY part, q1, median, q3"""),
+    "box_outliers": (box_outliers, """WITH q AS (SELECT o_orderpriority, o_orderstatus, quantile_cont(o_totalprice, [0.25, 0.5, 0.75]) AS q FROM orders GROUP BY ALL)
+SELECT o_orderkey, o_orderpriority, o_orderstatus, o_totalprice, o_totalprice > q[3] AS high FROM orders o JOIN q USING (o_orderpriority, o_orderstatus) WHERE o_totalprice < q[1] - 0.5 * (q[3] - q[1]) OR o_totalprice > q[3] + 0.5 * (q[3] - q[1])"""),
     "timer_means": (timer_means, "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL"),
     "event_buckets": (event_buckets, "SELECT strftime(ts, '%Y-%m-%d') AS bucket, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL"),
     "event_sessions": (event_sessions, """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

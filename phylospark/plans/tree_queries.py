@@ -102,6 +102,10 @@ def cluster_signatures(spark, sf_dir):
     return clusters.signatures(clusters.elements(label_trees(spark, sf_dir)))
 
 
+def cluster_classes(spark, sf_dir):
+    return clusters.numbered(label_trees(spark, sf_dir))
+
+
 def tree_closure(spark, sf_dir):
     return clusters.closure(label_trees(spark, sf_dir))
 
@@ -187,6 +191,10 @@ QUERIES = {
     "bgrf_allowed": (bgrf_allowed, similarity_sql(f"AND n.label IN {ALLOWED}", as_sets=True)),
     "subtree_counts": (subtree_counts, f"{SIMPLE}, {el()} SELECT tree_id, anc, label, cnt FROM el"),
     "cluster_signatures": (cluster_signatures, f"{SIMPLE}, {el()} SELECT tree_id, anc, string_agg(label || '=' || cnt, '|' ORDER BY label || '=' || cnt) AS signature FROM el GROUP BY ALL"),
+    "cluster_classes": (cluster_classes, f"""{SIMPLE}, {el()}, s AS (
+  SELECT n.tree_id, n.node_id AS anc, coalesce(string_agg(e.label || '=' || e.cnt, '|' ORDER BY e.label), '') AS sig FROM nodes n LEFT JOIN el e ON e.tree_id = n.tree_id AND e.anc = n.node_id GROUP BY ALL
+), g AS (SELECT sig, min(struct_pack(t := tree_id, a := anc)) AS f, count(*) AS n FROM s GROUP BY sig)
+SELECT tree_id, anc, f.t AS first_tree, f.a AS first_node, n FROM s JOIN g USING (sig)"""),
     "tree_closure": (tree_closure, f"{SIMPLE} SELECT tree_id, node_id, anc FROM clo"),
     "leaf_internal_labels": (leaf_internal_labels, f"{SIMPLE} SELECT DISTINCT tree_id, label, NOT EXISTS (SELECT 1 FROM nodes c WHERE c.tree_id = n.tree_id AND c.parent_id = n.node_id) AS is_leaf FROM nodes n WHERE label IS NOT NULL"),
     "cluster_set_ops": (cluster_set_ops, f"""{SIMPLE}, a AS (SELECT DISTINCT label FROM nodes WHERE tree_id = 'all' AND label IS NOT NULL), b AS (SELECT DISTINCT label FROM nodes WHERE tree_id = 'even' AND label IS NOT NULL)
