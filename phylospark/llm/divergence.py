@@ -1,9 +1,10 @@
 """How sources of one language differ in their words: divergences between sources, and the words in which each stands out.
 
-The first pass takes whole texts in blocks of a few megabytes and gives, for each block and language, the texts as words parted by spaces and
-how many of its documents hold each word; summed, these are the exact document frequencies, and words in too few documents go. The
-second pass builds for each block an Aho-Corasick automaton of the kept words that the block holds, each padded with the space on both sides so that only
-whole words match, and recounts all occurrences by source. A block's automaton can't grow beyond the block's own words, so no
+The first pass takes whole texts in blocks of a few megabytes and gives, for each block and language, how many of its documents hold each
+word; summed, these are the exact document frequencies, and words in too few documents go. The second pass reads the texts again,
+builds for each block an Aho-Corasick automaton of the kept words that the block holds, each padded with the space on both sides so that only
+whole words match, and recounts all occurrences by source. A block lives in one Python worker only: no row holds a block's texts or words, since Spark's reader takes
+thousands of rows at once and would hold as many blocks. A block's automaton can't grow beyond the block's own words, so no
 vocabulary is sent to every task, however large the corpus' is: what is sent is a table of ``SIEVE`` bits (2 MB), one for each hash of a kept word.
 Words that get through it by chance (a twentieth where a million words are kept) are counted too and dropped when the counts are joined to the kept
 words, so the result is exact whatever the table lets through.
@@ -51,8 +52,6 @@ SECOND = itemgetter(1)
 #: Groups of language and source at most; the result has a row for each pair of them in a language.
 MAX_GROUPS = 1_000_000
 
-BLOCKS = "lang string, sources array<string>, texts array<string>, words array<string>, docs array<long>"
-
 
 def pieces(text: bytes) -> Iterator[bytes]:
     """Cut at spaces, about a megabyte each."""
@@ -64,35 +63,27 @@ def pieces(text: bytes) -> Iterator[bytes]:
         start = end
 
 
-def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each language of a block of documents: its words by source, and how many documents hold each word."""
-    texts: dict[str, dict[str, list[bytes]]] = {}
+def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, term, docs: how many documents of a block hold each word."""
     docs: dict[str, Counter] = {}
     size = 0
     for batch in slices(batches, "text"):
-        for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
-            own, holds = texts.setdefault(lang, {}).setdefault(source, []), set()
+        for lang, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "text")), strict=True):
+            holds = set()
             for piece in pieces(text.translate(TABLE)):
                 holds.update(piece.split())
-                own.append(piece)
             docs.setdefault(lang, Counter()).update(holds)
             size += len(text)
         if size >= BLOCK_BYTES:
-            yield from block_rows(texts, docs)
-            texts, docs, size = {}, {}, 0
-    yield from block_rows(texts, docs)
+            yield from count_rows(docs)
+            docs, size = {}, 0
+    yield from count_rows(docs)
 
 
-def block_rows(texts: dict, docs: dict) -> Iterator[pa.RecordBatch]:
-    for lang, by_source in texts.items():
-        columns = [
-            pa.array([lang], pa.string()),
-            pa.array([list(by_source)], pa.list_(pa.string())),
-            pa.array([[b" ".join(x).decode() for x in by_source.values()]], pa.list_(pa.string())),
-            pa.array([[w.decode() for w in docs[lang]]], pa.list_(pa.string())),
-            pa.array([list(docs[lang].values())], pa.list_(pa.int64())),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, names=["lang", "sources", "texts", "words", "docs"])
+def count_rows(docs: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+    for lang, held in docs.items():
+        terms = pa.array(list(held), pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(held)), terms, pa.array(list(held.values()), pa.int64())], names=["lang", "term", "docs"])
 
 
 def word_hash(lang: Column, term: Column) -> Column:
@@ -108,31 +99,47 @@ def sieve_of(kept: DataFrame) -> bytes:
 
 
 def recount(batches: Iterator[pa.RecordBatch], sieve: bytes) -> Iterator[pa.RecordBatch]:
-    """lang, source, term, count of the words of each block that the sieve lets through, by an automaton over its texts; very long words by
-    comparison."""
+    """lang, source, term, count of the words of each block that the sieve lets through."""
+    texts: dict[str, dict[str, list[bytes]]] = {}
+    words: dict[str, set[bytes]] = {}
+    size = 0
+    for batch in slices(batches, "text"):
+        for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
+            own, held = texts.setdefault(lang, {}).setdefault(source, []), words.setdefault(lang, set())
+            for piece in pieces(text.translate(TABLE)):
+                held.update(piece.split())
+                own.append(piece)
+            size += len(text)
+        if size >= BLOCK_BYTES:
+            yield from block_counts(texts, words, sieve)
+            texts, words, size = {}, {}, 0
+    yield from block_counts(texts, words, sieve)
+
+
+def block_counts(texts: dict, words: dict, sieve: bytes) -> Iterator[pa.RecordBatch]:
+    """The counts of one block by an automaton over its texts; very long words by comparison."""
     import ahocorasick
 
-    for batch in batches:
-        for i in range(batch.num_rows):
-            lang, sources, texts, words = (batch.column(c)[i].as_py() for c in ("lang", "sources", "texts", "words"))
-            start = crc32(f"{lang}\0".encode())
-            kept = [w for w in words if sieve[(h := crc32(w.encode(), start) % SIEVE) >> 3] >> (h & 7) & 1]
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for k, word in enumerate(kept):
-                if len(word) <= LONGEST:
-                    automaton.add_word(f" {word} ", k)
-            automaton.make_automaton()
-            long = {word: k for k, word in enumerate(kept) if len(word) > LONGEST}
-            terms = pa.array(kept, pa.string())
-            for source, text in zip(sources, texts, strict=True):
-                found = automaton.iter(f" {text} ") if len(automaton) else ()
-                n = np.bincount(np.fromiter(map(SECOND, found), np.int64), minlength=len(kept))
-                for word in text.split(" ") if long else ():
-                    if word in long:
-                        n[long[word]] += 1
-                at = np.flatnonzero(n)
-                columns = [pa.repeat(lang, len(at)), pa.repeat(source, len(at)), terms.take(pa.array(at)), pa.array(n[at], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "count"])
+    for lang, by_source in texts.items():
+        start = crc32(f"{lang}\0".encode())
+        kept = [w.decode() for w in words.pop(lang) if sieve[(h := crc32(w, start) % SIEVE) >> 3] >> (h & 7) & 1]
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, word in enumerate(kept):
+            if len(word) <= LONGEST:
+                automaton.add_word(f" {word} ", k)
+        automaton.make_automaton()
+        long = {word: k for k, word in enumerate(kept) if len(word) > LONGEST}
+        terms = pa.array(kept, pa.string())
+        for source, parts in by_source.items():
+            text = b" ".join(parts).decode()
+            found = automaton.iter(f" {text} ") if len(automaton) else ()
+            n = np.bincount(np.fromiter(map(SECOND, found), np.int64), minlength=len(kept))
+            for word in text.split(" ") if long else ():
+                if word in long:
+                    n[long[word]] += 1
+            at = np.flatnonzero(n)
+            columns = [pa.repeat(lang, len(at)), pa.repeat(source, len(at)), terms.take(pa.array(at)), pa.array(n[at], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "count"])
 
 
 def divergence(p, q):
@@ -203,17 +210,15 @@ def postings(docs: DataFrame, text: str, lang: str, source: str, min_docs: int =
     """Both passes: the postings of each kept word (lang, term, posts: source and count), and the groups (lang, source, n, v), staged. n: all occurrences
     of kept words in the group, v: the kept words of the language. A word's postings are as many as the sources of its language at most."""
     rows = docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(to) for c, to in ((lang, "lang"), (source, "source"))), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
-    blocks = stage(small_batches(rows).mapInArrow(to_blocks, BLOCKS), "blocks")
-    held = blocks.select("lang", F.inline(F.arrays_zip("words", "docs")))
-    kept = stage(held.groupBy("lang", F.col("words").alias("term")).agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs), "kept")
+    held = small_batches(rows.select("lang", "text")).mapInArrow(document_counts, "lang string, term string, docs long")
+    kept = stage(held.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs), "kept")
     sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(kept))
-    texts = small_batches(blocks.select("lang", "sources", "texts", "words"))
-    counts = texts.mapInArrow(lambda batches: recount(batches, sieve.value), "lang string, source string, term string, count long")
+    counts = small_batches(rows).mapInArrow(lambda batches: recount(batches, sieve.value), "lang string, source string, term string, count long")
     counts = counts.groupBy("lang", "source", "term").agg(F.sum("count").alias("count")).join(kept.select("lang", "term").hint("shuffle_hash"), ["lang", "term"], "left_semi")
     lists = stage(counts.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "count")).alias("posts")), "postings")
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
     totals = lists.select("lang", F.explode("posts").alias("x")).groupBy("lang", F.col("x.source").alias("source")).agg(F.sum("x.count").alias("n"))
-    groups = blocks.select("lang", F.explode("sources").alias("source")).distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
+    groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
     return lists, stage(groups.na.fill(0, ["n", "v"]), "groups")
 
 

@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from phylospark.llm import divergence as D
 
@@ -96,3 +97,19 @@ def test_common_sums_in_pieces(monkeypatch):
             for r in out.to_pylist():
                 got[r["source"], r["item"]] += r["value"]
         assert got == wanted
+
+
+def test_no_staged_row_holds_a_block(spark, tmp_path, monkeypatch):
+    """Spark reads thousands of rows at once, so rows with the texts or words of a block would fill an executor's memory."""
+    docs = [(f"common words and w{chr(97 + i % 26)}{chr(97 + i // 26)} " * 200, "en", f"s{i % 2}") for i in range(300)]
+    longest = {}
+
+    def staged(df, name):
+        out = stage(df, name)
+        longest[name] = out.select(F.max(F.length(F.to_json(F.struct("*"))))).first()[0]
+        return out
+
+    stage = D.stage
+    monkeypatch.setattr(D, "stage", staged)
+    assert sorted(tuple(r) for r in D.op13_divergence(spark, write(spark, tmp_path, docs)).collect()) == brute(docs)
+    assert longest and max(longest.values()) < 1000, longest
