@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phylospark.functions.profiles import regains
-from phylospark.functions.staging import stage
+from phylospark.functions.staging import large, stage
 from phylospark.operators.distance import matrix, near
 from phylospark.operators.joining import neighbour_joining
 
@@ -62,7 +62,7 @@ def closest(distances: DataFrame, radius: float) -> DataFrame:
     """(run_id, x_cell, y_cell, dist) within the radius, from a matrix; of rows with the same identifier the last counts."""
     last = distances.where("i = j").groupBy("run_id", "id_i").agg(F.max("i").alias("i"))
     x, y = last.select("run_id", "i", F.col("id_i").alias("x_cell")), last.select("run_id", F.col("i").alias("j"), F.col("id_i").alias("y_cell"))
-    return distances.where(F.col("dist") <= radius).select("run_id", "i", "j", "dist").join(x, ["run_id", "i"]).join(y, ["run_id", "j"]).select("run_id", "x_cell", "y_cell", "dist")
+    return distances.where(F.col("dist") <= radius).select("run_id", "i", "j", "dist").join(large(x), ["run_id", "i"]).join(large(y), ["run_id", "j"]).select("run_id", "x_cell", "y_cell", "dist")
 
 
 OPEN, LEADER, FOLLOWER = 0, 1, 2
@@ -76,10 +76,10 @@ def leaders(orphans: DataFrame, earlier: DataFrame) -> DataFrame:
     at most two rounds for each step of the longest chain of decisions that hang on each other."""
     state = stage(orphans.select("run_id", "ord", F.lit(OPEN).alias("status")), "orphans")
     while not state.where(F.col("status") == OPEN).isEmpty():
-        before = earlier.join(state.select("run_id", F.col("ord").alias("a"), "status"), ["run_id", "a"]).groupBy("run_id", F.col("b").alias("ord"))
+        before = earlier.join(large(state.select("run_id", F.col("ord").alias("a"), "status")), ["run_id", "a"]).groupBy("run_id", F.col("b").alias("ord"))
         before = before.agg(F.max(F.col("status") == LEADER).alias("led"), F.max(F.col("status") == OPEN).alias("waits"))
         now = F.when(F.col("status") != OPEN, F.col("status")).when(F.col("led"), FOLLOWER).when(F.col("waits"), OPEN).otherwise(LEADER)
-        state = stage(state.join(before, ["run_id", "ord"], "left").select("run_id", "ord", now.alias("status")), "orphans")
+        state = stage(state.join(large(before), ["run_id", "ord"], "left").select("run_id", "ord", now.alias("status")), "orphans")
     return state.where(F.col("status") == LEADER).select("run_id", "ord")
 
 
@@ -93,12 +93,12 @@ def link(biopsy: DataFrame, close: DataFrame, top: DataFrame) -> tuple[DataFrame
     end in its earliest biopsy, which one task joins."""
     rank = F.dense_rank().over(Window.partitionBy("run_id").orderBy(F.desc("level")))
     levels = biopsy.select("run_id", "level").distinct().withColumn("back", rank - 1)  # as many rows as a run has biopsies
-    cells = biopsy.select("run_id", "level", "ord", "cell_id", "genome").join(levels, ["run_id", "level"])
+    cells = biopsy.select("run_id", "level", "ord", "cell_id", "genome").join(large(levels), ["run_id", "level"])
     seen = F.row_number().over(Window.partitionBy("run_id", "cell_id").orderBy("back", "ord"))
     cells = stage(cells.drop("level").withColumn("nth", seen), "cells")
     again = cells.where("nth > 1").select("run_id", "back", "ord", F.row_number().over(Window.partitionBy("run_id").orderBy("back", "ord")).alias("place"))
     number = F.when(F.col("nth") > 1, F.col("top") + F.col("place")).otherwise(F.col("cell_id"))
-    placed = cells.join(again, ["run_id", "back", "ord"], "left").join(top, "run_id")
+    placed = cells.join(large(again), ["run_id", "back", "ord"], "left").join(large(top), "run_id")
     cells = stage(placed.select("run_id", "back", "ord", "cell_id", "genome", number.alias("node_id"), "top"), "cells")
     fresh = cells.groupBy("run_id").agg((F.max(F.greatest("top", "node_id")) + 1).alias("fresh"))
     last = cells.agg(F.max("back")).first()[0] or 0
@@ -108,31 +108,31 @@ def link(biopsy: DataFrame, close: DataFrame, top: DataFrame) -> tuple[DataFrame
     for back in range(last + 1):
         upper = cells.where(F.col("back") == back + 1).select(columns)
         more = upper.groupBy("run_id").agg((F.max("ord") + 1).alias("size"))
-        ends = bottom.join(more, "run_id", "left_anti")
+        ends = bottom.join(large(more), "run_id", "left_anti")
         first = ends if first is None else first.unionByName(ends)
         own = ends.select("run_id", "node_id", "cell_id", F.lit(back).alias("level"), F.lit(None).cast("long").alias("parent_id"), F.lit(None).cast("double").alias("weight"))
         nodes = own if nodes is None else nodes.unionByName(own)
         if back == last:
             break
-        bottom = bottom.join(more.select("run_id"), "run_id", "left_semi")
+        bottom = bottom.join(large(more.select("run_id")), "run_id", "left_semi")
         y = bottom.select("run_id", F.col("ord").alias("y_ord"), F.col("cell_id").alias("y_cell"), F.col("genome").alias("y_genome"))
         x = upper.withColumn("copy", F.lit(False)).unionByName(bottom.withColumn("copy", F.lit(True)))
         x = x.select("run_id", "copy", F.col("ord").alias("x_ord"), F.col("cell_id").alias("x_cell"), F.col("genome").alias("x_genome"), F.col("node_id").alias("x_node"))
-        pairs = y.join(close, ["run_id", "y_cell"]).join(x, ["run_id", "x_cell"]).withColumn("same", F.col("x_cell") == F.col("y_cell"))
+        pairs = y.join(large(close), ["run_id", "y_cell"]).join(large(x), ["run_id", "x_cell"]).withColumn("same", F.col("x_cell") == F.col("y_cell"))
         pairs = pairs.where("NOT copy OR x_ord < y_ord").where(F.col("same") | ~regains(F.col("x_genome"), F.col("y_genome")))
         pairs = stage(pairs.select("run_id", "y_ord", "copy", "x_ord", "x_node", "same", "dist"), "pairs")
         placed = pairs.where("NOT copy").select("run_id", F.col("y_ord").alias("ord")).distinct()
-        copied = leaders(bottom.join(placed, ["run_id", "ord"], "left_anti"), pairs.where("copy").select("run_id", F.col("x_ord").alias("a"), F.col("y_ord").alias("b")))
-        copied = copied.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy("ord")) - 1).join(bottom, ["run_id", "ord"]).join(more, "run_id").join(fresh, "run_id")
+        copied = leaders(bottom.join(large(placed), ["run_id", "ord"], "left_anti"), pairs.where("copy").select("run_id", F.col("x_ord").alias("a"), F.col("y_ord").alias("b")))
+        copied = copied.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy("ord")) - 1).join(large(bottom), ["run_id", "ord"]).join(large(more), "run_id").join(large(fresh), "run_id")
         copied = copied.select("run_id", "ord", (F.col("size") + F.col("place")).cast("int").alias("new_ord"), "cell_id", "genome", (F.col("fresh") + F.col("place")).alias("new_id"))
         copied = stage(copied, "copied")
-        able = pairs.join(copied.select("run_id", F.col("ord").alias("x_ord"), F.lit(True).alias("copy"), "new_id"), ["run_id", "x_ord", "copy"], "left").where("NOT copy OR new_id IS NOT NULL")
+        able = pairs.join(large(copied.select("run_id", F.col("ord").alias("x_ord"), F.lit(True).alias("copy"), "new_id")), ["run_id", "x_ord", "copy"], "left").where("NOT copy OR new_id IS NOT NULL")
         able = able.select("run_id", F.col("y_ord").alias("ord"), "same", "dist", "copy", "x_ord", F.when(F.col("copy"), F.col("new_id")).otherwise(F.col("x_node")).alias("parent_id"))
         best = able.groupBy("run_id", "ord").agg(F.min_by(F.struct("parent_id", F.col("dist").alias("weight")), F.struct(~F.col("same"), F.when(F.col("same"), 0.0).otherwise(F.col("dist")), "copy", "x_ord")).alias("x")).select("run_id", "ord", "x.*")
         best = best.unionByName(copied.select("run_id", "ord", F.col("new_id").alias("parent_id"), F.lit(0.0).alias("weight")))
-        nodes = nodes.unionByName(bottom.join(best, ["run_id", "ord"]).select("run_id", "node_id", "cell_id", F.lit(back).alias("level"), "parent_id", "weight"))
+        nodes = nodes.unionByName(bottom.join(large(best), ["run_id", "ord"]).select("run_id", "node_id", "cell_id", F.lit(back).alias("level"), "parent_id", "weight"))
         bottom = upper.unionByName(copied.select("run_id", F.col("new_ord").alias("ord"), "cell_id", "genome", F.col("new_id").alias("node_id")))
-        fresh = fresh.join(copied.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")), "run_id", "left").select("run_id", (F.col("fresh") + F.coalesce("n", F.lit(0))).alias("fresh"))
+        fresh = fresh.join(large(copied.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))), "run_id", "left").select("run_id", (F.col("fresh") + F.coalesce("n", F.lit(0))).alias("fresh"))
     return stage(nodes, "linked"), stage(first, "earliest"), stage(fresh, "fresh")
 
 
@@ -142,9 +142,9 @@ def join_earliest(first: DataFrame, distances: DataFrame, fresh: DataFrame) -> D
 
     A run's matrix reaches its task as a row for each cell."""
     name = lambda c, p: first.select("run_id", F.col("place").alias(p), F.col("cell_id").alias(c))
-    far = distances.join(name("x_cell", "a"), ["run_id", "x_cell"]).join(name("y_cell", "b"), ["run_id", "y_cell"])
+    far = distances.join(large(name("x_cell", "a")), ["run_id", "x_cell"]).join(large(name("y_cell", "b")), ["run_id", "y_cell"])
     rows = far.groupBy("run_id", "a").agg(F.array_sort(F.collect_list(F.struct("b", "dist"))).alias("r")).select("run_id", F.col("a").alias("place"), F.col("r.dist").alias("r"))  # a cell's distances
-    rows = rows.join(first.select("run_id", "place", "node_id"), ["run_id", "place"]).join(fresh, "run_id")
+    rows = rows.join(large(first.select("run_id", "place", "node_id")), ["run_id", "place"]).join(large(fresh), "run_id")
 
     def build(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("place")
@@ -165,11 +165,11 @@ def assemble(nodes: DataFrame, first: DataFrame, distances: DataFrame, fresh: Da
     """The tree of every run that has two cells in its earliest biopsy, from linked nodes and the distances of that biopsy's cells."""
     first = first.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy("ord")) - 1)
     joined = stage(join_earliest(first, distances, fresh), "joined")
-    tops = joined.groupBy("run_id").agg(F.lit(1).alias("one")).select("run_id").join(nodes.groupBy("run_id").agg(F.max("level").alias("top")), "run_id")
+    tops = joined.groupBy("run_id").agg(F.lit(1).alias("one")).select("run_id").join(large(nodes.groupBy("run_id").agg(F.max("level").alias("top"))), "run_id")
     edges = joined.where("turn IS NULL").select("run_id", "node_id", F.col("parent_id").alias("up"), F.col("weight").alias("length"))
-    old = nodes.join(tops, "run_id").join(edges, ["run_id", "node_id"], "left")
+    old = nodes.join(large(tops), "run_id").join(large(edges), ["run_id", "node_id"], "left")
     old = old.select("run_id", "node_id", F.coalesce("parent_id", "up").alias("parent_id"), "cell_id", "level", F.coalesce("weight", "length").alias("weight"))
-    new = joined.where("turn IS NOT NULL").join(tops, "run_id").select("run_id", "node_id", "parent_id", F.lit(None).cast("long").alias("cell_id"), (F.col("top") + 1 + F.col("turn")).alias("level"), "weight")
+    new = joined.where("turn IS NOT NULL").join(large(tops), "run_id").select("run_id", "node_id", "parent_id", F.lit(None).cast("long").alias("cell_id"), (F.col("top") + 1 + F.col("turn")).alias("level"), "weight")
     return old.unionByName(new).select(*(F.col(c).cast(t).alias(c) for c, t in (x.split() for x in TREE.split(", "))))
 
 
@@ -202,12 +202,12 @@ def reconstruct_within(biopsy: DataFrame, radius: float) -> DataFrame:
     # of both directions the one from the earlier cell counts, as in a matrix; a cell that is sampled again may come under one that it is earlier than
     when = lambda c: cells.select("run_id", F.col("key").alias(c), F.struct("level", "ord").alias(f"{c}_at"))
     profiles, again = cells.select("run_id", "key", "genome"), cells.where("n > 1").select("run_id", "key", "genome")
-    ordered = lambda found: found.join(when("x"), ["run_id", "x"]).join(when("y"), ["run_id", "y"])
+    ordered = lambda found: found.join(large(when("x")), ["run_id", "x"]).join(large(when("y")), ["run_id", "y"])
     found = ordered(near(profiles, profiles, radius)).where("x_at <= y_at").select("run_id", F.col("x").alias("x_cell"), F.col("y").alias("y_cell"), "dist")
     turned = ordered(near(again, profiles, radius, keep_lost=False)).where("x_at < y_at").select("run_id", F.col("y").alias("x_cell"), F.col("x").alias("y_cell"), "dist")
     found = stage(found.unionByName(turned), "near")
     nodes, first, fresh = link(own, found, own.groupBy("run_id").agg(F.max("cell_id").alias("top")))
-    few = first.select("run_id", "cell_id").distinct().join(cells.select("run_id", F.col("key").alias("cell_id"), "genome", "level", "ord"), ["run_id", "cell_id"])
+    few = first.select("run_id", "cell_id").distinct().join(large(cells.select("run_id", F.col("key").alias("cell_id"), "genome", "level", "ord")), ["run_id", "cell_id"])
     few = stage(few.select("run_id", (F.row_number().over(Window.partitionBy("run_id").orderBy("level", "ord")) - 1).alias("ord"), "cell_id", "genome"), "few")
     far = matrix(few)
     return assemble(nodes, first, far.select("run_id", F.col("id_i").alias("x_cell"), F.col("id_j").alias("y_cell"), "dist"), fresh)

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from phylospark.functions import profiles
-from phylospark.functions.staging import stage
+from phylospark.functions.staging import large, stage
 from phylospark.operators import biopsy as sampling
 from phylospark.operators import clusters, distance, joining, layout, linking
 from phylospark.plans.experiment import run_experiment
@@ -49,7 +49,7 @@ def between(own):
     left = own.select("run_id", F.col("at").alias("i"), F.col("cell_id").alias("id_i"))
     right = own.select("run_id", F.col("at").alias("j"), F.col("cell_id").alias("id_j"))
     far = F.when(F.col("i") == F.col("j"), 0).otherwise((F.col("i") * F.col("j") * 7 + F.col("i") + F.col("j")) % 6 + 1)
-    return left.join(right, "run_id").select("run_id", "i", "j", "id_i", "id_j", far.cast("double").alias("dist"))
+    return left.join(large(right), "run_id").select("run_id", "i", "j", "id_i", "id_j", far.cast("double").alias("dist"))
 
 
 def distances(spark, sf_dir):

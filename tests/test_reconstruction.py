@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from phylospark.operators import distance, joining, layout, linking
-from phylospark.plans import registry
+from phylospark.plans import reconstruction_queries, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -121,6 +121,19 @@ def test_trees_hold_every_customer(spark, tmp_path):
     assert registry.QUERIES["layered_layout"](spark, str(tmp_path)).select("run_id").distinct().count() == 5
 
 
+@pytest.mark.parametrize("name", ["layered_full"])
+def test_no_table_that_grows_with_the_runs_is_broadcast(spark, tmp_path, monkeypatch, name):
+    """Files of staged tables are small whatever they hold, so Spark would send them through the driver."""
+    spark.createDataFrame([(k, k % 3) for k in range(120)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    plans, planned = [], lambda df: df._jdf.queryExecution().toString()
+    stage = linking.stage
+    for module in (linking, reconstruction_queries):
+        monkeypatch.setattr(module, "stage", lambda df, label: plans.append((label, planned(df))) or stage(df, label))
+    plans.append((name, planned(registry.QUERIES[name](spark, str(tmp_path)))))
+    assert len(plans) > 10 and any("Join" in plan for _, plan in plans)
+    assert [label for label, plan in plans if "Broadcast" in plan] == []
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are elsewhere")
 def test_queries_equal_their_sql(spark):
     import duckdb
