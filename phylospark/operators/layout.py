@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phylospark.functions.staging import large
 from phylospark.operators import clusters
 
 # The colours of biopsies, in order.
@@ -56,11 +57,11 @@ def visible(nodes: DataFrame, only: DataFrame, biopsy: DataFrame) -> DataFrame:
 def layered_layout(nodes: DataFrame, pins: DataFrame | None = None) -> DataFrame:
     """(run_id, node_id, x, y) of reconstructed trees: the rank within a level by pin (run_id, level, cell_id, pin), then cell_id;
     nodes without a cell stand left and right in turn, each half a step further in."""
-    rows = nodes.withColumn("pin", F.lit(None).cast("int")) if pins is None else nodes.join(pins, ["run_id", "level", "cell_id"], "left")
+    rows = nodes.withColumn("pin", F.lit(None).cast("int")) if pins is None else nodes.join(large(pins), ["run_id", "level", "cell_id"], "left")
     rank = F.row_number().over(Window.partitionBy("run_id", "level").orderBy(F.col("pin").asc_nulls_last(), "cell_id", "node_id")) - 1
     levels = nodes.groupBy("run_id").agg(F.countDistinct("level").alias("levels"))
     turn = F.row_number().over(Window.partitionBy("run_id", F.col("cell_id").isNull()).orderBy("level"))
-    rows = rows.withColumns({"rank": rank, "turn": turn}).join(levels, "run_id")
+    rows = rows.withColumns({"rank": rank, "turn": turn}).join(large(levels), "run_id")
     offset = 0.25 + 0.5 * (F.col("turn") - 1)
     x = F.when(F.col("cell_id").isNotNull(), F.col("rank").cast("double")).when(F.col("turn") % 2 == 1, offset).otherwise(F.col("levels") - offset)
     return rows.select("run_id", "node_id", x.alias("x"), F.col("level").alias("y"))

@@ -121,7 +121,7 @@ def test_trees_hold_every_customer(spark, tmp_path):
     assert registry.QUERIES["layered_layout"](spark, str(tmp_path)).select("run_id").distinct().count() == 5
 
 
-@pytest.mark.parametrize("name", ["layered_full"])
+@pytest.mark.parametrize("name", ["layered_full", "layered_layout"])
 def test_no_table_that_grows_with_the_runs_is_broadcast(spark, tmp_path, monkeypatch, name):
     """Files of staged tables are small whatever they hold, so Spark would send them through the driver."""
     spark.createDataFrame([(k, k % 3) for k in range(120)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
