@@ -15,7 +15,8 @@ words that a source lacks all have one share p0, and the divergence sum f(p, q),
     V f(p0_g, p0_h) + sum over the words of g (f(p_g, p0_h) - f(p0_g, p0_h)) + the same over the words of h
     + sum over common words (f(p_g, p_h) - f(p_g, p0_h) - f(p0_g, p_h) + f(p0_g, p0_h)).
 
-The sums over one source's words need only how often each share occurs. The last sum takes each word's list of postings; a task adds up its
+The sums over one source's words need only how often each share occurs. Of the words in which a source stands out, a task hands on only those
+that can be among the first. The last sum takes each word's list of postings; a task adds up its
 words' pairs in whole numbers and hands on one row for each pair of sources and some two million terms of the sum. There are as many rows as the result
 has pairs at least, which the number of sources in a language bounds; no pair of documents or words is made.
 
@@ -63,27 +64,63 @@ def pieces(text: bytes) -> Iterator[bytes]:
         start = end
 
 
+def words_of(parts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of translated texts in order, each with one space behind it (so that the array's bytes are a text again), and how many each text has."""
+    data = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
+    space = data == 32
+    ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    keep = ~space
+    keep[ends] = True
+    data = data[keep]
+    offsets = np.zeros(len(ends) + 1, np.int32)
+    offsets[1:] = np.flatnonzero(data == 32) + 1
+    size = np.diff(np.searchsorted(ends, np.cumsum([len(x) + 1 for x in parts])), prepend=0)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), size
+
+
+def megabytes(parts: list[bytes]) -> Iterator[list[bytes]]:
+    """The parts in lists of about a megabyte each."""
+    start = size = 0
+    for i, part in enumerate(parts):
+        size += len(part)
+        if size >= PIECE:
+            yield parts[start : i + 1]
+            start, size = i + 1, 0
+    if start < len(parts):
+        yield parts[start:]
+
+
 def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, term, docs: how many documents of a block hold each word."""
-    docs: dict[str, Counter] = {}
+    found: list[pa.Table] = []
     size = 0
     for batch in slices(batches, "text"):
-        for lang, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "text")), strict=True):
-            holds = set()
-            for piece in pieces(text.translate(TABLE)):
-                holds.update(piece.split())
-            docs.setdefault(lang, Counter()).update(holds)
-            size += len(text)
+        langs, texts = batch.column("lang").dictionary_encode(), [text.translate(TABLE) for text in batch.column("text").to_pylist()]
+        size += sum(map(len, texts))
+        if len(texts) == 1:  # however long: what is held are its different words
+            words = pa.chunked_array([words_of([x])[0].unique() for x in pieces(texts[0])], pa.binary()).unique()
+            lang, docs = pa.repeat(langs[0].as_py(), len(words)), np.ones(len(words), np.int64)
+        else:
+            words, n = words_of(texts)
+            words = words.dictionary_encode()
+            most = max(1, len(words.dictionary))
+            held = np.sort(np.repeat(np.arange(len(texts)), n) * most + words.indices.to_numpy())
+            held = held[np.append(True, held[1:] != held[:-1])[: len(held)]]  # a word of a document once
+            held, docs = np.unique(langs.indices.to_numpy()[held // most].astype(np.int64) * most + held % most, return_counts=True)
+            lang, words = langs.dictionary.take(pa.array(held // most)), words.dictionary.take(pa.array(held % most))
+        found.append(pa.table({"lang": lang, "term": words, "docs": docs}))
         if size >= BLOCK_BYTES:
-            yield from count_rows(docs)
-            docs, size = {}, 0
-    yield from count_rows(docs)
+            yield from count_rows(found)
+            found, size = [], 0
+    yield from count_rows(found)
 
 
-def count_rows(docs: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-    for lang, held in docs.items():
-        terms = pa.array(list(held), pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(held)), terms, pa.array(list(held.values()), pa.int64())], names=["lang", "term", "docs"])
+def count_rows(found: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    if found:
+        table = pa.concat_tables(found).group_by(["lang", "term"], use_threads=False).aggregate([("docs", "sum")])
+        for rows in table.to_batches():
+            terms = pa.compute.binary_slice(rows.column("term"), 0, -1).cast(pa.string())  # without the space
+            yield pa.RecordBatch.from_arrays([rows.column("lang"), terms, rows.column("docs_sum")], names=["lang", "term", "docs"])
 
 
 def word_hash(lang: Column, term: Column) -> Column:
@@ -101,28 +138,27 @@ def sieve_of(kept: DataFrame) -> bytes:
 def recount(batches: Iterator[pa.RecordBatch], sieve: bytes) -> Iterator[pa.RecordBatch]:
     """lang, source, term, count of the words of each block that the sieve lets through."""
     texts: dict[str, dict[str, list[bytes]]] = {}
-    words: dict[str, set[bytes]] = {}
     size = 0
     for batch in slices(batches, "text"):
         for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
-            own, held = texts.setdefault(lang, {}).setdefault(source, []), words.setdefault(lang, set())
-            for piece in pieces(text.translate(TABLE)):
-                held.update(piece.split())
-                own.append(piece)
+            texts.setdefault(lang, {}).setdefault(source, []).extend(pieces(text.translate(TABLE)))
             size += len(text)
         if size >= BLOCK_BYTES:
-            yield from block_counts(texts, words, sieve)
-            texts, words, size = {}, {}, 0
-    yield from block_counts(texts, words, sieve)
+            yield from block_counts(texts, sieve)
+            texts, size = {}, 0
+    yield from block_counts(texts, sieve)
 
 
-def block_counts(texts: dict, words: dict, sieve: bytes) -> Iterator[pa.RecordBatch]:
+def block_counts(texts: dict[str, dict[str, list[bytes]]], sieve: bytes) -> Iterator[pa.RecordBatch]:
     """The counts of one block by an automaton over its texts; very long words by comparison."""
     import ahocorasick
 
     for lang, by_source in texts.items():
         start = crc32(f"{lang}\0".encode())
-        kept = [w.decode() for w in words.pop(lang) if sieve[(h := crc32(w, start) % SIEVE) >> 3] >> (h & 7) & 1]
+        chunks = {source: [words_of(x)[0] for x in megabytes(parts)] for source, parts in by_source.items()}
+        words = pa.chunked_array([x for own in chunks.values() for x in own], pa.binary()).unique()
+        # In the order of the texts: the automaton's first nodes, which lie side by side in memory, are then those of common words.
+        kept = [w.decode() for w in words.buffers()[2].to_pybytes().split() if sieve[(h := crc32(w, start) % SIEVE) >> 3] >> (h & 7) & 1] if len(words) else []
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for k, word in enumerate(kept):
             if len(word) <= LONGEST:
@@ -130,13 +166,15 @@ def block_counts(texts: dict, words: dict, sieve: bytes) -> Iterator[pa.RecordBa
         automaton.make_automaton()
         long = {word: k for k, word in enumerate(kept) if len(word) > LONGEST}
         terms = pa.array(kept, pa.string())
-        for source, parts in by_source.items():
-            text = b" ".join(parts).decode()
-            found = automaton.iter(f" {text} ") if len(automaton) else ()
-            n = np.bincount(np.fromiter(map(SECOND, found), np.int64), minlength=len(kept))
-            for word in text.split(" ") if long else ():
-                if word in long:
-                    n[long[word]] += 1
+        for source, own in chunks.items():
+            n = np.zeros(len(kept), np.int64)
+            for chunk in own if kept else ():
+                text = str(chunk.buffers()[2], "utf-8")
+                found = automaton.iter(f" {text}") if len(automaton) else ()
+                n += np.bincount(np.fromiter(map(SECOND, found), np.int64), minlength=len(kept))
+                for word in text.split(" ") if long else ():
+                    if word in long:
+                        n[long[word]] += 1
             at = np.flatnonzero(n)
             columns = [pa.repeat(lang, len(at)), pa.repeat(source, len(at)), terms.take(pa.array(at)), pa.array(n[at], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "count"])
@@ -190,6 +228,42 @@ def common_sums(batches: Iterator[pa.RecordBatch], sizes: dict[tuple[str, str],
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "item", "value"])
 
 
+def marking_terms(batches: Iterator[pa.RecordBatch], sizes: dict[tuple[str, str], int], wholes: dict[str, int], top: int) -> Iterator[pa.RecordBatch]:
+    """lang, source, part, item, value: the words in which each source stands out. Of some two million postings at a time only those come on that can
+    be among the first of their group: at least as high as the last of these, so alike ones all do."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch.column("counts").flatten())
+        if n >= TERMS:
+            yield best(pa.Table.from_batches(held), sizes, wholes, top)
+            held, n = [], 0
+    if n:
+        yield best(pa.Table.from_batches(held), sizes, wholes, top)
+
+
+def best(rows: pa.Table, sizes: dict[tuple[str, str], int], wholes: dict[str, int], top: int) -> pa.RecordBatch:
+    """The words of these rows that can be among the first of a group. sizes, wholes: N + V of each group and language."""
+    lang, term, lists, counts = (rows.column(c).combine_chunks() for c in ("lang", "term", "sources", "counts"))
+    lang, source, count = lang.dictionary_encode(), lists.flatten().dictionary_encode(), counts.flatten().to_numpy()
+    langs, sources = lang.dictionary.to_pylist(), source.dictionary.to_pylist()
+    size = np.diff(lists.offsets.to_numpy())
+    word = np.repeat(np.arange(len(size)), size)  # of each posting
+    known, group = np.unique(lang.indices.to_numpy().astype(np.int64)[word] * len(sources) + source.indices.to_numpy(), return_inverse=True)
+    of = np.array([sizes[langs[g // len(sources)], sources[g % len(sources)]] for g in known.tolist()], np.int64)
+    whole = np.array([wholes[x] for x in langs], np.int64)[lang.indices.to_numpy()]
+    p, q = shares(count, of[group]), shares(np.add.reduceat(count, np.cumsum(size) - size), whole)[word]
+    at = np.flatnonzero(p > q)
+    value, group = divergence(p[at], q[at]), group[at]
+    order = np.lexsort((-value, group))
+    at, value, group = at[order], value[order], group[order]
+    first = np.searchsorted(group, group)  # place of the group's highest
+    keep = value >= value[np.minimum(first + top, np.searchsorted(group, group, "right")) - 1]
+    at, value, group = at[keep], value[keep], known[group[keep]]
+    columns = [lang.dictionary.take(pa.array(group // len(sources))), source.dictionary.take(pa.array(group % len(sources))), pa.repeat("term", len(at)), term.take(pa.array(word[at])), pa.array(value, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "part", "item", "value"])
+
+
 def smoothed(count: str, n: str, v: str) -> Column:
     """1 + floor(SCALE * (count + 1) / (n + v)), by long division with three digits at a time, so that no product passes 64 bits."""
     size = F.expr(f"{n} + {v}")
@@ -206,23 +280,27 @@ def f(p: str, q: str) -> str:
     return f"(({p} - {q}) * ({p} - {q}) div {q})"
 
 
-def postings(docs: DataFrame, text: str, lang: str, source: str, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """Both passes: the postings of each kept word (lang, term, posts: source and count), and the groups (lang, source, n, v), staged. n: all occurrences
-    of kept words in the group, v: the kept words of the language. A word's postings are as many as the sources of its language at most."""
+def postings(docs: DataFrame, text: str, lang: str, source: str, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both passes: the postings of each kept word (lang, term, posts: source and count), how many words of a group have each count (lang, source, count, m), and
+    the groups (lang, source, n, v), staged. n: all occurrences of kept words in the group, v: the kept words of the language. A word's postings are as many as
+    the sources of its language at most."""
     rows = docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(to) for c, to in ((lang, "lang"), (source, "source"))), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
     held = small_batches(rows.select("lang", "text")).mapInArrow(document_counts, "lang string, term string, docs long")
     kept = stage(held.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs), "kept")
     sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(kept))
     counts = small_batches(rows).mapInArrow(lambda batches: recount(batches, sieve.value), "lang string, source string, term string, count long")
+    # Counts move once, dealt by language and word: the sums by source, the join and the lists all keep to that. Before it, few of a task's counts could be summed.
+    counts = counts.repartition("lang", "term")
     counts = counts.groupBy("lang", "source", "term").agg(F.sum("count").alias("count")).join(kept.select("lang", "term").hint("shuffle_hash"), ["lang", "term"], "left_semi")
     lists = stage(counts.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "count")).alias("posts")), "postings")
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    totals = lists.select("lang", F.explode("posts").alias("x")).groupBy("lang", F.col("x.source").alias("source")).agg(F.sum("x.count").alias("n"))
+    seen = stage(lists.select("lang", F.explode("posts").alias("x")).groupBy("lang", "x.source", "x.count").agg(F.count(F.lit(1)).alias("m")), "seen")
+    totals = seen.groupBy("lang", "source").agg(F.expr("sum(count * m)").alias("n"))
     groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
-    return lists, stage(groups.na.fill(0, ["n", "v"]), "groups")
+    return lists, seen, stage(groups.na.fill(0, ["n", "v"]), "groups")
 
 
-def audit(lists: DataFrame, groups: DataFrame, top: int = TOP) -> DataFrame:
+def audit(lists: DataFrame, seen: DataFrame, groups: DataFrame, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value, rank: each source's divergence from the others of its language, and the words in which it stands out."""
     known = groups.limit(MAX_GROUPS + 1).collect()
     if len(known) > MAX_GROUPS:
@@ -230,21 +308,21 @@ def audit(lists: DataFrame, groups: DataFrame, top: int = TOP) -> DataFrame:
     sizes = groups.sparkSession.sparkContext.broadcast({(r["lang"], r["source"]): r["n"] + r["v"] for r in known})
     groups = F.broadcast(groups.withColumn("p0", F.when(F.col("v") > 0, smoothed("0L", "n", "v"))))  # MAX_GROUPS rows at most
 
-    whole = F.broadcast(groups.groupBy("lang").agg(F.sum("n").alias("whole"), F.first("v").alias("words")))  # v is the same in all groups of a language
-    rows = lists.select("lang", "term", F.aggregate("posts", F.lit(0).cast("long"), lambda n, x: n + x["count"]).alias("all"), F.explode("posts").alias("x"))
-    rows = rows.select("lang", "term", "all", "x.source", "x.count").join(groups, ["lang", "source"]).join(whole, "lang")
-    rows = rows.select("lang", "source", "term", smoothed("count", "n", "v").alias("p"), smoothed("all", "whole", "words").alias("q"), "p0")
-    terms = rows.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(f("p", "q")).alias("value"))
+    wholes = Counter()  # N + V of each language: v is the same in all its groups
+    for r in known:
+        wholes[r["lang"]] += r["n"]
+    wholes = groups.sparkSession.sparkContext.broadcast({r["lang"]: wholes[r["lang"]] + r["v"] for r in known})
+    words = small_batches(lists.select("lang", "term", F.col("posts.source").alias("sources"), F.col("posts.count").alias("counts")))
+    terms = words.mapInArrow(lambda batches: marking_terms(batches, sizes.value, wholes.value, top), "lang string, source string, part string, item string, value long")
 
     pair = groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"))
     pairs = groups.select("lang", "source", "p0", "v").join(pair, "lang").where("source != item")
     base = pairs.select("lang", "source", "item", F.expr(f"coalesce(v * {f('p0', 'q0')}, 0L)").alias("value"))
-    seen = rows.groupBy("lang", "source", "p", "p0").agg(F.count(F.lit(1)).alias("m"))
+    seen = seen.join(groups, ["lang", "source"]).select("lang", "source", "m", smoothed("count", "n", "v").alias("p"), "p0")
     others = pair.join(seen, "lang").where("source != item")
     mine = others.select("lang", "source", "item", F.expr(f"m * ({f('p', 'q0')} - {f('p0', 'q0')})").alias("value"))
     theirs = others.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), F.expr(f"m * ({f('q0', 'p')} - {f('q0', 'p0')})").alias("value"))
-    several = lists.where("size(posts) > 1").select("lang", F.col("posts.source").alias("sources"), F.col("posts.count").alias("counts"))
-    common = small_batches(several).mapInArrow(lambda batches: common_sums(batches, sizes.value), "lang string, source string, item string, value long")
+    common = small_batches(words.where("size(sources) > 1").select("lang", "sources", "counts")).mapInArrow(lambda batches: common_sums(batches, sizes.value), "lang string, source string, item string, value long")
     pairs = base.union(mine).union(theirs).union(common).groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
 
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")

@@ -113,3 +113,59 @@ def test_no_staged_row_holds_a_block(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(D, "stage", staged)
     assert sorted(tuple(r) for r in D.op13_divergence(spark, write(spark, tmp_path, docs)).collect()) == brute(docs)
     assert longest and max(longest.values()) < 1000, longest
+
+
+def test_counts_move_once(spark, tmp_path, monkeypatch):
+    """Counts are dealt by language and word once; sums by source, the join with the kept words and the lists need no second shuffle."""
+    plans = {}
+
+    def staged(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, name)
+
+    stage = D.stage
+    monkeypatch.setattr(D, "stage", staged)
+    docs = odd_rows()
+    assert sorted(tuple(r) for r in D.op13_divergence(spark, write(spark, tmp_path, docs)).collect()) == brute(docs)
+    assert len(re.findall(r"Exchange hashpartitioning", plans["postings"])) == 2, plans["postings"]  # the counts' and the kept words'
+
+
+def test_postings_are_not_all_ranked(spark, tmp_path, monkeypatch):
+    """Only words that can be among the first 200 of a group reach the window that ranks them."""
+    docs = [(" ".join(f"{c}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)) + f" all{c}" * i, "en", f"s{c}") for c in "ab" for i in range(4)]
+    seen = []
+    best = D.best
+    monkeypatch.setattr(D, "best", lambda *a: seen.append(best(*a)) or seen[-1])
+    lists = [{"lang": "en", "term": w, "sources": ["sa"], "counts": [n]} for w, n in [(f"t{i:03}", 2 + i % 300) for i in range(1200)]]
+    sizes, total = {("en", "sa"): 10**6, ("en", "sb"): 10**6}, 2 * 10**6
+    batches = [pa.RecordBatch.from_pylist(lists[i : i + 300]) for i in range(0, 1200, 300)]
+    found = [r for b in D.marking_terms(iter(batches), sizes, {"en": total}, 200) for r in b.to_pylist()]
+    share = lambda n, s: 1 + 10**9 * (n + 1) // s
+    value = {x["term"]: D.divergence(share(x["counts"][0], 10**6), share(x["counts"][0], total)) for x in lists}
+    first = sorted(value, key=lambda w: (-value[w], w))[:200]
+    assert {r["item"] for r in found} >= set(first) and len(found) < 300 and all(r["value"] == value[r["item"]] for r in found)
+    monkeypatch.setattr(D, "TERMS", 1)  # a batch at a time
+    assert {r["item"] for b in D.marking_terms(iter(batches), sizes, {"en": total}, 200) for r in b.to_pylist()} >= set(first)
+    assert len(seen) == 5
+    assert sorted(tuple(r) for r in D.op13_divergence(spark, write(spark, tmp_path, docs)).collect()) == brute(docs)
+
+
+def test_documents_of_each_word(monkeypatch):
+    """Counts by Arrow equal those by sets, wherever blocks, slices and pieces end."""
+    rng = random.Random(5)
+    text = lambda k: "".join(rng.choices(["a", "B", "é", "中", " ", "  ", "\n", "7", "the ", "\x00"], k=k))
+    rows = [{"lang": rng.choice(["en", "", "é"]), "text": text(rng.choice([0, 1, 3, 40, 400])).encode()} for _ in range(300)] + [{"lang": "en", "text": text(5000).encode()}, {"lang": "en", "text": b"   "}]
+    wanted = Counter((r["lang"], w.decode()) for r in rows for w in set(r["text"].translate(D.TABLE).split()))
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 50]) for i in range(0, len(rows), 50)]
+    limit = D.slices
+    for most, block, piece in ((1, 1, 1), (1000, 3000, 7), (10**6, 10**6, 10**6)):
+        monkeypatch.setattr(D, "slices", lambda b, c, most=most: limit(b, c, most))
+        monkeypatch.setattr(D, "BLOCK_BYTES", block)
+        monkeypatch.setattr(D, "PIECE", piece)
+        got = Counter()
+        for out in D.document_counts(iter(batches)):
+            for r in out.to_pylist():
+                got[r["lang"], r["term"]] += r["docs"]
+        assert got == wanted
+    words, size = D.words_of([b" a  b", b"", b"  ", b"c "])
+    assert words.to_pylist() == [b"a ", b"b ", b"c "] and size.tolist() == [2, 0, 0, 1]
